@@ -87,3 +87,25 @@ def sparse_search(postings: DataFrame, terms: DataFrame, k: int = 10,
     if allowed_ids is not None:
         scores = scores.join(allowed_ids.select("id"), "id", "left_semi")
     return topk(scores, k, keys=list(keys)).select(*keys, "rank", "id", "score")
+
+
+def sparse_rows(postings: DataFrame) -> DataFrame:
+    """Row form (id, vec map<token, weight>) of a posting table.
+
+    One map per document, bounded by that document's distinct tokens.
+    """
+    return postings.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("vec"))
+
+
+def terms_literal(terms: DataFrame, max_terms: int = 100_000):
+    """Bind a query's (token, qweight) rows as one foldable map literal.
+
+    A query vector is a parameter: its size is checked before it is fetched.
+    """
+    import json
+    n = terms.count()
+    if n > max_terms:
+        raise ValueError(f"query has {n} terms, over the {max_terms} literal limit")
+    d = {r["token"]: float(r["qweight"]) for r in terms.collect()}
+    return F.from_json(F.lit(json.dumps(d)), "map<string,double>")

@@ -53,3 +53,252 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = rrf([dense, sparse], k=TOP_K)
     return attach_fields(fused, c, OUTPUT_FIELDS, max_hits=TOP_K).select(
         "rank", "id", "score", *OUTPUT_FIELDS)
+
+
+# ------------------------------------------------------------------ helpers
+
+KB_POOL = [f"kb_{i:02d}" for i in range(10)]
+
+
+def _anchor(spark, sf_dir):
+    c = chunks_view(spark, sf_dir)
+    return c, anchor_row(c)
+
+
+def _eq(a: dict, *fields):
+    cond = None
+    for f in fields:
+        e = F.col(f) == a[f]
+        cond = e if cond is None else cond & e
+    return cond
+
+
+def _dense(c, a, where, fields=OUTPUT_FIELDS, metric="IP", k=TOP_K, semi=None):
+    return search(c, a["embedding"], where, k=k, metric=metric, fields=fields, semi=semi)
+
+
+def q3_id_list(spark, sf_dir, n: int = 10 ** 2) -> DataFrame:
+    """F8 draw for Q3: n documentIds in md5 order (a seeded sample of documents)."""
+    from filtra.operators.predicates import draw_document_ids
+    return draw_document_ids(spark, sf_dir, n)
+
+
+# ------------------------------------------------------------- D1, V1-V5
+
+@register("scan_project")
+def scan_project(spark, sf_dir):
+    """Scan the chunk table keeping the requested output fields."""
+    return chunks_view(spark, sf_dir).select("id", "kbId", "documentId")
+
+
+@register("vec_inner_product")
+def vec_inner_product(spark, sf_dir):
+    from filtra.functions.vectors import inner_product, vector_literal
+    c, a = _anchor(spark, sf_dir)
+    return c.select("id", F.round(inner_product("embedding", vector_literal(a["embedding"])), 6)
+                    .alias("score"))
+
+
+@register("vec_l2")
+def vec_l2(spark, sf_dir):
+    from filtra.functions.vectors import l2_distance, vector_literal
+    c, a = _anchor(spark, sf_dir)
+    return c.select("id", F.round(l2_distance("embedding", vector_literal(a["embedding"])), 6)
+                    .alias("score"))
+
+
+@register("vec_cosine")
+def vec_cosine(spark, sf_dir):
+    from filtra.functions.vectors import cosine, vector_literal
+    c, a = _anchor(spark, sf_dir)
+    return c.select("id", F.round(cosine("embedding", vector_literal(a["embedding"])), 6)
+                    .alias("score"))
+
+
+@register("vec_normalize")
+def vec_normalize(spark, sf_dir):
+    from filtra.functions.vectors import l2_norm, normalize
+    c = chunks_view(spark, sf_dir)
+    n = c.select("id", "embedding", normalize("embedding").alias("unit"))
+    return n.select(
+        "id",
+        F.round(l2_norm("embedding"), 6).alias("norm_in"),
+        F.round(l2_norm("unit"), 6).alias("norm_out"),
+        F.round(F.aggregate("unit", F.lit(0.0).cast("double"),
+                            lambda acc, x: acc + x.cast("double")), 6).alias("sum_out"),
+        F.size("unit").cast("long").alias("dim"),
+    )
+
+
+@register("sparse_inner_product")
+def sparse_inner_product_q(spark, sf_dir):
+    """V5 in row form: per chunk map<token, weight> against the anchor's map."""
+    from filtra.functions.vectors import sparse_inner_product
+    from filtra.operators.sparse import sparse_rows, terms_literal
+    c = chunks_view(spark, sf_dir)
+    post = postings_of(c)
+    qmap = terms_literal(query_terms(post, ANCHOR_ID))
+    rows = sparse_rows(post)
+    s = c.select("id").join(rows, "id", "left")
+    return s.select("id", F.round(F.coalesce(sparse_inner_product("vec", qmap), F.lit(0.0)), 6)
+                    .alias("score"))
+
+
+# ----------------------------------------------------- R1, F1-F6, F12
+
+@register("filtered_topk")
+def filtered_topk(spark, sf_dir):
+    """kbId + site filter, exact IP top-10 with output fields."""
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, _kb_site(a))
+
+
+@register("q1_single_eq")
+def q1_single_eq(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, _eq(a, "kbId", "study"))
+
+
+@register("q2_multi_and")
+def q2_multi_and(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, _eq(a, "kbId", "study", "site", "patient", "visit"))
+
+
+@register("q3_document_in")
+def q3_document_in(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    ids = q3_id_list(spark, sf_dir)
+    return _dense(c, a, _eq(a, "kbId"), semi=(F.broadcast(ids), "documentId"))
+
+
+@register("q7_kb_in")
+def q7_kb_in(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    kbs = [KB_POOL[0], KB_POOL[len(KB_POOL) // 2], KB_POOL[-1]]
+    return _dense(c, a, F.col("kbId").isin(kbs))
+
+
+@register("q7_no_filter")
+def q7_no_filter(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, None)
+
+
+@register("q7_one_kb")
+def q7_one_kb(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, F.col("kbId") == KB_POOL[0])
+
+
+@register("q5_scalar_only")
+def q5_scalar_only(spark, sf_dir):
+    """Q2 predicate, no vector, 100 rows in id order."""
+    c, a = _anchor(spark, sf_dir)
+    return (c.filter(_eq(a, "kbId", "study", "site", "patient", "visit"))
+            .select("id", "kbId", "documentId").orderBy("id").limit(100))
+
+
+@register("output_fields")
+def output_fields(spark, sf_dir):
+    """rank on (id, vector) only, then join the hits' fields back by id."""
+    c, a = _anchor(spark, sf_dir)
+    hits = _dense(c, a, _kb_site(a), fields=())
+    fields = ["documentId", "kbId", "study", "site", "patient", "visit", "content"]
+    return attach_fields(hits, c, fields, max_hits=TOP_K).select("rank", "id", "score", *fields)
+
+
+@register("vec_l2_topk")
+def vec_l2_topk(spark, sf_dir):
+    """R1 under the L2 metric (ascending distance)."""
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, _kb_site(a), metric="L2")
+
+
+@register("vec_cosine_topk")
+def vec_cosine_topk(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    return _dense(c, a, _kb_site(a), metric="COSINE")
+
+
+# ------------------------------------------------------------- R2
+
+def group_queries(c: DataFrame, keys=("kbId", "site")) -> DataFrame:
+    """One query per (kbId, site) group: the vector of its lowest-id chunk,
+    restricted to the group. Work grows with the corpus; query count with the
+    attribute cardinalities."""
+    reps = c.groupBy(*keys).agg(F.min("id").alias("qid"))
+    vecs = c.select(F.col("id").alias("qid"), F.col("embedding").alias("q_dense"))
+    return reps.join(vecs, "qid")
+
+
+@register("batch_topk")
+def batch_topk(spark, sf_dir):
+    from filtra.operators.search import search_batch
+    c = chunks_view(spark, sf_dir)
+    return search_batch(c, group_queries(c), k=TOP_K)
+
+
+# ---------------------------------------------------- R5, R6, R8
+
+@register("sparse_topk")
+def sparse_topk(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    post = postings_of(c)
+    return sparse_search(post, query_terms(post, ANCHOR_ID), k=TOP_K,
+                         allowed_ids=c.filter(_kb_site(a)))
+
+
+@register("bm25_weights")
+def bm25_weights(spark, sf_dir):
+    c = chunks_view(spark, sf_dir)
+    return postings_of(c).select("id", "token", "tf", F.round("weight", 6).alias("weight"))
+
+
+def _arms(spark, sf_dir):
+    c, a = _anchor(spark, sf_dir)
+    where = _kb_site(a)
+    dense = search(c, a["embedding"], where, k=TOP_K, fields=())
+    post = postings_of(c)
+    sparse = sparse_search(post, query_terms(post, ANCHOR_ID), k=TOP_K,
+                           allowed_ids=c.filter(where))
+    return c, dense, sparse
+
+
+@register("hybrid_weighted")
+def hybrid_weighted(spark, sf_dir):
+    from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
+    from filtra.operators.fusion import weighted
+    c, dense, sparse = _arms(spark, sf_dir)
+    return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K)
+
+
+@register("hybrid_weighted_minmax")
+def hybrid_weighted_minmax(spark, sf_dir):
+    from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
+    from filtra.operators.fusion import weighted
+    c, dense, sparse = _arms(spark, sf_dir)
+    return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K, norm="minmax")
+
+
+# ------------------------------------------------------------- R10, R11
+
+@register("recall_at_k")
+def recall_at_k_q(spark, sf_dir):
+    """Share of the exact dense top-10 that the RRF hybrid list keeps."""
+    from filtra.operators.quality import recall_at_k
+    c, dense, sparse = _arms(spark, sf_dir)
+    fused = rrf([dense, sparse], k=TOP_K)
+    return recall_at_k(dense, fused)
+
+
+@register("ranker_overlap")
+def ranker_overlap_q(spark, sf_dir):
+    """Dense vs RRF, and RRF vs weighted: shared / only-left / only-right / Jaccard."""
+    from filtra.operators.fusion import weighted
+    from filtra.operators.quality import overlap
+    c, dense, sparse = _arms(spark, sf_dir)
+    fused = rrf([dense, sparse], k=TOP_K)
+    wsum = weighted([(dense, 1.0), (sparse, 1.0)], k=TOP_K)
+    return overlap(dense, fused, "dense_vs_rrf").unionByName(
+        overlap(fused, wsum, "rrf_vs_weighted"))

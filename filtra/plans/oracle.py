@@ -74,3 +74,131 @@ ORACLE_SQL["hybrid_rrf"] = with_(
     "(SELECT id, rank FROM dense_r UNION ALL SELECT id, rank FROM sp_r) GROUP BY id)",
     f"top AS ({ranked('fused')})",
 ) + f"SELECT top.rank, top.id, top.score, {OUT_C} FROM top JOIN chunks c USING (id)"
+
+
+# ------------------------------------------------------------------ helpers
+
+def l2(a: str, b: str) -> str:
+    return f"round(list_distance({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
+
+
+def cos(a: str, b: str) -> str:
+    na = f"list_inner_product({a}::DOUBLE[], {a}::DOUBLE[])"
+    nb = f"list_inner_product({b}::DOUBLE[], {b}::DOUBLE[])"
+    return (f"round(CASE WHEN {na} = 0 OR {nb} = 0 THEN 0.0 ELSE "
+            f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt({na}) * sqrt({nb})) END, 6)")
+
+
+SCORERS = {"IP": ip, "L2": l2, "COSINE": cos}
+
+
+def dense_topk(where: str | None, metric: str = "IP", out: str = OUT, k: int = 10,
+               extra: tuple = ()) -> str:
+    score = SCORERS[metric]("c.embedding", "a.embedding")
+    w = where or "TRUE"
+    return with_(
+        CHUNKS, ANCHOR_CTE, *extra,
+        f"s AS (SELECT c.id, {score} AS score, c.* EXCLUDE (id) FROM chunks c, anchor a WHERE {w})",
+        f"top AS ({ranked('s', desc=(metric != 'L2'), k=k)})",
+    ) + f"SELECT rank, id, score{', ' + out if out else ''} FROM top"
+
+
+Q3_IDS = ("q3_ids AS (SELECT documentId FROM (SELECT 'doc_' || lpad((doc_id + 1)::VARCHAR, 8, '0') "
+          "AS documentId FROM documents) ORDER BY md5('44:' || documentId), documentId LIMIT 100)")
+
+EQ = {f: f"c.{f} = a.{f}" for f in ("kbId", "study", "site", "patient", "visit")}
+ALL5 = " AND ".join(EQ.values())
+
+DENSE_ARM = (f"dense AS (SELECT c.id, {ip('c.embedding', 'a.embedding')} AS score "
+             f"FROM chunks c, anchor a WHERE {KB_SITE})")
+SPARSE_ARM = (
+    "qt AS (SELECT token, weight AS qweight FROM postings WHERE id = 7)",
+    "sp AS (SELECT p.id, round(sum(p.weight * q.qweight), 6) AS score "
+    "FROM postings p JOIN qt q USING (token) "
+    f"WHERE p.id IN (SELECT c.id FROM chunks c, anchor a WHERE {KB_SITE}) GROUP BY p.id)",
+)
+ARMS = (CHUNKS, ANCHOR_CTE, POSTINGS, DENSE_ARM, f"dense_r AS ({ranked('dense')})",
+        *SPARSE_ARM, f"sp_r AS ({ranked('sp')})",
+        "fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM "
+        "(SELECT id, rank FROM dense_r UNION ALL SELECT id, rank FROM sp_r) GROUP BY id)",
+        f"rrf_top AS ({ranked('fused')})",
+        "wsum AS (SELECT id, round(sum(s), 6) AS score FROM (SELECT id, score * 1.0 AS s FROM dense_r "
+        "UNION ALL SELECT id, score * 1.0 AS s FROM sp_r) GROUP BY id)",
+        f"w_top AS ({ranked('wsum')})")
+
+
+def overlap_sql(left: str, right: str, label: str) -> str:
+    return (f"SELECT '{label}' AS pair, shared, only_left, only_right, "
+            f"round(CASE WHEN shared + only_left + only_right = 0 THEN 0.0 ELSE "
+            f"shared / (shared + only_left + only_right) END, 6) AS jaccard FROM ("
+            f"SELECT count(*) FILTER (WHERE l.id IS NOT NULL AND r.id IS NOT NULL) AS shared, "
+            f"count(*) FILTER (WHERE r.id IS NULL) AS only_left, "
+            f"count(*) FILTER (WHERE l.id IS NULL) AS only_right "
+            f"FROM (SELECT DISTINCT id FROM {left}) l FULL JOIN (SELECT DISTINCT id FROM {right}) r "
+            f"ON l.id = r.id)")
+
+
+ORACLE_SQL.update({
+    "scan_project": with_(CHUNKS) + "SELECT id, kbId, documentId FROM chunks",
+    "vec_inner_product": with_(CHUNKS, ANCHOR_CTE)
+    + f"SELECT c.id, {ip('c.embedding', 'a.embedding')} AS score FROM chunks c, anchor a",
+    "vec_l2": with_(CHUNKS, ANCHOR_CTE)
+    + f"SELECT c.id, {l2('c.embedding', 'a.embedding')} AS score FROM chunks c, anchor a",
+    "vec_cosine": with_(CHUNKS, ANCHOR_CTE)
+    + f"SELECT c.id, {cos('c.embedding', 'a.embedding')} AS score FROM chunks c, anchor a",
+    "vec_normalize": with_(
+        CHUNKS,
+        "n AS (SELECT id, embedding, sqrt(list_inner_product(embedding::DOUBLE[], "
+        "embedding::DOUBLE[])) AS nrm FROM chunks)",
+        "u AS (SELECT id, nrm, list_transform(embedding, lambda x: (x::DOUBLE / "
+        "(CASE WHEN nrm = 0 THEN 1.0 ELSE nrm END))::FLOAT) AS unit FROM n)")
+    + "SELECT id, round(nrm, 6) AS norm_in, "
+      "round(sqrt(list_inner_product(unit::DOUBLE[], unit::DOUBLE[])), 6) AS norm_out, "
+      "round(list_sum(unit::DOUBLE[]), 6) AS sum_out, len(unit)::BIGINT AS dim FROM u",
+    "sparse_inner_product": with_(
+        CHUNKS, POSTINGS, "qt AS (SELECT token, weight AS qweight FROM postings WHERE id = 7)",
+        "s AS (SELECT p.id, sum(p.weight * q.qweight) AS score FROM postings p "
+        "JOIN qt q USING (token) GROUP BY p.id)")
+    + "SELECT c.id, round(coalesce(s.score, 0.0), 6) AS score FROM chunks c LEFT JOIN s USING (id)",
+    "filtered_topk": dense_topk(KB_SITE),
+    "q1_single_eq": dense_topk(f"{EQ['kbId']} AND {EQ['study']}"),
+    "q2_multi_and": dense_topk(ALL5),
+    "q3_document_in": dense_topk(f"{EQ['kbId']} AND c.documentId IN (SELECT documentId FROM q3_ids)",
+                                 extra=(Q3_IDS,)),
+    "q7_kb_in": dense_topk("c.kbId IN ('kb_00', 'kb_05', 'kb_09')"),
+    "q7_no_filter": dense_topk(None),
+    "q7_one_kb": dense_topk("c.kbId = 'kb_00'"),
+    "q5_scalar_only": with_(CHUNKS, ANCHOR_CTE)
+    + f"SELECT c.id, c.kbId, c.documentId FROM chunks c, anchor a WHERE {ALL5} ORDER BY c.id LIMIT 100",
+    "output_fields": dense_topk(KB_SITE, out="documentId, kbId, study, site, patient, visit, content"),
+    "vec_l2_topk": dense_topk(KB_SITE, metric="L2"),
+    "vec_cosine_topk": dense_topk(KB_SITE, metric="COSINE"),
+    "batch_topk": with_(
+        CHUNKS,
+        "g AS (SELECT kbId, site, min(id) AS qid FROM chunks GROUP BY kbId, site)",
+        "q AS (SELECT g.qid, g.kbId, g.site, c.embedding AS qv FROM g JOIN chunks c ON c.id = g.qid)",
+        f"s AS (SELECT q.qid, c.id, {ip('c.embedding', 'q.qv')} AS score, {OUT_C} "
+        "FROM chunks c JOIN q ON c.kbId = q.kbId AND c.site = q.site)",
+        f"top AS ({ranked('s', part='qid')})")
+    + f"SELECT qid, rank, id, score, {OUT} FROM top",
+    "sparse_topk": with_(CHUNKS, ANCHOR_CTE, POSTINGS, *SPARSE_ARM, f"sp_r AS ({ranked('sp')})")
+    + "SELECT rank, id, score FROM sp_r",
+    "bm25_weights": with_(CHUNKS, POSTINGS)
+    + "SELECT id, token, tf, round(weight, 6) AS weight FROM postings",
+    "hybrid_weighted": with_(*ARMS) + "SELECT rank, id, score FROM w_top",
+    "hybrid_weighted_minmax": with_(
+        *ARMS,
+        "mm AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE "
+        "(score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS s FROM dense_r "
+        "UNION ALL SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE "
+        "(score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS s FROM sp_r)",
+        "mms AS (SELECT id, round(sum(s * 1.0), 6) AS score FROM mm GROUP BY id)",
+        f"mm_top AS ({ranked('mms')})")
+    + "SELECT rank, id, score FROM mm_top",
+    "recall_at_k": with_(*ARMS)
+    + "SELECT count(*) AS k, count(r.id) AS found, round(count(r.id) / count(*), 6) AS recall "
+      "FROM dense_r d LEFT JOIN rrf_top r USING (id)",
+    "ranker_overlap": with_(*ARMS)
+    + overlap_sql("dense_r", "rrf_top", "dense_vs_rrf") + " UNION ALL "
+    + overlap_sql("rrf_top", "w_top", "rrf_vs_weighted"),
+})
