@@ -19,42 +19,69 @@ TOKEN_SPLIT = "[^a-z0-9]+"
 MAX_BROADCAST_TERMS = 2_000_000
 
 
-def tokens_expr(text_col: str = "content"):
+def tokens_expr(text_col: str = "content"):  # noqa: D401
     """array<string> of the non-empty tokens of a text column."""
     return F.filter(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT), lambda t: t != "")
 
 
+# A token is "hot" when its document frequency exceeds total_postings /
+# MAX_HOT_TOKENS; since the frequencies sum to total_postings there are at most
+# MAX_HOT_TOKENS hot tokens, which bounds the broadcast below.
+MAX_HOT_TOKENS = 20_000
+
+
+def term_frequencies(docs: DataFrame, id_col: str = "id",
+                     text_col: str = "content") -> DataFrame:
+    """(id, token, tf, dl): one row per distinct token of each document."""
+    toks = docs.select(F.col(id_col).alias("id"), tokens_expr(text_col).alias("_toks"))
+    exploded = toks.select("id", F.size("_toks").alias("_dl"), F.explode("_toks").alias("token"))
+    return exploded.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"),
+                                              F.max("_dl").alias("dl"))
+
+
 def bm25_postings(docs: DataFrame, id_col: str = "id", text_col: str = "content",
-                  k1: float = BM25_K1, b: float = BM25_B, salt: int = 16) -> DataFrame:
+                  k1: float = BM25_K1, b: float = BM25_B,
+                  max_hot: int = MAX_HOT_TOKENS, persist_tf: bool = True) -> DataFrame:
     """(id, token, tf, weight) with Okapi BM25 term weights.
 
     weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)),
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). N and avgdl are two scalars of
-    one aggregate job. The df join is salted: a token found in every document
-    (the usual hot key) is spread over ``salt`` tasks instead of one.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Text is tokenised once: the (id, token, tf, dl) table is checkpointed and
+    N, avgdl and the posting count are read from it and from the id column.
+    Attaching df is a join on token, whose frequent tokens are skewed keys;
+    they are split off: hot tokens (provably at most ``max_hot``) are
+    broadcast, the remaining rows are shuffled by token with no key above the
+    hot threshold.
     """
-    toks = docs.select(F.col(id_col).alias("id"), tokens_expr(text_col).alias("_toks"))
-    toks = toks.withColumn("_dl", F.size("_toks"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.sum("_dl").alias("t")).first()
-    n_docs = int(stats["n"])
-    avgdl = (float(stats["t"] or 0) / n_docs) if n_docs else 0.0
-    exploded = toks.select("id", "_dl", F.explode("_toks").alias("token"))
-    tf = exploded.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"),
-                                            F.max("_dl").alias("dl"))
+    tf = term_frequencies(docs, id_col, text_col)
+    if persist_tf:
+        tf = persist_index(tf)
+    n_docs = docs.select(id_col).count()
+    st = tf.agg(F.count(F.lit(1)).alias("p"), F.sum("tf").alias("t")).first()
+    avgdl = (float(st["t"] or 0) / n_docs) if n_docs else 0.0
+    hot_df = max(1, -(-int(st["p"] or 0) // max_hot))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    if salt > 1:
-        tf = tf.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
-        df = df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                         F.lit(salt - 1).cast("long"))))
-        j = tf.join(df, ["token", "_salt"]).drop("_salt")
-    else:
-        j = tf.join(df, "token")
+    hot = df.filter(F.col("df") > hot_df)
+    cold = df.filter(F.col("df") <= hot_df)
+    j_hot = tf.join(F.broadcast(hot), "token")
+    j_cold = tf.join(F.broadcast(hot.select("token")), "token", "left_anti").join(cold, "token")
+    j = j_hot.unionByName(j_cold)
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
     return j.select("id", "token", F.col("tf").cast("long").alias("tf"), weight.alias("weight"))
 
 
+def persist_index(df: DataFrame) -> DataFrame:
+    """Materialise an index table once (reliable checkpoint in the shared
+    folder): later searches read it instead of re-deriving it, and its lineage
+    no longer reaches back to the raw text."""
+    from filtra.session import shared_dir
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def query_terms(postings: DataFrame, id_value: int, qid=None) -> DataFrame:
     """The posting row of one stored document as a query (token, qweight)."""
     q = postings.filter(F.col("id") == id_value).select("token", F.col("weight").alias("qweight"))

@@ -36,8 +36,12 @@ def _kb_site(a: dict):
     return (F.col("kbId") == a["kbId"]) & (F.col("site") == a["site"])
 
 
-def postings_of(corpus: DataFrame) -> DataFrame:
-    return bm25_postings(corpus.select("id", "content"))
+def postings_of(corpus: DataFrame, persist: bool = True) -> DataFrame:
+    post = bm25_postings(corpus.select("id", "content"))
+    if persist:
+        from filtra.operators.sparse import persist_index
+        post = persist_index(post)
+    return post
 
 
 @register("hybrid_rrf")
@@ -252,7 +256,8 @@ def sparse_topk(spark, sf_dir):
 @register("bm25_weights")
 def bm25_weights(spark, sf_dir):
     c = chunks_view(spark, sf_dir)
-    return postings_of(c).select("id", "token", "tf", F.round("weight", 6).alias("weight"))
+    return postings_of(c, persist=False).select("id", "token", "tf",
+                                                F.round("weight", 6).alias("weight"))
 
 
 def _arms(spark, sf_dir):
