@@ -1,8 +1,8 @@
 """Order-dependent numbering without a single-partition window.
 
 ``row_number() over (partition by p order by o)`` and running sums are
-computed as in a parallel prefix sum: rows are range-partitioned into
-balanced blocks, each block is numbered locally, and a small per-block
+computed as in a parallel prefix sum: rows are cut into balanced
+key-range blocks, each block is numbered locally, and a small per-block
 totals table supplies the offsets. No task ever holds more than one block,
 however skewed the partition key is.
 """
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position
+# Expected sample rows per block when choosing block boundaries.
+_SAMPLE_PER_BLOCK = 64
 
 
 def _blocks(df: DataFrame, blocks: int | None) -> int:
@@ -23,31 +24,66 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _boundaries(df: DataFrame, keys: list[str], n_blocks: int) -> list[tuple]:
+    """n_blocks - 1 split points of the key order, from a seeded sample of
+    about 64 rows per block (the only rows that reach the driver)."""
+    if n_blocks <= 1:
+        return []
+    total = df.count()
+    if total == 0:
+        return []
+    frac = min(1.0, n_blocks * _SAMPLE_PER_BLOCK / total)
+    sample = [tuple(r) for r in df.select(*keys).sample(False, frac, seed=17).collect()]
+    sample = [t for t in sample if all(v is not None for v in t)]
+    sample.sort()
+    if not sample:
+        return []
+    cuts = sorted({sample[(i * len(sample)) // n_blocks] for i in range(1, n_blocks)})
+    return cuts
+
+
+def block_of(keys: list[str], types: dict, cuts: list[tuple]) -> Column:
+    """Block number of a row: how many split points its key tuple exceeds.
+
+    A pure function of the row's own key, so every evaluation of a plan agrees
+    on it (unlike partition ids after a range shuffle, whose sampled bounds
+    can differ between evaluations).
+    """
+    if not cuts:
+        return F.lit(0).cast("long")
+    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    acc = None
+    for c in cuts:
+        lit = F.struct(*[F.lit(v).cast(types[k]).alias(f"k{i}") for i, (k, v) in
+                         enumerate(zip(keys, c))])
+        term = F.when(row > lit, 1).otherwise(0)
+        acc = term if acc is None else acc + term
+    return acc.cast("long")
+
+
 def row_index(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
               out: str, blocks: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number per ``partition_cols`` in ``order_cols`` order.
 
-    One range shuffle on (partition, order) columns; the position inside a
-    range block comes from ``monotonically_increasing_id`` after a local sort,
-    and block offsets from an aggregate whose size is bounded by the number of
-    blocks plus the number of keys.
+    Rows are cut into key-range blocks of similar size (a hot partition key
+    spans many blocks); each (key, block) is numbered by a window, and the
+    counts of earlier blocks -- a table of at most blocks + keys rows -- give
+    the offsets. Key columns must be non-null.
     """
     p = list(partition_cols)
     o = list(order_cols)
     keys = p + o
-    ranged = (df.repartitionByRange(_blocks(df, blocks), *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn("_blk", F.shiftright(F.col("_mid"), _POS_BITS))
-              .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    totals = ranged.groupBy(*p, "_blk").agg(F.count(F.lit(1)).alias("_n"),
-                                           F.min("_pos").alias("_p0"))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cuts = _boundaries(df, keys, _blocks(df, blocks))
+    tagged = df.withColumn("_blk", block_of(keys, types, cuts))
+    within = Window.partitionBy(*p, "_blk").orderBy(*o)
+    local = tagged.withColumn("_loc", F.row_number().over(within))
+    totals = tagged.groupBy(*p, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*p, "_blk", "_p0",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = ranged.join(offsets, on=[*p, "_blk"], how="inner")
-    return (joined.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("long"))
-            .drop("_mid", "_blk", "_pos", "_p0", "_off"))
+    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    joined = local.join(offsets, on=[*p, "_blk"], how="inner")
+    return (joined.withColumn(out, (F.col("_off") + F.col("_loc")).cast("long"))
+            .drop("_blk", "_loc", "_off"))
 
 
 def running_sum_by_index(df: DataFrame, partition_cols: Sequence[str], index_col: str,

@@ -307,3 +307,85 @@ def ranker_overlap_q(spark, sf_dir):
     wsum = weighted([(dense, 1.0), (sparse, 1.0)], k=TOP_K)
     return overlap(dense, fused, "dense_vs_rrf").unionByName(
         overlap(fused, wsum, "rrf_vs_weighted"))
+
+
+# ------------------------------------------------------------- G1-G12
+
+def _created(spark, sf_dir):
+    from filtra.operators.stats import running_created
+    from filtra.sources.tables import event_log_view
+    return running_created(event_log_view(spark, sf_dir))
+
+
+@register("latency_summary")
+def latency_summary_q(spark, sf_dir):
+    """G1: serial (concurrency 1) latency per query label; every label seen in
+    the log is listed, zeros where it has no serial samples."""
+    from filtra.operators.stats import latency_summary
+    from filtra.sources.tables import request_log_view
+    log = request_log_view(spark, sf_dir)
+    return latency_summary(log.filter(F.col("concurrency") == 1), ["query"],
+                           labels=log.select("query"))
+
+
+@register("throughput")
+def throughput_q(spark, sf_dir):
+    from filtra.operators.stats import throughput
+    from filtra.sources.tables import request_log_view
+    return throughput(request_log_view(spark, sf_dir), ["concurrency"])
+
+
+@register("phase_summary")
+def phase_summary_q(spark, sf_dir):
+    from filtra.operators.stats import phase_summary, phase_totals
+    from filtra.sources.tables import event_log_view
+    return phase_summary(phase_totals(event_log_view(spark, sf_dir)))
+
+
+@register("growth_rate")
+def growth_rate_q(spark, sf_dir):
+    from filtra.operators.stats import growth_rate
+    return growth_rate(_created(spark, sf_dir))
+
+
+@register("latency_trend")
+def latency_trend_q(spark, sf_dir):
+    from filtra.operators.stats import latency_trend
+    return latency_trend(_created(spark, sf_dir), step=1000)
+
+
+@register("plan_compare")
+def plan_compare_q(spark, sf_dir):
+    from filtra.operators.stats import plan_compare
+    from filtra.sources.tables import request_log_view
+    return plan_compare(request_log_view(spark, sf_dir))
+
+
+@register("dataset_profile")
+def dataset_profile_q(spark, sf_dir):
+    from filtra.operators.stats import dataset_profile
+    return dataset_profile(chunks_view(spark, sf_dir))
+
+
+@register("skew_profile")
+def skew_profile_q(spark, sf_dir):
+    from filtra.operators.stats import skew_profile
+    return skew_profile(chunks_view(spark, sf_dir))
+
+
+@register("running_created")
+def running_created_q(spark, sf_dir):
+    return _created(spark, sf_dir).select("phase", "iteration", "event", "created_so_far")
+
+
+@register("systematic_sample")
+def systematic_sample_q(spark, sf_dir):
+    from filtra.operators.stats import systematic_sample
+    return systematic_sample(_created(spark, sf_dir)).select(
+        "phase", "iteration", "event", "created_so_far", "create_ms", "list_ms")
+
+
+@register("first_failure")
+def first_failure_q(spark, sf_dir):
+    from filtra.operators.stats import first_failure
+    return first_failure(_created(spark, sf_dir))

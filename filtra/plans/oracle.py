@@ -202,3 +202,117 @@ ORACLE_SQL.update({
     + overlap_sql("dense_r", "rrf_top", "dense_vs_rrf") + " UNION ALL "
     + overlap_sql("rrf_top", "w_top", "rrf_vs_weighted"),
 })
+
+
+# ------------------------------------------------------------- logs
+
+REQUEST_LOG = """request_log AS (
+  SELECT event_id AS request_id, ts, event_type AS query,
+         CASE WHEN user_id % 2 = 0 THEN 'plain' ELSE 'partitioned' END AS plan,
+         CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 16 ELSE 32 END AS concurrency,
+         value AS latency_ms
+  FROM events)"""
+
+EVENT_LOG = """event_log AS (
+  SELECT phase,
+         row_number() OVER (PARTITION BY phase ORDER BY ts, event_id) AS iteration,
+         CASE WHEN event_type = 'error' THEN 'create_failed' ELSE 'sample' END AS event,
+         value AS create_ms,
+         json_extract_string(props, '$.k')::DOUBLE AS list_ms,
+         CASE WHEN event_type = 'error' THEN 'code=' || user_id::VARCHAR ELSE '' END AS error,
+         (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY phase))) / 1e6 AS elapsed_s,
+         ts, event_id
+  FROM (SELECT *, (1 + floor((day(ts) - 1) / 8))::INTEGER AS phase FROM events))"""
+
+PHASE_TOTALS = ("phase_totals AS (SELECT phase, count(*) FILTER (WHERE event <> 'create_failed') AS n, "
+                "max(elapsed_s) AS wall_s FROM event_log GROUP BY phase)")
+
+CREATED = (EVENT_LOG, PHASE_TOTALS,
+           "starts AS (SELECT phase, coalesce(sum(n) OVER (ORDER BY phase ROWS BETWEEN UNBOUNDED "
+           "PRECEDING AND 1 PRECEDING), 0) AS start FROM phase_totals)",
+           "created AS (SELECT e.*, s.start + sum(CASE WHEN event <> 'create_failed' THEN 1 ELSE 0 END) "
+           "OVER (PARTITION BY e.phase ORDER BY iteration ROWS UNBOUNDED PRECEDING) AS created_so_far "
+           "FROM event_log e JOIN starts s USING (phase))")
+
+
+def q(col: str, p: float) -> str:
+    return f"quantile_cont({col}, {p})"
+
+
+ORACLE_SQL.update({
+    "latency_summary": with_(
+        REQUEST_LOG,
+        "labels AS (SELECT DISTINCT query FROM request_log)",
+        f"st AS (SELECT query, count(latency_ms) AS n, {q('latency_ms', 0.5)} AS p50_ms, "
+        f"{q('latency_ms', 0.95)} AS p95_ms, {q('latency_ms', 0.99)} AS p99_ms, "
+        "avg(latency_ms) AS mean_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms "
+        "FROM request_log WHERE concurrency = 1 GROUP BY query)")
+    + "SELECT l.query, coalesce(n, 0)::BIGINT AS n, "
+    + ", ".join(f"round(coalesce({c}, 0.0), 6) AS {c}" for c in
+                ("p50_ms", "p95_ms", "p99_ms", "mean_ms", "min_ms", "max_ms"))
+    + " FROM labels l LEFT JOIN st USING (query)",
+    "throughput": with_(REQUEST_LOG)
+    + "SELECT concurrency, count(*) AS requests, "
+      "round(greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1.0), 6) AS window_s, "
+      "round(count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 1.0), 2) AS qps "
+      "FROM request_log GROUP BY concurrency",
+    "phase_summary": with_(
+        EVENT_LOG, PHASE_TOTALS,
+        "per AS (SELECT phase, coalesce(sum(n) OVER (ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND 1 PRECEDING), 0) AS start, n, wall_s FROM phase_totals)",
+        "r AS (SELECT phase, min(start) AS start, sum(n) AS n, sum(wall_s) AS wall_s FROM per "
+        "GROUP BY ROLLUP (phase))")
+    + "SELECT phase, start::BIGINT AS start, n::BIGINT AS n, round(wall_s, 1) AS wall_s, "
+      "round(CASE WHEN wall_s > 0 THEN n / wall_s END, 1) AS rate FROM r",
+    "growth_rate": with_(*CREATED)
+    + "SELECT phase, round(regr_slope(create_ms, created_so_far), 6) AS create_ms_per_item, "
+      "round(regr_slope(list_ms, created_so_far), 6) AS list_ms_per_item, "
+      "max(created_so_far)::BIGINT AS created, round(max(created_so_far) / 65536.0, 6) AS share_of_limit "
+      "FROM created WHERE event <> 'create_failed' GROUP BY phase",
+    "latency_trend": with_(
+        *CREATED,
+        "b AS (SELECT (floor(created_so_far / 1000) * 1000)::BIGINT AS bucket, create_ms, list_ms "
+        "FROM created WHERE event <> 'create_failed')",
+        f"p AS (SELECT bucket, {q('create_ms', 0.5)} AS create_p50, {q('create_ms', 0.99)} AS create_p99, "
+        f"{q('list_ms', 0.5)} AS list_p50, {q('list_ms', 0.99)} AS list_p99 FROM b GROUP BY bucket)")
+    + "SELECT bucket, round(create_p50, 6) AS create_p50, round(create_p99, 6) AS create_p99, "
+      "round(list_p50, 6) AS list_p50, round(list_p99, 6) AS list_p99, "
+      "round(create_p50 / first_value(create_p50) OVER (ORDER BY bucket), 6) AS create_p50_ratio, "
+      "round(list_p50 / first_value(list_p50) OVER (ORDER BY bucket), 6) AS list_p50_ratio FROM p",
+    "plan_compare": with_(
+        REQUEST_LOG,
+        f"p AS (SELECT query, plan, {q('latency_ms', 0.5)} AS p50, {q('latency_ms', 0.95)} AS p95, "
+        f"{q('latency_ms', 0.99)} AS p99 FROM request_log GROUP BY query, plan)")
+    + "SELECT query, "
+    + ", ".join(f"round(max({m}) FILTER (WHERE plan = '{pl}'), 6) AS {pl}_{m}"
+                for pl in ("plain", "partitioned") for m in ("p50", "p95", "p99"))
+    + ", round(max(p50) FILTER (WHERE plan = 'plain') / max(p50) FILTER (WHERE plan = 'partitioned'), 6) "
+      "AS speedup_p50 FROM p GROUP BY query",
+    "dataset_profile": with_(CHUNKS)
+    + "SELECT count(*) AS rows, count(DISTINCT documentId) AS documents, "
+    + ", ".join(f"string_agg(DISTINCT {f}, ',' ORDER BY {f}) AS {f}_values"
+                for f in ("kbId", "study", "site", "patient", "visit"))
+    + ", " + ", ".join(f"count(DISTINCT {f}) AS {f}_n" for f in ("kbId", "study", "site", "patient", "visit"))
+    + " FROM chunks",
+    "skew_profile": with_(
+        CHUNKS,
+        "c AS (SELECT kbId, count(*) AS rows FROM chunks GROUP BY kbId)",
+        "r AS (SELECT kbId, rows, row_number() OVER (ORDER BY rows DESC, kbId) AS rank, "
+        "sum(rows) OVER () AS tot, count(*) OVER () AS k FROM c)",
+        "w AS (SELECT *, 1.0 / pow(rank::DOUBLE, 1.0) AS wt FROM r)",
+        "h AS (SELECT *, sum(wt) OVER () AS hs FROM w)")
+    + "SELECT kbId, rows, round(rows / tot, 6) AS share, rank, round(wt / hs, 6) AS expected_share, "
+      "CASE WHEN rank = 1 THEN 'hot' WHEN rank = k THEN 'cold' WHEN rank = floor(k / 2) + 1 "
+      "THEN 'middle' ELSE 'other' END AS tier FROM h",
+    "running_created": with_(*CREATED)
+    + "SELECT phase, iteration, event, created_so_far::BIGINT AS created_so_far FROM created",
+    "systematic_sample": with_(*CREATED)
+    + "SELECT phase, iteration, event, created_so_far::BIGINT AS created_so_far, create_ms, list_ms "
+      "FROM created QUALIFY iteration % 50 = 0 OR iteration = max(iteration) OVER (PARTITION BY phase)",
+    "first_failure": with_(*CREATED)
+    + "SELECT p.phase, f.fail_iteration, f.error, f.created_before FROM "
+      "(SELECT DISTINCT phase FROM created) p LEFT JOIN "
+      "(SELECT phase, min(iteration) AS fail_iteration, arg_min(error, iteration) AS error, "
+      "arg_min(created_so_far, iteration)::BIGINT AS created_before FROM created "
+      "WHERE event = 'create_failed' GROUP BY phase) f USING (phase)",
+})
