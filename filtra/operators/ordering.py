@@ -109,3 +109,31 @@ def running_sum_by_index(df: DataFrame, partition_cols: Sequence[str], index_col
     if exclusive:
         total = total - F.col(value_col)
     return res.withColumn(out, total).drop("_blk", "_loc", "_off")
+
+
+def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
+                value_col: str, out: str, exclusive: bool = False,
+                blocks: int | None = None) -> DataFrame:
+    """Running ``sum(value)`` per partition in ``order_cols`` order (rows frame).
+
+    Same key-range blocking as :func:`row_index`: block sums give the offsets,
+    the window runs per (partition, block). ``exclusive`` leaves the current
+    row out (the sum of all earlier rows).
+    """
+    p = list(partition_cols)
+    o = list(order_cols)
+    keys = p + o
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    cuts = _boundaries(df, keys, _blocks(df, blocks))
+    tagged = df.withColumn("_blk", block_of(keys, types, cuts))
+    within = Window.partitionBy(*p, "_blk").orderBy(*o).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("_loc", F.sum(value_col).over(within))
+    totals = tagged.groupBy(*p, "_blk").agg(F.sum(value_col).alias("_t"))
+    before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    res = local.join(offsets, on=[*p, "_blk"], how="inner")
+    total = F.col("_off") + F.col("_loc")
+    if exclusive:
+        total = total - F.col(value_col)
+    return res.withColumn(out, total).drop("_blk", "_loc", "_off")

@@ -389,3 +389,86 @@ def systematic_sample_q(spark, sf_dir):
 def first_failure_q(spark, sf_dir):
     from filtra.operators.stats import first_failure
     return first_failure(_created(spark, sf_dir))
+
+
+# ------------------------------------------------------ generator (D*)
+
+def _gen(spark, sf_dir, vectors=False):
+    from filtra.sources.generator import generated_chunks
+    return generated_chunks(spark, sf_dir, with_vectors=vectors)
+
+
+@register("zipf_assign")
+def zipf_assign_q(spark, sf_dir):
+    """D3: Zipf(1.0) draws of the five attributes for every document."""
+    from filtra.config import PoolSpec
+    from filtra.sources.generator import zipf_assign
+    from filtra.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    return d.select("doc_id", *[zipf_assign("doc_id", f, card).alias(f)
+                                for f, card in PoolSpec().as_dict().items()])
+
+
+@register("chunk_expand")
+def chunk_expand_q(spark, sf_dir):
+    """Documents -> 20..500 chunks each, contiguous ids, shared attributes."""
+    return _gen(spark, sf_dir)
+
+
+@register("dense_vectors")
+def dense_vectors_q(spark, sf_dir):
+    """D5 (rows / invariants only): an 8-dim unit vector per document."""
+    from filtra.functions.vectors import l2_norm
+    from filtra.sources.generator import dense_vectors
+    from filtra.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    v = d.select("doc_id", dense_vectors("doc_id", 8).alias("embedding"))
+    return v.select("doc_id", "embedding", F.round(l2_norm("embedding"), 6).alias("norm"))
+
+
+@register("sparse_vectors")
+def sparse_vectors_q(spark, sf_dir):
+    """D7 (rows / invariants only): 64 distinct token ids of 30000 per document."""
+    from filtra.sources.generator import sparse_vectors
+    from filtra.sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    v = d.select("doc_id", sparse_vectors("doc_id").alias("sparse_embedding"))
+    return v.select("doc_id", "sparse_embedding", F.size("sparse_embedding").alias("nnz"))
+
+
+@register("query_set")
+def query_set_q(spark, sf_dir):
+    """D8 (rows only): query vectors from the second seed, one per stored vector."""
+    from filtra.sources.generator import query_set
+    from filtra.sources.tables import read_table
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id")
+    return query_set(e, "vec_id", dim=64)
+
+
+@register("content_template")
+def content_template_q(spark, sf_dir):
+    """The placeholder content on every chunk."""
+    from filtra.sources.generator import with_content
+    c = chunks_view(spark, sf_dir).select("id")
+    return with_content(c, 256)
+
+
+@register("chunks_per_document")
+def chunks_per_document_q(spark, sf_dir):
+    from filtra.operators.stats import chunks_per_document
+    return chunks_per_document(_gen(spark, sf_dir))
+
+
+@register("skew_profile_generated")
+def skew_profile_generated_q(spark, sf_dir):
+    """G8 on the Zipf-skewed generated corpus."""
+    from filtra.operators.stats import skew_profile
+    return skew_profile(_gen(spark, sf_dir))
+
+
+@register("chunk_hits_by_document")
+def chunk_hits_by_document_q(spark, sf_dir):
+    """Chunks matched per document for the Q3 IN list of 100 documents."""
+    from filtra.operators.quality import chunk_hits_by_document
+    ids = q3_id_list(spark, sf_dir)
+    return chunk_hits_by_document(_gen(spark, sf_dir), F.broadcast(ids))

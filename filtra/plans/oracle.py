@@ -316,3 +316,70 @@ ORACLE_SQL.update({
       "arg_min(created_so_far, iteration)::BIGINT AS created_before FROM created "
       "WHERE event = 'create_failed' GROUP BY phase) f USING (phase)",
 })
+
+
+# -------------------------------------------------------- generator
+
+FIELD_FMT = {"kbId": ("kb_", 2, 10, "kb:"), "study": ("S", 3, 30, "study:"),
+             "site": ("SITE_", 3, 30, "site:"), "patient": ("P", 5, 30, "patient:"),
+             "visit": ("V", 2, 30, "visit:")}
+
+
+def u_sql(salt: str, key: str) -> str:
+    return f"(('0x' || substr(md5('{salt}' || {key}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def zipf_pools() -> list[str]:
+    ctes = []
+    for f, (prefix, digits, card, _salt) in FIELD_FMT.items():
+        ctes.append(
+            f"z_{f} AS (SELECT pos, value, coalesce(lag(hi) OVER (ORDER BY pos), 0.0) AS lo, "
+            f"CASE WHEN pos = {card - 1} THEN 2.0 ELSE hi END AS hi FROM ("
+            f"SELECT pos, '{prefix}' || lpad(pos::VARCHAR, {digits}, '0') AS value, "
+            f"sum(w / tot) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi FROM ("
+            f"SELECT range AS pos, 1.0 / pow(range + 1, 1.0) AS w, "
+            f"sum(1.0 / pow(range + 1, 1.0)) OVER () AS tot FROM range({card}))))")
+    return ctes
+
+
+def zipf_select(key: str = "d.doc_id", src: str = "documents d") -> str:
+    cols = ", ".join(f"z_{f}.value AS {f}" for f in FIELD_FMT)
+    joins = " ".join(
+        f"JOIN z_{f} ON {u_sql(salt, key)} >= z_{f}.lo AND {u_sql(salt, key)} < z_{f}.hi"
+        for f, (_p, _d, _c, salt) in FIELD_FMT.items())
+    return f"SELECT d.doc_id, {cols} FROM {src} {joins}"
+
+
+GEN = (*zipf_pools(),
+       f"attrs AS ({zipf_select()})",
+       "gd AS (SELECT a.*, (20 + (('0x' || substr(md5('n:' || doc_id::VARCHAR), 1, 8))::BIGINT % 481))"
+       "::INTEGER AS n FROM attrs a)",
+       "go AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND "
+       "1 PRECEDING), 0) AS off FROM gd)",
+       "gen AS (SELECT (off + chunk_no - 1)::BIGINT AS id, 'doc_' || lpad((doc_id + 1)::VARCHAR, 8, '0') "
+       "AS documentId, n, chunk_no, kbId, study, site, patient, visit FROM ("
+       "SELECT *, unnest(generate_series(1, n))::INTEGER AS chunk_no FROM go))")
+
+ORACLE_SQL.update({
+    "zipf_assign": with_(*zipf_pools()) + zipf_select(),
+    "chunk_expand": with_(*GEN) + "SELECT * FROM gen",
+    "content_template": with_(CHUNKS)
+    + "SELECT id, rpad('', 256, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ') "
+      "AS content FROM chunks",
+    "chunks_per_document": with_(*GEN, "per AS (SELECT documentId, count(*) AS n FROM gen GROUP BY documentId)")
+    + "SELECT count(*) AS documents, sum(n)::BIGINT AS rows, min(n) AS min_chunks, max(n) AS max_chunks, "
+      "round(avg(n), 6) AS mean_chunks FROM per",
+    "skew_profile_generated": with_(
+        *GEN,
+        "c AS (SELECT kbId, count(*) AS rows FROM gen GROUP BY kbId)",
+        "r AS (SELECT kbId, rows, row_number() OVER (ORDER BY rows DESC, kbId) AS rank, "
+        "sum(rows) OVER () AS tot, count(*) OVER () AS k FROM c)",
+        "w AS (SELECT *, 1.0 / pow(rank::DOUBLE, 1.0) AS wt FROM r)",
+        "h AS (SELECT *, sum(wt) OVER () AS hs FROM w)")
+    + "SELECT kbId, rows, round(rows / tot, 6) AS share, rank, round(wt / hs, 6) AS expected_share, "
+      "CASE WHEN rank = 1 THEN 'hot' WHEN rank = k THEN 'cold' WHEN rank = floor(k / 2) + 1 "
+      "THEN 'middle' ELSE 'other' END AS tier FROM h",
+    "chunk_hits_by_document": with_(*GEN, Q3_IDS)
+    + "SELECT documentId, count(*) AS chunks FROM gen WHERE documentId IN (SELECT documentId FROM q3_ids) "
+      "GROUP BY documentId",
+})
