@@ -472,3 +472,96 @@ def chunk_hits_by_document_q(spark, sf_dir):
     from filtra.operators.quality import chunk_hits_by_document
     ids = q3_id_list(spark, sf_dir)
     return chunk_hits_by_document(_gen(spark, sf_dir), F.broadcast(ids))
+
+
+# ------------------------------------------- layouts and sinks
+
+def _layout(spark, sf_dir, by):
+    from filtra.session import scratch_path
+    from filtra.sources.sinks import read_corpus, write_corpus
+    path = scratch_path(spark, f"corpus-{by}")
+    write_corpus(chunks_view(spark, sf_dir), path, by=by)
+    return read_corpus(spark, path)
+
+
+@register("partitioned_layout")
+def partitioned_layout_q(spark, sf_dir):
+    """Write the corpus by kbId and by hash bucket; row counts per kbId read
+    back from each layout must agree with the source."""
+    a = _layout(spark, sf_dir, "kbId").groupBy("kbId").agg(F.count(F.lit(1)).alias("rows_by_kb"))
+    b = _layout(spark, sf_dir, "bucket").groupBy("kbId").agg(
+        F.count(F.lit(1)).alias("rows_by_bucket"))
+    return a.join(b, "kbId", "full")
+
+
+@register("partitioned_topk")
+def partitioned_topk_q(spark, sf_dir):
+    """R1 on the kbId-partitioned layout: only the anchor's kb directory is
+    read (PartitionFilters), same answer as on the plain table."""
+    from filtra.sources.sinks import key_filter
+    lay = _layout(spark, sf_dir, "kbId")
+    a = anchor_row(lay)
+    where = key_filter(a["kbId"]) & (F.col("site") == a["site"])
+    return search(lay, a["embedding"], where, k=TOP_K, fields=OUTPUT_FIELDS)
+
+
+@register("partitioned_topk_bucket")
+def partitioned_topk_bucket_q(spark, sf_dir):
+    """R9 on the hash-bucket layout; the derived bucket predicate prunes."""
+    from filtra.sources.sinks import key_filter
+    lay = _layout(spark, sf_dir, "bucket")
+    a = anchor_row(lay)
+    where = key_filter(a["kbId"], by="bucket") & (F.col("site") == a["site"])
+    return search(lay, a["embedding"], where, k=TOP_K, fields=OUTPUT_FIELDS)
+
+
+@register("schema_validate")
+def schema_validate_q(spark, sf_dir):
+    """Rejected chunks with their reasons (content over 2048 characters,
+    wrong vector length, nulls, duplicate ids)."""
+    from filtra.operators.validate import validate
+    good, bad = validate(chunks_view(spark, sf_dir), dim=64)
+    return bad.select("id", "reasons")
+
+
+@register("sink_manifest")
+def sink_manifest_q(spark, sf_dir):
+    """The dataset profile written as a JSON manifest and read back."""
+    from filtra.operators.stats import dataset_profile
+    from filtra.session import scratch_path
+    from filtra.sources.sinks import write_manifest
+    prof = dataset_profile(chunks_view(spark, sf_dir))
+    path = scratch_path(spark, "manifest")
+    write_manifest(prof, path)
+    return spark.read.schema(prof.schema).json(path)
+
+
+@register("sink_results_csv")
+def sink_results_csv_q(spark, sf_dir):
+    """Latency summary rows appended to a CSV result file and read back."""
+    from filtra.session import scratch_path
+    from filtra.sources.sinks import append_results, read_results
+    rows = QUERIES["latency_summary"](spark, sf_dir)
+    path = scratch_path(spark, "results-csv")
+    append_results(rows, path)
+    return read_results(spark, path, rows.schema.simpleString()[len("struct<"):-1]
+                        .replace(":", " "))
+
+
+@register("sink_modes")
+def sink_modes_q(spark, sf_dir):
+    """A second write to the same target is refused; with replacement it
+    succeeds. Returns the table as read back after the replacing write."""
+    from pyspark.errors import AnalysisException
+    from filtra.session import scratch_path
+    from filtra.sources.sinks import write_table
+    src = chunks_view(spark, sf_dir).select("id", "kbId")
+    path = scratch_path(spark, "modes")
+    write_table(src, path)
+    try:
+        write_table(src, path)
+        raise AssertionError("write over an existing target was not refused")
+    except AnalysisException:
+        pass
+    write_table(src, path, replace=True)
+    return spark.read.parquet(path)

@@ -383,3 +383,28 @@ ORACLE_SQL.update({
     + "SELECT documentId, count(*) AS chunks FROM gen WHERE documentId IN (SELECT documentId FROM q3_ids) "
       "GROUP BY documentId",
 })
+
+VALIDATE_CHECKS = (
+    [("id IS NULL", "id_null"), ("kbId IS NULL", "kbId_null"),
+     ("documentId IS NULL", "documentId_null"), ("embedding IS NULL", "embedding_null")]
+    + [(f"length({c}) > {n}", f"{c}_too_long") for c, n in
+       (("kbId", 16), ("documentId", 64), ("content", 2048), ("study", 32), ("site", 32),
+        ("patient", 64), ("visit", 32))]
+    + [("len(embedding) <> 64", "embedding_dim"),
+       ("id IN (SELECT id FROM chunks GROUP BY id HAVING count(*) > 1)", "duplicate_id")])
+
+ORACLE_SQL.update({
+    "partitioned_layout": with_(CHUNKS)
+    + "SELECT kbId, count(*) AS rows_by_kb, count(*) AS rows_by_bucket FROM chunks GROUP BY kbId",
+    "partitioned_topk": ORACLE_SQL["filtered_topk"],
+    "partitioned_topk_bucket": ORACLE_SQL["filtered_topk"],
+    "schema_validate": with_(
+        CHUNKS,
+        "r AS (SELECT id, concat_ws(';', "
+        + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for cond, name in VALIDATE_CHECKS)
+        + ") AS reasons FROM chunks)")
+    + "SELECT id, reasons FROM r WHERE reasons <> ''",
+    "sink_manifest": ORACLE_SQL["dataset_profile"],
+    "sink_results_csv": ORACLE_SQL["latency_summary"],
+    "sink_modes": with_(CHUNKS) + "SELECT id, kbId FROM chunks",
+})
