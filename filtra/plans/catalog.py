@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filtra.config import OUTPUT_FIELDS, TOP_K
@@ -565,3 +565,93 @@ def sink_modes_q(spark, sf_dir):
         pass
     write_table(src, path, replace=True)
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------- F7-F11: predicates as data
+
+N_PREDICATES = 20
+
+
+def _drawn_predicates(c):
+    """20 predicates from stored rows: kbId and site fixed, other fields open."""
+    from filtra.operators.predicates import draw_rows
+    p = draw_rows(c, N_PREDICATES)
+    return p.select("qid", "kbId", F.lit(None).cast("string").alias("study"), "site",
+                    F.lit(None).cast("string").alias("patient"),
+                    F.lit(None).cast("string").alias("visit"))
+
+
+@register("predicate_draw")
+def predicate_draw_q(spark, sf_dir):
+    """F8: 20 predicate rows drawn (seeded, md5 order) from stored chunks."""
+    from filtra.operators.predicates import draw_rows
+    return draw_rows(chunks_view(spark, sf_dir), N_PREDICATES)
+
+
+@register("predicate_table")
+def predicate_table_q(spark, sf_dir):
+    """every chunk matching each of the 20 drawn predicates, one job."""
+    from filtra.operators.predicates import batch_filter
+    c = chunks_view(spark, sf_dir)
+    return batch_filter(c, _drawn_predicates(c))
+
+
+@register("hit_count")
+def hit_count_q(spark, sf_dir):
+    """hits and share per drawn predicate (zero-hit predicates kept)."""
+    from filtra.operators.predicates import hit_count
+    c = chunks_view(spark, sf_dir)
+    return hit_count(c, _drawn_predicates(c))
+
+
+@register("predicate_batch_topk")
+def predicate_batch_topk_q(spark, sf_dir):
+    """R2 with the drawn predicates: each predicate searched with the vector of
+    the row it was drawn from (wildcards handled inside the kernel)."""
+    from filtra.operators.predicates import draw_rows
+    from filtra.operators.search import search_batch
+    c = chunks_view(spark, sf_dir)
+    p = draw_rows(c, N_PREDICATES)
+    q = p.join(c.select(F.col("id").alias("source_id"), F.col("embedding").alias("q_dense")),
+               "source_id").select("qid", "q_dense", "kbId", "site")
+    return search_batch(c, q, k=TOP_K)
+
+
+@register("q7_hot_mid_cold")
+def q7_hot_mid_cold_q(spark, sf_dir):
+    """KBs ranked by measured rows; for the hot, middle and cold one, the
+    Q2-style five-field predicate of that KB's lowest-id chunk, searched with
+    the anchor vector."""
+    from filtra.operators.predicates import kb_tiers
+    from filtra.operators.search import search_batch
+    c, a = _anchor(spark, sf_dir)
+    tiers = kb_tiers(c)
+    reps = c.groupBy("kbId").agg(F.min("id").alias("rep_id"))
+    preds = tiers.join(reps, "kbId").join(
+        c.select(F.col("id").alias("rep_id"), "study", "site", "patient", "visit"), "rep_id")
+    q = preds.select(F.col("pos").cast("long").alias("qid"), "tier", "kbId", "study", "site",
+                     "patient", "visit").withColumn("q_dense", vector_col(a["embedding"]))
+    res = search_batch(c, q, k=TOP_K)
+    return res.join(F.broadcast(q.select("qid", "tier")), "qid")  # three rows
+
+
+def vector_col(v):
+    from filtra.functions.vectors import vector_literal
+    return vector_literal(v).cast("array<float>")
+
+
+@register("q4_hit_rate_scan")
+def q4_hit_rate_scan_q(spark, sf_dir):
+    """for target hit rates 0.01/0.1/1/10/30 %, the kb-anchored predicate
+    with the nearest measured rate, then top-10 under it (anchor vector)."""
+    from filtra.config import HIT_RATE_TARGETS_PCT
+    from filtra.operators.predicates import hit_rate_candidates, nearest_to_targets
+    from filtra.operators.search import search_batch
+    c, a = _anchor(spark, sf_dir)
+    best = nearest_to_targets(hit_rate_candidates(c), HIT_RATE_TARGETS_PCT)
+    w = F.row_number().over(Window.orderBy("target_pct"))  # five rows
+    q = best.withColumn("qid", w.cast("long")).withColumn("q_dense", vector_col(a["embedding"]))
+    res = search_batch(c, q.select("qid", "q_dense", "kbId", "study", "site", "patient", "visit"),
+                       k=TOP_K, fields=())
+    meta = q.select("qid", "target_pct", F.round("rate_pct", 6).alias("rate_pct"), "hits")
+    return res.join(F.broadcast(meta), "qid").drop("qid")

@@ -408,3 +408,64 @@ ORACLE_SQL.update({
     "sink_results_csv": ORACLE_SQL["latency_summary"],
     "sink_modes": with_(CHUNKS) + "SELECT id, kbId FROM chunks",
 })
+
+
+# ---------------------------------------------------- predicates as data
+
+DRAWN = ("drawn AS (SELECT row_number() OVER (ORDER BY md5('44:' || id::VARCHAR), id) AS qid, "
+         "id AS source_id, kbId, study, site, patient, visit FROM chunks "
+         "ORDER BY md5('44:' || id::VARCHAR), id LIMIT 20)")
+
+TIERS = ("kc AS (SELECT kbId, count(*) AS rows FROM chunks GROUP BY kbId)",
+         "kr AS (SELECT kbId, rows, row_number() OVER (ORDER BY rows DESC, kbId) - 1 AS pos, "
+         "count(*) OVER () AS n FROM kc)",
+         "tiers AS (SELECT kbId, pos, CASE WHEN pos = 0 THEN 'hot' WHEN pos = floor(n / 2) THEN 'middle' "
+         "WHEN pos = n - 1 THEN 'cold' END AS tier FROM kr WHERE pos = 0 OR pos = floor(n / 2) OR pos = n - 1)",
+         "reps AS (SELECT kbId, min(id) AS rep_id FROM chunks GROUP BY kbId)",
+         "tp AS (SELECT t.pos AS qid, t.tier, c.kbId, c.study, c.site, c.patient, c.visit FROM tiers t "
+         "JOIN reps r USING (kbId) JOIN chunks c ON c.id = r.rep_id)")
+
+GSETS = ("tot AS (SELECT count(*)::DOUBLE AS n FROM chunks)",
+         "cand AS (SELECT kbId, study, site, patient, visit, count(*) AS hits, "
+         "1 + (study IS NOT NULL)::INT + (site IS NOT NULL)::INT + (patient IS NOT NULL)::INT "
+         "+ (visit IS NOT NULL)::INT AS n_fields FROM chunks GROUP BY GROUPING SETS ((kbId), "
+         "(kbId, study), (kbId, site), (kbId, patient), (kbId, visit), "
+         "(kbId, study, site, patient, visit)))",
+         "rates AS (SELECT cand.*, hits * 100.0::DOUBLE / tot.n AS rate_pct FROM cand, tot)",
+         "targets AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 30.0]::DOUBLE[]) AS target_pct)",
+         "best AS (SELECT * FROM rates, targets QUALIFY row_number() OVER (PARTITION BY target_pct "
+         "ORDER BY abs(rate_pct - target_pct), n_fields, kbId NULLS FIRST, study NULLS FIRST, "
+         "site NULLS FIRST, patient NULLS FIRST, visit NULLS FIRST) = 1)",
+         "bq AS (SELECT row_number() OVER (ORDER BY target_pct) AS qid, * FROM best)")
+
+NULL_EQ = " AND ".join(f"(p.{f} IS NULL OR c.{f} = p.{f})" for f in ("study", "site", "patient", "visit"))
+
+ORACLE_SQL.update({
+    "predicate_draw": with_(CHUNKS) + DRAWN[len("drawn AS ("):-1],
+    "predicate_table": with_(CHUNKS, DRAWN)
+    + "SELECT p.qid, c.id FROM chunks c JOIN drawn p ON c.kbId = p.kbId AND c.site = p.site",
+    "hit_count": with_(CHUNKS, DRAWN)
+    + "SELECT p.qid, count(c.id) AS hits, round(count(c.id) / (SELECT count(*) FROM chunks)::DOUBLE, 6) "
+      "AS share FROM drawn p LEFT JOIN chunks c ON c.kbId = p.kbId AND c.site = p.site GROUP BY p.qid",
+    "predicate_batch_topk": with_(
+        CHUNKS, DRAWN,
+        "q AS (SELECT p.qid, p.kbId, p.site, c.embedding AS qv FROM drawn p JOIN chunks c "
+        "ON c.id = p.source_id)",
+        f"s AS (SELECT q.qid, c.id, {ip('c.embedding', 'q.qv')} AS score, {OUT_C} "
+        "FROM chunks c JOIN q ON c.kbId = q.kbId AND c.site = q.site)",
+        f"top AS ({ranked('s', part='qid')})")
+    + f"SELECT qid, rank, id, score, {OUT} FROM top",
+    "q7_hot_mid_cold": with_(
+        CHUNKS, ANCHOR_CTE, *TIERS,
+        f"s AS (SELECT p.qid, p.tier, c.id, {ip('c.embedding', 'a.embedding')} AS score, {OUT_C} "
+        f"FROM chunks c JOIN tp p ON c.kbId = p.kbId AND {NULL_EQ} CROSS JOIN anchor a)",
+        f"top AS ({ranked('s', part='qid')})")
+    + f"SELECT qid, rank, id, score, {OUT}, tier FROM top",
+    "q4_hit_rate_scan": with_(
+        CHUNKS, ANCHOR_CTE, *GSETS,
+        f"s AS (SELECT p.qid, p.target_pct, round(p.rate_pct, 6) AS rate_pct, p.hits, c.id, "
+        f"{ip('c.embedding', 'a.embedding')} AS score FROM chunks c JOIN bq p ON c.kbId = p.kbId "
+        f"AND {NULL_EQ} CROSS JOIN anchor a)",
+        f"top AS ({ranked('s', part='qid')})")
+    + "SELECT rank, id, score, target_pct, rate_pct, hits FROM top",
+})
