@@ -655,3 +655,100 @@ def q4_hit_rate_scan_q(spark, sf_dir):
                        k=TOP_K, fields=())
     meta = q.select("qid", "target_pct", F.round("rate_pct", 6).alias("rate_pct"), "hits")
     return res.join(F.broadcast(meta), "qid").drop("qid")
+
+
+# ------------------------------------------------------------- R3, R4
+
+IVF_NLIST_FIXTURE = 16
+
+
+def _ivf(spark, sf_dir):
+    from filtra.operators.ivf import ivf_build
+    c = chunks_view(spark, sf_dir)
+    index, cents = ivf_build(c, IVF_NLIST_FIXTURE)
+    return c, index, cents
+
+
+@register("ivf_build")
+def ivf_build_q(spark, sf_dir):
+    """R3 (rows / invariants): every chunk with its IVF cell (16 cells)."""
+    _, index, _ = _ivf(spark, sf_dir)
+    return index.select("id", "cell")
+
+
+@register("ivf_search")
+def ivf_search_q(spark, sf_dir):
+    """R4 with nprobe = nlist: must equal the exact batch search (batch_topk)."""
+    from filtra.operators.ivf import ivf_search
+    c, index, cents = _ivf(spark, sf_dir)
+    return ivf_search(index, cents, group_queries(c), nprobe=IVF_NLIST_FIXTURE, k=TOP_K)
+
+
+@register("ivf_search_nprobe4")
+def ivf_search_nprobe4_q(spark, sf_dir):
+    """R4 approximate (4 of 16 cells probed); rows only -- recall is checked
+    against exact search in the tests."""
+    from filtra.operators.ivf import ivf_search
+    c, index, cents = _ivf(spark, sf_dir)
+    return ivf_search(index, cents, group_queries(c), nprobe=4, k=TOP_K)
+
+
+# ------------------------------------------------------------- T1-T3
+
+def _land(df: DataFrame, name: str, slices: Sequence | None = None, slice_col: str | None = None):
+    """Stage rows derived from the driver tables as files of a landing folder
+    (one write per slice, in order, so file times follow the slice order)."""
+    from filtra.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    if slices is None:
+        df.write.parquet(path)
+    else:
+        for s in slices:
+            df.filter(F.col(slice_col) == s).drop(slice_col).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_ingest")
+def stream_ingest_q(spark, sf_dir):
+    """Chunk files ingested two per trigger with row-level validation; a
+    second run on the same checkpoint (resume) adds nothing."""
+    from filtra.session import scratch_path
+    from filtra.streaming.ingest import stream_ingest
+    c = chunks_view(spark, sf_dir)
+    src = _land(c.repartition(8, "id"), "landing-chunks")
+    sink, ck = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-ck")
+    stream_ingest(spark, src, sink, ck, c.schema, dim=64)
+    stream_ingest(spark, src, sink, ck, c.schema, dim=64)  # resume: no new files
+    return spark.read.parquet(sink).select("id", "kbId", "documentId")
+
+
+@register("stream_latency_qps")
+def stream_latency_qps_q(spark, sf_dir):
+    """The request log arriving in four time-ordered slices; per day and
+    query label: requests, QPS and p50/p99 latency, closed windows only."""
+    from filtra.session import scratch_path
+    from filtra.sources.tables import request_log_view
+    from filtra.streaming.monitor import latency_windows
+    log = request_log_view(spark, sf_dir)
+    sliced = log.withColumn("_s", F.floor((F.dayofmonth("ts") - 1) / 8))
+    src = _land(sliced, "landing-requests", slices=[0, 1, 2, 3], slice_col="_s")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(src)
+    out, ck = scratch_path(spark, "latency-windows"), scratch_path(spark, "latency-ck")
+    q = (latency_windows(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_search")
+def stream_search_q(spark, sf_dir):
+    """The (kbId, site) group queries arriving as a stream, one file per
+    trigger; answers equal the batch search."""
+    from filtra.session import scratch_path
+    from filtra.streaming.search import stream_search
+    c = chunks_view(spark, sf_dir)
+    qs = group_queries(c)
+    src = _land(qs.repartition(4, "qid"), "landing-queries")
+    sink, ck = scratch_path(spark, "answers"), scratch_path(spark, "answers-ck")
+    stream_search(spark, c, src, qs.schema, sink, ck, k=TOP_K)
+    return spark.read.parquet(sink).drop("batch")
