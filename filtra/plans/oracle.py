@@ -481,8 +481,8 @@ ORACLE_SQL.update({
         "w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, query, latency_ms FROM request_log)",
         "agg AS (SELECT ws, query, count(*) AS requests, quantile_cont(latency_ms, 0.5) AS p50, "
         "quantile_cont(latency_ms, 0.99) AS p99 FROM w GROUP BY ws, query)")
-    + "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, "
-      "strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, query, requests, "
+    + "SELECT epoch(ws)::BIGINT AS window_start, "
+      "epoch(ws + INTERVAL 1 DAY)::BIGINT AS window_end, query, requests, "
       "round(requests / 86400.0, 6) AS qps, round(p50, 6) AS p50_ms, round(p99, 6) AS p99_ms FROM agg "
       "WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM request_log) - INTERVAL 1 HOUR",
     "stream_search": ORACLE_SQL["batch_topk"],

@@ -66,6 +66,13 @@ def anchor_row(corpus: DataFrame, fields=("kbId", "study", "site", "patient", "v
     return row.asDict()
 
 
+def ntz_as_utc(spark: SparkSession, col: str) -> Column:
+    """TIMESTAMP_NTZ wall-clock values read as UTC instants, whatever the
+    session time zone (``withWatermark`` needs TIMESTAMP, not NTZ)."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(col)).cast("timestamp")
+
+
 def request_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, ts, query, plan, concurrency, latency_ms."""
     ev = read_table(spark, sf_dir, "events")
@@ -73,7 +80,7 @@ def request_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("user_id") % 4 == 2, 16).otherwise(32))
     return ev.select(
         F.col("event_id").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        ntz_as_utc(spark, "ts").alias("ts"),
         F.col("event_type").alias("query"),
         F.when(F.col("user_id") % 2 == 0, "plain").otherwise("partitioned").alias("plan"),
         conc.cast("int").alias("concurrency"),
@@ -84,9 +91,9 @@ def request_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """phase, iteration, event, create_ms, list_ms, error, elapsed_s, ts."""
     ev = read_table(spark, sf_dir, "events")
-    ts = F.col("ts").cast("timestamp")
+    ts = ntz_as_utc(spark, "ts")
     base = ev.select(
-        (F.lit(1) + F.floor((F.dayofmonth(ts) - 1) / 8)).cast("int").alias("phase"),
+        (F.lit(1) + F.floor((F.dayofmonth(F.col("ts")) - 1) / 8)).cast("int").alias("phase"),
         ts.alias("ts"), "event_id",
         F.when(F.col("event_type") == "error", "create_failed").otherwise("sample").alias("event"),
         F.col("value").alias("create_ms"),

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 def latency_windows(requests: DataFrame, window: str = "1 day", delay: str = "1 hour",
                     window_seconds: float = 86400.0, keys=("query",)) -> DataFrame:
-    """Streaming (or batch) aggregate over (window, keys)."""
+    """Streaming (or batch) aggregate over (window, keys); windows as epoch seconds."""
     w = requests.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), *keys)
     agg = w.agg(F.count(F.lit(1)).alias("requests"),
                 F.percentile("latency_ms", 0.5).alias("p50_ms"),
                 F.percentile("latency_ms", 0.99).alias("p99_ms"))
     return agg.select(
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), *keys, "requests",
+        F.unix_seconds("w.start").alias("window_start"),
+        F.unix_seconds("w.end").alias("window_end"), *keys, "requests",
         F.round(F.col("requests") / F.lit(window_seconds), 6).alias("qps"),
         F.round("p50_ms", 6).alias("p50_ms"), F.round("p99_ms", 6).alias("p99_ms"))
