@@ -39,10 +39,17 @@ def ivf_build(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
     dim = int(dim_row["d"] or 0)
     if nlist * dim * 8 > MAX_CENTROID_BYTES:
         raise ValueError(f"{nlist} centroids x {dim} dims exceed the centroid budget")
+    from pyspark import StorageLevel
     feats = corpus.select(array_to_vector(F.col(vec_col)).alias("_f"))
     train = feats if not sample_fraction else feats.sample(False, sample_fraction, seed)
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_f",
-                   predictionCol="cell").fit(train)
+    # k-means reads its input once per iteration: keep the vectors materialised
+    # (memory, spilling to disk) for the fit instead of re-deriving them.
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_f",
+                       predictionCol="cell").fit(train)
+    finally:
+        train.unpersist()
     index = model.transform(corpus.withColumn("_f", array_to_vector(F.col(vec_col)))) \
         .drop("_f").withColumn("cell", F.col("cell").cast("int"))
     spark = corpus.sparkSession

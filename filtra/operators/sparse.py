@@ -34,7 +34,11 @@ def term_frequencies(docs: DataFrame, id_col: str = "id",
                      text_col: str = "content") -> DataFrame:
     """(id, token, tf, dl): one row per distinct token of each document."""
     toks = docs.select(F.col(id_col).alias("id"), tokens_expr(text_col).alias("_toks"))
-    exploded = toks.select("id", F.size("_toks").alias("_dl"), F.explode("_toks").alias("token"))
+    # explode_outer: a plain explode makes Catalyst infer size(tokens) > 0 and
+    # push it below joins, which would tokenise every text twice (and texts
+    # the join drops). Documents without tokens give one null row, dropped.
+    exploded = toks.select("id", F.size("_toks").alias("_dl"),
+                           F.explode_outer("_toks").alias("token")).filter(F.col("token").isNotNull())
     return exploded.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"),
                                               F.max("_dl").alias("dl"))
 
