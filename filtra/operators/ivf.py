@@ -98,3 +98,32 @@ def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, nprob
     best = topk(scored, k, keys=["qid"], higher=higher_is_nearer(metric))
     out = attach_fields(best, index, list(fields), max_hits=nq * k)
     return out.select("qid", "rank", "id", "score", *fields)
+
+
+def ivf_search_widening(index: DataFrame, centroids: DataFrame, queries: DataFrame,
+                        nprobe: int, k: int = 10, metric: str = "IP",
+                        fields: Sequence[str] = OUTPUT_FIELDS,
+                        pred_fields: Sequence[str] | None = None,
+                        qvec_col: str = "q_dense") -> DataFrame:
+    """R4 for selective filters: a query left with fewer than k hits is searched
+    again with twice the probes, until it has k hits or every cell is probed.
+
+    At most log2(nlist / nprobe) rounds; each round touches only the short
+    queries and its result is checkpointed, so lineage does not grow.
+    """
+    from filtra.operators.sparse import persist_index
+    nlist = centroids.count()
+    p = max(1, min(int(nprobe), nlist))
+    res = persist_index(ivf_search(index, centroids, queries, p, k, metric, fields,
+                                   pred_fields, qvec_col))
+    while p < nlist:
+        counts = res.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
+        short = queries.join(counts, "qid", "left").filter(F.coalesce("_n", F.lit(0)) < k) \
+            .drop("_n")
+        if short.limit(1).count() == 0:
+            break
+        p = min(2 * p, nlist)
+        again = ivf_search(index, centroids, short, p, k, metric, fields, pred_fields, qvec_col)
+        kept = res.join(short.select("qid"), "qid", "left_anti")
+        res = persist_index(kept.unionByName(again))
+    return res

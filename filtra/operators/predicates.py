@@ -24,6 +24,25 @@ def draw_document_ids(spark: SparkSession, sf_dir: str, n: int,
             .orderBy("_u", "documentId").limit(int(n)).select("documentId"))
 
 
+def draw_pool_predicates(spark: SparkSession, n: int, seed: int = PREDICATE_SEED,
+                         pools=None, fields: Sequence[str] = SCALAR_FIELDS) -> DataFrame:
+    """F8, as the workload draws them: every field value uniform over its pool,
+    independently per predicate (qid = 1..n). Such predicates rarely match a
+    stored row -- use :func:`draw_rows` when hits are needed."""
+    from filtra.config import PoolSpec
+    from filtra.sources.generator import pool_values
+    pools = pools or PoolSpec()
+    cards = pools.as_dict()
+    base = spark.range(1, n + 1).withColumnRenamed("id", "qid")
+    cols = []
+    for f in fields:
+        vals = pool_values(f, cards[f])
+        u = md5_uniform(f"{seed}:{f}:", "qid")
+        idx = F.least(F.floor(u * len(vals)).cast("int"), F.lit(len(vals) - 1))
+        cols.append(F.element_at(F.array(*[F.lit(v) for v in vals]), idx + 1).alias(f))
+    return base.select("qid", *cols)
+
+
 def draw_rows(corpus: DataFrame, n: int, seed: int = PREDICATE_SEED,
               fields: Sequence[str] = SCALAR_FIELDS, key: str = "id") -> DataFrame:
     """F8: n stored rows in md5(seed:key) order, numbered qid = 1..n.
@@ -91,22 +110,21 @@ def kb_tiers(corpus: DataFrame, key: str = "kbId") -> DataFrame:
 def hit_rate_candidates(corpus: DataFrame, partition_key: str = "kbId",
                         fields: Sequence[str] = ("study", "site", "patient", "visit")) -> DataFrame:
     """hit rate of every predicate over GROUPING SETS that all contain the
-    partition key: (kb), (kb, f) for each field, (kb, all fields)."""
+    partition key: (kb), (kb, f) for each field, (kb, all fields).
+
+    One scan and one aggregate (Expand + partial aggregation); the only
+    driver value is the corpus row count.
+    """
     total = corpus.count()
-    sets = [[partition_key]] + [[partition_key, f] for f in fields] + \
-        [[partition_key, *fields]]
-    parts = []
-    for gs in sets:
-        g = corpus.groupBy(*gs).agg(F.count(F.lit(1)).alias("hits"))
-        for f in fields:
-            if f not in gs:
-                g = g.withColumn(f, F.lit(None).cast("string"))
-        parts.append(g.select(partition_key, *fields, "hits",
-                              F.lit(len(gs)).alias("n_fields")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.withColumn("rate_pct", F.col("hits") * F.lit(100.0) / F.lit(float(max(total, 1))))
+    fields = list(fields)
+    sets = [[partition_key]] + [[partition_key, f] for f in fields] + [[partition_key, *fields]]
+    g = corpus.groupingSets([[F.col(c) for c in s] for s in sets], partition_key, *fields).agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.grouping_id().alias("_gid"))
+    # grouping_id has one bit per column left out of the set
+    n_fields = F.lit(len(fields) + 1) - F.bit_count("_gid")
+    return g.select(partition_key, *fields, "hits", n_fields.cast("int").alias("n_fields"),
+                    (F.col("hits") * F.lit(100.0) / F.lit(float(max(total, 1)))).alias("rate_pct"))
 
 
 def nearest_to_targets(cands: DataFrame, targets: Sequence[float],

@@ -30,24 +30,45 @@ MAX_QUERY_BROADCAST_BYTES = 64 << 20
 MAX_LITERAL_IN = 1000
 
 
+# Above this dimension R1 scores with the block kernel: one matrix product per
+# Arrow batch beats a per-row zip_with/aggregate over thousands of elements.
+KERNEL_MIN_DIM = 256
+
+
 def search(corpus: DataFrame, query, where: Column | None = None, k: int = 10,
            metric: str = "IP", fields: Sequence[str] = OUTPUT_FIELDS,
            vec_col: str = "embedding", id_col: str = "id",
-           semi: tuple[DataFrame, str] | None = None) -> DataFrame:
+           semi: tuple[DataFrame, str] | None = None, method: str = "auto") -> DataFrame:
     """Filtered exact top-k for one query vector.
 
     ``query`` is a sequence of floats (bound as one foldable literal) or an
     array column. ``where`` is applied before scoring and reaches the scan;
     ``semi`` = (keys_df, column) restricts to keys in a DataFrame (long IN
-    lists). Result: rank, id, score, *fields.
+    lists). ``method``: "expr" (codegen'd expression, TakeOrderedAndProject),
+    "kernel" (Arrow block kernel), or "auto" (kernel above KERNEL_MIN_DIM
+    dimensions). Result: rank, id, score, *fields.
     """
-    q = query if isinstance(query, Column) else vector_literal(query)
+    if method not in ("auto", "expr", "kernel"):
+        raise ValueError("method must be auto, expr or kernel")
     df = corpus
     if where is not None:
         df = df.filter(where)
     if semi is not None:
         keys_df, key = semi
         df = df.join(keys_df.select(key).distinct(), key, "left_semi")
+    if isinstance(query, Column):
+        method = "expr" if method == "auto" else method
+    elif method == "auto":
+        method = "kernel" if len(query) > KERNEL_MIN_DIM else "expr"
+    if method == "kernel":
+        if isinstance(query, Column):
+            raise ValueError("the kernel needs the query vector as values")
+        spark = corpus.sparkSession
+        qs = spark.createDataFrame([(0, [float(x) for x in query])], "qid long, q_dense array<double>")
+        res = search_batch(df, qs, k=k, metric=metric, fields=fields, pred_fields=[],
+                           vec_col=vec_col, id_col=id_col)
+        return res.select("rank", "id", "score", *fields)
+    q = query if isinstance(query, Column) else vector_literal(query)
     scored = df.filter(F.size(vec_col) == F.size(q)).select(
         F.col(id_col).alias("id"), *fields, score_expr(metric, vec_col, q).alias("score"))
     top = topk(scored, k, higher=higher_is_nearer(metric))

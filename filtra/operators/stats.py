@@ -183,13 +183,17 @@ def plan_compare(log: DataFrame, plans: Sequence[str] = ("plain", "partitioned")
 
 
 def dataset_profile(corpus: DataFrame, fields: Sequence[str] = ("kbId", "study", "site",
-                                                                "patient", "visit")) -> DataFrame:
+                                                                "patient", "visit"),
+                    approx: bool = False) -> DataFrame:
     """Rows, distinct documents, sorted distinct values per scalar field.
 
-    Distinct values are de-duplicated by a shuffle first; the final lists are
-    as long as each field's cardinality (pool sizes).
+    The value lists are as long as each field's cardinality (pool sizes).
+    ``approx=True`` counts documents with a HyperLogLog sketch (fixed memory
+    per task) instead of an exact distinct.
     """
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct("documentId").alias("documents")]
+    docs = (F.approx_count_distinct("documentId", 0.01) if approx
+            else F.count_distinct("documentId"))
+    aggs = [F.count(F.lit(1)).alias("rows"), docs.alias("documents")]
     aggs += [F.array_join(F.sort_array(F.collect_set(f)), ",").alias(f"{f}_values") for f in fields]
     aggs += [F.count_distinct(f).alias(f"{f}_n") for f in fields]
     return corpus.agg(*aggs)
@@ -215,9 +219,17 @@ def skew_profile(corpus: DataFrame, key: str = "kbId", alpha: float = 1.0) -> Da
                     tier.alias("tier"))
 
 
+# Fixed value: mean chunks per document of U{20..500}, used to estimate the
+# document count when it is not known.
+MEAN_CHUNKS_PER_DOC = 260
+
+
 def chunks_per_document(chunks: DataFrame, doc_col: str = "documentId") -> DataFrame:
-    """Documents, rows, and min / max / mean chunks per document."""
+    """Documents, rows, min / max / mean chunks per document, and the
+    estimate rows div 260 used when the document count is unknown."""
     per = chunks.groupBy(doc_col).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("rows"),
-                   F.min("n").alias("min_chunks"), F.max("n").alias("max_chunks"),
-                   F.round(F.avg("n"), 6).alias("mean_chunks"))
+    out = per.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("rows"),
+                  F.min("n").alias("min_chunks"), F.max("n").alias("max_chunks"),
+                  F.round(F.avg("n"), 6).alias("mean_chunks"))
+    return out.withColumn("estimated_documents",
+                          F.floor(F.col("rows") / MEAN_CHUNKS_PER_DOC).cast("long"))

@@ -752,3 +752,12 @@ def stream_search_q(spark, sf_dir):
     sink, ck = scratch_path(spark, "answers"), scratch_path(spark, "answers-ck")
     stream_search(spark, c, src, qs.schema, sink, ck, k=TOP_K)
     return spark.read.parquet(sink).drop("batch")
+
+
+@register("ivf_search_widen")
+def ivf_search_widen_q(spark, sf_dir):
+    """R4 starting at 4 of 16 cells and widening until each filtered query has
+    k hits or all cells are probed (rows only; counts equal exact search)."""
+    from filtra.operators.ivf import ivf_search_widening
+    c, index, cents = _ivf(spark, sf_dir)
+    return ivf_search_widening(index, cents, group_queries(c), nprobe=4, k=TOP_K)

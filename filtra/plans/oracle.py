@@ -368,7 +368,7 @@ ORACLE_SQL.update({
       "AS content FROM chunks",
     "chunks_per_document": with_(*GEN, "per AS (SELECT documentId, count(*) AS n FROM gen GROUP BY documentId)")
     + "SELECT count(*) AS documents, sum(n)::BIGINT AS rows, min(n) AS min_chunks, max(n) AS max_chunks, "
-      "round(avg(n), 6) AS mean_chunks FROM per",
+      "round(avg(n), 6) AS mean_chunks, floor(sum(n) / 260)::BIGINT AS estimated_documents FROM per",
     "skew_profile_generated": with_(
         *GEN,
         "c AS (SELECT kbId, count(*) AS rows FROM gen GROUP BY kbId)",

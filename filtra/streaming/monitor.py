@@ -1,8 +1,9 @@
 """Requests, QPS and latency per tumbling event-time window and label.
 
-Late events beyond the watermark are dropped; in append mode a window is
-written once the watermark passes its end, so the last open window is not
-emitted until more data arrives.
+In append mode a window is written (and its state dropped) once the
+watermark -- max event time seen minus ``delay`` -- passes its end; events
+for a window already written are dropped as late. The last open window is not
+emitted until later data moves the watermark past it.
 """
 
 from __future__ import annotations

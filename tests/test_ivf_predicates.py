@@ -54,3 +54,23 @@ def test_validate_reasons(spark):
     reasons = {(r["id"], r["reasons"]) for r in bad.collect()}
     assert (1, "content_too_long") in reasons and (2, "embedding_dim") in reasons
     assert (3, "kbId_null;duplicate_id") in reasons and (3, "duplicate_id") in reasons
+
+
+def test_widening_reaches_k_or_all_matches(spark, chunks):
+    from filtra.operators.ivf import ivf_search_widening
+    index, cents = ivf_build(chunks, 8, max_iter=10)
+    qs = group_queries(chunks)
+    exact = search_batch(chunks, qs, k=10, fields=())
+    ex = {r["qid"]: r["n"] for r in exact.groupBy("qid").count().withColumnRenamed("count", "n").collect()}
+    got = ivf_search_widening(index, cents, qs, nprobe=1, k=10, fields=())
+    gn = {r["qid"]: r["n"] for r in got.groupBy("qid").count().withColumnRenamed("count", "n").collect()}
+    assert gn == ex
+
+
+def test_pool_predicates_are_uniform_pool_values(spark):
+    from filtra.operators.predicates import draw_pool_predicates
+    rows = draw_pool_predicates(spark, 300).collect()
+    assert [r["qid"] for r in rows] == list(range(1, 301))
+    kbs = {r["kbId"] for r in rows}
+    assert kbs == {f"kb_{i:02d}" for i in range(10)}
+    assert all(r["visit"].startswith("V") and len(r["patient"]) == 6 for r in rows)

@@ -111,3 +111,25 @@ def test_same_rows_under_any_shuffle_partitioning(spark, chunks, chunk_rows):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert res[0] == res[1] == res[2]
+
+
+@pytest.mark.parametrize("metric", ["IP", "L2", "COSINE"])
+def test_r1_kernel_method_equals_expression(chunks, chunk_rows, metric):
+    q = chunk_rows[9]["embedding"]
+    where = F.col("kbId") == chunk_rows[9]["kbId"]
+    a = search(chunks, q, where, k=8, metric=metric, method="expr").orderBy("rank").collect()
+    b = search(chunks, q, where, k=8, metric=metric, method="kernel").orderBy("rank").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_high_dimension_routes_to_kernel(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vecs = rng.standard_normal((300, 512)).astype(np.float32)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<float>")
+    q = vecs[17].tolist()
+    auto = search(c, q, None, k=5, fields=())
+    plan = auto._jdf.queryExecution().executedPlan().toString()
+    assert "PythonMapInArrow" in plan or "MapInArrow" in plan
+    exp = search(c, q, None, k=5, fields=(), method="expr")
+    assert [tuple(r) for r in auto.orderBy("rank").collect()] == [tuple(r) for r in exp.orderBy("rank").collect()]

@@ -21,7 +21,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     q, o = e.queries(), e.oracle_sql()
     rows_only = set(q) - set(o)
     assert rows_only == {"dense_vectors", "sparse_vectors", "query_set", "ivf_build",
-                         "ivf_search_nprobe4"}
+                         "ivf_search_nprobe4", "ivf_search_widen"}
 
 
 def test_no_cartesian_or_nested_loop_joins(spark):
@@ -84,3 +84,32 @@ def test_oracle_agrees_at_sf0001(spark, name):
     import oracle_compare
     res = oracle_compare.compare(spark, SF_SMALL, [name], verbose=False)
     assert res[name][0] == "OK", res
+
+
+def test_watermark_drops_late_events_and_keeps_open_window(spark):
+    from datetime import datetime
+    from filtra.session import scratch_path
+    from filtra.streaming.monitor import latency_windows
+    schema = "ts timestamp, query string, latency_ms double"
+    src = scratch_path(spark, "t-late")
+    files = [
+        [(datetime(2024, 1, 1, 10), "q", 1.0), (datetime(2024, 1, 2, 12), "q", 3.0),
+         (datetime(2024, 1, 3, 12), "q", 5.0)],
+        [(datetime(2024, 1, 4, 12), "q", 7.0)],           # watermark passes Jan 3 11:00
+        [(datetime(2024, 1, 1, 11), "q", 100.0)],         # Jan 1 window already closed
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = scratch_path(spark, "t-late-out"), scratch_path(spark, "t-late-ck")
+    q = (latency_windows(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress
+                  for s in p["stateOperators"])
+    got = {r["window_start"]: (r["requests"], r["p50_ms"]) for r in spark.read.parquet(out).collect()}
+    day, jan1 = 86400, 1704067200
+    assert dropped == 1
+    assert got[jan1] == (1, 1.0)
+    assert got[jan1 + day] == (1, 3.0) and got[jan1 + 2 * day] == (1, 5.0)
+    assert jan1 + 3 * day not in got  # still open: the watermark is behind its end
