@@ -24,12 +24,14 @@ def _blocks(df: DataFrame, blocks: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _boundaries(df: DataFrame, keys: list[str], n_blocks: int) -> list[tuple]:
+def _boundaries(df: DataFrame, keys: list[str], n_blocks: int,
+                total: int | None = None) -> list[tuple]:
     """n_blocks - 1 split points of the key order, from a seeded sample of
     about 64 rows per block (the only rows that reach the driver)."""
     if n_blocks <= 1:
         return []
-    total = df.count()
+    if total is None:
+        total = df.count()
     if total == 0:
         return []
     frac = min(1.0, n_blocks * _SAMPLE_PER_BLOCK / total)
@@ -113,7 +115,7 @@ def running_sum_by_index(df: DataFrame, partition_cols: Sequence[str], index_col
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
                 value_col: str, out: str, exclusive: bool = False,
-                blocks: int | None = None) -> DataFrame:
+                blocks: int | None = None, total_rows: int | None = None) -> DataFrame:
     """Running ``sum(value)`` per partition in ``order_cols`` order (rows frame).
 
     Same key-range blocking as :func:`row_index`: block sums give the offsets,
@@ -124,7 +126,7 @@ def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequen
     o = list(order_cols)
     keys = p + o
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cuts = _boundaries(df, keys, _blocks(df, blocks))
+    cuts = _boundaries(df, keys, _blocks(df, blocks), total_rows)
     tagged = df.withColumn("_blk", block_of(keys, types, cuts))
     within = Window.partitionBy(*p, "_blk").orderBy(*o).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

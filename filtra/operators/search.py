@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,14 +126,12 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
             S = np.round(S, SCORE_SCALE).T  # (nq, n)
             mask = np.broadcast_to(ok[None, :], (nq, n)).copy()
             for f in pred_fields:
-                col = rb.column(f).to_pylist()
-                pv = p["preds"][f]
-                uniq = {v: i for i, v in enumerate(set(col) | {x for x in pv if x is not None})}
-                cc = np.fromiter((uniq.get(v, -1) if v is not None else -2 for v in col),
-                                 dtype=np.int64, count=n)
-                pc = np.fromiter((uniq[v] if v is not None else -3 for v in pv),
-                                 dtype=np.int64, count=nq)
-                mask &= (pc[:, None] == cc[None, :]) | (pc[:, None] == -3)
+                # codes of the batch's values in the queries' value set (-1: none)
+                vals = p["pred_values"][f]
+                cc = pc.index_in(rb.column(f), value_set=vals).fill_null(-1)
+                cc = cc.to_numpy(zero_copy_only=False).astype(np.int64)
+                qc = p["pred_codes"][f]  # -2 = wildcard
+                mask &= (qc[:, None] == cc[None, :]) | (qc[:, None] == -2)
             if list_field is not None:
                 col = np.array(rb.column(list_field).to_pylist(), dtype=object)
                 for qi, allowed in enumerate(p["lists"]):
@@ -163,10 +163,17 @@ def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields, list_f
     spark = corpus.sparkSession
     dim = len(qrows[0]["q"])
     Q = np.array([r["q"] for r in qrows], dtype=np.float64).reshape(len(qrows), dim)
+    preds = {f: [r[f] for r in qrows] for f in pred_fields}
+    pred_values, pred_codes = {}, {}
+    for f, vs in preds.items():
+        uniq = sorted({v for v in vs if v is not None}, key=repr)
+        pos = {v: i for i, v in enumerate(uniq)}
+        pred_values[f] = pa.array(uniq) if uniq else pa.array([], pa.string())
+        pred_codes[f] = np.array([pos[v] if v is not None else -2 for v in vs], dtype=np.int64)
     payload = {
         "Q": Q, "k": int(k), "metric": metric.upper(),
         "qids": np.array([r["qid"] for r in qrows], dtype=np.int64),
-        "preds": {f: [r[f] for r in qrows] for f in pred_fields},
+        "preds": preds, "pred_values": pred_values, "pred_codes": pred_codes,
         "lists": [list(r[list_field]) if (list_field and r[list_field] is not None) else None
                   for r in qrows] if list_field else None,
     }
@@ -204,7 +211,9 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str
     qcols = [F.col(qid_col).alias("qid"), F.col(qvec_col).alias("q"), *pred_fields]
     if list_field:
         qcols.append(list_field)
-    qdf = queries.select(*qcols)
+    # The query table is small but may be derived from the corpus: keep it for
+    # the two actions below (size check, then the bounded collect).
+    qdf = queries.select(*qcols).persist(StorageLevel.MEMORY_AND_DISK)
     stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("d")).first()
     nq, dim = int(stats["n"]), int(stats["d"] or 0)
     empty = corpus.sparkSession.createDataFrame([], "qid long, id long, score double")
@@ -222,6 +231,7 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str
             if qrows:
                 parts.append(_search_slice(corpus, qrows, k, metric, vec_col, id_col,
                                            pred_fields, list_field))
+    qdf.unpersist()
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

@@ -761,3 +761,19 @@ def ivf_search_widen_q(spark, sf_dir):
     from filtra.operators.ivf import ivf_search_widening
     c, index, cents = _ivf(spark, sf_dir)
     return ivf_search_widening(index, cents, group_queries(c), nprobe=4, k=TOP_K)
+
+
+@register("generated_batch_topk")
+def generated_batch_topk_q(spark, sf_dir):
+    """R2 at corpus scale: the 1:N generated corpus (20-500 chunks per document,
+    Zipf-skewed kbId, 8-dim vectors); one query per kbId (its lowest-id chunk's
+    vector), restricted to that kbId. Rows only: the vectors are xxhash-based."""
+    from filtra.operators.search import search_batch
+    g = _gen(spark, sf_dir, vectors=True).select("id", "kbId", "documentId", "study", "site",
+                                                  "patient", "visit", "embedding")
+    from filtra.sources.generator import dense_vectors
+    reps = g.groupBy("kbId").agg(F.min("id").alias("qid"))
+    # a stored vector is a function of its id: rebuild the ten query vectors
+    # from their ids instead of joining them out of the whole corpus
+    q = reps.withColumn("q_dense", dense_vectors("qid", 8))
+    return search_batch(g, q, k=TOP_K)

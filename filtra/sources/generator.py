@@ -13,6 +13,8 @@ import math
 import string
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,29 +70,36 @@ def zipf_cumulative(card: int, alpha: float) -> list[float]:
     return out
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _md5_uniform_sql(salt: str, key: str) -> str:
+    return (f"(cast(conv(substring(md5(concat({_sql_str(salt)}, cast({key} AS STRING))), 1, 8), "
+            f"16, 10) AS BIGINT) / 4294967296.0D)")
+
+
 def zipf_assign(key, field: str, card: int, alpha: float = ZIPF_ALPHA,
                 salt: str | None = None) -> Column:
     """D3: a pool value drawn with probability (1 / rank^alpha) / sum.
 
     u = md5 uniform of (salt, key); the value is the first rank whose
     cumulative probability exceeds u. alpha = 0 is uniform (floor(u * card)).
-    The pool is a literal array -- no join, no broadcast.
+    The pool and its cumulative bounds are literals of one expression: no
+    join, no broadcast.
     """
     if card < 1:
         raise ValueError("pool must not be empty")
-    u = md5_uniform(salt if salt is not None else FIELD_SALTS[field], key)
-    values = pool_values(field, card)
+    if not isinstance(key, str):
+        raise TypeError("key must be a column name")
+    u = _md5_uniform_sql(salt if salt is not None else FIELD_SALTS[field], f"`{key}`")
+    values = ", ".join(_sql_str(v) for v in pool_values(field, card))
     if alpha == 0:
-        idx = F.least(F.floor(u * card).cast("int"), F.lit(card - 1))
+        idx = f"least(cast(floor({u} * {card}) AS INT), {card - 1})"
     else:
-        cum = zipf_cumulative(card, alpha)
-        idx = None
-        for c in cum[:-1]:
-            t = F.when(u >= F.lit(c), 1).otherwise(0)
-            idx = t if idx is None else idx + t
-        idx = F.lit(0) if idx is None else idx
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.element_at(arr, idx + 1)
+        cum = zipf_cumulative(card, alpha)[:-1]
+        idx = " + ".join(f"(CASE WHEN {u} >= {c!r}D THEN 1 ELSE 0 END)" for c in cum) or "0"
+    return F.expr(f"element_at(array({values}), ({idx}) + 1)")
 
 
 def chunk_counts(key, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS_PER_DOC_MAX) -> Column:
@@ -103,7 +112,7 @@ def chunk_counts(key, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS_PER_DOC_MAX
 def chunk_expand(docs: DataFrame, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS_PER_DOC_MAX,
                  total_rows: int | None = None, start_id: int = 0,
                  alpha: float = ZIPF_ALPHA, pools: PoolSpec = PoolSpec(),
-                 doc_col: str = "doc_id") -> DataFrame:
+                 doc_col: str = "doc_id", rows_per_task: int = 250_000) -> DataFrame:
     """Documents -> chunks.
 
     Each document gets n chunks sharing its attributes; ids are contiguous
@@ -116,14 +125,23 @@ def chunk_expand(docs: DataFrame, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS
         raise ValueError(f"invalid chunks per document range [{lo}, {hi}]")
     d = docs.select(F.col(doc_col).alias("doc_id"))
     d = d.withColumn("n", chunk_counts("doc_id", lo, hi))
-    d = running_sum(d, [], ["doc_id"], "n", "offset", exclusive=True)
+    st = d.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("rows")).first()
+    d = running_sum(d, [], ["doc_id"], "n", "offset", exclusive=True, total_rows=int(st["docs"]))
     if total_rows is not None:
         # documents that start at or after the cut produce nothing
         d = d.filter(F.col("offset") < F.lit(int(total_rows)))
-    for field, card in pools.as_dict().items():
-        d = d.withColumn(field, zipf_assign("doc_id", field, card, alpha))
-    d = d.withColumn("documentId",
-                     F.concat(F.lit("doc_"), F.lpad((F.col("doc_id") + 1).cast("string"), 8, "0")))
+    # Each document becomes 20-500 rows: spread the documents (small) over
+    # enough tasks for the rows they will produce before exploding, instead of
+    # expanding inside however few tasks read the documents.
+    n_rows = int(st["rows"] or 0)
+    if total_rows is not None:
+        n_rows = min(n_rows, int(total_rows))
+    parts = max(1, min(-(-int(n_rows) // rows_per_task), 1 << 16))
+    d = d.repartition(parts, "doc_id")
+    d = d.select("*", *[zipf_assign("doc_id", field, card, alpha).alias(field)
+                        for field, card in pools.as_dict().items()],
+                 F.concat(F.lit("doc_"), F.lpad((F.col("doc_id") + 1).cast("string"), 8, "0"))
+                 .alias("documentId"))
     ch = d.withColumn("chunk_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
     ch = ch.withColumn("id", (F.lit(int(start_id)) + F.col("offset") + F.col("chunk_no") - 1)
                        .cast("long"))
@@ -133,18 +151,63 @@ def chunk_expand(docs: DataFrame, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS
                      "visit")
 
 
+# Up to this dimension a vector is one codegen'd SQL expression (its size
+# grows with dim^2 before subexpression elimination); above it a vectorised
+# pandas UDF generates whole Arrow batches with numpy.
+EXPR_MAX_DIM = 16
+
+
+def _xx_uniform_sql(seed: int, key: str, j: int, stream: int) -> str:
+    h = f"xxhash64({seed}, {key}, {j}L, {stream})"
+    return f"((cast(shiftrightunsigned({h}, 11) AS DOUBLE) + 0.5D) / 9007199254740992.0D)"
+
+
 def dense_vectors(key, dim: int, seed: int = SEED) -> Column:
     """Dim gaussian components (Box-Muller of hashed uniforms), float32,
-    L2-normalised (zero norm counts as 1)."""
-    k = F.col(key) if isinstance(key, str) else key
-
-    def comp(j):
-        u1 = xx_uniform(seed, k, j, F.lit(0))
-        u2 = xx_uniform(seed, k, j, F.lit(1))
-        return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    L2-normalised (zero norm counts as 1).
 
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), comp)
-    return normalize(F.transform(raw, lambda x: x.cast("float")))
+    Up to EXPR_MAX_DIM one SQL expression (one plan-building call); each
+    component appears in the norm and in the array, and codegen's common
+    subexpression elimination evaluates it once.
+    """
+    if dim > EXPR_MAX_DIM:
+        k = F.col(key) if isinstance(key, str) else key
+        return _dense_vectors_udf(seed, dim)(k.cast("long"))
+    if not isinstance(key, str):
+        raise TypeError("key must be a column name")
+    k = f"`{key}`"
+    comps = [f"cast(cast(sqrt(-2.0D * ln({_xx_uniform_sql(seed, k, j, 0)})) * "
+             f"cos({2.0 * math.pi!r}D * {_xx_uniform_sql(seed, k, j, 1)}) AS FLOAT) AS DOUBLE)"
+             for j in range(dim)]
+    norm = "sqrt(" + " + ".join(f"{c} * {c}" for c in comps) + ")"
+    safe = f"(CASE WHEN {norm} = 0 THEN 1.0D ELSE {norm} END)"
+    return F.expr("array(" + ", ".join(f"cast({c} / {safe} AS FLOAT)" for c in comps) + ")")
+
+
+def _splitmix64(x):
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = ((x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.uint64)
+    x = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype(np.uint64)
+    return x ^ (x >> np.uint64(31))
+
+
+def _dense_vectors_udf(seed: int, dim: int):
+    @F.pandas_udf("array<float>")
+    def gen(keys: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            kk = keys.to_numpy(dtype=np.int64).astype(np.uint64)[:, None]
+            j = np.arange(dim, dtype=np.uint64)[None, :]
+            base = _splitmix64(_splitmix64(kk ^ np.uint64(seed)) + j * np.uint64(2))
+            h1, h2 = _splitmix64(base), _splitmix64(base ^ np.uint64(0xD1B54A32D192ED03))
+        u1 = ((h1 >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        u2 = ((h2 >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+        v = (np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)).astype(np.float32)
+        n = np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+        n[n == 0] = 1.0
+        v = (v / n).astype(np.float32)
+        return pd.Series(list(v))
+
+    return gen
 
 
 def _coprime_steps(vocab: int, count: int = 16) -> list[int]:
@@ -162,18 +225,20 @@ def sparse_vectors(key, vocab: int = SPARSE_VOCAB, nnz: int = SPARSE_NNZ_ROW,
     """min(nnz, vocab) distinct token ids in [0, vocab) with U(0,1) weights.
 
     token_j = (a + j * b) mod vocab with b coprime to vocab, so j -> token is
-    injective for j < vocab: distinct ids without rejection sampling.
+    injective for j < vocab: distinct ids without rejection sampling. One SQL
+    expression, one codegen'd term per entry.
     """
-    k = F.col(key) if isinstance(key, str) else key
+    if not isinstance(key, str):
+        raise TypeError("key must be a column name")
+    k = f"`{key}`"
     m = min(int(nnz), int(vocab))
     steps = _coprime_steps(vocab)
-    a = F.pmod(F.xxhash64(F.lit(seed), k, F.lit("a")), F.lit(vocab))
-    b = F.element_at(F.array(*[F.lit(s).cast("long") for s in steps]),
-                     (F.pmod(F.xxhash64(F.lit(seed), k, F.lit("b")), F.lit(len(steps))) + 1).cast("int"))
-    js = F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
-    toks = F.transform(js, lambda j: F.pmod(a + j * b, F.lit(vocab)).cast("int"))
-    wts = F.transform(js, lambda j: xx_uniform(seed, k, j, F.lit(2)).cast("float"))
-    return F.map_from_arrays(toks, wts)
+    a = f"pmod(xxhash64({seed}, {k}, 'a'), {vocab}L)"
+    b = (f"element_at(array({', '.join(f'{x}L' for x in steps)}), "
+         f"cast(pmod(xxhash64({seed}, {k}, 'b'), {len(steps)}L) + 1 AS INT))")
+    toks = ", ".join(f"cast(pmod({a} + {j}L * {b}, {vocab}L) AS INT)" for j in range(m))
+    wts = ", ".join(f"cast({_xx_uniform_sql(seed, k, j, 2)} AS FLOAT)" for j in range(m))
+    return F.expr(f"map_from_arrays(array({toks}), array({wts}))")
 
 
 def with_content(df: DataFrame, length: int = CONTENT_LENGTH, col: str = "content") -> DataFrame:
