@@ -81,9 +81,16 @@ def persist_index(df: DataFrame) -> DataFrame:
     """Materialise an index table once (reliable checkpoint in the shared
     folder): later searches read it instead of re-deriving it, and its lineage
     no longer reaches back to the raw text."""
+    from pyspark import StorageLevel
     from filtra.session import shared_dir
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: the eager checkpoint runs one job to materialise and
+    # another to write; without it the table would be computed twice
+    tmp = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return tmp.checkpoint(eager=True)
+    finally:
+        tmp.unpersist()
 
 
 def query_terms(postings: DataFrame, id_value: int, qid=None) -> DataFrame:
