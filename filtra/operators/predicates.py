@@ -107,6 +107,13 @@ def kb_tiers(corpus: DataFrame, key: str = "kbId") -> DataFrame:
         .select("tier", key, "rows", "pos")
 
 
+def kb_pool_tiers(pool: Sequence[str], key: str = "kbId"):
+    """F9 as coded in the workload: hot / middle / cold = pool positions
+    0, n div 2 and n - 1 (whatever their measured sizes)."""
+    n = len(pool)
+    return [("hot", 0, pool[0]), ("middle", n // 2, pool[n // 2]), ("cold", n - 1, pool[n - 1])]
+
+
 def hit_rate_candidates(corpus: DataFrame, partition_key: str = "kbId",
                         fields: Sequence[str] = ("study", "site", "patient", "visit")) -> DataFrame:
     """hit rate of every predicate over GROUPING SETS that all contain the

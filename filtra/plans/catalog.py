@@ -777,3 +777,37 @@ def generated_batch_topk_q(spark, sf_dir):
     # from their ids instead of joining them out of the whole corpus
     q = reps.withColumn("q_dense", dense_vectors("qid", 8))
     return search_batch(g, q, k=TOP_K)
+
+
+@register("q7_hot_mid_cold_pool")
+def q7_hot_mid_cold_pool_q(spark, sf_dir):
+    """F9 by pool position (kb_00, kb_05, kb_09): each KB's lowest-id chunk
+    gives the Q2-style predicate, searched with the anchor vector."""
+    from filtra.operators.predicates import kb_pool_tiers
+    from filtra.operators.search import search_batch
+    c, a = _anchor(spark, sf_dir)
+    tiers = spark.createDataFrame(kb_pool_tiers(KB_POOL), "tier string, pos int, kbId string")
+    reps = c.groupBy("kbId").agg(F.min("id").alias("rep_id"))
+    preds = F.broadcast(tiers).join(reps, "kbId").join(
+        c.select(F.col("id").alias("rep_id"), "study", "site", "patient", "visit"), "rep_id")
+    q = preds.select(F.col("pos").cast("long").alias("qid"), "tier", "kbId", "study", "site",
+                     "patient", "visit").withColumn("q_dense", vector_col(a["embedding"]))
+    res = search_batch(c, q, k=TOP_K)
+    return res.join(F.broadcast(q.select("qid", "tier")), "qid")
+
+
+@register("ivf_recall")
+def ivf_recall_q(spark, sf_dir):
+    """R10 on IVF (rows only): recall@10 per query of 4-of-16-cell search
+    against exact search, with the mean as qid = -1."""
+    from filtra.operators.ivf import ivf_search
+    from filtra.operators.quality import recall_at_k
+    from filtra.operators.search import search_batch
+    c, index, cents = _ivf(spark, sf_dir)
+    qs = group_queries(c)
+    exact = search_batch(c, qs, k=TOP_K, fields=())
+    approx = ivf_search(index, cents, qs, nprobe=4, k=TOP_K, fields=())
+    per = recall_at_k(exact, approx, keys=["qid"])
+    mean = per.agg(F.lit(-1).cast("long").alias("qid"), F.sum("k").alias("k"),
+                   F.sum("found").alias("found"), F.round(F.avg("recall"), 6).alias("recall"))
+    return per.unionByName(mean)

@@ -487,3 +487,14 @@ ORACLE_SQL.update({
       "WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM request_log) - INTERVAL 1 HOUR",
     "stream_search": ORACLE_SQL["batch_topk"],
 })
+
+ORACLE_SQL["q7_hot_mid_cold_pool"] = with_(
+    CHUNKS, ANCHOR_CTE,
+    "tiers AS (SELECT * FROM (VALUES ('hot', 0, 'kb_00'), ('middle', 5, 'kb_05'), ('cold', 9, 'kb_09')) "
+    "t(tier, pos, kbId))",
+    "reps AS (SELECT kbId, min(id) AS rep_id FROM chunks GROUP BY kbId)",
+    "tp AS (SELECT t.pos::BIGINT AS qid, t.tier, c.kbId, c.study, c.site, c.patient, c.visit FROM tiers t "
+    "JOIN reps r USING (kbId) JOIN chunks c ON c.id = r.rep_id)",
+    f"s AS (SELECT p.qid, p.tier, c.id, {ip('c.embedding', 'a.embedding')} AS score, {OUT_C} "
+    f"FROM chunks c JOIN tp p ON c.kbId = p.kbId AND {NULL_EQ} CROSS JOIN anchor a)",
+    f"top AS ({ranked('s', part='qid')})") + f"SELECT qid, rank, id, score, {OUT}, tier FROM top"
