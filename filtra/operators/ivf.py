@@ -33,7 +33,7 @@ def ivf_build(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
     centroids = (cell int, center array<float>).
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     dim_row = corpus.select(F.max(F.size(vec_col)).alias("d")).first()
     dim = int(dim_row["d"] or 0)
@@ -57,7 +57,6 @@ def ivf_build(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cell int, center array<double>")
     centroids = centers.select("cell", F.col("center").cast("array<float>").alias("center"))
-    del vector_to_array
     return index, centroids
 
 

@@ -81,10 +81,11 @@ def _dense(c, a, where, fields=OUTPUT_FIELDS, metric="IP", k=TOP_K, semi=None):
     return search(c, a["embedding"], where, k=k, metric=metric, fields=fields, semi=semi)
 
 
-def q3_id_list(spark, sf_dir, n: int = 10 ** 2) -> DataFrame:
+def q3_id_list(spark, sf_dir, n: int | None = None) -> DataFrame:
     """F8 draw for Q3: n documentIds in md5 order (a seeded sample of documents)."""
+    from filtra.config import Q3_LIST_SIZE
     from filtra.operators.predicates import draw_document_ids
-    return draw_document_ids(spark, sf_dir, n)
+    return draw_document_ids(spark, sf_dir, Q3_LIST_SIZE if n is None else n)
 
 
 # ------------------------------------------------------------- D1, V1-V5
