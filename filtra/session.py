@@ -37,8 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """Folder on shared storage for checkpoints and written tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names. Only when the
-    session has none (local tests) a fresh local folder is created and set.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names (required
+    there). Only a local-mode session without one (tests) gets a fresh local
+    folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -46,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="filtra-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+        base = tempfile.mkdtemp(prefix="filtra-ckpt-")  # local mode only
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 

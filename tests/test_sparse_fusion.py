@@ -73,3 +73,15 @@ def test_weighted_none_and_minmax(spark):
     assert zero[1] == 0.0 and zero[2] == 10.0
     with pytest.raises(ValueError):
         weighted([(dense, 1.0)], norm="zscore")
+
+
+def test_row_form_equals_posting_form(spark):
+    from filtra.functions.vectors import sparse_inner_product
+    from filtra.operators.sparse import query_terms, sparse_rows, sparse_scores, terms_literal
+    docs = spark.createDataFrame(DOCS, "id long, content string")
+    post = bm25_postings(docs)
+    terms = query_terms(post, 1)
+    posting = {r["id"]: r["score"] for r in sparse_scores(post, terms).collect()}
+    rows = sparse_rows(post).select("id", sparse_inner_product("vec", terms_literal(terms)).alias("s"))
+    row_form = {r["id"]: round(r["s"], 6) for r in rows.collect() if r["s"] != 0}
+    assert row_form == posting
