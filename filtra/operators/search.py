@@ -138,12 +138,29 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
                     if allowed is not None:
                         mask[qi] &= np.isin(col, allowed)
             key = np.where(mask, S if higher else -S, -np.inf)
-            idm = np.where(mask, ids[None, :], np.iinfo(np.int64).max)
             take = min(k, n)
-            order = np.lexsort((idm, -key), axis=-1)[:, :take]
-            cand_key = np.concatenate([best_key, np.take_along_axis(key, order, 1)], axis=1)
-            cand_id = np.concatenate([best_id, np.take_along_axis(idm, order, 1)], axis=1)
-            cand_score = np.concatenate([best_score, np.take_along_axis(S, order, 1)], axis=1)
+            # candidates: every matching row at or above the query's k-th best
+            # key (ties included) -- a linear-time partition instead of a sort
+            if n > take:
+                kth = np.partition(key, n - take, axis=1)[:, n - take]
+                sel_m = (key >= kth[:, None]) & mask
+            else:
+                sel_m = mask
+            r, c = np.nonzero(sel_m)
+            o = np.lexsort((ids[c], -key[r, c], r))
+            r, c = r[o], c[o]
+            pos = np.arange(r.size) - np.searchsorted(r, r)
+            keep = pos < take
+            r, c, pos = r[keep], c[keep], pos[keep]
+            new_key = np.full((nq, take), -np.inf)
+            new_id = np.full((nq, take), np.iinfo(np.int64).max, dtype=np.int64)
+            new_score = np.zeros((nq, take))
+            new_key[r, pos] = key[r, c]
+            new_id[r, pos] = ids[c]
+            new_score[r, pos] = S[r, c]
+            cand_key = np.concatenate([best_key, new_key], axis=1)
+            cand_id = np.concatenate([best_id, new_id], axis=1)
+            cand_score = np.concatenate([best_score, new_score], axis=1)
             sel = np.lexsort((cand_id, -cand_key), axis=-1)[:, :k]
             best_key = np.take_along_axis(cand_key, sel, 1)
             best_id = np.take_along_axis(cand_id, sel, 1)
