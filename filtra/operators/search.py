@@ -27,6 +27,9 @@ from filtra.operators.topk import attach_fields, topk
 # Broadcast budget for the query side of R2 (bytes). Above it the queries are
 # split into slices that each fit, and the slices are searched one by one.
 MAX_QUERY_BROADCAST_BYTES = 64 << 20
+# Rows scored per kernel step: (rows x dim) and (queries x rows) matrices stay
+# small (2048 x 3072 doubles = 50 MB) even if Arrow batches are larger.
+KERNEL_ROWS = 2048
 # Largest IN list applied as a literal predicate; longer lists become a
 # semi join against a DataFrame of keys.
 MAX_LITERAL_IN = 1000
@@ -101,7 +104,15 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
         best_key = np.full((nq, k), -np.inf)
         best_id = np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64)
         best_score = np.zeros((nq, k))
-        for rb in batches:
+        step = p["step"]
+
+        def slices(it):
+            # bound the per-step matrices whatever the session's Arrow batch size
+            for big in it:
+                for off in range(0, big.num_rows, step):
+                    yield big.slice(off, step)
+
+        for rb in slices(batches):
             n = rb.num_rows
             if n == 0 or k == 0:
                 continue
@@ -188,7 +199,7 @@ def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields, list_f
         pred_values[f] = pa.array(uniq) if uniq else pa.array([], pa.string())
         pred_codes[f] = np.array([pos[v] if v is not None else -2 for v in vs], dtype=np.int64)
     payload = {
-        "Q": Q, "k": int(k), "metric": metric.upper(),
+        "Q": Q, "k": int(k), "metric": metric.upper(), "step": int(KERNEL_ROWS),
         "qids": np.array([r["qid"] for r in qrows], dtype=np.int64),
         "preds": preds, "pred_values": pred_values, "pred_codes": pred_codes,
         "lists": [list(r[list_field]) if (list_field and r[list_field] is not None) else None

@@ -17,15 +17,23 @@ from filtra.operators.validate import reasons_of, row_checks
 
 def stream_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                   schema: StructType, dim: int, max_files_per_trigger: int = 2,
-                  rejects_dir: str | None = None) -> int:
-    """Run until all files present are ingested (availableNow); return batches run."""
+                  rejects_dir: str | None = None, interval: str | None = None):
+    """Ingest arriving chunk files.
+
+    Without ``interval``: run until all files present are ingested
+    (availableNow) and return the number of micro-batches. With ``interval``
+    (e.g. "30 seconds"): start a continuously running query that commits one
+    micro-batch per interval, and return its handle.
+    """
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
     checked = src.withColumn("reasons", reasons_of(row_checks(src, dim)))
     good = checked.filter(F.col("reasons") == "").drop("reasons")
-    q = (good.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
-         .trigger(availableNow=True).start())
+    w = (good.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append"))
+    if interval is not None:
+        return w.trigger(processingTime=interval).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     n = len(q.recentProgress)
     if rejects_dir:

@@ -133,3 +133,17 @@ def test_high_dimension_routes_to_kernel(spark):
     assert "PythonMapInArrow" in plan or "MapInArrow" in plan
     exp = search(c, q, None, k=5, fields=(), method="expr")
     assert [tuple(r) for r in auto.orderBy("rank").collect()] == [tuple(r) for r in exp.orderBy("rank").collect()]
+
+
+def test_kernel_slices_large_arrow_batches(spark, chunks, chunk_rows):
+    from filtra.operators import search as S
+    old = S.KERNEL_ROWS
+    qs = spark.createDataFrame([(i, chunk_rows[i]["embedding"]) for i in range(3)],
+                               "qid long, q_dense array<float>")
+    ref = sorted(tuple(r) for r in search_batch(chunks, qs, k=6, fields=(), pred_fields=[]).collect())
+    try:
+        S.KERNEL_ROWS = 7
+        got = sorted(tuple(r) for r in search_batch(chunks, qs, k=6, fields=(), pred_fields=[]).collect())
+    finally:
+        S.KERNEL_ROWS = old
+    assert got == ref
