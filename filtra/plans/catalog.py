@@ -61,7 +61,13 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ helpers
 
-KB_POOL = [f"kb_{i:02d}" for i in range(10)]
+def _kb_pool():
+    from filtra.config import KB_CARD
+    from filtra.sources.generator import pool_values
+    return pool_values("kbId", KB_CARD)
+
+
+KB_POOL = _kb_pool()
 
 
 def _anchor(spark, sf_dir):
