@@ -126,3 +126,13 @@ def ivf_search_widening(index: DataFrame, centroids: DataFrame, queries: DataFra
         kept = res.join(short.select("qid"), "qid", "left_anti")
         res = persist_index(kept.unionByName(again))
     return res
+
+
+def write_ivf_index(index: DataFrame, path: str, mode: str = "errorifexists",
+                    salt: int = 16) -> None:
+    """Store an IVF index partitioned by ``cell``: a probe search then reads
+    only the probed cells' files -- the join on ``cell`` with the broadcast
+    probe table triggers dynamic partition pruning. A large cell is written by
+    ``salt`` tasks."""
+    out = index.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(salt)))
+    out.sortWithinPartitions("cell", "id").write.mode(mode).partitionBy("cell").parquet(path)

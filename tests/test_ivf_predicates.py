@@ -74,3 +74,18 @@ def test_pool_predicates_are_uniform_pool_values(spark):
     kbs = {r["kbId"] for r in rows}
     assert kbs == {f"kb_{i:02d}" for i in range(10)}
     assert all(r["visit"].startswith("V") and len(r["patient"]) == 6 for r in rows)
+
+
+def test_ivf_index_layout_prunes_cells(spark, chunks):
+    from filtra.operators.ivf import write_ivf_index
+    from filtra.session import scratch_path
+    index, cents = ivf_build(chunks, 8, max_iter=10)
+    path = scratch_path(spark, "t-ivf")
+    write_ivf_index(index.drop("content"), path)
+    stored = spark.read.parquet(path)
+    qs = group_queries(chunks).select("qid", "q_dense")
+    res = ivf_search(stored, cents, qs, nprobe=2, k=10, fields=(), pred_fields=[])
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    mem = ivf_search(index, cents, qs, nprobe=2, k=10, fields=(), pred_fields=[])
+    assert sorted(tuple(r) for r in res.collect()) == sorted(tuple(r) for r in mem.collect())
