@@ -104,11 +104,35 @@ def query_terms(postings: DataFrame, id_value: int, qid=None) -> DataFrame:
 def _join_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     n = terms.count()
     side = F.broadcast(terms) if n <= MAX_BROADCAST_TERMS else terms
-    return postings.join(side, "token")
+    on = ["tb", "token"] if ("tb" in postings.columns and "tb" in terms.columns) else ["token"]
+    return postings.join(side, on)
 
 
-def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+# Token buckets of a stored posting index (see write_postings).
+POSTING_BUCKETS = 64
+
+
+def token_bucket(col="token", buckets: int = POSTING_BUCKETS):
+    c = F.col(col) if isinstance(col, str) else col
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = POSTING_BUCKETS,
+                   mode: str = "errorifexists") -> None:
+    """Store a posting index partitioned by token bucket ``tb``. Searches join
+    on (tb, token), so dynamic partition pruning reads only the buckets of the
+    query's terms. Rows are spread over (bucket, id-hash) writers, so a bucket
+    holding a frequent token is not one task."""
+    out = postings.withColumn("tb", token_bucket("token", buckets))
+    out = out.repartition(F.col("tb"), F.pmod(F.xxhash64("id"), F.lit(16)))
+    out.write.mode(mode).partitionBy("tb").parquet(path)
+
+
+def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (),
+                  buckets: int = POSTING_BUCKETS) -> DataFrame:
     """(keys..., id, score): sum over shared tokens of weight * qweight."""
+    if "tb" in postings.columns and "tb" not in terms.columns:
+        terms = terms.withColumn("tb", token_bucket("token", buckets))
     hits = _join_terms(postings, terms)
     return hits.groupBy(*keys, "id").agg(
         F.round(F.sum(F.col("weight") * F.col("qweight")), SCORE_SCALE).alias("score"))

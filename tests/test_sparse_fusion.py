@@ -85,3 +85,20 @@ def test_row_form_equals_posting_form(spark):
     rows = sparse_rows(post).select("id", sparse_inner_product("vec", terms_literal(terms)).alias("s"))
     row_form = {r["id"]: round(r["s"], 6) for r in rows.collect() if r["s"] != 0}
     assert row_form == posting
+
+
+def test_stored_postings_prune_token_buckets(spark):
+    from filtra.operators.sparse import query_terms, sparse_scores, write_postings
+    from filtra.session import scratch_path
+    docs = spark.createDataFrame(DOCS, "id long, content string")
+    post = bm25_postings(docs)
+    path = scratch_path(spark, "t-post")
+    write_postings(post, path, buckets=8)
+    stored = spark.read.parquet(path)
+    terms = query_terms(post, 2)
+    res = sparse_scores(stored, terms, buckets=8)
+    plan = res._jdf.queryExecution().executedPlan().toString().lower()
+    assert "dynamicpruning" in plan
+    a = {r["id"]: r["score"] for r in res.collect()}
+    b = {r["id"]: r["score"] for r in sparse_scores(post, terms).collect()}
+    assert a == b
