@@ -818,3 +818,31 @@ def ivf_recall_q(spark, sf_dir):
     mean = per.agg(F.lit(-1).cast("long").alias("qid"), F.sum("k").alias("k"),
                    F.sum("found").alias("found"), F.round(F.avg("recall"), 6).alias("recall"))
     return per.unionByName(mean)
+
+
+# ------------------------------------------------ stored index layouts
+
+@register("sparse_topk_stored")
+def sparse_topk_stored_q(spark, sf_dir):
+    """R5 over a posting index stored by token bucket (write once, search
+    reading only the query's buckets)."""
+    from filtra.operators.sparse import write_postings
+    from filtra.session import scratch_path
+    c, a = _anchor(spark, sf_dir)
+    path = scratch_path(spark, "postings")
+    write_postings(postings_of(c, persist=False), path)
+    stored = spark.read.parquet(path)
+    return sparse_search(stored, query_terms(stored, ANCHOR_ID), k=TOP_K,
+                         allowed_ids=c.filter(_kb_site(a)))
+
+
+@register("ivf_search_stored")
+def ivf_search_stored_q(spark, sf_dir):
+    """R4 over an IVF index stored by cell (nprobe = nlist: equals exact search)."""
+    from filtra.operators.ivf import ivf_search, write_ivf_index
+    from filtra.session import scratch_path
+    c, index, cents = _ivf(spark, sf_dir)
+    path = scratch_path(spark, "ivf-index")
+    write_ivf_index(index.drop("content"), path)
+    stored = spark.read.parquet(path)
+    return ivf_search(stored, cents, group_queries(c), nprobe=IVF_NLIST_FIXTURE, k=TOP_K)

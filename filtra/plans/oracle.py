@@ -498,3 +498,6 @@ ORACLE_SQL["q7_hot_mid_cold_pool"] = with_(
     f"s AS (SELECT p.qid, p.tier, c.id, {ip('c.embedding', 'a.embedding')} AS score, {OUT_C} "
     f"FROM chunks c JOIN tp p ON c.kbId = p.kbId AND {NULL_EQ} CROSS JOIN anchor a)",
     f"top AS ({ranked('s', part='qid')})") + f"SELECT qid, rank, id, score, {OUT}, tier FROM top"
+
+ORACLE_SQL["sparse_topk_stored"] = ORACLE_SQL["sparse_topk"]
+ORACLE_SQL["ivf_search_stored"] = ORACLE_SQL["batch_topk"]

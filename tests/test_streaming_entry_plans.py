@@ -5,7 +5,7 @@ from conftest import SF_SMALL
 # registered queries whose callables write to storage or run streams
 SIDE_EFFECT = {"partitioned_layout", "partitioned_topk", "partitioned_topk_bucket", "sink_manifest",
                "sink_results_csv", "sink_modes", "stream_ingest", "stream_latency_qps",
-               "stream_search"}
+               "stream_search", "sparse_topk_stored", "ivf_search_stored"}
 
 
 def test_entry_smoke(spark):
