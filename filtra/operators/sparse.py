@@ -77,6 +77,37 @@ def bm25_postings(docs: DataFrame, id_col: str = "id", text_col: str = "content"
     return j.select("id", "token", F.col("tf").cast("long").alias("tf"), weight.alias("weight"))
 
 
+def term_stats(docs: DataFrame, id_col: str = "id", text_col: str = "content"):
+    """Tokenise once: (tf table checkpointed, N, avgdl) for BM25 weighting."""
+    tf = persist_index(term_frequencies(docs, id_col, text_col))
+    n_docs = docs.select(id_col).count()
+    st = tf.agg(F.sum("tf").alias("t")).first()
+    avgdl = (float(st["t"] or 0) / n_docs) if n_docs else 0.0
+    return tf, n_docs, avgdl
+
+
+def bm25_for_tokens(tf: DataFrame, n_docs: int, avgdl: float, tokens: DataFrame,
+                    k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """BM25 postings (id, token, tf, weight) of the given tokens only.
+
+    What a query needs: its tokens' posting rows (broadcast semi-join, no
+    shuffle of the tf table) and their document frequencies -- a table with
+    one row per query token, so its broadcast is bounded by the query.
+    Weights equal those of :func:`bm25_postings` for the same tokens.
+    """
+    tk = tokens.select("token").distinct()
+    n = tk.count()
+    if n > MAX_BROADCAST_TERMS:
+        raise ValueError(f"{n} query tokens: build the full posting index instead")
+    rows = tf.join(F.broadcast(tk), "token")
+    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    j = rows.join(F.broadcast(df), "token")
+    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
+    weight = idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
+    return j.select("id", "token", F.col("tf").cast("long").alias("tf"), weight.alias("weight"))
+
+
 def persist_index(df: DataFrame) -> DataFrame:
     """Materialise an index table once (reliable checkpoint in the shared
     folder): later searches read it instead of re-deriving it, and its lineage

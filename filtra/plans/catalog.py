@@ -44,6 +44,15 @@ def postings_of(corpus: DataFrame, persist: bool = True) -> DataFrame:
     return post
 
 
+def sparse_arm(c: DataFrame, where, k: int = TOP_K, qid_doc: int = ANCHOR_ID) -> DataFrame:
+    """R5 for one stored document used as the query: BM25 weights are derived
+    for the query's tokens only (no full posting table is built)."""
+    from filtra.operators.sparse import bm25_for_tokens, term_stats
+    tf, n_docs, avgdl = term_stats(c.select("id", "content"))
+    post = bm25_for_tokens(tf, n_docs, avgdl, tf.filter(F.col("id") == qid_doc))
+    return sparse_search(post, query_terms(post, qid_doc), k=k, allowed_ids=c.filter(where))
+
+
 @register("hybrid_rrf")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense + sparse arms under the same filter, RRF(60), top-10."""
@@ -51,9 +60,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = anchor_row(c)
     where = _kb_site(a)
     dense = search(c, a["embedding"], where, k=TOP_K, fields=())
-    post = postings_of(c)
-    sparse = sparse_search(post, query_terms(post, ANCHOR_ID), k=TOP_K,
-                           allowed_ids=c.filter(where))
+    sparse = sparse_arm(c, where)
     fused = rrf([dense, sparse], k=TOP_K)
     return attach_fields(fused, c, OUTPUT_FIELDS, max_hits=TOP_K).select(
         "rank", "id", "score", *OUTPUT_FIELDS)
@@ -255,9 +262,7 @@ def batch_topk(spark, sf_dir):
 @register("sparse_topk")
 def sparse_topk(spark, sf_dir):
     c, a = _anchor(spark, sf_dir)
-    post = postings_of(c)
-    return sparse_search(post, query_terms(post, ANCHOR_ID), k=TOP_K,
-                         allowed_ids=c.filter(_kb_site(a)))
+    return sparse_arm(c, _kb_site(a))
 
 
 @register("bm25_weights")
@@ -271,10 +276,7 @@ def _arms(spark, sf_dir):
     c, a = _anchor(spark, sf_dir)
     where = _kb_site(a)
     dense = search(c, a["embedding"], where, k=TOP_K, fields=())
-    post = postings_of(c)
-    sparse = sparse_search(post, query_terms(post, ANCHOR_ID), k=TOP_K,
-                           allowed_ids=c.filter(where))
-    return c, dense, sparse
+    return c, dense, sparse_arm(c, where)
 
 
 @register("hybrid_weighted")

@@ -102,3 +102,14 @@ def test_stored_postings_prune_token_buckets(spark):
     a = {r["id"]: r["score"] for r in res.collect()}
     b = {r["id"]: r["score"] for r in sparse_scores(post, terms).collect()}
     assert a == b
+
+
+def test_query_restricted_weights_equal_full_index(spark):
+    from filtra.operators.sparse import bm25_for_tokens, term_stats
+    docs = spark.createDataFrame(DOCS, "id long, content string")
+    full = {(r["id"], r["token"]): r["weight"] for r in bm25_postings(docs).collect()}
+    tf, n, avgdl = term_stats(docs)
+    part = bm25_for_tokens(tf, n, avgdl, tf.filter("id = 2"))
+    got = {(r["id"], r["token"]): r["weight"] for r in part.collect()}
+    toks = {t for (i, t) in full if i == 2}
+    assert got == {key: w for key, w in full.items() if key[1] in toks}
