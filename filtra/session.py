@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     # for wide vectors (2048 x 3072 float32 = 25 MB).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    # index tables are checkpoints: remove their files once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
