@@ -4,7 +4,8 @@ Build: MLlib KMeans over the vectors (all rows, or a seeded sample when a
 fraction is given), every row stored with its nearest cell. Search: the
 nprobe nearest cells of each query come from the block kernel run over the
 centroid table; candidates are the rows of those cells only (an equi-join on
-``cell`` -- on a cell-partitioned layout a partition filter), scored exactly.
+``cell``; on a cell-partitioned layout ``cell IN (probed)`` prunes files),
+scored exactly.
 With nprobe = nlist the result equals exact search.
 """
 
@@ -60,6 +61,10 @@ def ivf_build(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
     return index, centroids
 
 
+def centroids_count(centroids: DataFrame) -> int:
+    return centroids.count()
+
+
 def probe_cells(centroids: DataFrame, queries: DataFrame, nprobe: int,
                 qvec_col: str = "q_dense") -> DataFrame:
     """(qid, cell): the nprobe centroids nearest (L2) to each query."""
@@ -92,7 +97,12 @@ def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, nprob
     for f in pred_fields:
         cond = cond & (F.col(f"_p_{f}").isNull() | (F.col(f) == F.col(f"_p_{f}")))
     side = side.withColumnRenamed("cell", "_pcell")
-    cand = index.select("id", "cell", vec_col, *pred_fields).join(side, cond, "inner")
+    # Static pruning: the probed cells (at most nlist values) become an IN
+    # filter, so a cell-partitioned index is read only where probed.
+    cells = sorted(r["cell"] for r in probes.select("cell").distinct().collect())
+    cand = index.filter(F.col("cell").isin(cells)) if len(cells) < centroids_count(centroids) \
+        else index
+    cand = cand.select("id", "cell", vec_col, *pred_fields).join(side, cond, "inner")
     scored = cand.select("qid", "id", score_expr(metric, vec_col, "_q").alias("score"))
     best = topk(scored, k, keys=["qid"], higher=higher_is_nearer(metric))
     out = attach_fields(best, index, list(fields), max_hits=nq * k)
@@ -131,8 +141,7 @@ def ivf_search_widening(index: DataFrame, centroids: DataFrame, queries: DataFra
 def write_ivf_index(index: DataFrame, path: str, mode: str = "errorifexists",
                     salt: int = 16) -> None:
     """Store an IVF index partitioned by ``cell``: a probe search then reads
-    only the probed cells' files -- the join on ``cell`` with the broadcast
-    probe table triggers dynamic partition pruning. A large cell is written by
-    ``salt`` tasks."""
+    only the probed cells' files (``cell IN (probed cells)`` partition filter).
+    A large cell is written by ``salt`` tasks."""
     out = index.repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(salt)))
     out.sortWithinPartitions("cell", "id").write.mode(mode).partitionBy("cell").parquet(path)

@@ -150,9 +150,9 @@ def token_bucket(col="token", buckets: int = POSTING_BUCKETS):
 
 def write_postings(postings: DataFrame, path: str, buckets: int = POSTING_BUCKETS,
                    mode: str = "errorifexists") -> None:
-    """Store a posting index partitioned by token bucket ``tb``. Searches join
-    on (tb, token), so dynamic partition pruning reads only the buckets of the
-    query's terms. Rows are spread over (bucket, id-hash) writers, so a bucket
+    """Store a posting index partitioned by token bucket ``tb``. Searches add
+    ``tb IN (query buckets)`` and join on (tb, token), so only the buckets of
+    the query's terms are read. Rows are spread over (bucket, id-hash) writers, so a bucket
     holding a frequent token is not one task."""
     out = postings.withColumn("tb", token_bucket("token", buckets))
     out = out.repartition(F.col("tb"), F.pmod(F.xxhash64("id"), F.lit(16)))
@@ -162,8 +162,13 @@ def write_postings(postings: DataFrame, path: str, buckets: int = POSTING_BUCKET
 def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (),
                   buckets: int = POSTING_BUCKETS) -> DataFrame:
     """(keys..., id, score): sum over shared tokens of weight * qweight."""
-    if "tb" in postings.columns and "tb" not in terms.columns:
-        terms = terms.withColumn("tb", token_bucket("token", buckets))
+    if "tb" in postings.columns:
+        if "tb" not in terms.columns:
+            terms = terms.withColumn("tb", token_bucket("token", buckets))
+        # static pruning: the query's buckets (at most ``buckets`` values)
+        # become an IN filter on the partition column
+        tbs = sorted(r["tb"] for r in terms.select("tb").distinct().collect())
+        postings = postings.filter(F.col("tb").isin(tbs))
     hits = _join_terms(postings, terms)
     return hits.groupBy(*keys, "id").agg(
         F.round(F.sum(F.col("weight") * F.col("qweight")), SCORE_SCALE).alias("score"))

@@ -97,9 +97,10 @@ def test_stored_postings_prune_token_buckets(spark):
     stored = spark.read.parquet(path)
     terms = query_terms(post, 2)
     res = sparse_scores(stored, terms, buckets=8)
-    plan = res._jdf.queryExecution().executedPlan().toString().lower()
-    assert "dynamicpruning" in plan
     a = {r["id"]: r["score"] for r in res.collect()}
+    final = res._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    scans = [l for l in final.splitlines() if "t-post" in l and "PartitionFilters" in l]
+    assert scans and all(re.search(r"PartitionFilters: \[[^\]]*tb[^\]]* IN ", l) for l in scans), scans
     b = {r["id"]: r["score"] for r in sparse_scores(post, terms).collect()}
     assert a == b
 
