@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     # for wide vectors (2048 x 3072 float32 = 25 MB).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.ui.enabled": "false",
+    # long-running sessions: keep little per-query history in the driver
+    "spark.sql.ui.retainedExecutions": "20",
+    "spark.ui.retainedJobs": "50",
+    "spark.ui.retainedStages": "50",
     # index tables are checkpoints: remove their files once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
