@@ -848,3 +848,30 @@ def ivf_search_stored_q(spark, sf_dir):
     write_ivf_index(index.drop("content"), path)
     stored = spark.read.parquet(path)
     return ivf_search(stored, cents, group_queries(c), nprobe=IVF_NLIST_FIXTURE, k=TOP_K)
+
+
+@register("batch_hybrid_rrf")
+def batch_hybrid_rrf_q(spark, sf_dir):
+    """R7 for many queries at once: every (kbId, site) group searched with its
+    lowest-id chunk as both the dense and the sparse query, each restricted to
+    its own group; arms fused by RRF per qid."""
+    from filtra.operators.search import search_batch
+    from filtra.operators.sparse import bm25_for_tokens, sparse_scores, term_stats
+    from filtra.operators.topk import topk
+    c = chunks_view(spark, sf_dir)
+    qs = group_queries(c)
+    dense = search_batch(c, qs, k=TOP_K, fields=())
+    tf, n_docs, avgdl = term_stats(c.select("id", "content"))
+    qids = qs.select(F.col("qid").alias("id"), "qid", F.col("kbId").alias("_qk"),
+                     F.col("site").alias("_qs"))
+    post = bm25_for_tokens(tf, n_docs, avgdl, tf.join(F.broadcast(qids.select("id")), "id"))
+    terms = post.join(F.broadcast(qids.select("id", "qid")), "id") \
+        .select("qid", "token", F.col("weight").alias("qweight"))
+    # each query's own filter before ranking: candidate attributes vs the query's
+    cand = post.join(c.select("id", "kbId", "site"), "id")
+    scores = sparse_scores(cand, terms, keys=["qid"])
+    allowed = scores.join(c.select("id", "kbId", "site"), "id") \
+        .join(F.broadcast(qids.select("qid", "_qk", "_qs")), "qid") \
+        .filter((F.col("kbId") == F.col("_qk")) & (F.col("site") == F.col("_qs")))
+    sparse = topk(allowed.select("qid", "id", "score"), TOP_K, keys=["qid"])
+    return rrf([dense, sparse], k=TOP_K, keys=["qid"])

@@ -501,3 +501,19 @@ ORACLE_SQL["q7_hot_mid_cold_pool"] = with_(
 
 ORACLE_SQL["sparse_topk_stored"] = ORACLE_SQL["sparse_topk"]
 ORACLE_SQL["ivf_search_stored"] = ORACLE_SQL["batch_topk"]
+
+ORACLE_SQL["batch_hybrid_rrf"] = with_(
+    CHUNKS, POSTINGS,
+    "g AS (SELECT kbId, site, min(id) AS qid FROM chunks GROUP BY kbId, site)",
+    "q AS (SELECT g.qid, g.kbId, g.site, c.embedding AS qv FROM g JOIN chunks c ON c.id = g.qid)",
+    f"dense AS (SELECT q.qid, c.id, {ip('c.embedding', 'q.qv')} AS score "
+    "FROM chunks c JOIN q ON c.kbId = q.kbId AND c.site = q.site)",
+    f"dense_r AS ({ranked('dense', part='qid')})",
+    "qt AS (SELECT q.qid, p.token, p.weight AS qweight FROM postings p JOIN q ON p.id = q.qid)",
+    "sp AS (SELECT qt.qid, p.id, round(sum(p.weight * qt.qweight), 6) AS score FROM postings p "
+    "JOIN qt USING (token) JOIN chunks c ON c.id = p.id JOIN q ON q.qid = qt.qid "
+    "AND c.kbId = q.kbId AND c.site = q.site GROUP BY qt.qid, p.id)",
+    f"sp_r AS ({ranked('sp', part='qid')})",
+    "fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM "
+    "(SELECT qid, id, rank FROM dense_r UNION ALL SELECT qid, id, rank FROM sp_r) GROUP BY qid, id)",
+    f"top AS ({ranked('fused', part='qid')})") + "SELECT qid, rank, id, score FROM top"
