@@ -132,11 +132,14 @@ def query_terms(postings: DataFrame, id_value: int, qid=None) -> DataFrame:
     return q
 
 
-def _join_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def _join_terms(postings: DataFrame, terms: DataFrame, on=None) -> DataFrame:
     n = terms.count()
     side = F.broadcast(terms) if n <= MAX_BROADCAST_TERMS else terms
-    on = ["tb", "token"] if ("tb" in postings.columns and "tb" in terms.columns) else ["token"]
-    return postings.join(side, on)
+    if on is None:
+        on = ["token"]
+    if "tb" in postings.columns and "tb" in terms.columns:
+        on = ["tb", *on]
+    return postings.join(side, list(on))
 
 
 # Token buckets of a stored posting index (see write_postings).
@@ -160,8 +163,12 @@ def write_postings(postings: DataFrame, path: str, buckets: int = POSTING_BUCKET
 
 
 def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (),
-                  buckets: int = POSTING_BUCKETS) -> DataFrame:
-    """(keys..., id, score): sum over shared tokens of weight * qweight."""
+                  buckets: int = POSTING_BUCKETS, on: Sequence[str] | None = None) -> DataFrame:
+    """(keys..., id, score): sum over shared tokens of weight * qweight.
+
+    ``on`` (default: token) may add attribute columns present on both sides,
+    so per-query filters are applied inside the join.
+    """
     if "tb" in postings.columns:
         if "tb" not in terms.columns:
             terms = terms.withColumn("tb", token_bucket("token", buckets))
@@ -169,7 +176,7 @@ def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (
         # become an IN filter on the partition column
         tbs = sorted(r["tb"] for r in terms.select("tb").distinct().collect())
         postings = postings.filter(F.col("tb").isin(tbs))
-    hits = _join_terms(postings, terms)
+    hits = _join_terms(postings, terms, on)
     return hits.groupBy(*keys, "id").agg(
         F.round(F.sum(F.col("weight") * F.col("qweight")), SCORE_SCALE).alias("score"))
 

@@ -865,13 +865,14 @@ def batch_hybrid_rrf_q(spark, sf_dir):
     qids = qs.select(F.col("qid").alias("id"), "qid", F.col("kbId").alias("_qk"),
                      F.col("site").alias("_qs"))
     post = bm25_for_tokens(tf, n_docs, avgdl, tf.join(F.broadcast(qids.select("id")), "id"))
-    terms = post.join(F.broadcast(qids.select("id", "qid")), "id") \
-        .select("qid", "token", F.col("weight").alias("qweight"))
-    # each query's own filter before ranking: candidate attributes vs the query's
+    # each query's term rows carry its own filter values, and postings carry
+    # the document's: the join on (token, kbId, site) applies every query's
+    # filter inside the join, so a frequent token pairs a document only with
+    # the queries of its own group -- never with all queries
+    terms = post.join(F.broadcast(qids), "id").select(
+        "qid", "token", F.col("weight").alias("qweight"), F.col("_qk").alias("kbId"),
+        F.col("_qs").alias("site"))
     cand = post.join(c.select("id", "kbId", "site"), "id")
-    scores = sparse_scores(cand, terms, keys=["qid"])
-    allowed = scores.join(c.select("id", "kbId", "site"), "id") \
-        .join(F.broadcast(qids.select("qid", "_qk", "_qs")), "qid") \
-        .filter((F.col("kbId") == F.col("_qk")) & (F.col("site") == F.col("_qs")))
-    sparse = topk(allowed.select("qid", "id", "score"), TOP_K, keys=["qid"])
+    scores = sparse_scores(cand, terms, keys=["qid"], on=["token", "kbId", "site"])
+    sparse = topk(scores, TOP_K, keys=["qid"])
     return rrf([dense, sparse], k=TOP_K, keys=["qid"])
