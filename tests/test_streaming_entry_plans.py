@@ -114,3 +114,23 @@ def test_watermark_drops_late_events_and_keeps_open_window(spark):
     assert got[jan1] == (1, 1.0)
     assert got[jan1 + day] == (1, 3.0) and got[jan1 + 2 * day] == (1, 5.0)
     assert jan1 + 3 * day not in got  # still open: the watermark is behind its end
+
+
+def test_batch_hybrid_equals_single_hybrid(spark):
+    from pyspark.sql import functions as F
+    import __spark_entry__ as e
+    from filtra.operators.fusion import rrf
+    from filtra.operators.search import search
+    from filtra.plans.catalog import sparse_arm
+    from filtra.sources.tables import chunks_view
+    c = chunks_view(spark, SF_SMALL)
+    batch = {}
+    for r in e.queries()["batch_hybrid_rrf"](spark, SF_SMALL).collect():
+        batch.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
+    for qid in sorted(batch)[:2]:
+        row = c.filter(F.col("id") == qid).select("kbId", "site", "embedding").first()
+        where = (F.col("kbId") == row["kbId"]) & (F.col("site") == row["site"])
+        dense = search(c, row["embedding"], where, k=10, fields=())
+        single = rrf([dense, sparse_arm(c, where, qid_doc=qid)], k=10)
+        got = sorted((r["rank"], r["id"], r["score"]) for r in single.collect())
+        assert got == sorted(batch[qid])
