@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import packing, rules, sharding
+from filtra.llm import classifier, packing, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3,
+    "op7_quality_classifier": classifier.op7,
     "op8_quality_rules": rules.op8,
     "op10_sharding": sharding.op10,
 }
