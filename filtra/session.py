@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder."""
     root = shared_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark context.
+
+    A submitter may also pass it with ``--py-files``; the copy sent here is then unused.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_filtra_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="filtra-py-"), "filtra_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("filtra", os.path.relpath(path, package)))
+    sc.addPyFile(target)
+    sc._filtra_shipped = True
