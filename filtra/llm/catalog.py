@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import classifier, packing, rules, sharding
+from filtra.llm import classifier, packing, pii, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1,
     "op3_packing": packing.op3,
     "op7_quality_classifier": classifier.op7,
     "op8_quality_rules": rules.op8,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import cut, fold, table
+from filtra.llm.common import cut, fold, ship_package, table
 
 SAMPLE_ROWS = 8192  # labelled rows used for training, at most
 SHARDS = 8  # training shards
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
     The driver holds SHARDS parameter sets of a fixed size. Without labelled rows
     the model stays untrained with zero weights (every score is 0.5).
     """
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     rows = cut(training_rows(docs, labels, sample))
     model = Model()
@@ -213,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score: probability of class 1 for every whole text (null: empty)."""
+    ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.feature_scores(), float(model.bias[1] - model.bias[0])))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import stored, table
+from filtra.llm.common import ship_package, stored, table
 
 CAPACITY = 2048
 GROUP_PIECES = 8192  # expected pieces per packing group
@@ -127,6 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """doc_id, piece, start, length, ids_crc32: every document tokenised, ended
     by id 0, and cut into runs of ``capacity`` tokens. Null text counts as empty
     (one token, the end)."""
+    ship_package(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([END_ID], dtype="<u4")

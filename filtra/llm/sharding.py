@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import cut, table
+from filtra.llm.common import cut, ship_package, table
 
 SHARDS = 24
 ROUNDS = 6
@@ -93,6 +93,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     equal rows gets which place does not matter). An empty table gives no rows.
     Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
     """
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"))
