@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import classifier, packing, pii, rules, sharding
+from filtra.llm import ann, classifier, mixing, packing, pii, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
+    "op2_mixing": mixing.op2,
     "op3_packing": packing.op3,
+    "op4_nearest_neighbours": ann.op4,
     "op7_quality_classifier": classifier.op7,
     "op8_quality_rules": rules.op8,
     "op10_sharding": sharding.op10,

@@ -14,6 +14,7 @@ import operator
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,6 +174,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
                       F.col("_label").cast("int").alias("_label"), F.col("_t._text").alias("_text"))
 
 
+def _shard_trainer(round_no: int, sent):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = Model.__new__(Model)
+        m.emb, m.out, m.bias = sent.value
+        pdf = pdf.sort_values("_id")
+        shard = int(pdf["_shard"].iloc[0])
+        done = train_shard(m, pdf["_text"].tolist(), pdf["_label"].to_numpy(), 1000 * round_no + shard)
+        return pd.DataFrame({"n": [len(pdf)], "emb": [done.emb.tobytes()], "out": [done.out.tobytes()],
+                             "bias": [done.bias.tobytes()]})
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     """Rounds of local descent in SHARDS shards, each followed by an average.
 
@@ -186,17 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
     for r in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model.emb, model.out, model.bias))
 
-        def run(pdf, round_no=r, sent=sent):
-            import pandas as pd
-            m = Model.__new__(Model)
-            m.emb, m.out, m.bias = sent.value
-            pdf = pdf.sort_values("_id")
-            shard = int(pdf["_shard"].iloc[0])
-            done = train_shard(m, pdf["_text"].tolist(), pdf["_label"].to_numpy(), 1000 * round_no + shard)
-            return pd.DataFrame({"n": [len(pdf)], "emb": [done.emb.tobytes()], "out": [done.out.tobytes()],
-                                 "bias": [done.bias.tobytes()]})
-
-        parts = rows.groupBy("_shard").applyInPandas(run, "n long, emb binary, out binary, bias binary").collect()
+        parts = rows.groupBy("_shard").applyInPandas(
+            _shard_trainer(r, sent), "n long, emb binary, out binary, bias binary").collect()
         if not parts:
             model.out[:] = 0
             return model
