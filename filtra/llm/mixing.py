@@ -21,9 +21,11 @@ TARGETS = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
 SAMPLE_ROWS = 12_000  # labelled rows that train the classifier, at most
 BUCKETS = 1 << 14  # hashed word features
 SMOOTH = 20.0  # documents' worth of the overall share mixed into a domain's
+SURE = 4.0  # standard deviations from chance that a feature's share must lie
 TEMPERATURES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0)
 TOLERANCE = 1e-7  # largest gap to a target, as a share of all tokens
 MAX_STEPS = 200
+PATIENCE = 20  # steps without progress after which targets count as out of reach
 CUT_EVERY = 8  # steps folded into one expression before rates are stored
 SEED = 3
 
@@ -68,9 +70,9 @@ def _sum_of(feats: str, per_feature: Column) -> Column:
 
 
 class Posterior:
-    """Log weights per domain and feature, priors and a temperature."""
+    """Log weights per domain and feature, priors, and a temperature per domain."""
 
-    def __init__(self, domains: list[str], weights: np.ndarray, prior: np.ndarray, temperature: float):
+    def __init__(self, domains: list[str], weights: np.ndarray, prior: np.ndarray, temperature: list[float]):
         self.domains, self.weights, self.prior, self.temperature = domains, weights, prior, temperature
 
     def scores(self, feats: str) -> list[Column]:
@@ -88,9 +90,9 @@ class Posterior:
         return softmax(df, k, self.prior, self.temperature)
 
 
-def softmax(df: DataFrame, k: int, prior: np.ndarray, temperature: float) -> DataFrame:
+def softmax(df: DataFrame, k: int, prior: np.ndarray, temperature: list[float]) -> DataFrame:
     """_p_<i> from the likelihood scores _s_<i>."""
-    z = [F.col(f"_s_{i}") * temperature + float(prior[i]) for i in range(k)]
+    z = [F.col(f"_s_{i}") * float(temperature[i]) + float(prior[i]) for i in range(k)]
     df = df.withColumns({f"_z_{i}": c for i, c in enumerate(z)})
     top = F.greatest(*[F.col(f"_z_{i}") for i in range(k)]) if k > 1 else F.col("_z_0")
     df = df.withColumns({f"_e_{i}": F.exp(F.col(f"_z_{i}") - top) for i in range(k)})
@@ -102,7 +104,7 @@ def softmax(df: DataFrame, k: int, prior: np.ndarray, temperature: float) -> Dat
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE_ROWS) -> Posterior:
     """Naive Bayes over distinct hashed words, from at most ``sample`` labelled rows.
 
-    Three quarters give the word counts, one quarter the temperature with the least
+    Three quarters give the word counts, one quarter the temperatures with the least
     log loss. Several labels of one id count as the last in order of name. Without
     labelled rows all posteriors are equal.
     """
@@ -124,28 +126,34 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     for r in got:
         count[domains.index(r["_domain"]), r["b"]] = r["n"]
     if not sizes:
-        return Posterior(domains, np.zeros((k, BUCKETS)), np.zeros(k), 1.0)
+        return Posterior(domains, np.zeros((k, BUCKETS)), np.zeros(k), [1.0] * k)
     n = np.array([sizes.get(d, 0) for d in domains], dtype=float)
     # share of a domain's documents that hold the feature, drawn towards its share in all
     overall = (count.sum(axis=0) + 0.5) / (n.sum() + 1)
     weights = np.log((count + SMOOTH * overall) / (n[:, None] + SMOOTH))
+    # features whose share in a domain could be chance say nothing about it
+    z = (count - n[:, None] * overall) / np.sqrt(n[:, None] * overall * (1 - np.minimum(overall, 0.999)) + 1e-9)
+    weights = np.where(np.abs(z) >= SURE, weights, np.log(overall))
     prior = np.log((n + 0.5) / (n.sum() + 0.5 * k))
-    model = Posterior(domains, weights, prior, 1.0)
+    model = Posterior(domains, weights, prior, [0.3] * k)
     scored = rows.filter("_held").withColumns({f"_s_{i}": s for i, s in enumerate(model.scores("_f"))})
     which = F.coalesce(*[F.when(F.col("_domain") == d, F.lit(i)) for i, d in enumerate(domains)])
-    losses = []
-    for t in TEMPERATURES:
-        z = [F.col(f"_s_{i}") * t + float(prior[i]) for i in range(k)]
-        top = F.greatest(*z) if k > 1 else z[0]
-        logsum = top + F.log(sum((F.exp(c - top) for c in z[1:]), F.exp(z[0] - top)))
-        own = F.coalesce(*[F.when(which == i, z[i]) for i in range(k)])
-        losses.append(F.avg(logsum - own))
-    found = scored.agg(*[x.alias(f"l{i}") for i, x in enumerate(losses)]).first()
-    if found["l0"] is not None:
-        model.temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda i: found[f"l{i}"])]
+    for _ in range(2):  # one domain's temperature after the other, twice
+        for j in range(1, k):
+            tried = [[*model.temperature[:j], t, *model.temperature[j + 1:]] for t in TEMPERATURES]
+            found = scored.agg(*[_log_loss(which, prior, t).alias(f"l{i}") for i, t in enumerate(tried)]).first()
+            if found["l0"] is not None:
+                model.temperature = tried[min(range(len(tried)), key=lambda i: found[f"l{i}"])]
     return model
 
 
+def _log_loss(which: Column, prior: np.ndarray, temperature: list[float]) -> Column:
+    z = [F.col(f"_s_{i}") * float(t) + float(p) for i, (t, p) in enumerate(zip(temperature, prior))]
+    top = F.greatest(*z) if len(z) > 1 else z[0]
+    logsum = top + F.log(sum((F.exp(c - top) for c in z[1:]), F.exp(z[0] - top)))
+    return F.avg(logsum - F.coalesce(*[F.when(which == i, c) for i, c in enumerate(z)]))
+
+
 class Rates:
     """Fitted rates as a formula of the posteriors: r = 1, then after every step
     max(0, r - sum of step_k * p_k)."""
@@ -203,10 +211,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
         gap = np.array([row[f"e{i}"] for i in range(k)]) - targets
         worst = float(np.abs(gap).max()) / scale
         stuck = stuck + 1 if worst > last * 0.999 else 0
-        if worst < TOLERANCE or stuck > 5:  # met, or cannot be met
+        if worst < TOLERANCE or stuck > PATIENCE:  # met, or cannot be met
             break
         # a step that made things worse is followed by one in the safe metric
-        metric = full if worst > last else gram
+        metric = full if stuck else gram
         last = min(last, worst)
         rates.steps.append((np.linalg.pinv(metric, rcond=1e-10, hermitian=True) @ gap).tolist())
         if len(rates.steps) - done >= CUT_EVERY:
