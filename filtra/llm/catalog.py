@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import ann, classifier, mixing, packing, pii, rules, sharding
+from filtra.llm import ann, classifier, jaccard, mixing, packing, pii, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": ann.op4,
     "op7_quality_classifier": classifier.op7,
     "op8_quality_rules": rules.op8,
+    "op9_jaccard_join": jaccard.op9,
     "op10_sharding": sharding.op10,
 }
 
