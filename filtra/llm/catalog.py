@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import ann, classifier, jaccard, maxent, mixing, packing, pii, rules, sharding
+from filtra.llm import (ann, classifier, jaccard, maxent, mixing, packing, pii, rules, sharding,
+                        suffixes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
     "op2_mixing": mixing.op2,
     "op3_packing": packing.op3,
     "op4_nearest_neighbours": ann.op4,
+    "op5_suffix_dedup": suffixes.op5,
     "op6_lm_scores": maxent.op6,
     "op7_quality_classifier": classifier.op7,
     "op8_quality_rules": rules.op8,
