@@ -250,17 +250,19 @@ def _compare(batches):
             yield rows.assign(start=None, stop=None, other=None, part=part, side=side)[_COLUMNS]
 
 
-def _bridge(pdf: pd.DataFrame) -> pd.DataFrame:
+def _bridge(order: list[str]):
     """Matches across the border of two partitions: the last rows of one (side 2) and
     the first of the next."""
-    pdf = pdf.sort_values(["side", "h", "r", "l", "c", "pos"], ascending=[False, True, True, True, True, True])
-    first = int((pdf["side"] == 2).sum())
-    if first == 0 or first == len(pdf):
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("c", "start", "stop", "other")})
-    return matches(_Rows.of(pdf), first)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", *order], ascending=[False] + [True] * len(order))
+        first = int((pdf["side"] == 2).sum())
+        if first == 0 or first == len(pdf):
+            return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("c", "start", "stop", "other")})
+        return matches(_Rows.of(pdf), first)
+    return run
 
 
-def passage_matches(sorted_suffixes: DataFrame) -> DataFrame:
+def passage_matches(sorted_suffixes: DataFrame, order: list[str]) -> DataFrame:
     """c, start, stop, other over all partitions of the sorted suffixes."""
     out = stored(sorted_suffixes.mapInPandas(_compare, _SCHEMA), "matches")
     inside = out.filter("side = 0").select("c", "start", "stop", "other")
@@ -273,7 +275,7 @@ def passage_matches(sorted_suffixes: DataFrame) -> DataFrame:
     border = (edges.join(F.broadcast(rank), F.col("part") == F.col("_part"))
               .withColumn("border", F.col("rank") - F.when(F.col("side") == 1, 1).otherwise(0))
               .select("border", "side", "h", "r", "l", "nr", "nl", "c", "pos"))
-    across = border.groupBy("border").applyInPandas(_bridge, "c long, start long, stop long, other long")
+    across = border.groupBy("border").applyInPandas(_bridge(order), "c long, start long, stop long, other long")
     return inside.union(across)
 
 
@@ -305,8 +307,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = cut(rows.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"),
                                         F.max("n").alias("n")))
     found = stored(suffixes(docs, shared_grams(docs)), "suffixes")
-    order = ["h", "r", "l", "c", "pos"]
-    ranges = passage_matches(found.repartitionByRange(*order).sortWithinPartitions(*order))
+    # sorted by the words after a position, then by the words before it: a text whose
+    # nearest neighbour on one side shares little on the other is met in the second order
+    ranges = None
+    for order in (["h", "r", "l", "c", "pos"], ["h", "l", "r", "c", "pos"]):
+        part = passage_matches(found.repartitionByRange(*order).sortWithinPartitions(*order), order)
+        ranges = part if ranges is None else ranges.union(part)
     copies = classes.filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"),
                                                  F.col("c").alias("other"))
     merged = ranges.union(copies).groupBy("c").applyInPandas(_merge, "c long, start long, stop long, other long")
