@@ -12,19 +12,25 @@ MEMO_WORDS = 600_000
 _U = np.uint64
 _MULT = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                               0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_memo: dict[bytes, int] = {}
+
+
+class _Memo(dict):
+    """Word -> signed 64-bit hash; a worker remembers the words it meets first."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        h -= (h >> 63) << 64
+        if len(self) < MEMO_WORDS:
+            self[word] = h
+        return h
+
+
+_memo = _Memo()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash per word; frequent words are remembered by the worker."""
-    try:
-        return np.array([_memo[w] for w in words], dtype=_U)
-    except KeyError:
-        fresh = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) if w not in _memo}
-        if len(_memo) + len(fresh) <= MEMO_WORDS:
-            _memo.update(fresh)
-            fresh = {}
-        return np.array([_memo[w] if w in _memo else fresh[w] for w in words], dtype=_U)
+    """A 64-bit hash per word."""
+    return np.fromiter(map(_memo.__getitem__, words), dtype=np.int64, count=len(words)).view(_U)
 
 
 def lower_words(text: str) -> list[bytes]:
