@@ -1,91 +1,77 @@
 """Order-dependent numbering without a single-partition window.
 
 ``row_number() over (partition by p order by o)`` and running sums are
-computed as in a parallel prefix sum: rows are cut into balanced
-key-range blocks, each block is numbered locally, and a small per-block
-totals table supplies the offsets. No task ever holds more than one block,
-however skewed the partition key is.
+computed as in a parallel prefix sum: rows are range-sorted by (p, o) and
+checkpointed, so that every partition is a fixed block of the order; each block
+is numbered locally, and a small per-block totals table supplies the offsets.
+No task holds more than one block, however skewed the partition key is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Expected sample rows per block when choosing block boundaries.
-_SAMPLE_PER_BLOCK = 64
-
-
-def _blocks(df: DataFrame, blocks: int | None) -> int:
-    if blocks:
-        return int(blocks)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _boundaries(df: DataFrame, keys: list[str], n_blocks: int,
-                total: int | None = None) -> list[tuple]:
-    """n_blocks - 1 split points of the key order, from a seeded sample of
-    about 64 rows per block (the only rows that reach the driver)."""
-    if n_blocks <= 1:
-        return []
-    if total is None:
-        total = df.count()
-    if total == 0:
-        return []
-    frac = min(1.0, n_blocks * _SAMPLE_PER_BLOCK / total)
-    sample = [tuple(r) for r in df.select(*keys).sample(False, frac, seed=17).collect()]
-    sample = [t for t in sample if all(v is not None for v in t)]
-    sample.sort()
-    if not sample:
-        return []
-    cuts = sorted({sample[(i * len(sample)) // n_blocks] for i in range(1, n_blocks)})
-    return cuts
-
-
-def block_of(keys: list[str], types: dict, cuts: list[tuple]) -> Column:
-    """Block number of a row: how many split points its key tuple exceeds.
-
-    A pure function of the row's own key, so every evaluation of a plan agrees
-    on it (unlike partition ids after a range shuffle, whose sampled bounds
-    can differ between evaluations).
+from filtra.session import shared_dir
+
+_POSITION = (1 << 33) - 1  # monotonically_increasing_id keeps the position in 33 bits
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match null keys; the left side's keys are kept."""
+    side = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys],
+                        *[F.col(c) for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return left.join(side, cond, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def _blocks(df: DataFrame, keys: list[str], blocks: int | None) -> DataFrame:
+    """Rows in blocks of the key order: ``_blk`` numbers the block, ``_pos`` the row in it.
+
+    The checkpoint fixes the blocks: later reads see the same rows in them.
     """
-    if not cuts:
-        return F.lit(0).cast("long")
-    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    acc = None
-    for c in cuts:
-        lit = F.struct(*[F.lit(v).cast(types[k]).alias(f"k{i}") for i, (k, v) in
-                         enumerate(zip(keys, c))])
-        term = F.when(row > lit, 1).otherwise(0)
-        acc = term if acc is None else acc + term
-    return acc.cast("long")
+    shared_dir(df.sparkSession)
+    ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
+    fixed = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
+    return (fixed.withColumn("_blk", F.spark_partition_id().cast("long"))
+            .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION))))
 
 
 def row_index(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
               out: str, blocks: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number per ``partition_cols`` in ``order_cols`` order.
 
-    Rows are cut into key-range blocks of similar size (a hot partition key
-    spans many blocks); each (key, block) is numbered by a window, and the
-    counts of earlier blocks -- a table of at most blocks + keys rows -- give
-    the offsets. Key columns must be non-null.
+    A hot partition key spans many blocks. The counts of earlier blocks -- a table
+    of at most blocks + keys rows -- give the offsets. Null keys form a partition.
     """
     p = list(partition_cols)
-    o = list(order_cols)
-    keys = p + o
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cuts = _boundaries(df, keys, _blocks(df, blocks))
-    tagged = df.withColumn("_blk", block_of(keys, types, cuts))
-    within = Window.partitionBy(*p, "_blk").orderBy(*o)
-    local = tagged.withColumn("_loc", F.row_number().over(within))
-    totals = tagged.groupBy(*p, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = _blocks(df, [*p, *order_cols], blocks)
+    totals = tagged.groupBy(*p, "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*p, "_blk", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (join_on(tagged, offsets, [*p, "_blk"])
+            .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long"))
+            .drop("_blk", "_pos", "_first", "_off"))
+
+
+def _offset_sums(tagged: DataFrame, p: list[str], order: list[str], value_col: str, out: str,
+                 exclusive: bool) -> DataFrame:
+    """Sums inside (partition, block) plus the sums of the partition's earlier blocks."""
+    within = Window.partitionBy(*p, "_blk").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("_loc", F.sum(value_col).over(within))
+    totals = tagged.groupBy(*p, "_blk").agg(F.sum(value_col).alias("_t"))
     before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = local.join(offsets, on=[*p, "_blk"], how="inner")
-    return (joined.withColumn(out, (F.col("_off") + F.col("_loc")).cast("long"))
-            .drop("_blk", "_loc", "_off"))
+    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    res = join_on(local, offsets, [*p, "_blk"])
+    total = F.col("_off") + F.col("_loc")
+    if exclusive:
+        total = total - F.col(value_col)
+    return res.withColumn(out, total).drop("_blk", "_loc", "_off")
 
 
 def running_sum_by_index(df: DataFrame, partition_cols: Sequence[str], index_col: str,
@@ -97,45 +83,18 @@ def running_sum_by_index(df: DataFrame, partition_cols: Sequence[str], index_col
     so that ``index div block_size`` cuts every partition into blocks of at most
     ``block_size`` rows; the window then runs per (partition, block).
     """
-    p = list(partition_cols)
     blk = F.floor((F.col(index_col) - 1) / F.lit(block_size)).cast("long")
-    tagged = df.withColumn("_blk", blk)
-    within = Window.partitionBy(*p, "_blk").orderBy(index_col).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = tagged.withColumn("_loc", F.sum(value_col).over(within))
-    totals = tagged.groupBy(*p, "_blk").agg(F.sum(value_col).alias("_t"))
-    before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    res = local.join(offsets, on=[*p, "_blk"], how="inner")
-    total = F.col("_off") + F.col("_loc")
-    if exclusive:
-        total = total - F.col(value_col)
-    return res.withColumn(out, total).drop("_blk", "_loc", "_off")
+    return _offset_sums(df.withColumn("_blk", blk), list(partition_cols), [index_col], value_col, out, exclusive)
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str],
                 value_col: str, out: str, exclusive: bool = False,
-                blocks: int | None = None, total_rows: int | None = None) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Running ``sum(value)`` per partition in ``order_cols`` order (rows frame).
 
-    Same key-range blocking as :func:`row_index`: block sums give the offsets,
-    the window runs per (partition, block). ``exclusive`` leaves the current
-    row out (the sum of all earlier rows).
+    Same blocks as :func:`row_index`. ``exclusive`` leaves the current row out (the
+    sum of all earlier rows).
     """
     p = list(partition_cols)
-    o = list(order_cols)
-    keys = p + o
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cuts = _boundaries(df, keys, _blocks(df, blocks), total_rows)
-    tagged = df.withColumn("_blk", block_of(keys, types, cuts))
-    within = Window.partitionBy(*p, "_blk").orderBy(*o).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = tagged.withColumn("_loc", F.sum(value_col).over(within))
-    totals = tagged.groupBy(*p, "_blk").agg(F.sum(value_col).alias("_t"))
-    before = Window.partitionBy(*p).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*p, "_blk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    res = local.join(offsets, on=[*p, "_blk"], how="inner")
-    total = F.col("_off") + F.col("_loc")
-    if exclusive:
-        total = total - F.col(value_col)
-    return res.withColumn(out, total).drop("_blk", "_loc", "_off")
+    tagged = _blocks(df, [*p, *order_cols], blocks)
+    return _offset_sums(tagged, p, ["_pos"], value_col, out, exclusive).drop("_pos")

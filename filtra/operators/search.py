@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from filtra.config import OUTPUT_FIELDS, SCALAR_FIELDS
 from filtra.functions.vectors import SCORE_SCALE, higher_is_nearer, score_expr, vector_literal
 from filtra.operators.topk import attach_fields, topk
+from filtra.session import ship_package
 
 # Broadcast budget for the query side of R2 (bytes). Above it the queries are
 # split into slices that each fit, and the slices are searched one by one.
@@ -30,13 +31,15 @@ MAX_QUERY_BROADCAST_BYTES = 64 << 20
 # Rows scored per kernel step: (rows x dim) and (queries x rows) matrices stay
 # small (2048 x 3072 doubles = 50 MB) even if Arrow batches are larger.
 KERNEL_ROWS = 2048
-# Largest IN list applied as a literal predicate; longer lists become a
-# semi join against a DataFrame of keys.
+# Work arrays of the kernel hold at most so many (query, row) cells.
+KERNEL_CELLS = 1 << 22
+# Longest IN list derived from a batch's predicates for pruning the scan.
 MAX_LITERAL_IN = 1000
 
 
 # Above this dimension R1 scores with the block kernel: one matrix product per
-# Arrow batch beats a per-row zip_with/aggregate over thousands of elements.
+# Arrow batch beats a per-row zip_with/aggregate over thousands of elements. The
+# results are the same: scores are exact and rounded half up either way.
 KERNEL_MIN_DIM = 256
 
 
@@ -80,17 +83,25 @@ def search(corpus: DataFrame, query, where: Column | None = None, k: int = 10,
     return top.select("rank", "id", "score", *fields)
 
 
-def in_list(col: str, values: Sequence) -> Column:
-    vals = list(values)
-    if len(vals) > MAX_LITERAL_IN:
-        raise ValueError(f"IN list of {len(vals)} values: pass it as a DataFrame (semi join)")
-    return F.col(col).isin(vals) if vals else F.lit(False)
+def round_half_up(x: np.ndarray, scale: int = SCORE_SCALE) -> np.ndarray:
+    """Rounding of the score expressions: halves away from zero."""
+    unit = 10.0 ** scale
+    return np.copysign(np.floor(np.abs(x) * unit + 0.5) / unit, x)
+
+
+def exact_l2(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(rows x queries) Euclidean distances from the differences themselves: the expansion
+    |b|^2 - 2 b q + |q|^2 cancels for near copies."""
+    out = np.empty((len(rows), len(queries)))
+    for i, q in enumerate(queries):
+        d = rows - q
+        out[:, i] = np.sqrt(np.einsum("nd,nd->n", d, d))
+    return out
 
 
 # --------------------------------------------------------------------------- R2
 
-def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str],
-                    list_field: str | None):
+def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str]):
     """Per-partition scorer: keeps the k best rows per query over all batches."""
 
     def kernel(batches):
@@ -126,15 +137,12 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
             if ok.any():
                 flat = vecs.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False)
                 B[ok] = flat.astype(np.float64).reshape(-1, dim)
-            S = B @ Q.T  # (n, nq)
-            if metric == "L2":
-                bn2 = (B * B).sum(axis=1)
-                S = np.sqrt(np.maximum(bn2[:, None] - 2.0 * S + (qnorm ** 2)[None, :], 0.0))
-            elif metric == "COSINE":
+            S = exact_l2(B, Q) if metric == "L2" else B @ Q.T  # (n, nq)
+            if metric == "COSINE":
                 bn = np.sqrt((B * B).sum(axis=1))
                 den = bn[:, None] * qnorm[None, :]
                 S = np.where(den == 0, 0.0, S / np.where(den == 0, 1.0, den))
-            S = np.round(S, SCORE_SCALE).T  # (nq, n)
+            S = round_half_up(S).T  # (nq, n)
             mask = np.broadcast_to(ok[None, :], (nq, n)).copy()
             for f in pred_fields:
                 # codes of the batch's values in the queries' value set (-1: none)
@@ -143,11 +151,6 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
                 cc = cc.to_numpy(zero_copy_only=False).astype(np.int64)
                 qc = p["pred_codes"][f]  # -2 = wildcard
                 mask &= (qc[:, None] == cc[None, :]) | (qc[:, None] == -2)
-            if list_field is not None:
-                col = np.array(rb.column(list_field).to_pylist(), dtype=object)
-                for qi, allowed in enumerate(p["lists"]):
-                    if allowed is not None:
-                        mask[qi] &= np.isin(col, allowed)
             key = np.where(mask, S if higher else -S, -np.inf)
             take = min(k, n)
             # candidates: every matching row at or above the query's k-th best
@@ -187,8 +190,9 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
     return kernel
 
 
-def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields, list_field):
+def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields):
     spark = corpus.sparkSession
+    ship_package(spark)
     dim = len(qrows[0]["q"])
     Q = np.array([r["q"] for r in qrows], dtype=np.float64).reshape(len(qrows), dim)
     preds = {f: [r[f] for r in qrows] for f in pred_fields}
@@ -199,11 +203,10 @@ def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields, list_f
         pred_values[f] = pa.array(uniq) if uniq else pa.array([], pa.string())
         pred_codes[f] = np.array([pos[v] if v is not None else -2 for v in vs], dtype=np.int64)
     payload = {
-        "Q": Q, "k": int(k), "metric": metric.upper(), "step": int(KERNEL_ROWS),
+        "Q": Q, "k": int(k), "metric": metric.upper(),
+        "step": max(1, min(int(KERNEL_ROWS), KERNEL_CELLS // max(len(qrows), 1))),
         "qids": np.array([r["qid"] for r in qrows], dtype=np.int64),
         "preds": preds, "pred_values": pred_values, "pred_codes": pred_codes,
-        "lists": [list(r[list_field]) if (list_field and r[list_field] is not None) else None
-                  for r in qrows] if list_field else None,
     }
     # Static pruning: when every query fixes a field, only rows holding one of
     # those values can match; the IN list reaches the scan (and partition
@@ -213,15 +216,15 @@ def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields, list_f
         vals = payload["preds"][f]
         if vals and all(v is not None for v in vals) and len(set(vals)) <= MAX_LITERAL_IN:
             df = df.filter(F.col(f).isin(sorted(set(vals))))
-    cols = [id_col, vec_col, *pred_fields] + ([list_field] if list_field else [])
+    cols = [id_col, vec_col, *pred_fields]
     bc = spark.sparkContext.broadcast(payload)
-    kern = _kernel_factory(bc, vec_col, id_col, pred_fields, list_field)
+    kern = _kernel_factory(bc, vec_col, id_col, pred_fields)
     return df.select(*cols).mapInArrow(kern, "qid long, id long, score double")
 
 
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "IP",
                  fields: Sequence[str] = OUTPUT_FIELDS,
-                 pred_fields: Sequence[str] | None = None, list_field: str | None = None,
+                 pred_fields: Sequence[str] | None = None,
                  qid_col: str = "qid", qvec_col: str = "q_dense", vec_col: str = "embedding",
                  id_col: str = "id",
                  max_query_bytes: int = MAX_QUERY_BROADCAST_BYTES) -> DataFrame:
@@ -229,16 +232,12 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
     ``queries`` holds ``qid``, the query vector and, per field in
     ``pred_fields`` (default: the scalar fields present), a predicate value
-    where null means "not restricted". ``list_field`` names an optional
-    array<string> column of allowed values for the same-named corpus column
-    (documentId IN list). Result: qid, rank, id, score, *fields.
+    where null means "not restricted". Result: qid, rank, id, score, *fields.
     """
     if pred_fields is None:
         pred_fields = [f for f in SCALAR_FIELDS if f in queries.columns]
     pred_fields = list(pred_fields)
     qcols = [F.col(qid_col).alias("qid"), F.col(qvec_col).alias("q"), *pred_fields]
-    if list_field:
-        qcols.append(list_field)
     # The query table is small but may be derived from the corpus: keep it for
     # the two actions below (size check, then the bounded collect).
     qdf = queries.select(*qcols).persist(StorageLevel.MEMORY_AND_DISK)
@@ -258,7 +257,7 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str
             qrows = [r.asDict() for r in sl.collect()]
             if qrows:
                 parts.append(_search_slice(corpus, qrows, k, metric, vec_col, id_col,
-                                           pred_fields, list_field))
+                                           pred_fields))
     qdf.unpersist()
     cand = parts[0]
     for p in parts[1:]:

@@ -144,6 +144,7 @@ def _join_terms(postings: DataFrame, terms: DataFrame, on=None) -> DataFrame:
 
 # Token buckets of a stored posting index (see write_postings).
 POSTING_BUCKETS = 64
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def token_bucket(col="token", buckets: int = POSTING_BUCKETS):
@@ -159,7 +160,10 @@ def write_postings(postings: DataFrame, path: str, buckets: int = POSTING_BUCKET
     holding a frequent token is not one task."""
     out = postings.withColumn("tb", token_bucket("token", buckets))
     out = out.repartition(F.col("tb"), F.pmod(F.xxhash64("id"), F.lit(16)))
-    out.write.mode(mode).partitionBy("tb").parquet(path)
+    # sorted by token, row groups of other tokens are skipped; the bucket count travels
+    # with the rows (one dictionary entry per file)
+    (out.withColumn("n_tb", F.lit(int(buckets))).sortWithinPartitions("tb", "token").write.mode(mode)
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("tb").parquet(path))
 
 
 def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (),
@@ -170,6 +174,10 @@ def sparse_scores(postings: DataFrame, terms: DataFrame, keys: Sequence[str] = (
     so per-query filters are applied inside the join.
     """
     if "tb" in postings.columns:
+        if "n_tb" in postings.columns:  # the stored index knows its bucket count
+            row = postings.select("n_tb").first()
+            buckets = row["n_tb"] if row else buckets
+            postings, terms = postings.drop("n_tb"), terms.drop("tb")
         if "tb" not in terms.columns:
             terms = terms.withColumn("tb", token_bucket("token", buckets))
         # static pruning: the query's buckets (at most ``buckets`` values)

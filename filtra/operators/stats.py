@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filtra.config import COLLECTION_LIMIT, SAMPLE_EVERY
-from filtra.operators.ordering import row_index, running_sum_by_index
+from filtra.operators.ordering import join_on, row_index, running_sum_by_index
 
 
 # ----------------------------------------------------------- percentiles
@@ -21,13 +21,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
 
     Values are numbered per key with the range-partitioned ``row_index``, and
     only the two rows around each h are joined back, so no task ever holds a
-    whole group -- unlike a percentile aggregate, whose buffer grows with the
+    whole group, and null keys are a group -- unlike a percentile aggregate, whose buffer grows with the
     distinct values of the group.
     """
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    for k in keys:
-        base = base.filter(F.col(k).isNotNull())
     idx = row_index(base, keys, ["_v"], "_pos_idx")
     cnt = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     need = []
@@ -37,7 +35,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
             need.append(F.struct(F.lit(i).alias("_i"), F.lit(role).alias("_role"),
                                  (pos + 1).cast("long").alias("_pos"), h.alias("_h")))
     wanted = cnt.select(*keys, F.explode(F.array(*need)).alias("_w")).select(*keys, "_w.*")
-    got = idx.withColumnRenamed("_pos_idx", "_pos").join(wanted, [*keys, "_pos"], "inner")
+    got = idx.withColumnRenamed("_pos_idx", "_pos").transform(join_on, wanted, [*keys, "_pos"])
     per = got.groupBy(*keys, "_i").agg(
         F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_hi"),
@@ -60,9 +58,9 @@ def latency_summary(samples: DataFrame, keys: Sequence[str], value: str = "laten
         F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
     pct = exact_percentiles(samples, keys, value, (0.5, 0.95, 0.99),
                             ("p50_ms", "p95_ms", "p99_ms"))
-    stats = basic.join(pct, keys, "left")
+    stats = join_on(basic, pct, keys, "left")
     if labels is not None:
-        stats = labels.select(*keys).distinct().join(stats, keys, "left")
+        stats = join_on(labels.select(*keys).distinct(), stats, keys, "left")
     cols = ["p50_ms", "p95_ms", "p99_ms", "mean_ms", "min_ms", "max_ms"]
     return stats.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"),
                         *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in cols])

@@ -739,8 +739,10 @@ def stream_latency_qps_q(spark, sf_dir):
     from filtra.sources.tables import request_log_view
     from filtra.streaming.monitor import latency_windows
     log = request_log_view(spark, sf_dir)
-    sliced = log.withColumn("_s", F.floor((F.unix_seconds("ts") - F.lit(1704067200)) / (8 * 86400)))
-    src = _land(sliced, "landing-requests", slices=[0, 1, 2, 3], slice_col="_s")  # 8-day slices
+    span = log.agg(F.min(F.unix_seconds("ts")).alias("a"), F.max(F.unix_seconds("ts")).alias("b")).first()
+    first, width = span["a"] or 0, ((span["b"] or 0) - (span["a"] or 0)) // 4 + 1
+    sliced = log.withColumn("_s", F.floor((F.unix_seconds("ts") - F.lit(first)) / F.lit(width)))
+    src = _land(sliced, "landing-requests", slices=[0, 1, 2, 3], slice_col="_s")  # quarters of the log's span
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(src)
     out, ck = scratch_path(spark, "latency-windows"), scratch_path(spark, "latency-ck")
     q = (latency_windows(stream).writeStream.format("parquet").option("path", out)

@@ -364,7 +364,7 @@ ORACLE_SQL.update({
     "zipf_assign": with_(*zipf_pools()) + zipf_select(),
     "chunk_expand": with_(*GEN) + "SELECT * FROM gen",
     "content_template": with_(CHUNKS)
-    + "SELECT id, rpad('', 256, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ') "
+    + "SELECT id, rpad('', 256, 'a placeholder passage of a document chunk; ') "
       "AS content FROM chunks",
     "chunks_per_document": with_(*GEN, "per AS (SELECT documentId, count(*) AS n FROM gen GROUP BY documentId)")
     + "SELECT count(*) AS documents, sum(n)::BIGINT AS rows, min(n) AS min_chunks, max(n) AS max_chunks, "

@@ -10,18 +10,15 @@ partitioning, task retries or the number of executors:
 from __future__ import annotations
 
 import math
-import string
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filtra.config import (CHUNKS_PER_DOC_MAX, CHUNKS_PER_DOC_MIN, CONTENT_LENGTH, PoolSpec,
                            QUERY_SEED, SEED, SPARSE_NNZ_QUERY, SPARSE_NNZ_ROW, SPARSE_VOCAB,
                            ZIPF_ALPHA)
-from filtra.functions.hashing import md5_uint32, md5_uniform, xx_uniform
+from filtra.functions.hashing import md5_uint32, md5_uniform
 from filtra.functions.vectors import normalize
 from filtra.operators.ordering import running_sum
 
@@ -36,8 +33,8 @@ POOL_FORMATS = {
 # md5 salt per drawn field.
 FIELD_SALTS = {"kbId": "kb:", "study": "study:", "site": "site:", "patient": "patient:",
                "visit": "visit:"}
-# Fixed value: the placeholder alphabet of the content template.
-CONTENT_ALPHABET = string.ascii_letters + string.digits + " "
+# Filler of the content template, repeated to the wanted length.
+CONTENT_FILLER = "a placeholder passage of a document chunk; "
 
 
 def pool_values(field: str, card: int) -> list[str]:
@@ -102,10 +99,14 @@ def zipf_assign(key, field: str, card: int, alpha: float = ZIPF_ALPHA,
     return F.expr(f"element_at(array({values}), ({idx}) + 1)")
 
 
+def _check_span(lo: int, hi: int) -> None:
+    if not 1 <= lo <= hi:
+        raise ValueError(f"a document needs between 1 and {hi} chunks at least: got {lo}..{hi}")
+
+
 def chunk_counts(key, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS_PER_DOC_MAX) -> Column:
     """n ~ U{lo..hi} inclusive from md5('n:' || key)."""
-    if lo < 1 or hi < lo:
-        raise ValueError(f"invalid chunks per document range [{lo}, {hi}]")
+    _check_span(lo, hi)
     return (F.lit(lo) + F.pmod(md5_uint32("n:", key), F.lit(hi - lo + 1))).cast("int")
 
 
@@ -121,12 +122,10 @@ def chunk_expand(docs: DataFrame, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS
     running sum of n computed blockwise, so no task sees all documents.
     Result: id, documentId, n, chunk_no, kbId, study, site, patient, visit.
     """
-    if lo < 1 or hi < lo:
-        raise ValueError(f"invalid chunks per document range [{lo}, {hi}]")
     d = docs.select(F.col(doc_col).alias("doc_id"))
     d = d.withColumn("n", chunk_counts("doc_id", lo, hi))
     st = d.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("rows")).first()
-    d = running_sum(d, [], ["doc_id"], "n", "offset", exclusive=True, total_rows=int(st["docs"]))
+    d = running_sum(d, [], ["doc_id"], "n", "offset", exclusive=True)
     if total_rows is not None:
         # documents that start at or after the cut produce nothing
         d = d.filter(F.col("offset") < F.lit(int(total_rows)))
@@ -151,9 +150,9 @@ def chunk_expand(docs: DataFrame, lo: int = CHUNKS_PER_DOC_MIN, hi: int = CHUNKS
                      "visit")
 
 
-# Up to this dimension a vector is one codegen'd SQL expression (its size
-# grows with dim^2 before subexpression elimination); above it a vectorised
-# pandas UDF generates whole Arrow batches with numpy.
+# Up to this dimension a vector is one codegen'd SQL expression (its size grows with
+# dim^2 before subexpression elimination); above it the same draws come from a
+# higher-order function. Both give the same vectors.
 EXPR_MAX_DIM = 16
 
 
@@ -164,17 +163,9 @@ def _xx_uniform_sql(seed: int, key: str, j: int, stream: int) -> str:
 
 def dense_vectors(key, dim: int, seed: int = SEED) -> Column:
     """Dim gaussian components (Box-Muller of hashed uniforms), float32,
-    L2-normalised (zero norm counts as 1).
-
-    Up to EXPR_MAX_DIM one SQL expression (one plan-building call); each
-    component appears in the norm and in the array, and codegen's common
-    subexpression elimination evaluates it once.
-    """
-    if dim > EXPR_MAX_DIM:
-        k = F.col(key) if isinstance(key, str) else key
-        return _dense_vectors_udf(seed, dim)(k.cast("long"))
-    if not isinstance(key, str):
-        raise TypeError("key must be a column name")
+    L2-normalised (zero norm counts as 1). ``key`` is a column or its name."""
+    if dim > EXPR_MAX_DIM or not isinstance(key, str):
+        return normalize(_raw_components(key, dim, seed))
     k = f"`{key}`"
     comps = [f"cast(cast(sqrt(-2.0D * ln({_xx_uniform_sql(seed, k, j, 0)})) * "
              f"cos({2.0 * math.pi!r}D * {_xx_uniform_sql(seed, k, j, 1)}) AS FLOAT) AS DOUBLE)"
@@ -184,30 +175,16 @@ def dense_vectors(key, dim: int, seed: int = SEED) -> Column:
     return F.expr("array(" + ", ".join(f"cast({c} / {safe} AS FLOAT)" for c in comps) + ")")
 
 
-def _splitmix64(x):
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype(np.uint64)
-    return x ^ (x >> np.uint64(31))
-
+def _raw_components(key, dim: int, seed: int) -> Column:
+    """The draws of :func:`dense_vectors` for any dimension, before normalising."""
+    k = F.col(key) if isinstance(key, str) else key
 
-def _dense_vectors_udf(seed: int, dim: int):
-    @F.pandas_udf("array<float>")
-    def gen(keys: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            kk = keys.to_numpy(dtype=np.int64).astype(np.uint64)[:, None]
-            j = np.arange(dim, dtype=np.uint64)[None, :]
-            base = _splitmix64(_splitmix64(kk ^ np.uint64(seed)) + j * np.uint64(2))
-            h1, h2 = _splitmix64(base), _splitmix64(base ^ np.uint64(0xD1B54A32D192ED03))
-        u1 = ((h1 >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-        u2 = ((h2 >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-        v = (np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)).astype(np.float32)
-        n = np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
-        n[n == 0] = 1.0
-        v = (v / n).astype(np.float32)
-        return pd.Series(list(v))
+    def uniform(j, stream: int) -> Column:
+        h = F.xxhash64(F.lit(seed), k, j, F.lit(stream))
+        return (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
-    return gen
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda j: (
+        F.sqrt(F.lit(-2.0) * F.log(uniform(j, 0))) * F.cos(F.lit(2.0 * math.pi) * uniform(j, 1))).cast("float"))
 
 
 def _coprime_steps(vocab: int, count: int = 16) -> list[int]:
@@ -243,7 +220,7 @@ def sparse_vectors(key, vocab: int = SPARSE_VOCAB, nnz: int = SPARSE_NNZ_ROW,
 
 def with_content(df: DataFrame, length: int = CONTENT_LENGTH, col: str = "content") -> DataFrame:
     """The same placeholder text of ``length`` characters on every row."""
-    return df.withColumn(col, F.rpad(F.lit(""), int(length), CONTENT_ALPHABET))
+    return df.withColumn(col, F.rpad(F.lit(""), int(length), CONTENT_FILLER))
 
 
 def query_set(keys: DataFrame, key: str, dim: int, seed: int = QUERY_SEED,

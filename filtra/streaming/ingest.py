@@ -1,9 +1,9 @@
 """Streaming ingest of chunk files into the corpus table.
 
-readStream (bounded files per trigger) -> row-level validation -> parquet
-file sink with a checkpoint. The sink's commit log makes the write
-exactly-once: restarting on the same checkpoint skips committed files, so a
-resumed ingest adds no duplicates.
+readStream (bounded files per trigger) -> row-level validation -> good rows and
+rejects as Parquet, a folder per micro-batch. Restarting on the same checkpoint
+skips committed batches, and a batch that failed half-way overwrites its own
+folders, so a resumed ingest adds no duplicates and loses no rejects.
 """
 
 from __future__ import annotations
@@ -23,22 +23,33 @@ def stream_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     Without ``interval``: run until all files present are ingested
     (availableNow) and return the number of micro-batches. With ``interval``
     (e.g. "30 seconds"): start a continuously running query that commits one
-    micro-batch per interval, and return its handle.
+    micro-batch per interval, and return its handle. Rows with a reason go to
+    ``rejects_dir`` either way; both folders are partitioned by ``batch``.
     """
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
     checked = src.withColumn("reasons", reasons_of(row_checks(src, dim)))
-    good = checked.filter(F.col("reasons") == "").drop("reasons")
-    w = (good.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append"))
+    done = {"batches": 0}
+
+    def write(batch, batch_id: int) -> None:
+        # one pass: the batch is validated once and kept while both sides are written;
+        # a folder per batch id is overwritten when a failed batch is run again
+        batch.persist()
+        try:
+            _put(batch.filter(F.col("reasons") == "").drop("reasons"), sink_dir, batch_id)
+            if rejects_dir:
+                _put(batch.filter(F.col("reasons") != ""), rejects_dir, batch_id)
+        finally:
+            batch.unpersist()
+        done["batches"] += 1
+
+    w = (checked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir))
     if interval is not None:
         return w.trigger(processingTime=interval).start()
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
-    n = len(q.recentProgress)
-    if rejects_dir:
-        rq = (checked.filter(F.col("reasons") != "").writeStream.format("parquet")
-              .option("path", rejects_dir).option("checkpointLocation", checkpoint_dir + "-rejects")
-              .outputMode("append").trigger(availableNow=True).start())
-        rq.awaitTermination()
-    return n
+    return done["batches"]
+
+
+def _put(df, folder: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch_id}")

@@ -80,3 +80,32 @@ def test_throughput_floor_one_second(spark):
                                 "concurrency int, ts timestamp")
     r = S.throughput(log).first()
     assert r["requests"] == 2 and r["window_s"] == 1.0 and r["qps"] == 2.0
+
+
+def test_numbering_with_many_blocks_and_null_keys(spark):
+    from filtra.operators.ordering import row_index, running_sum
+    rows = [(None if i % 7 == 0 else i % 3, (i * 37) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "p int, o int, v long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        numbered = row_index(df, ["p"], ["o"], "n").collect()
+        summed = running_sum(df, ["p"], ["o"], "v", "s").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want_n, want_s = {}, {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for n, r in enumerate(sorted((x for x in rows if x[0] == key), key=lambda x: x[1]), 1):
+            total += r[2]
+            want_n[r[2]], want_s[r[2]] = n, total
+    assert {r.v: r.n for r in numbered} == want_n
+    assert {r.v: r.s for r in summed} == want_s
+
+
+def test_null_label_keeps_its_samples(spark):
+    from filtra.operators.stats import latency_summary
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "label string, latency_ms double")
+    labels = spark.createDataFrame([(None,), ("a",), ("b",)], "label string")
+    got = {r["label"]: (r["n"], r["p50_ms"]) for r in latency_summary(df, ["label"], labels=labels).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 2.0), "b": (0, 0.0)}

@@ -147,3 +147,22 @@ def test_kernel_slices_large_arrow_batches(spark, chunks, chunk_rows):
     finally:
         S.KERNEL_ROWS = old
     assert got == ref
+
+
+def test_kernel_equals_expression_for_near_copies_and_ties(spark):
+    import numpy as np
+    from filtra.operators.search import search
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=512) * 100
+    rows = [(0, base.tolist()), (1, (base + 1e-4).tolist()), (2, (base * 1.001).tolist()), (3, rng.normal(size=512).tolist())]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for metric in ("L2", "IP", "COSINE"):
+        a = search(df, base.tolist(), k=4, metric=metric, fields=(), method="expr").collect()
+        b = search(df, base.tolist(), k=4, metric=metric, fields=(), method="kernel").collect()
+        assert [(r["rank"], r["id"]) for r in a] == [(r["rank"], r["id"]) for r in b]
+        assert all(abs(x["score"] - y["score"]) <= 1e-6 * max(1, abs(x["score"])) for x, y in zip(a, b))
+    assert search(df, base.tolist(), k=1, metric="L2", fields=(), method="kernel").first()["score"] == 0.0
+    half = spark.createDataFrame([(1, [0.0078125]), (2, [0.007813])], "id long, embedding array<double>")
+    for method in ("expr", "kernel"):
+        got = search(half, [1.0], k=2, fields=(), method=method).collect()
+        assert [(r["id"], r["score"]) for r in got] == [(1, 0.007813), (2, 0.007813)]

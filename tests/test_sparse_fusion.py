@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from filtra.operators.fusion import rrf, weighted
 from filtra.operators.sparse import bm25_postings, sparse_search
@@ -114,3 +115,13 @@ def test_query_restricted_weights_equal_full_index(spark):
     got = {(r["id"], r["token"]): r["weight"] for r in part.collect()}
     toks = {t for (i, t) in full if i == 2}
     assert got == {key: w for key, w in full.items() if key[1] in toks}
+
+
+def test_stored_index_knows_its_bucket_count(spark, chunks, tmp_path):
+    from filtra.operators.sparse import bm25_postings, persist_index, sparse_search, write_postings
+    posts = persist_index(bm25_postings(chunks.select("id", "content")))
+    terms = posts.groupBy("token").agg(F.lit(1.0).alias("qweight")).orderBy("token").limit(40)
+    want = [tuple(r) for r in sparse_search(posts, terms, k=5).collect()]
+    write_postings(posts, str(tmp_path / "ix"), buckets=16)
+    got = [tuple(r) for r in sparse_search(spark.read.parquet(str(tmp_path / "ix")), terms, k=5).collect()]
+    assert got == want
