@@ -24,6 +24,7 @@ SMOOTH = 20.0  # documents' worth of the overall share mixed into a domain's
 SURE = 4.0  # standard deviations from chance that a feature's share must lie
 TEMPERATURES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0)
 TOLERANCE = 1e-7  # largest gap to a target, as a share of all tokens
+RIDGE = 1e-3  # of the mean cross product, added to keep near-equal domains apart
 MAX_STEPS = 200
 PATIENCE = 20  # steps without progress after which targets count as out of reach
 CUT_EVERY = 8  # steps folded into one expression before rates are stored
@@ -189,13 +190,15 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
     domain totals and cross products only, one aggregate of a few numbers. Gaps are
     weighted by the inverse of the token cross products of the documents whose rate
     is not held at zero, which makes the problem perfectly conditioned: the first
-    step solves it but for the bound, and further ones repair what the bound cut off.
+    step solves it but for the bound, and further ones repair what the bound cut off. A
+    step that raises the weighted squares of the gaps is taken back and replaced by
+    one in the metric of all documents, which cannot raise them.
     """
     k = len(targets)
     t = F.col("_n_tokens").cast("double")
     rates = Rates(k)
     state, done = members.withColumn("_r", F.lit(1.0)), 0
-    full, scale, last, stuck = None, 1.0, math.inf, 0
+    safe, weight, scale, last, stuck, fast = None, None, 1.0, math.inf, 0, False
     for _ in range(MAX_STEPS):
         now = state.withColumn("_now", rates.column(F.col("_r"), done))
         free = F.col("_now") > 0
@@ -206,20 +209,26 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
         if row["e0"] is None:
             return rates
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        if full is None:
-            full, scale = gram, max(float(gram.sum()), 1.0)
         gap = np.array([row[f"e{i}"] for i in range(k)]) - targets
-        worst = float(np.abs(gap).max()) / scale
-        stuck = stuck + 1 if worst > last * 0.999 else 0
-        if worst < TOLERANCE or stuck > PATIENCE:  # met, or cannot be met
+        if safe is None:
+            scale = max(float(gram.sum()), 1.0)
+            safe = weight = np.linalg.inv(gram + np.eye(k) * (RIDGE * np.trace(gram) / k + 1e-9))
+        loss = float(gap @ weight @ gap)
+        if loss > last and fast:  # a fast step overshot: take it back, go on in the safe metric
+            rates.steps.pop()
+            rates.steps.append((safe @ before).tolist())
+            fast = False
+            continue
+        stuck = stuck + 1 if loss > last * 0.999 else 0
+        if float(np.abs(gap).max()) / scale < TOLERANCE or stuck > PATIENCE:  # met, or cannot be met
             break
-        # a step that made things worse is followed by one in the safe metric
-        metric = full if stuck else gram
-        last = min(last, worst)
-        rates.steps.append((np.linalg.pinv(metric, rcond=1e-10, hermitian=True) @ gap).tolist())
+        last, before = min(last, loss), gap
         if len(rates.steps) - done >= CUT_EVERY:
             state = cut(state.withColumn("_r", rates.column(F.col("_r"), done)))
             done = len(rates.steps)
+        fast = True
+        quick = np.linalg.inv(gram + np.eye(k) * (1e-3 * RIDGE * np.trace(gram) / k + 1e-9))
+        rates.steps.append((quick @ gap).tolist())
     return rates
 
 
