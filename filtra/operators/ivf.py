@@ -25,6 +25,9 @@ from filtra.operators.topk import attach_fields, topk
 # are built on the driver by MLlib and broadcast for assignment.
 MAX_CENTROID_BYTES = 512 << 20
 
+# Probe rows are broadcast up to this size and joined by a shuffle beyond it.
+MAX_PROBE_BROADCAST_BYTES = 256 << 20
+
 
 def ivf_build(corpus: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20,
               sample_fraction: float | None = None, vec_col: str = "embedding"):
@@ -88,11 +91,14 @@ def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, nprob
         pred_fields = [f for f in ("kbId", "study", "site", "patient", "visit")
                        if f in queries.columns]
     probes = probe_cells(centroids, queries, nprobe, qvec_col)
-    nq = queries.count()
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
+    nq = size["n"]
+    # every probe row carries its query vector
+    probe_bytes = nq * nprobe * ((size["d"] or 0) * 8 + 256)
     qside = queries.select("qid", F.col(qvec_col).alias("_q"),
                            *[F.col(f).alias(f"_p_{f}") for f in pred_fields])
     plan = probes.join(qside, "qid")  # nq x nprobe rows
-    side = F.broadcast(plan) if nq * nprobe <= 1_000_000 else plan
+    side = F.broadcast(plan) if probe_bytes <= MAX_PROBE_BROADCAST_BYTES else plan
     cond = F.col("cell") == F.col("_pcell")
     for f in pred_fields:
         cond = cond & (F.col(f"_p_{f}").isNull() | (F.col(f) == F.col(f"_p_{f}")))

@@ -120,14 +120,18 @@ def hit_rate_candidates(corpus: DataFrame, partition_key: str = "kbId",
     partition key: (kb), (kb, f) for each field, (kb, all fields).
 
     One scan and one aggregate (Expand + partial aggregation); the only
-    driver value is the corpus row count.
+    driver value is the corpus row count. An equality with a null value matches
+    nothing, so a group of null values is no predicate (null means left out).
     """
     total = corpus.count()
     fields = list(fields)
     sets = [[partition_key]] + [[partition_key, f] for f in fields] + [[partition_key, *fields]]
     g = corpus.groupingSets([[F.col(c) for c in s] for s in sets], partition_key, *fields).agg(
         F.count(F.lit(1)).alias("hits"),
-        F.grouping_id().alias("_gid"))
+        F.grouping_id().alias("_gid"),
+        *[F.grouping(c).alias(f"_out_{c}") for c in [partition_key, *fields]])
+    for c in [partition_key, *fields]:
+        g = g.filter((F.col(f"_out_{c}") == 1) | F.col(c).isNotNull())
     # grouping_id has one bit per column left out of the set
     n_fields = F.lit(len(fields) + 1) - F.bit_count("_gid")
     return g.select(partition_key, *fields, "hits", n_fields.cast("int").alias("n_fields"),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -29,11 +30,23 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "filtra", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master or "local[*]").appName(app)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("FILTRA_DRIVER_MEM", "16g"))
+    """A session with this package's defaults.
+
+    Master and partition count are the submitter's; only where no master is
+    configured at all does a local session with few partitions start.
+    """
+    if master is None and SparkConf().get("spark.master", None) is None:
+        master = "local[*]"
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("FILTRA_DRIVER_MEM", "16g"))
+            shuffle_partitions = shuffle_partitions or 8
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

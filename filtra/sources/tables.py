@@ -92,8 +92,12 @@ def event_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """phase, iteration, event, create_ms, list_ms, error, elapsed_s, ts."""
     ev = read_table(spark, sf_dir, "events")
     ts = ntz_as_utc(spark, "ts")
+    # four phases a month, counted from the log's first month
+    month = F.year("ts") * 12 + F.month("ts")
+    first = ev.agg(F.min(month).alias("m")).first()["m"] or 0
     base = ev.select(
-        (F.lit(1) + F.floor((F.dayofmonth(F.col("ts")) - 1) / 8)).cast("int").alias("phase"),
+        (F.lit(1) + (month - F.lit(first)) * 4 + F.floor((F.dayofmonth(F.col("ts")) - 1) / 8)).cast("int")
+        .alias("phase"),
         ts.alias("ts"), "event_id",
         F.when(F.col("event_type") == "error", "create_failed").otherwise("sample").alias("event"),
         F.col("value").alias("create_ms"),
@@ -105,8 +109,8 @@ def event_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     # iteration = row_number() over (partition by phase order by ts, event_id),
     # computed without funnelling a whole phase through one task.
     indexed = row_index(base, ["phase"], ["ts", "event_id"], "iteration")
-    # phase start: an aggregate with at most four rows (phase is 1..4 by
-    # construction), joined back instead of a whole-phase window.
+    # phase start: an aggregate with four rows a month of log, joined back instead
+    # of a whole-phase window.
     starts = base.groupBy("phase").agg(F.min("ts").alias("_t0"))
     return (indexed.join(F.broadcast(starts), "phase")
             .withColumn("elapsed_s",
