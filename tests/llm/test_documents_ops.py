@@ -261,6 +261,23 @@ def test_lm_outcomes_sum_to_one():
     assert total.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_every_position_trains(monkeypatch):
+    """Over the rounds of a task each position given takes part in a gradient, once a round."""
+    import types
+    import pyarrow as pa
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} other" for i in range(600)]
+    vocabulary = maxent.Vocabulary([b"w0", b"w1", b""], [5, 3, 2], 10, 3)
+    seen = []
+    monkeypatch.setattr(maxent, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(maxent, "descend", lambda m, a, b, feats, out: seen.append((feats, out)))
+    run = maxent._task_updates(types.SimpleNamespace(value=vocabulary),
+                               types.SimpleNamespace(value=maxent.Model(vocabulary)), 0)
+    list(run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    _, index, feats, _ = maxent.encode(texts, vocabulary)
+    got = collections.Counter((*f, o) for fs, os in seen for f, o in zip(fs.tolist(), os.tolist()))
+    assert got == collections.Counter((*f, o) for f, o in zip(feats.tolist(), maxent.outcomes(index).tolist()))
+
+
 # --- 7 ---------------------------------------------------------------------
 
 def test_classifier_held_out(spark):
