@@ -8,6 +8,7 @@ query vectors and predicate values are bound from stored rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from filtra.operators.fusion import rrf
 from filtra.operators.search import search
 from filtra.operators.sparse import bm25_postings, query_terms, sparse_search
 from filtra.operators.topk import attach_fields
-from filtra.sources.tables import ANCHOR_ID, anchor_row, chunks_view
+from filtra.sources.tables import ANCHOR_ID, anchor_row, chunks_view, texts_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -32,6 +33,20 @@ def register(name: str):
     return deco
 
 
+def register_text(name: str):
+    """Register a query on texts twice: over ``chunks`` as ``name``, and over all
+    documents, with or without an embedding, as ``name``_texts."""
+    def deco(fn):
+        register(name)(fn)
+        register(f"{name}_texts")(partial(fn, view=texts_view))
+        return fn
+    return deco
+
+
+def _with_vectors(c: DataFrame) -> DataFrame:
+    return c.filter(F.col("embedding").isNotNull())
+
+
 def _kb_site(a: dict):
     return (F.col("kbId") == a["kbId"]) & (F.col("site") == a["site"])
 
@@ -53,13 +68,13 @@ def sparse_arm(c: DataFrame, where, k: int = TOP_K, qid_doc: int = ANCHOR_ID) ->
     return sparse_search(post, query_terms(post, qid_doc), k=k, allowed_ids=c.filter(where))
 
 
-@register("hybrid_rrf")
-def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register_text("hybrid_rrf")
+def hybrid_rrf(spark: SparkSession, sf_dir: str, view=chunks_view) -> DataFrame:
     """Dense + sparse arms under the same filter, RRF(60), top-10."""
-    c = chunks_view(spark, sf_dir)
+    c = view(spark, sf_dir)
     a = anchor_row(c)
     where = _kb_site(a)
-    dense = search(c, a["embedding"], where, k=TOP_K, fields=())
+    dense = search(_with_vectors(c), a["embedding"], where, k=TOP_K, fields=())
     sparse = sparse_arm(c, where)
     fused = rrf([dense, sparse], k=TOP_K)
     return attach_fields(fused, c, OUTPUT_FIELDS, max_hits=TOP_K).select(
@@ -77,8 +92,8 @@ def _kb_pool():
 KB_POOL = _kb_pool()
 
 
-def _anchor(spark, sf_dir):
-    c = chunks_view(spark, sf_dir)
+def _anchor(spark, sf_dir, view=chunks_view):
+    c = view(spark, sf_dir)
     return c, anchor_row(c)
 
 
@@ -148,12 +163,12 @@ def vec_normalize(spark, sf_dir):
     )
 
 
-@register("sparse_inner_product")
-def sparse_inner_product_q(spark, sf_dir):
+@register_text("sparse_inner_product")
+def sparse_inner_product_q(spark, sf_dir, view=chunks_view):
     """V5 in row form: per chunk map<token, weight> against the anchor's map."""
     from filtra.functions.vectors import sparse_inner_product
     from filtra.operators.sparse import sparse_rows, terms_literal
-    c = chunks_view(spark, sf_dir)
+    c = view(spark, sf_dir)
     post = postings_of(c)
     qmap = terms_literal(query_terms(post, ANCHOR_ID))
     rows = sparse_rows(post)
@@ -259,59 +274,59 @@ def batch_topk(spark, sf_dir):
 
 # ---------------------------------------------------- R5, R6, R8
 
-@register("sparse_topk")
-def sparse_topk(spark, sf_dir):
-    c, a = _anchor(spark, sf_dir)
+@register_text("sparse_topk")
+def sparse_topk(spark, sf_dir, view=chunks_view):
+    c, a = _anchor(spark, sf_dir, view)
     return sparse_arm(c, _kb_site(a))
 
 
-@register("bm25_weights")
-def bm25_weights(spark, sf_dir):
-    c = chunks_view(spark, sf_dir)
+@register_text("bm25_weights")
+def bm25_weights(spark, sf_dir, view=chunks_view):
+    c = view(spark, sf_dir)
     return postings_of(c, persist=False).select("id", "token", "tf",
                                                 F.round("weight", 6).alias("weight"))
 
 
-def _arms(spark, sf_dir):
-    c, a = _anchor(spark, sf_dir)
+def _arms(spark, sf_dir, view=chunks_view):
+    c, a = _anchor(spark, sf_dir, view)
     where = _kb_site(a)
-    dense = search(c, a["embedding"], where, k=TOP_K, fields=())
+    dense = search(_with_vectors(c), a["embedding"], where, k=TOP_K, fields=())
     return c, dense, sparse_arm(c, where)
 
 
-@register("hybrid_weighted")
-def hybrid_weighted(spark, sf_dir):
+@register_text("hybrid_weighted")
+def hybrid_weighted(spark, sf_dir, view=chunks_view):
     from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
     from filtra.operators.fusion import weighted
-    c, dense, sparse = _arms(spark, sf_dir)
+    c, dense, sparse = _arms(spark, sf_dir, view)
     return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K)
 
 
-@register("hybrid_weighted_minmax")
-def hybrid_weighted_minmax(spark, sf_dir):
+@register_text("hybrid_weighted_minmax")
+def hybrid_weighted_minmax(spark, sf_dir, view=chunks_view):
     from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
     from filtra.operators.fusion import weighted
-    c, dense, sparse = _arms(spark, sf_dir)
+    c, dense, sparse = _arms(spark, sf_dir, view)
     return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K, norm="minmax")
 
 
 # ------------------------------------------------------------- R10, R11
 
-@register("recall_at_k")
-def recall_at_k_q(spark, sf_dir):
+@register_text("recall_at_k")
+def recall_at_k_q(spark, sf_dir, view=chunks_view):
     """Share of the exact dense top-10 that the RRF hybrid list keeps."""
     from filtra.operators.quality import recall_at_k
-    c, dense, sparse = _arms(spark, sf_dir)
+    c, dense, sparse = _arms(spark, sf_dir, view)
     fused = rrf([dense, sparse], k=TOP_K)
     return recall_at_k(dense, fused)
 
 
-@register("ranker_overlap")
-def ranker_overlap_q(spark, sf_dir):
+@register_text("ranker_overlap")
+def ranker_overlap_q(spark, sf_dir, view=chunks_view):
     """Dense vs RRF, and RRF vs weighted: shared / only-left / only-right / Jaccard."""
     from filtra.operators.fusion import weighted
     from filtra.operators.quality import overlap
-    c, dense, sparse = _arms(spark, sf_dir)
+    c, dense, sparse = _arms(spark, sf_dir, view)
     fused = rrf([dense, sparse], k=TOP_K)
     wsum = weighted([(dense, 1.0), (sparse, 1.0)], k=TOP_K)
     return overlap(dense, fused, "dense_vs_rrf").unionByName(
@@ -454,11 +469,11 @@ def query_set_q(spark, sf_dir):
     return query_set(e, "vec_id", dim=64)
 
 
-@register("content_template")
-def content_template_q(spark, sf_dir):
+@register_text("content_template")
+def content_template_q(spark, sf_dir, view=chunks_view):
     """The placeholder content on every chunk."""
     from filtra.sources.generator import with_content
-    c = chunks_view(spark, sf_dir).select("id")
+    c = view(spark, sf_dir).select("id")
     return with_content(c, 256)
 
 
@@ -524,12 +539,12 @@ def partitioned_topk_bucket_q(spark, sf_dir):
     return search(lay, a["embedding"], where, k=TOP_K, fields=OUTPUT_FIELDS)
 
 
-@register("schema_validate")
-def schema_validate_q(spark, sf_dir):
+@register_text("schema_validate")
+def schema_validate_q(spark, sf_dir, view=chunks_view):
     """Rejected chunks with their reasons (content over 2048 characters,
     wrong vector length, nulls, duplicate ids)."""
     from filtra.operators.validate import validate
-    good, bad = validate(chunks_view(spark, sf_dir), dim=64)
+    good, bad = validate(view(spark, sf_dir), dim=64)
     return bad.select("id", "reasons")
 
 
@@ -826,13 +841,13 @@ def ivf_recall_q(spark, sf_dir):
 
 # ------------------------------------------------ stored index layouts
 
-@register("sparse_topk_stored")
-def sparse_topk_stored_q(spark, sf_dir):
+@register_text("sparse_topk_stored")
+def sparse_topk_stored_q(spark, sf_dir, view=chunks_view):
     """R5 over a posting index stored by token bucket (write once, search
     reading only the query's buckets)."""
     from filtra.operators.sparse import write_postings
     from filtra.session import scratch_path
-    c, a = _anchor(spark, sf_dir)
+    c, a = _anchor(spark, sf_dir, view)
     path = scratch_path(spark, "postings")
     write_postings(postings_of(c, persist=False), path)
     stored = spark.read.parquet(path)
@@ -852,17 +867,18 @@ def ivf_search_stored_q(spark, sf_dir):
     return ivf_search(stored, cents, group_queries(c), nprobe=IVF_NLIST_FIXTURE, k=TOP_K)
 
 
-@register("batch_hybrid_rrf")
-def batch_hybrid_rrf_q(spark, sf_dir):
+@register_text("batch_hybrid_rrf")
+def batch_hybrid_rrf_q(spark, sf_dir, view=chunks_view):
     """R7 for many queries at once: every (kbId, site) group searched with its
     lowest-id chunk as both the dense and the sparse query, each restricted to
     its own group; arms fused by RRF per qid."""
     from filtra.operators.search import search_batch
     from filtra.operators.sparse import bm25_for_tokens, sparse_scores, term_stats
     from filtra.operators.topk import topk
-    c = chunks_view(spark, sf_dir)
-    qs = group_queries(c)
-    dense = search_batch(c, qs, k=TOP_K, fields=())
+    c = view(spark, sf_dir)
+    vectors = _with_vectors(c)
+    qs = group_queries(vectors)
+    dense = search_batch(vectors, qs, k=TOP_K, fields=())
     tf, n_docs, avgdl = term_stats(c.select("id", "content"))
     qids = qs.select(F.col("qid").alias("id"), "qid", F.col("kbId").alias("_qk"),
                      F.col("site").alias("_qs"))

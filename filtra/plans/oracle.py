@@ -517,3 +517,12 @@ ORACLE_SQL["batch_hybrid_rrf"] = with_(
     "fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM "
     "(SELECT qid, id, rank FROM dense_r UNION ALL SELECT qid, id, rank FROM sp_r) GROUP BY qid, id)",
     f"top AS ({ranked('fused', part='qid')})") + "SELECT qid, rank, id, score FROM top"
+
+# every document, with or without an embedding
+TEXTS = CHUNKS.replace("SELECT e.vec_id AS id", "SELECT d.doc_id AS id").replace(
+    "FROM embeddings e JOIN documents d ON", "FROM documents d LEFT JOIN embeddings e ON")
+
+for _name in ("sparse_topk", "sparse_topk_stored", "bm25_weights", "sparse_inner_product", "content_template",
+              "schema_validate", "hybrid_rrf", "hybrid_weighted", "hybrid_weighted_minmax", "batch_hybrid_rrf",
+              "recall_at_k", "ranker_overlap"):
+    ORACLE_SQL[f"{_name}_texts"] = ORACLE_SQL[_name].replace(CHUNKS, TEXTS)

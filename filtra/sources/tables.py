@@ -4,6 +4,7 @@ The views (FIXTURES.md) map the driver's parquet tables onto the chunk schema
 so that the same rows can be checked against a SQL oracle:
 
 * ``chunks``      embeddings joined to documents, one chunk per document
+* ``texts``       the same for every document, with or without an embedding
 * ``request_log`` per-request latency samples, from ``events``
 * ``event_log``   creation-study event rows, from ``events``
 """
@@ -38,9 +39,20 @@ def chunks_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, kbId, documentId, embedding, content, study, site, patient, visit."""
     e = read_table(spark, sf_dir, "embeddings")
     d = read_table(spark, sf_dir, "documents")
-    j = e.join(d, e.vec_id == d.doc_id, "inner")
+    return _chunk_columns(e.join(d, e.vec_id == d.doc_id, "inner"), "vec_id")
+
+
+def texts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``chunks_view`` for every document; kbId and embedding are
+    null where the document has no embedding."""
+    e = read_table(spark, sf_dir, "embeddings")
+    d = read_table(spark, sf_dir, "documents")
+    return _chunk_columns(d.join(e, e.vec_id == d.doc_id, "left"), "doc_id")
+
+
+def _chunk_columns(j: DataFrame, id_col: str) -> DataFrame:
     return j.select(
-        F.col("vec_id").alias("id"),
+        F.col(id_col).alias("id"),
         F.concat(F.lit("kb_"), _pad(F.col("label"), 2)).alias("kbId"),
         F.concat(F.lit("doc_"), _pad(F.col("doc_id") + 1, 8)).alias("documentId"),
         F.col("embedding"),

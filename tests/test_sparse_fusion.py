@@ -125,3 +125,16 @@ def test_stored_index_knows_its_bucket_count(spark, chunks, tmp_path):
     write_postings(posts, str(tmp_path / "ix"), buckets=16)
     got = [tuple(r) for r in sparse_search(spark.read.parquet(str(tmp_path / "ix")), terms, k=5).collect()]
     assert got == want
+
+
+def test_text_queries_cover_documents_without_embedding(spark):
+    """500 of the 1,000 documents have no embedding; their texts count as well."""
+    import __spark_entry__ as e
+    from conftest import SF_MID
+    from filtra.sources.tables import read_table, texts_view
+    assert texts_view(spark, SF_MID).count() == read_table(spark, SF_MID, "documents").count() == 1000
+    q = e.queries()
+    covered = {r["id"] for r in q["bm25_weights_texts"](spark, SF_MID).select("id").distinct().collect()}
+    want = {r["doc_id"] for r in read_table(spark, SF_MID, "documents")
+            .filter("lower(text) rlike '[a-z0-9]'").select("doc_id").collect()}
+    assert covered == want
