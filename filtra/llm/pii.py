@@ -4,9 +4,11 @@ Generators with high recall propose overlapping spans; boosted trees score
 each from its format and its surroundings; a threshold per kind, calibrated on
 held-out candidates, decides which proposals are taken in addition to the
 fixed base rule. The trees learn from the corpus itself: a proposal that the
-base rule confirms is a positive, any other a negative, over a bounded sample
-of documents. What they add are spans that look like confirmed ones but that
-the base rule lost, such as a phone number run together with a card number.
+base rule confirms is a positive, any other a negative. They train on a bounded
+sample, drawn evenly by kind and label from all documents; the thresholds come
+from all other proposals of all documents. What they add are spans that look like
+confirmed ones but that the base rule lost, such as a phone number run together
+with a card number.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +29,8 @@ from filtra.llm.common import ship_package, table
 from filtra.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 40_000  # documents whose candidates may train the trees
-SAMPLE_CANDIDATES = 20_000  # candidates used, at most
+SAMPLE_CANDIDATES = 20_000  # candidates that train the trees, at most
+ODDS_STEPS = 32  # buckets of a unit of log odds, for the counts that give the thresholds
 PRECISION = 0.9  # of held-out proposals above a kind's threshold
 MIN_SUPPORT = 20  # held-out confirmed proposals a threshold must rest on
 SEED = 11
@@ -209,53 +214,101 @@ class _Cover:
         self.ends.insert(i, c[1])
 
 
-def _sample_threshold(docs: DataFrame, want: int) -> int:
-    n = docs.count()
-    return (1 << 31) if n <= want else int((1 << 31) * (want / n))
+def _labelled(text: str) -> list[tuple[Span, int]]:
+    sure = set(base_spans(text))
+    return [(c, int(c in sure)) for c in candidates(text)]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample: int = SAMPLE_CANDIDATES) -> Detector:
-    """Fit and calibrate on at most ``sample`` candidates of about ``sample_docs``
-    documents, chosen by a hash of id and text."""
-    ship_package(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    picked = docs.select("doc_id", text.alias("text")).filter(
-        (F.xxhash64("doc_id", "text", F.lit(SEED)).bitwiseAND(F.lit((1 << 31) - 1))
-         < _sample_threshold(docs, sample_docs)) & F.col("text").rlike("[0-9@]"))
+def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
+    """Fit on at most ``sample`` candidates, calibrate on all others.
 
-    @F.pandas_udf("array<struct<label:int,x:array<float>>>")
-    def rows(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            sure = set(base_spans(t))
-            out.append([{"label": int(c in sure), "x": features(t, c)} for c in candidates(t)])
-        return pd.Series(out)
-
-    got = (picked.select(F.xxhash64("text", F.lit(SEED)).alias("_k"), F.posexplode(rows("text")).alias("_i", "_r"))
-           .select("_k", "_i", "_r.label", "_r.x")
-           .orderBy(F.xxhash64("_k", "_i"), "_i").limit(sample).collect())
-    if len(got) < 4 * MIN_SUPPORT:
+    The sample is chosen by a hash of text and place, from all documents, evenly by
+    kind and label; two thirds of it train the trees. The rest and all candidates
+    outside it are counted by kind and log odds, in one aggregate.
+    """
+    ship_package(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    source = docs.select(F.coalesce("text", F.lit("")).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    keyed = source.select("text", F.xxhash64("text", F.lit(SEED)).alias("_k"))
+    strata = len(KINDS) * 2
+
+    def count(batches):
+        held = np.zeros(strata, np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                for c, label in _labelled(t):
+                    held[KINDS.index(c[2]) * 2 + label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(strata), pa.int32()), pa.array(held, pa.int64())],
+                                         names=["s", "n"])
+
+    sizes = {r["s"]: r["n"] for r in source.mapInArrow(count, "s int, n long")
+             .groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    quota = sample // strata
+    # a hash below its stratum's bound is drawn; a little over the quota, which cuts it below
+    bounds = [min(1.0, 1.2 * quota / max(sizes.get(s, 0), 1)) for s in range(strata)]
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
+                for i, (c, label) in enumerate(_labelled(t)):
+                    s = KINDS.index(c[2]) * 2 + label
+                    h = xxhash.xxh3_64_intdigest(f"{k}:{i}".encode(), SEED) >> 1
+                    if h < bounds[s] * (1 << 63):
+                        out.append((s, h, k, i, features(t, c)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[j] for r in out], kind) for j, kind in
+                 enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64())))],
+                names=["s", "h", "k", "i", "x"])
+
+    # repeated texts give the same candidates, which train once
+    drawn = (keyed.mapInArrow(draw, "s int, h long, k long, i int, x array<double>")
+             .dropDuplicates(["k", "i"]).collect())
+    picked = []
+    for s in range(strata):
+        picked.extend(sorted((r for r in drawn if r["s"] == s), key=lambda r: (r["h"], r["k"], r["i"]))[:quota])
+    picked = [r for n, r in enumerate(picked) if n % 3]
+    if len(picked) < 2 * MIN_SUPPORT or len({r["s"] % 2 for r in picked}) < 2:
         return Detector(None, {})
-    x = np.array([r["x"] for r in got], dtype=np.float64)
-    y = np.array([r["label"] for r in got], dtype=np.float64)
-    held = np.arange(len(y)) % 3 == 0  # rows are in hash order
-    trees = Boosted().fit(x[~held], y[~held])
-    odds = trees.predict(x[held])
-    limits = {}
-    for i, kind in enumerate(KINDS):
-        own = x[held][:, 0] == i
-        limits[kind] = _calibrate(odds[own], y[held][own])
-    return Detector(trees, limits)
-
-
-def _calibrate(odds: np.ndarray, y: np.ndarray) -> float:
-    """Lowest log odds above which held-out proposals are confirmed with the wanted
-    precision, and that still lies above even odds; infinite without support."""
-    order = np.argsort(-odds, kind="stable")
-    hits = np.cumsum(y[order])
-    precision = hits / np.arange(1, len(order) + 1)
-    ok = (precision >= PRECISION) & (hits >= MIN_SUPPORT) & (odds[order] > 0)
-    return float(odds[order][np.nonzero(ok)[0].max()]) if ok.any() else float("inf")
+    picked.sort(key=lambda r: (r["h"], r["k"], r["i"]))
+    trees = Boosted().fit(np.array([r["x"] for r in picked], dtype=np.float64),
+                          np.array([r["s"] % 2 for r in picked], dtype=np.float64))
+    sent = sc.broadcast((trees, {(r["k"], r["i"]) for r in picked}))
+
+    def score(batches):
+        model, trained = sent.value
+        held: Counter = Counter()
+        for batch in batches:
+            xs, labels, kinds = [], [], []
+            for k, t in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
+                for i, (c, label) in enumerate(_labelled(t)):
+                    if (k, i) not in trained:
+                        xs.append(features(t, c))
+                        labels.append(label)
+                        kinds.append(KINDS.index(c[2]))
+            if xs:
+                steps = np.floor(model.predict(np.array(xs)) * ODDS_STEPS).astype(np.int64)
+                held.update(zip(kinds, steps.tolist(), labels))
+        rows = [(*key, n) for key, n in held.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[j] for r in rows], kind) for j, kind in
+             enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["kind", "b", "label", "n"])
+
+    counts = (keyed.mapInArrow(score, "kind int, b long, label int, n long").groupBy("kind", "b")
+              .agg(F.sum(F.col("n") * F.col("label")).alias("hits"), F.sum("n").alias("n")).collect())
+    return Detector(trees, {kind: _calibrate([(r["b"], r["hits"], r["n"]) for r in counts if r["kind"] == i])
+                            for i, kind in enumerate(KINDS)})
+
+
+def _calibrate(counts: list[tuple[int, int, int]]) -> float:
+    """From (bucket, confirmed, all): the lowest log odds above which held-out proposals
+    are confirmed with the wanted precision, at even odds or more; infinite without support."""
+    limit, hits, n = float("inf"), 0, 0
+    for b, h, m in sorted(counts, reverse=True):
+        hits, n = hits + h, n + m
+        if b >= 0 and hits >= MIN_SUPPORT and hits >= PRECISION * n:
+            limit = b / ODDS_STEPS
+    return limit
 
 
 def join_spans(spans: list[Span]) -> str:

@@ -98,6 +98,27 @@ def test_pii_trees_add_lost_spans(spark):
     assert got[0].count(":") == 2 * 4
 
 
+def test_pii_rare_kind_keeps_its_threshold(spark):
+    """100 documents with a card among 3,000 rich in other numbers, and a small sample."""
+    import random
+    rng = random.Random(7)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(d + x for x in "0123456789" if pii.luhn(d + x))
+    rows = [(i, " ".join(f"{rng.randrange(10 ** 16):016d} x{i}" for _ in range(4)) + f" tel +1 (212) 555-0{i % 900 + 100} ok")
+            for i in range(3000)]
+    rows += [(5000 + i, f"paid by card {card()} today, order {i}") for i in range(100)]
+    rows.append((9000, "word +1 (212) 555-0100 4111111111111111 more"))
+    detector = pii.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=800)
+    assert detector.limits["phone"] < np.inf and detector.limits["card"] < np.inf
+
+
+def test_pii_calibration_counts():
+    assert pii._calibrate([(64, 18, 18), (32, 9, 10), (-5, 50, 50)]) == 1.0
+    assert pii._calibrate([(64, 19, 19), (32, 0, 100)]) == float("inf")
+
+
 def test_redact(docs):
     before = {(r.doc_id, r.text) for r in docs.collect()}
     out = pii.redact(docs, pii.train(docs))
