@@ -159,6 +159,19 @@ def test_mixing_out_of_reach(real, labels):
     assert 0.5 * row["n"] < row["m"] < 2 * row["n"]
 
 
+def test_mixing_slow_fit_is_finished(spark):
+    """Bounds at zero slow this fit; it goes on until the gap is below 1e-7 of all tokens."""
+    rng = np.random.default_rng(2)
+    p, t = rng.dirichlet([0.3] * 3, 400), rng.integers(1, 400, 400)
+    members = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p)],
+                                    "_n_tokens long, _p_0 double, _p_1 double, _p_2 double")
+    targets = np.array([0.9, 0.06, 0.04]) * t.sum()
+    rate = np.ones(400)
+    for step in mixing.fit_rates(members, targets).steps:
+        rate = np.maximum(0, rate - p @ np.array(step))
+    assert np.abs((t * rate) @ p - targets).max() / t.sum() < 1e-6
+
+
 def test_mixing_odd_rows(odd_docs, labels, spark):
     got = mixing.mix(odd_docs, mixing.label_domains(labels)).collect()
     assert len(got) == odd_docs.count() and all(r.rate >= 0 for r in got)
