@@ -5,9 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
+sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 
 @pytest.fixture(scope="session")
@@ -21,6 +19,7 @@ def spark():
 @pytest.fixture(scope="session")
 def chunks(spark):
     from filtra.sources.tables import chunks_view
+    from testdirs import SF_SMALL
     return chunks_view(spark, SF_SMALL)
 
 

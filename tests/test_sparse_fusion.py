@@ -130,7 +130,7 @@ def test_stored_index_knows_its_bucket_count(spark, chunks, tmp_path):
 def test_text_queries_cover_documents_without_embedding(spark):
     """500 of the 1,000 documents have no embedding; their texts count as well."""
     import __spark_entry__ as e
-    from conftest import SF_MID
+    from testdirs import SF_MID
     from filtra.sources.tables import read_table, texts_view
     assert texts_view(spark, SF_MID).count() == read_table(spark, SF_MID, "documents").count() == 1000
     q = e.queries()

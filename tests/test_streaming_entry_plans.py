@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF_SMALL
+from testdirs import SF_SMALL
 
 # registered queries whose callables write to storage or run streams
 SIDE_EFFECT = {"partitioned_layout", "partitioned_topk", "partitioned_topk_bucket", "sink_manifest",
