@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from filtra.llm import (ann, classifier, jaccard, maxent, mixing, packing, pii, rules, sharding,
-                        suffixes)
+                        suffixes, superkmers)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -20,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": rules.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_sharding": sharding.op10,
+    "op13_superkmer_dedup": superkmers.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": rules.ORACLE,
+    "op13_superkmer_dedup": superkmers.ORACLE,
 }

@@ -6,14 +6,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, ROOT)
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, _c long"
+sys.path.insert(0, os.path.join(ROOT, "tests", "llm"))
 
-
-def prose(seed: int, n: int) -> str:
-    import random
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice(["an", "be", "do", "ti", "ou", "re"]) for _ in range(rng.randint(1, 4)))
-                    for _ in range(n))
+from made_texts import SCHEMA, prose  # noqa: E402
 
 
 @pytest.fixture(scope="session")
