@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filtra.llm import (ann, classifier, jaccard, maxent, mixing, packing, pii, rules, sharding,
-                        suffixes, superkmers)
+from filtra.llm import (ann, classifier, jaccard, maxent, mixing, packing, phrases, pii, rules,
+                        sharding, suffixes, superkmers, variants)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1,
@@ -20,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": rules.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_sharding": sharding.op10,
+    "op11_spelling_variants": variants.op11,
+    "op12_collocations": phrases.op12,
     "op13_superkmer_dedup": superkmers.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": rules.ORACLE,
+    "op12_collocations": phrases.ORACLE,
     "op13_superkmer_dedup": superkmers.ORACLE,
 }
