@@ -7,28 +7,32 @@ prefix of its key, in suffix order its last words are, so both parts of every
 cut, and the longest-lived extension to either side, come from merge joins of
 sorted streams; no table of counts is held anywhere.
 
-Before phrases are written out, counts of hashed words (and of hashed phrases up
-to ``hashed`` words) say which may reach the wanted count at all: a phrase is
-as rare as its rarest part. Those sets are bitmaps of a fixed size that only
-leave out what cannot reach it.
+Before phrases are written out, counts of hashed phrases say, one length after
+the other, which may reach the wanted count at all: a phrase is as rare as its
+rarest part, so a length is counted only where its parts passed. Those sets are
+bitmaps of a fixed size that only leave out what cannot reach the count. Hashes
+travel as sorted byte planes, a block a bucket, and each bucket adds up its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filtra.llm.bitmaps import bitmap, holds
-from filtra.llm.common import join_small, stored, table
+from filtra.llm.common import cut, join_small, stored, table
 from filtra.llm.scan import borders, byte_set, chunks, counted, gram_hashes, joined, mix, word_hashes
 
 LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases reported per language
-HASHED = 2  # phrase lengths counted by hash first
+LEVELS = ((1,), (2,), (3,), (4, 5))  # phrase lengths counted by hash first, and which of them together
+BUCKET_BYTES = 8 << 20  # bytes of text per bucket of a hashed count
+KEY_BITS = 48  # of a hash that travel
 NO_LANG = "und"
 # 1000 a n and l r may pass 64 bits; decimals of 38 digits hold them exactly
 SCORE = "(cast(1000 as decimal(38, 0)) * a * n) div (cast(l as decimal(38, 0)) * r)"
@@ -62,24 +66,22 @@ class Pieces:
     def keys(self, k: int) -> np.ndarray:
         """Hash of the k words from every word on, with its language."""
         g = gram_hashes(self.h, k)
-        return mix(g ^ self.lang[:len(g)])
+        return mix(g ^ self.lang[:len(g)]) >> _U(64 - KEY_BITS)
 
     def within(self, k: int) -> np.ndarray:
         """Whether k words from here on lie in one piece."""
         m = max(0, len(self.h) - k + 1)
         return np.arange(m) + k <= self.piece_end[:m]
 
-    def possible(self, k: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(places, keys) of k-word phrases all of whose shorter parts may be frequent enough.
-
-        ``sets`` has a bitmap for one word, two words, and so on.
-        """
+    def possible(self, k: int, sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys) of k-word phrases that may be frequent enough by the bitmaps of ``sets``
+        (length -> bitmap): that of their own length, or else of their parts of the next shorter one."""
         ok = self.within(k)
-        width = min(k - 1, len(sets))
+        width = max((w for w in sets if w <= k), default=0)
         if width and len(ok):
             part = np.zeros(len(self.h) - width + 1, dtype=bool)
-            inside = self.within(width)
-            part[inside] = holds(sets[width - 1], self.keys(width)[inside])
+            inside = np.nonzero(self.within(width))[0]
+            part[inside] = holds(sets[width], self.keys(width)[inside])
             for i in range(k - width + 1):
                 ok &= part[i:i + len(ok)]
         at = np.nonzero(ok)[0]
@@ -102,29 +104,63 @@ def _pieces(batch: pa.RecordBatch):
         yield langs[lo:hi], Pieces(data, off, np.array([name[x] for x in langs[lo:hi]], dtype=_U))
 
 
-def _hashed(docs: DataFrame, k: int, sets: list, least: int) -> np.ndarray:
-    """Bitmap of the k-word phrases that occur ``least`` times or more."""
+def _planes(keys: np.ndarray, n: np.ndarray, kind) -> bytes:
+    """Sorted keys by byte planes, highest first, then their counts: equal leading bytes lie together."""
+    raw = np.ascontiguousarray(keys.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BITS // 8:]
+    return raw.T.tobytes() + np.minimum(n, np.iinfo(kind).max).astype(kind).tobytes()
+
+
+def _unplaned(raw: bytes, kind) -> tuple[np.ndarray, np.ndarray]:
+    width = KEY_BITS // 8
+    n = len(raw) // (width + np.dtype(kind).itemsize)
+    keys = np.zeros((n, 8), dtype=np.uint8)
+    keys[:, 8 - width:] = np.frombuffer(raw, np.uint8, width * n).reshape(width, n).T
+    return keys.view(">u8").ravel().astype(_U), np.frombuffer(raw, kind, n, width * n)
+
+
+def _hashed(docs: DataFrame, lengths, sets: dict, least: int, buckets: int) -> dict[int, np.ndarray]:
+    """Bitmaps of the phrases of ``lengths`` that may occur ``least`` times or more."""
+    # a count that reaches the largest value of its type is enough in any case
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if np.iinfo(t).max >= least)
+
     def run(batches):
-        known = [s.value for s in sets]
+        known = {k: v.value for k, v in sets.items()}
         for batch in batches:
             for _, p in _pieces(batch):
-                h, _, n = counted(p.possible(k, known)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                for k in lengths:
+                    h, _, n = counted(p.possible(k, known)[1])
+                    bucket = (h >> _U(KEY_BITS - 24)) * _U(buckets) >> _U(24)  # in the order of the keys
+                    at = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
+                    some = np.nonzero(at[1:] > at[:-1])[0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), k, np.int32)), pa.array(some),
+                         pa.array([_planes(h[at[b]:at[b + 1]], n[at[b]:at[b + 1]], kind) for b in some.tolist()], pa.binary())],
+                        names=["k", "bucket", "keys"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unplaned(raw, kind) for raw in pdf["keys"]]
+        h, _, n = counted(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.int64))
+        h = h[n >= least]
+        return pd.DataFrame({"k": np.full(len(h), pdf["k"].iloc[0], np.int32), "h": h.astype(np.int64)})
 
-    return bitmap(_source(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-                  .filter(F.col("n") >= least).select("h"), "h")
+    found = cut(_source(docs).mapInArrow(run, "k int, bucket long, keys binary")
+                .groupBy("k", "bucket").applyInPandas(add, "k int, h long"))
+    return {k: bitmap(found.filter(F.col("k") == k), "h") for k in lengths}
 
 
-def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hashed: int = HASHED) -> DataFrame:
+def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, levels=LEVELS) -> DataFrame:
     """lang, k, phrase, f: exact counts of the phrases of 1 to ``longest`` words that occur
     ``least`` times or more, and per language one row with k = 0 for all words."""
     spark = docs.sparkSession
-    sets = []
-    for k in range(1, hashed + 1):
-        sets.append(spark.sparkContext.broadcast(_hashed(docs, k, sets, least)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-int(size) // BUCKET_BYTES))
+    sets = {}
+    for lengths in levels:
+        found = _hashed(docs, [k for k in lengths if k <= longest], sets, least, buckets)
+        sets |= {k: spark.sparkContext.broadcast(bits) for k, bits in found.items()}
 
     def run(batches):
-        known = [s.value for s in sets]
+        known = {k: v.value for k, v in sets.items()}
         for batch in batches:
             for langs, p in _pieces(batch):
                 line, at = p.joined()
@@ -139,9 +175,6 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hashed:
                     names=["lang", "k", "phrase", "f"])
                 for k in range(1, longest + 1):
                     place, key = p.possible(k, known)
-                    if k <= len(known):
-                        some = holds(known[k - 1], key)
-                        place, key = place[some], key[some]
                     _, pick, n = counted(key)
                     first = place[pick]
                     text = [line[a:b] for a, b in zip(at[first].tolist(), end[first + k - 1].tolist(), strict=True)]
@@ -156,7 +189,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, hashed:
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST,
-                 hashed: int = HASHED) -> DataFrame:
+                 levels=LEVELS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases.
 
     A null language counts as ``und``. Null, empty and blank texts have no words. Ties of the
@@ -164,7 +197,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: i
     every run. Repeated rows are texts of their own and count again. An empty table gives no
     rows. Only ``lang`` and ``text`` are read, so other columns cannot clash.
     """
-    grams = stored(counts(docs, least, longest, hashed), "phrase-counts")
+    grams = stored(counts(docs, least, longest, levels), "phrase-counts")
     total = grams.filter("k = 0").select("lang", F.col("f").alias("n"))
     words = F.split("phrase", " ")
     # the two streams: a part at a phrase's start is a prefix of its key in the first, a part at its end in the second

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from filtra.llm import phrases
@@ -66,16 +67,16 @@ def test_given_table(spark):
     assert ours(docs) == want
 
 
-@pytest.mark.parametrize("hashed", [0, 1, 2, 4])
-def test_few_words(spark, hashed):
+@pytest.mark.parametrize("levels", [(), ((1,),), ((1, 2), (3,)), phrases.LEVELS, ((2,), (5,))])
+def test_few_words(spark, levels):
     """Few words, so that long phrases are frequent, counts tie and parts are dropped."""
-    rng = random.Random(hashed)
+    rng = random.Random(len(levels))
     rows = [(rng.choice(["en", None, "und", "é"]),
              "".join(rng.choice(["a ", "B ", "c\t", "dé ", "d, ", "e\n", "\x00f ", "日 ", "x y z. ", "x y z "])
                      for _ in range(rng.randint(0, 80)))) for _ in range(120)]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     for least, top in ((3, 50), (20, 2000)):
-        assert ours(df, least=least, top=top, hashed=hashed) == brute(rows, least, 5, top)
+        assert ours(df, least=least, top=top, levels=levels) == brute(rows, least, 5, top)
 
 
 def test_phrase_inside_a_longer_one(spark):
@@ -101,3 +102,12 @@ def test_products_pass_64_bits(spark):
     from pyspark.sql import functions as F
     got = df.select(F.expr(phrases.SCORE).alias("s")).first()["s"]
     assert got == 1000 * big * (3 * big) // ((big + 7) * (big - 3))
+
+
+def test_key_planes():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint16, np.uint32):
+        keys = np.sort(rng.integers(0, 1 << phrases.KEY_BITS, 500).astype(np.uint64))
+        n = rng.integers(1, 300, 500)
+        got, counts = phrases._unplaned(phrases._planes(keys, n, kind), kind)
+        assert (got == keys).all() and (counts == np.minimum(n, np.iinfo(kind).max)).all()
