@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import cut, stored, table
+from filtra.llm.common import cut, shuffle_width, stored, table
 from filtra.llm.scan import borders, chunks, word_hashes
 
 LETTERS = 6  # code points of a word at least
@@ -30,6 +30,7 @@ FACTOR = 5  # a form is so many times as frequent as its variant
 SLIP = 199  # runs whose hash is a multiple lose a letter
 CROWD = 4096  # rows of a block beyond which it is cut again
 BUCKET = 4096  # rows of a bucket, about
+BUCKETS_A_TASK = 8
 QUERIES = 1024  # words that walk at once
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -239,7 +240,9 @@ def near_pairs(words: DataFrame, crowd: int = CROWD, bucket: int = BUCKET) -> Da
                              "near_n": n[b]})
 
     named = rows.select("word", "n", F.xxhash64("key").alias("key"))
-    return (named.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket")
+    # small in bytes, large in work: a few buckets a task, whatever their size on disk
+    tasks = max(shuffle_width(words.sparkSession), -(-buckets // BUCKETS_A_TASK))
+    return (named.withColumn("bucket", F.pmod("key", F.lit(buckets))).repartition(tasks, "bucket").groupBy("bucket")
             .applyInPandas(run, "word string, near string, near_n long").distinct())
 
 
