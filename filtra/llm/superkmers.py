@@ -26,7 +26,7 @@ from filtra.llm.scan import (SPACES, borders, chunks, counted, gram_hashes, join
 
 PASSAGE = 35  # words of a window
 GRAM = 8  # words whose hash selects a place
-CROWD = 8192  # strings of one minimiser beyond which its windows are counted one by one
+CROWD = 1024  # strings of one minimiser beyond which its windows are counted one by one
 BLOCK_BYTES = 16 << 20  # packed strings sorted at once within a bucket's task
 _U = np.uint64
 _HIGH = _U(0xFFFFFFFF00000000)
