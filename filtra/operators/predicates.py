@@ -81,6 +81,16 @@ def batch_filter(corpus: DataFrame, preds: DataFrame,
     return j.select("qid", F.col(id_col).alias("id"))
 
 
+def in_list(corpus: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """F3 / F7 for lists of any length: the corpus rows whose ``key`` is among ``keys``.
+
+    On a corpus bucketed by ``key`` only the list is shuffled (into the same buckets); its
+    repetitions are dropped first. A null matches nothing.
+    """
+    listed = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    return corpus.join(listed.hint("shuffle_hash"), key, "left_semi")
+
+
 def hit_count(corpus: DataFrame, preds: DataFrame,
               fields: Sequence[str] = SCALAR_FIELDS) -> DataFrame:
     """hits and share per predicate; predicates with no hit report 0."""

@@ -101,7 +101,7 @@ def exact_l2(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 # --------------------------------------------------------------------------- R2
 
-def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str]):
+def block_kernel(payload_bc, vec_col: str, id_col: str, pred_fields: list[str]):
     """Per-partition scorer: keeps the k best rows per query over all batches."""
 
     def kernel(batches):
@@ -190,24 +190,29 @@ def _kernel_factory(payload_bc, vec_col: str, id_col: str, pred_fields: list[str
     return kernel
 
 
-def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields):
-    spark = corpus.sparkSession
-    ship_package(spark)
-    dim = len(qrows[0]["q"])
-    Q = np.array([r["q"] for r in qrows], dtype=np.float64).reshape(len(qrows), dim)
-    preds = {f: [r[f] for r in qrows] for f in pred_fields}
+def kernel_payload(qids, vectors, preds: dict, k: int, metric: str) -> dict:
+    """What the kernel needs of a block of queries: vectors, and predicate values as codes."""
+    n = len(qids)
+    Q = np.array(vectors, dtype=np.float64).reshape(n, -1)
     pred_values, pred_codes = {}, {}
     for f, vs in preds.items():
         uniq = sorted({v for v in vs if v is not None}, key=repr)
         pos = {v: i for i, v in enumerate(uniq)}
         pred_values[f] = pa.array(uniq) if uniq else pa.array([], pa.string())
         pred_codes[f] = np.array([pos[v] if v is not None else -2 for v in vs], dtype=np.int64)
-    payload = {
+    return {
         "Q": Q, "k": int(k), "metric": metric.upper(),
-        "step": max(1, min(int(KERNEL_ROWS), KERNEL_CELLS // max(len(qrows), 1))),
-        "qids": np.array([r["qid"] for r in qrows], dtype=np.int64),
+        "step": max(1, min(int(KERNEL_ROWS), KERNEL_CELLS // max(n, 1))),
+        "qids": np.array(qids, dtype=np.int64),
         "preds": preds, "pred_values": pred_values, "pred_codes": pred_codes,
     }
+
+
+def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields):
+    spark = corpus.sparkSession
+    ship_package(spark)
+    payload = kernel_payload([r["qid"] for r in qrows], [r["q"] for r in qrows],
+                             {f: [r[f] for r in qrows] for f in pred_fields}, k, metric)
     # Static pruning: when every query fixes a field, only rows holding one of
     # those values can match; the IN list reaches the scan (and partition
     # pruning on a layout partitioned by that field).
@@ -218,7 +223,7 @@ def _search_slice(corpus, qrows, k, metric, vec_col, id_col, pred_fields):
             df = df.filter(F.col(f).isin(sorted(set(vals))))
     cols = [id_col, vec_col, *pred_fields]
     bc = spark.sparkContext.broadcast(payload)
-    kern = _kernel_factory(bc, vec_col, id_col, pred_fields)
+    kern = block_kernel(bc, vec_col, id_col, pred_fields)
     return df.select(*cols).mapInArrow(kern, "qid long, id long, score double")
 
 

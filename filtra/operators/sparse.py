@@ -211,14 +211,8 @@ def sparse_rows(postings: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("vec"))
 
 
-def terms_literal(terms: DataFrame, max_terms: int = 100_000):
-    """Bind a query's (token, qweight) rows as one foldable map literal.
-
-    A query vector is a parameter: its size is checked before it is fetched.
-    """
+def terms_literal(terms: DataFrame):
+    """Bind one query's (token, qweight) rows as one foldable map literal (a query vector is a parameter)."""
     import json
-    n = terms.count()
-    if n > max_terms:
-        raise ValueError(f"query has {n} terms, over the {max_terms} literal limit")
     d = {r["token"]: float(r["qweight"]) for r in terms.collect()}
     return F.from_json(F.lit(json.dumps(d)), "map<string,double>")

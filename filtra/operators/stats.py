@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filtra.config import COLLECTION_LIMIT, SAMPLE_EVERY
-from filtra.operators.ordering import join_on, row_index, running_sum_by_index
+from filtra.operators.ordering import join_on, row_index, running_sum, running_sum_by_index
 
 
 # ----------------------------------------------------------- percentiles
@@ -46,6 +46,38 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                                     for i, n in enumerate(names)])
 
 
+def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, count: str,
+                         probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """The percentiles of :func:`exact_percentiles` from (value, count) rows.
+
+    Each value's rows span positions of a running count per key, computed blockwise; a
+    percentile's two positions are looked up in those spans. Null values do not count.
+    """
+    keys = list(keys)
+    base = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
+            .agg(F.sum(count).alias("_c")))
+    spans = running_sum(base, keys, ["_v"], "_c", "_to")
+    total = base.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    need = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for role, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            need.append(F.struct(F.lit(i).alias("_i"), F.lit(role).alias("_role"),
+                                 (pos + 1).cast("long").alias("_pos"), h.alias("_h")))
+    # a few positions a key
+    wanted = total.select(*keys, F.array(*need).alias("_need"))
+    got = (join_on(spans, wanted, keys)
+           .withColumn("_w", F.explode(F.filter("_need", lambda w: (w["_pos"] <= F.col("_to"))
+                                                & (w["_pos"] > F.col("_to") - F.col("_c")))))
+           .select(*keys, "_v", "_w.*"))
+    per = got.groupBy(*keys, "_i").agg(
+        F.max(F.when(F.col("_role") == "lo", F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_role") == "hi", F.col("_v"))).alias("_hi"), F.max("_h").alias("_h"))
+    r = F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))
+    return per.withColumn("_r", r).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(n) for i, n in enumerate(names)])
+
+
 # ------------------------------------------------------------------- G1, G2
 
 def latency_summary(samples: DataFrame, keys: Sequence[str], value: str = "latency_ms",
@@ -80,6 +112,19 @@ def throughput(log: DataFrame, keys: Sequence[str] = ("concurrency",),
 
 # --------------------------------------------------------- creation log
 
+def until_failure(event_log: DataFrame) -> DataFrame:
+    """Each phase's events up to and with its first failure; what comes later does not count.
+
+    A phase stops at its first failing event, so the log of a study that stops there feeds G3,
+    G4, G5, G10 and G11 through this. Phases without a failure stay whole.
+    """
+    stop = (event_log.filter(F.col("event") == "create_failed").groupBy("phase")
+            .agg(F.min("iteration").alias("_stop")))
+    # one row per phase
+    return (event_log.join(F.broadcast(stop), "phase", "left")
+            .filter(F.col("_stop").isNull() | (F.col("iteration") <= F.col("_stop"))).drop("_stop"))
+
+
 def phase_totals(event_log: DataFrame) -> DataFrame:
     """(phase, n, wall_s): successful creations and wall time per phase."""
     return event_log.groupBy("phase").agg(
@@ -137,13 +182,15 @@ def latency_trend(created: DataFrame, step: int = 1000) -> DataFrame:
     pc = exact_percentiles(ok, ["bucket"], "create_ms", (0.5, 0.99), ("create_p50", "create_p99"))
     pl = exact_percentiles(ok, ["bucket"], "list_ms", (0.5, 0.99), ("list_p50", "list_p99"))
     j = pc.join(pl, "bucket")
-    # one row per bucket: the frame spans (created count / step) rows
-    first = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the first bucket's two medians, by an aggregate: no task sees all buckets
+    one = j.agg(F.min_by(F.struct("create_p50", "list_p50"), "bucket").alias("f")).first()["f"]
+    base = one.asDict() if one else {"create_p50": None, "list_p50": None}
     cols = ["create_p50", "create_p99", "list_p50", "list_p99"]
-    return j.select(
-        "bucket", *[F.round(c, 6).alias(c) for c in cols],
-        F.round(F.col("create_p50") / F.first("create_p50").over(first), 6).alias("create_p50_ratio"),
-        F.round(F.col("list_p50") / F.first("list_p50").over(first), 6).alias("list_p50_ratio"))
+
+    def ratio(c: str) -> F.Column:
+        return F.round(F.col(c) / F.lit(base[c]).cast("double"), 6).alias(f"{c}_ratio")
+
+    return j.select("bucket", *[F.round(c, 6).alias(c) for c in cols], ratio("create_p50"), ratio("list_p50"))
 
 
 def systematic_sample(created: DataFrame, every: int = SAMPLE_EVERY) -> DataFrame:
@@ -180,21 +227,68 @@ def plan_compare(log: DataFrame, plans: Sequence[str] = ("plain", "partitioned")
                        F.round(F.col(f"{a}_p50") / F.col(f"{b}_p50"), 6).alias("speedup_p50"))
 
 
+def field_values(corpus: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """*keys, field, value, rows: the counted values of each field (nulls left out). Counts add up,
+    so the profiles of two parts of a corpus merge into that of the whole."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    return (corpus.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*").filter("value is not null")
+            .groupBy(*keys, "field", "value").agg(F.count(F.lit(1)).alias("rows")))
+
+
 def dataset_profile(corpus: DataFrame, fields: Sequence[str] = ("kbId", "study", "site",
                                                                 "patient", "visit"),
                     approx: bool = False) -> DataFrame:
     """Rows, distinct documents, sorted distinct values per scalar field.
 
-    The value lists are as long as each field's cardinality (pool sizes).
-    ``approx=True`` counts documents with a HyperLogLog sketch (fixed memory
-    per task) instead of an exact distinct.
+    Values are counted per (field, value) first, so the last step reads one row per value (the
+    lists are as long as each field's cardinality). ``approx=True`` counts documents with a
+    HyperLogLog sketch instead of an exact distinct.
     """
-    docs = (F.approx_count_distinct("documentId", 0.01) if approx
-            else F.count_distinct("documentId"))
-    aggs = [F.count(F.lit(1)).alias("rows"), docs.alias("documents")]
-    aggs += [F.array_join(F.sort_array(F.collect_set(f)), ",").alias(f"{f}_values") for f in fields]
-    aggs += [F.count_distinct(f).alias(f"{f}_n") for f in fields]
-    return corpus.agg(*aggs)
+    if approx:
+        docs = corpus.agg(F.approx_count_distinct("documentId", 0.01).alias("documents"))
+    else:
+        docs = corpus.select("documentId").distinct().agg(F.count("documentId").alias("documents"))
+    total = corpus.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    return _assemble(field_values(corpus, fields), total, docs.first()["documents"], fields)
+
+
+def _assemble(values: DataFrame, rows: int, documents: int, fields: Sequence[str]) -> DataFrame:
+    per = values.groupBy("field").agg(F.array_join(F.sort_array(F.collect_set("value")), ",").alias("v"),
+                                      F.count_distinct("value").alias("n"))
+
+    def of(f: str, c: str) -> F.Column:
+        return F.max(F.when(F.col("field") == f, F.col(c)))
+
+    return per.agg(F.lit(int(rows)).cast("long").alias("rows"), F.lit(int(documents)).cast("long").alias("documents"),
+                   *[F.coalesce(of(f, "v"), F.lit("")).alias(f"{f}_values") for f in fields],
+                   *[F.coalesce(of(f, "n"), F.lit(0)).alias(f"{f}_n") for f in fields])
+
+
+def write_profile(corpus: DataFrame, path: str, part: str,
+                  fields: Sequence[str] = ("kbId", "study", "site", "patient", "visit")) -> None:
+    """G7 kept up to date: what one part (batch) of a corpus adds to its profile.
+
+    Stored are mergeable pieces: counted values, and per kbId the rows and a HyperLogLog sketch
+    of the documents. A part that is written again replaces itself.
+    """
+    folder = path.rstrip("/")
+    field_values(corpus, fields).write.mode("overwrite").parquet(f"{folder}/values/part={part}")
+    (corpus.groupBy("kbId").agg(F.count(F.lit(1)).alias("rows"), F.hll_sketch_agg("documentId", PROFILE_LG_K).alias("docs"))
+     .write.mode("overwrite").parquet(f"{folder}/rows/part={part}"))
+
+
+def read_profile(spark, path: str, fields: Sequence[str] = ("kbId", "study", "site", "patient", "visit")) -> DataFrame:
+    """The profile of all parts under ``path``: as :func:`dataset_profile`, documents estimated
+    from the merged sketches."""
+    folder = path.rstrip("/")
+    rows = spark.read.parquet(f"{folder}/rows")
+    r = rows.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                 F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("docs")), F.lit(0)).alias("documents")).first()
+    return _assemble(spark.read.parquet(f"{folder}/values"), r["rows"], r["documents"], fields)
+
+
+# Size of the document sketch: 2**14 registers, an error of about one per cent.
+PROFILE_LG_K = 14
 
 
 def skew_profile(corpus: DataFrame, key: str = "kbId", alpha: float = 1.0) -> DataFrame:

@@ -1,14 +1,14 @@
 """Named workloads: each takes (spark, sf_dir) and returns a DataFrame.
 
-These are the registered queries of ``__spark_entry__``. Every one of them
-reads the driver tables (through the views of ``filtra.sources``) in full;
-query vectors and predicate values are bound from stored rows.
+These are the registered queries of ``__spark_entry__``. Searches read the stored
+layout and indexes of ``filtra.plans.indexes``, which the first query of a session
+builds from the whole tables; query vectors and predicate values are bound from
+stored rows. Queries on texts cover every document, with or without a vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from filtra.config import OUTPUT_FIELDS, TOP_K
 from filtra.operators.fusion import rrf
 from filtra.operators.search import search
-from filtra.operators.sparse import bm25_postings, query_terms, sparse_search
-from filtra.operators.topk import attach_fields
-from filtra.sources.tables import ANCHOR_ID, anchor_row, chunks_view, texts_view
+from filtra.operators.topk import attach_fields, topk
+from filtra.plans.indexes import layout, sparse_row_table, stored_once, text_index
+from filtra.plans.indexes import stored_chunks as chunks_view
+from filtra.plans.indexes import stored_texts as texts_view
+from filtra.sources.tables import ANCHOR_ID, anchor_row
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -33,52 +35,42 @@ def register(name: str):
     return deco
 
 
-def register_text(name: str):
-    """Register a query on texts twice: over ``chunks`` as ``name``, and over all
-    documents, with or without an embedding, as ``name``_texts."""
-    def deco(fn):
-        register(name)(fn)
-        register(f"{name}_texts")(partial(fn, view=texts_view))
-        return fn
-    return deco
-
-
-def _with_vectors(c: DataFrame) -> DataFrame:
-    return c.filter(F.col("embedding").isNotNull())
-
-
 def _kb_site(a: dict):
     return (F.col("kbId") == a["kbId"]) & (F.col("site") == a["site"])
 
 
-def postings_of(corpus: DataFrame, persist: bool = True) -> DataFrame:
-    post = bm25_postings(corpus.select("id", "content"))
-    if persist:
-        from filtra.operators.sparse import persist_index
-        post = persist_index(post)
-    return post
+def sparse_arm(spark, sf_dir: str, k: int = TOP_K, qid_doc: int = ANCHOR_ID,
+               fields: Sequence[str] = ("kbId", "site")) -> DataFrame:
+    """R5 with one stored document as the query, among the rows that agree with it in ``fields``:
+    the stored text index gives the document's weights, its token buckets the postings."""
+    ix = text_index(spark, sf_dir)
+    q = texts_view(spark, sf_dir).filter(F.col("id") == qid_doc).select(F.col("id").alias("qid"), "content", *fields)
+    scores = ix.scores(ix.query_terms(q, keep=("qid", *fields)), same=fields)
+    return topk(scores.select("id", "score"), k).select("rank", "id", "score")
+
 
+def _arms(spark, sf_dir, fields: Sequence[str] = ("kbId", "site")):
+    """The corpus, and the dense and the sparse arm of the anchor's query under the same filter."""
+    c, a = _anchor(spark, sf_dir)
+    return (c, search(c, a["embedding"], _eq(a, *fields), k=TOP_K, fields=()),
+            sparse_arm(spark, sf_dir, fields=fields))
 
-def sparse_arm(c: DataFrame, where, k: int = TOP_K, qid_doc: int = ANCHOR_ID) -> DataFrame:
-    """R5 for one stored document used as the query: BM25 weights are derived
-    for the query's tokens only (no full posting table is built)."""
-    from filtra.operators.sparse import bm25_for_tokens, term_stats
-    tf, n_docs, avgdl = term_stats(c.select("id", "content"))
-    post = bm25_for_tokens(tf, n_docs, avgdl, tf.filter(F.col("id") == qid_doc))
-    return sparse_search(post, query_terms(post, qid_doc), k=k, allowed_ids=c.filter(where))
 
+@register("q6_hybrid_multi_and")
+def q6_hybrid_multi_and(spark: SparkSession, sf_dir: str):
+    """Q6 as the workload asks it: both arms under the five-field predicate of Q2."""
+    from filtra.config import SCALAR_FIELDS
+    _, dense, sparse = _arms(spark, sf_dir, SCALAR_FIELDS)
+    fused = rrf([dense, sparse], k=TOP_K)
+    return attach_fields(fused, texts_view(spark, sf_dir), OUTPUT_FIELDS).select("rank", "id", "score", *OUTPUT_FIELDS)
 
-@register_text("hybrid_rrf")
-def hybrid_rrf(spark: SparkSession, sf_dir: str, view=chunks_view) -> DataFrame:
+
+@register("hybrid_rrf")
+def hybrid_rrf(spark: SparkSession, sf_dir: str):
     """Dense + sparse arms under the same filter, RRF(60), top-10."""
-    c = view(spark, sf_dir)
-    a = anchor_row(c)
-    where = _kb_site(a)
-    dense = search(_with_vectors(c), a["embedding"], where, k=TOP_K, fields=())
-    sparse = sparse_arm(c, where)
+    _, dense, sparse = _arms(spark, sf_dir)
     fused = rrf([dense, sparse], k=TOP_K)
-    return attach_fields(fused, c, OUTPUT_FIELDS, max_hits=TOP_K).select(
-        "rank", "id", "score", *OUTPUT_FIELDS)
+    return attach_fields(fused, texts_view(spark, sf_dir), OUTPUT_FIELDS).select("rank", "id", "score", *OUTPUT_FIELDS)
 
 
 # ------------------------------------------------------------------ helpers
@@ -92,8 +84,8 @@ def _kb_pool():
 KB_POOL = _kb_pool()
 
 
-def _anchor(spark, sf_dir, view=chunks_view):
-    c = view(spark, sf_dir)
+def _anchor(spark, sf_dir):
+    c = chunks_view(spark, sf_dir)
     return c, anchor_row(c)
 
 
@@ -163,17 +155,15 @@ def vec_normalize(spark, sf_dir):
     )
 
 
-@register_text("sparse_inner_product")
-def sparse_inner_product_q(spark, sf_dir, view=chunks_view):
-    """V5 in row form: per chunk map<token, weight> against the anchor's map."""
+@register("sparse_inner_product")
+def sparse_inner_product_q(spark, sf_dir):
+    """V5 in row form: per text map<token, weight> against the anchor's map."""
     from filtra.functions.vectors import sparse_inner_product
-    from filtra.operators.sparse import sparse_rows, terms_literal
-    c = view(spark, sf_dir)
-    post = postings_of(c)
-    qmap = terms_literal(query_terms(post, ANCHOR_ID))
-    rows = sparse_rows(post)
-    s = c.select("id").join(rows, "id", "left")
-    return s.select("id", F.round(F.coalesce(sparse_inner_product("vec", qmap), F.lit(0.0)), 6)
+    from filtra.operators.sparse import terms_literal
+    rows = sparse_row_table(spark, sf_dir)
+    own = rows.filter(F.col("id") == ANCHOR_ID).select(F.explode("vec").alias("token", "qweight"))
+    s = texts_view(spark, sf_dir).select("id").join(rows, "id", "left")
+    return s.select("id", F.round(F.coalesce(sparse_inner_product("vec", terms_literal(own)), F.lit(0.0)), 6)
                     .alias("score"))
 
 
@@ -205,6 +195,19 @@ def q3_document_in(spark, sf_dir):
     return _dense(c, a, _eq(a, "kbId"), semi=(F.broadcast(ids), "documentId"))
 
 
+@register("q3_long_list")
+def q3_long_list(spark, sf_dir):
+    """F3 with half of all documents in the list: corpus and list are bucketed alike by documentId,
+    so the semi join moves no corpus row."""
+    from filtra.operators.predicates import in_list
+    from filtra.plans.indexes import bucketed_chunks
+    c, a = _anchor(spark, sf_dir)
+    ids = texts_view(spark, sf_dir).select("documentId").filter(
+        F.substring(F.md5(F.concat(F.lit("44:"), "documentId")), 1, 1) < "8")
+    rows = in_list(bucketed_chunks(spark, sf_dir), ids, "documentId")
+    return search(rows, a["embedding"], _eq(a, "kbId"), k=TOP_K)
+
+
 @register("q7_kb_in")
 def q7_kb_in(spark, sf_dir):
     c, a = _anchor(spark, sf_dir)
@@ -274,59 +277,49 @@ def batch_topk(spark, sf_dir):
 
 # ---------------------------------------------------- R5, R6, R8
 
-@register_text("sparse_topk")
-def sparse_topk(spark, sf_dir, view=chunks_view):
-    c, a = _anchor(spark, sf_dir, view)
-    return sparse_arm(c, _kb_site(a))
-
+@register("sparse_topk")
+def sparse_topk(spark, sf_dir):
+    return sparse_arm(spark, sf_dir)
 
-@register_text("bm25_weights")
-def bm25_weights(spark, sf_dir, view=chunks_view):
-    c = view(spark, sf_dir)
-    return postings_of(c, persist=False).select("id", "token", "tf",
-                                                F.round("weight", 6).alias("weight"))
 
+@register("bm25_weights")
+def bm25_weights(spark, sf_dir):
+    return text_index(spark, sf_dir).weights().withColumn("weight", F.round("weight", 6))
 
-def _arms(spark, sf_dir, view=chunks_view):
-    c, a = _anchor(spark, sf_dir, view)
-    where = _kb_site(a)
-    dense = search(_with_vectors(c), a["embedding"], where, k=TOP_K, fields=())
-    return c, dense, sparse_arm(c, where)
 
-
-@register_text("hybrid_weighted")
-def hybrid_weighted(spark, sf_dir, view=chunks_view):
+@register("hybrid_weighted")
+def hybrid_weighted(spark, sf_dir):
     from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
     from filtra.operators.fusion import weighted
-    c, dense, sparse = _arms(spark, sf_dir, view)
+    _, dense, sparse = _arms(spark, sf_dir)
     return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K)
 
 
-@register_text("hybrid_weighted_minmax")
-def hybrid_weighted_minmax(spark, sf_dir, view=chunks_view):
+@register("hybrid_weighted_minmax")
+def hybrid_weighted_minmax(spark, sf_dir):
     from filtra.config import WEIGHT_DENSE, WEIGHT_SPARSE
     from filtra.operators.fusion import weighted
-    c, dense, sparse = _arms(spark, sf_dir, view)
+    _, dense, sparse = _arms(spark, sf_dir)
     return weighted([(dense, WEIGHT_DENSE), (sparse, WEIGHT_SPARSE)], k=TOP_K, norm="minmax")
 
 
 # ------------------------------------------------------------- R10, R11
 
-@register_text("recall_at_k")
-def recall_at_k_q(spark, sf_dir, view=chunks_view):
+@register("recall_at_k")
+def recall_at_k_q(spark, sf_dir):
     """Share of the exact dense top-10 that the RRF hybrid list keeps."""
     from filtra.operators.quality import recall_at_k
-    c, dense, sparse = _arms(spark, sf_dir, view)
+    _, dense, sparse = _arms(spark, sf_dir)
     fused = rrf([dense, sparse], k=TOP_K)
     return recall_at_k(dense, fused)
 
 
-@register_text("ranker_overlap")
-def ranker_overlap_q(spark, sf_dir, view=chunks_view):
+@register("ranker_overlap")
+def ranker_overlap_q(spark, sf_dir):
     """Dense vs RRF, and RRF vs weighted: shared / only-left / only-right / Jaccard."""
     from filtra.operators.fusion import weighted
     from filtra.operators.quality import overlap
-    c, dense, sparse = _arms(spark, sf_dir, view)
+    _, dense, sparse = _arms(spark, sf_dir)
     fused = rrf([dense, sparse], k=TOP_K)
     wsum = weighted([(dense, 1.0), (sparse, 1.0)], k=TOP_K)
     return overlap(dense, fused, "dense_vs_rrf").unionByName(
@@ -415,6 +408,41 @@ def first_failure_q(spark, sf_dir):
     return first_failure(_created(spark, sf_dir))
 
 
+def _study(spark, sf_dir):
+    """The creation log as a study that stops each phase at its first failure leaves it."""
+    from filtra.operators.stats import until_failure
+    from filtra.sources.tables import event_log_view
+    return until_failure(event_log_view(spark, sf_dir))
+
+
+@register("study_phases")
+def study_phases_q(spark, sf_dir):
+    """G3 under G12: nothing after a phase's first failure counts."""
+    from filtra.operators.stats import phase_summary, phase_totals
+    return phase_summary(phase_totals(_study(spark, sf_dir)))
+
+
+@register("study_created")
+def study_created_q(spark, sf_dir):
+    """G10 under G12: the success counter at every event that counts."""
+    from filtra.operators.stats import running_created
+    return running_created(_study(spark, sf_dir)).select("phase", "iteration", "event", "created_so_far")
+
+
+@register("study_growth")
+def study_growth_q(spark, sf_dir):
+    """G4 under G12."""
+    from filtra.operators.stats import growth_rate, running_created
+    return growth_rate(running_created(_study(spark, sf_dir)))
+
+
+@register("study_trend")
+def study_trend_q(spark, sf_dir):
+    """G5 under G12, in buckets of ten."""
+    from filtra.operators.stats import latency_trend, running_created
+    return latency_trend(running_created(_study(spark, sf_dir)), step=10)
+
+
 # ------------------------------------------------------ generator (D*)
 
 def _gen(spark, sf_dir, vectors=False):
@@ -441,39 +469,47 @@ def chunk_expand_q(spark, sf_dir):
 
 @register("dense_vectors")
 def dense_vectors_q(spark, sf_dir):
-    """D5 (rows / invariants only): an 8-dim unit vector per document."""
+    """An 8-dim unit vector per document, by its length and norm (the draws are Spark's own hash)."""
     from filtra.functions.vectors import l2_norm
     from filtra.sources.generator import dense_vectors
     from filtra.sources.tables import read_table
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     v = d.select("doc_id", dense_vectors("doc_id", 8).alias("embedding"))
-    return v.select("doc_id", "embedding", F.round(l2_norm("embedding"), 6).alias("norm"))
+    return v.select("doc_id", F.size("embedding").cast("long").alias("dim"),
+                    F.round(l2_norm("embedding"), 6).alias("norm"))
 
 
 @register("sparse_vectors")
 def sparse_vectors_q(spark, sf_dir):
-    """D7 (rows / invariants only): 64 distinct token ids of 30000 per document."""
+    """64 distinct token ids of 30000 with weights per document, a row per entry."""
     from filtra.sources.generator import sparse_vectors
     from filtra.sources.tables import read_table
     d = read_table(spark, sf_dir, "documents").select("doc_id")
-    v = d.select("doc_id", sparse_vectors("doc_id").alias("sparse_embedding"))
-    return v.select("doc_id", "sparse_embedding", F.size("sparse_embedding").alias("nnz"))
+    v = d.select("doc_id", F.explode(sparse_vectors("doc_id")).alias("token", "w"))
+    return v.select("doc_id", F.col("token").cast("long").alias("token"),
+                    F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
 @register("query_set")
 def query_set_q(spark, sf_dir):
-    """D8 (rows only): query vectors from the second seed, one per stored vector."""
+    """Queries from the second seed, one per stored vector: the dense vector by its length and
+    norm, the sparse one entry by entry."""
+    from filtra.functions.vectors import l2_norm
     from filtra.sources.generator import query_set
     from filtra.sources.tables import read_table
     e = read_table(spark, sf_dir, "embeddings").select("vec_id")
-    return query_set(e, "vec_id", dim=64)
+    q = query_set(e, "vec_id", dim=64)
+    return q.select("qid", F.size("q_dense").cast("long").alias("dim"), F.round(l2_norm("q_dense"), 6).alias("norm"),
+                    F.explode("q_sparse").alias("token", "w")).select(
+        "qid", "dim", "norm", F.col("token").cast("long").alias("token"),
+        F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
-@register_text("content_template")
-def content_template_q(spark, sf_dir, view=chunks_view):
-    """The placeholder content on every chunk."""
+@register("content_template")
+def content_template_q(spark, sf_dir):
+    """The placeholder content on every text."""
     from filtra.sources.generator import with_content
-    c = view(spark, sf_dir).select("id")
+    c = texts_view(spark, sf_dir).select("id")
     return with_content(c, 256)
 
 
@@ -500,20 +536,12 @@ def chunk_hits_by_document_q(spark, sf_dir):
 
 # ------------------------------------------- layouts and sinks
 
-def _layout(spark, sf_dir, by):
-    from filtra.session import scratch_path
-    from filtra.sources.sinks import read_corpus, write_corpus
-    path = scratch_path(spark, f"corpus-{by}")
-    write_corpus(chunks_view(spark, sf_dir), path, by=by)
-    return read_corpus(spark, path)
-
-
 @register("partitioned_layout")
 def partitioned_layout_q(spark, sf_dir):
     """Write the corpus by kbId and by hash bucket; row counts per kbId read
     back from each layout must agree with the source."""
-    a = _layout(spark, sf_dir, "kbId").groupBy("kbId").agg(F.count(F.lit(1)).alias("rows_by_kb"))
-    b = _layout(spark, sf_dir, "bucket").groupBy("kbId").agg(
+    a = layout(spark, sf_dir, "kbId").groupBy("kbId").agg(F.count(F.lit(1)).alias("rows_by_kb"))
+    b = layout(spark, sf_dir, "bucket").groupBy("kbId").agg(
         F.count(F.lit(1)).alias("rows_by_bucket"))
     return a.join(b, "kbId", "full")
 
@@ -523,7 +551,7 @@ def partitioned_topk_q(spark, sf_dir):
     """R1 on the kbId-partitioned layout: only the anchor's kb directory is
     read (PartitionFilters), same answer as on the plain table."""
     from filtra.sources.sinks import key_filter
-    lay = _layout(spark, sf_dir, "kbId")
+    lay = layout(spark, sf_dir, "kbId")
     a = anchor_row(lay)
     where = key_filter(a["kbId"]) & (F.col("site") == a["site"])
     return search(lay, a["embedding"], where, k=TOP_K, fields=OUTPUT_FIELDS)
@@ -533,31 +561,31 @@ def partitioned_topk_q(spark, sf_dir):
 def partitioned_topk_bucket_q(spark, sf_dir):
     """R9 on the hash-bucket layout; the derived bucket predicate prunes."""
     from filtra.sources.sinks import key_filter
-    lay = _layout(spark, sf_dir, "bucket")
+    lay = layout(spark, sf_dir, "bucket")
     a = anchor_row(lay)
     where = key_filter(a["kbId"], by="bucket") & (F.col("site") == a["site"])
     return search(lay, a["embedding"], where, k=TOP_K, fields=OUTPUT_FIELDS)
 
 
-@register_text("schema_validate")
-def schema_validate_q(spark, sf_dir, view=chunks_view):
+@register("schema_validate")
+def schema_validate_q(spark, sf_dir):
     """Rejected chunks with their reasons (content over 2048 characters,
     wrong vector length, nulls, duplicate ids)."""
     from filtra.operators.validate import validate
-    good, bad = validate(view(spark, sf_dir), dim=64)
+    good, bad = validate(texts_view(spark, sf_dir), dim=64)
     return bad.select("id", "reasons")
 
 
 @register("sink_manifest")
 def sink_manifest_q(spark, sf_dir):
-    """The dataset profile written as a JSON manifest and read back."""
+    """The dataset profile and the run's settings written as a JSON manifest and read back."""
     from filtra.operators.stats import dataset_profile
     from filtra.session import scratch_path
-    from filtra.sources.sinks import write_manifest
+    from filtra.sources.sinks import read_manifest, run_settings, write_manifest
     prof = dataset_profile(chunks_view(spark, sf_dir))
     path = scratch_path(spark, "manifest")
-    write_manifest(prof, path)
-    return spark.read.schema(prof.schema).json(path)
+    write_manifest(prof, path, extra=run_settings(dim=64))
+    return read_manifest(spark, path, prof.schema)
 
 
 @register("sink_results_csv")
@@ -686,18 +714,54 @@ def q4_hit_rate_scan_q(spark, sf_dir):
 IVF_NLIST_FIXTURE = 16
 
 
+def ivf_index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The stored IVF index of the chunk table and its centres, built once per data set."""
+    from filtra.operators.ivf import ivf_build, write_ivf_index
+
+    def write(path: str) -> None:
+        index, cents = ivf_build(chunks_view(spark, sf_dir).drop("content"), IVF_NLIST_FIXTURE)
+        write_ivf_index(index, f"{path}/rows")
+        cents.write.parquet(f"{path}/centres")
+
+    path = stored_once(spark, sf_dir, "ivf-index", write)
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centres")
+
+
 def _ivf(spark, sf_dir):
-    from filtra.operators.ivf import ivf_build
-    c = chunks_view(spark, sf_dir)
-    index, cents = ivf_build(c, IVF_NLIST_FIXTURE)
-    return c, index, cents
+    return (chunks_view(spark, sf_dir), *ivf_index(spark, sf_dir))
+
+
+def _hit_checks(c: DataFrame, qs: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, hits, in_group, exact, ranked, own: what any result of the group queries must satisfy."""
+    from filtra.functions.vectors import score_expr
+    rows = c.select("id", F.col("kbId").alias("_kb"), F.col("site").alias("_site"), "embedding")
+    j = hits.select("qid", "rank", "id", "score").join(rows, "id").join(qs, "qid")
+    before = Window.partitionBy("qid").orderBy("rank")
+    j = j.withColumn("sorted", (F.col("rank") == F.row_number().over(before))
+                     & F.coalesce((F.lag("score").over(before) > F.col("score"))
+                                  | ((F.lag("score").over(before) == F.col("score"))
+                                     & (F.lag("id").over(before) < F.col("id"))), F.lit(True)))
+    return j.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.bool_and((F.col("_kb") == F.col("kbId")) & (F.col("_site") == F.col("site"))).alias("in_group"),
+        F.bool_and(F.abs(F.col("score") - score_expr("IP", "embedding", F.col("q_dense"))) < 2e-6).alias("exact"),
+        F.bool_and("sorted").alias("ranked"), F.bool_or(F.col("id") == F.col("qid")).alias("own"))
 
 
 @register("ivf_build")
 def ivf_build_q(spark, sf_dir):
-    """R3 (rows / invariants): every chunk with its IVF cell (16 cells)."""
-    _, index, _ = _ivf(spark, sf_dir)
-    return index.select("id", "cell")
+    """Every chunk with its IVF cell; the cell's centre is the nearest of all."""
+    from filtra.functions.vectors import l2_distance
+    from filtra.operators.blocked import search_blocked
+    _, index, cents = _ivf(spark, sf_dir)
+    near = search_blocked(cents.select(F.col("cell").cast("long").alias("id"), F.col("center").alias("embedding")),
+                          index.select(F.col("id").alias("qid"), F.col("embedding").alias("q_dense")),
+                          k=1, metric="L2", fields=(), pred_fields=()).select(F.col("qid").alias("id"),
+                                                                              F.col("score").alias("best"))
+    own = index.join(F.broadcast(cents), "cell", "left")  # one centre a cell
+    return own.join(near, "id", "left").select(
+        "id", F.col("center").isNotNull().alias("known_cell"),
+        (l2_distance("embedding", "center") <= F.col("best") + 2e-6).alias("nearest"))
 
 
 @register("ivf_search")
@@ -710,11 +774,14 @@ def ivf_search_q(spark, sf_dir):
 
 @register("ivf_search_nprobe4")
 def ivf_search_nprobe4_q(spark, sf_dir):
-    """R4 approximate (4 of 16 cells probed); rows only -- recall is checked
-    against exact search in the tests."""
+    """R4 approximate (4 of 16 cells probed): per query, whether its hits are rows of its group
+    with exact scores and gapless ranks, its own row among them. ``ivf_recall`` says how many
+    of the exact hits are found, ``ivf_search_bounded`` finds them all."""
     from filtra.operators.ivf import ivf_search
     c, index, cents = _ivf(spark, sf_dir)
-    return ivf_search(index, cents, group_queries(c), nprobe=4, k=TOP_K)
+    qs = group_queries(c)
+    hits = ivf_search(index, cents, qs, nprobe=4, k=TOP_K, fields=())
+    return _hit_checks(c, qs, hits).drop("hits")
 
 
 # ------------------------------------------------------------- T1-T3
@@ -732,18 +799,42 @@ def _land(df: DataFrame, name: str, slices: Sequence | None = None, slice_col: s
     return path
 
 
-@register("stream_ingest")
-def stream_ingest_q(spark, sf_dir):
-    """Chunk files ingested two per trigger with row-level validation; a
-    second run on the same checkpoint (resume) adds nothing."""
+def _ingested(spark, sf_dir) -> tuple[str, str, str]:
+    """Folders of good rows, rejects and rates after an ingest of the chunk files, of which one,
+    arriving last, repeats every tenth id; a second run on the same checkpoint (resume) adds
+    nothing."""
     from filtra.session import scratch_path
     from filtra.streaming.ingest import stream_ingest
     c = chunks_view(spark, sf_dir)
     src = _land(c.repartition(8, "id"), "landing-chunks")
-    sink, ck = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-ck")
-    stream_ingest(spark, src, sink, ck, c.schema, dim=64)
-    stream_ingest(spark, src, sink, ck, c.schema, dim=64)  # resume: no new files
-    return spark.read.parquet(sink).select("id", "kbId", "documentId")
+    c.filter(F.col("id") % 10 == 0).coalesce(1).write.mode("append").parquet(src)
+    folders = [scratch_path(spark, n) for n in ("ingested", "rejects", "rates")]
+    ck = scratch_path(spark, "ingest-ck")
+    for _ in range(2):
+        stream_ingest(spark, src, folders[0], ck, c.schema, dim=64, rejects_dir=folders[1], unique="id",
+                      rates_dir=folders[2])
+    return tuple(folders)
+
+
+@register("stream_ingest")
+def stream_ingest_q(spark, sf_dir):
+    """Chunk files ingested two per trigger, validated row by row and against the ids seen
+    before: the good rows, and the rejects with their reasons."""
+    good, bad, _ = _ingested(spark, sf_dir)
+    cols = ["id", "kbId", "documentId"]
+    return spark.read.parquet(good).select(*cols, F.lit("").alias("reasons")).unionByName(
+        spark.read.parquet(bad).select(*cols, "reasons"))
+
+
+@register("ingest_rate")
+def ingest_rate_q(spark, sf_dir):
+    """What the ingest of T1 read, kept and rejected, and whether every batch has a rate."""
+    from filtra.streaming.ingest import ingest_rate
+    rates = ingest_rate(spark.read.parquet(_ingested(spark, sf_dir)[2]))
+    return rates.agg(F.sum(F.when(F.col("batch").isNotNull(), F.col("rows_in"))).alias("rows_in"),
+                     F.max(F.when(F.col("batch").isNull(), F.col("rows_in"))).alias("total_in"),
+                     F.max(F.when(F.col("batch").isNull(), F.col("rows_kept"))).alias("total_kept"),
+                     F.bool_and((F.col("rows_per_s") > 0) | (F.col("rows_in") == 0)).alias("rated"))
 
 
 @register("stream_latency_qps")
@@ -752,18 +843,18 @@ def stream_latency_qps_q(spark, sf_dir):
     query label: requests, QPS and p50/p99 latency, closed windows only."""
     from filtra.session import scratch_path
     from filtra.sources.tables import request_log_view
-    from filtra.streaming.monitor import latency_windows
+    from filtra.streaming.monitor import latency_counts, latency_windows
     log = request_log_view(spark, sf_dir)
     span = log.agg(F.min(F.unix_seconds("ts")).alias("a"), F.max(F.unix_seconds("ts")).alias("b")).first()
     first, width = span["a"] or 0, ((span["b"] or 0) - (span["a"] or 0)) // 4 + 1
     sliced = log.withColumn("_s", F.floor((F.unix_seconds("ts") - F.lit(first)) / F.lit(width)))
     src = _land(sliced, "landing-requests", slices=[0, 1, 2, 3], slice_col="_s")  # quarters of the log's span
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 64).parquet(src)
-    out, ck = scratch_path(spark, "latency-windows"), scratch_path(spark, "latency-ck")
-    q = (latency_windows(stream).writeStream.format("parquet").option("path", out)
+    out, ck = scratch_path(spark, "latency-counts"), scratch_path(spark, "latency-ck")
+    q = (latency_counts(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return latency_windows(spark.read.parquet(out))
 
 
 @register("stream_search")
@@ -782,11 +873,12 @@ def stream_search_q(spark, sf_dir):
 
 @register("ivf_search_widen")
 def ivf_search_widen_q(spark, sf_dir):
-    """R4 starting at 4 of 16 cells and widening until each filtered query has
-    k hits or all cells are probed (rows only; counts equal exact search)."""
+    """R4 starting at 4 of 16 cells and widening until each filtered query has k hits or all cells
+    are probed: as many hits as exact search has, each checked as in ``ivf_search_nprobe4``."""
     from filtra.operators.ivf import ivf_search_widening
     c, index, cents = _ivf(spark, sf_dir)
-    return ivf_search_widening(index, cents, group_queries(c), nprobe=4, k=TOP_K)
+    qs = group_queries(c)
+    return _hit_checks(c, qs, ivf_search_widening(index, cents, qs, nprobe=4, k=TOP_K, fields=())).drop("own")
 
 
 @register("generated_batch_topk")
@@ -794,7 +886,7 @@ def generated_batch_topk_q(spark, sf_dir):
     """R2 at corpus scale: the 1:N generated corpus (20-500 chunks per document,
     Zipf-skewed kbId, 8-dim vectors); one query per kbId (its lowest-id chunk's
     vector), restricted to that kbId. Rows only: the vectors are xxhash-based."""
-    from filtra.operators.search import search_batch
+    from filtra.operators.blocked import search_blocked
     g = _gen(spark, sf_dir, vectors=True).select("id", "kbId", "documentId", "study", "site",
                                                   "patient", "visit", "embedding")
     from filtra.sources.generator import dense_vectors
@@ -802,7 +894,11 @@ def generated_batch_topk_q(spark, sf_dir):
     # a stored vector is a function of its id: rebuild the ten query vectors
     # from their ids instead of joining them out of the whole corpus
     q = reps.withColumn("q_dense", dense_vectors("qid", 8))
-    return search_batch(g, q, k=TOP_K)
+    hits = search_blocked(g, q, k=TOP_K, fields=("kbId",))
+    return hits.groupBy("qid", "kbId").agg(
+        F.count(F.lit(1)).alias("hits"), F.min_by("id", "rank").alias("best_id"),
+        F.min_by("score", "rank").alias("best_score"),
+        ((F.min("rank") == 1) & (F.max("rank") == F.count(F.lit(1)))).alias("ranked"))
 
 
 @register("q7_hot_mid_cold_pool")
@@ -822,10 +918,8 @@ def q7_hot_mid_cold_pool_q(spark, sf_dir):
     return res.join(F.broadcast(q.select("qid", "tier")), "qid")
 
 
-@register("ivf_recall")
-def ivf_recall_q(spark, sf_dir):
-    """R10 on IVF (rows only): recall@10 per query of 4-of-16-cell search
-    against exact search, with the mean as qid = -1."""
+def ivf_recall_rows(spark, sf_dir) -> DataFrame:
+    """qid, k, found, recall of 4-of-16-cell search per query, and of all as qid = -1."""
     from filtra.operators.ivf import ivf_search
     from filtra.operators.quality import recall_at_k
     from filtra.operators.search import search_batch
@@ -839,58 +933,53 @@ def ivf_recall_q(spark, sf_dir):
     return per.unionByName(mean)
 
 
+@register("ivf_recall")
+def ivf_recall_q(spark, sf_dir):
+    """R10 on IVF: recall@10 per query of 4-of-16-cell search against exact search, the mean as
+    qid = -1: that some exact hits are found and the share is found / k."""
+    return ivf_recall_rows(spark, sf_dir).select(
+        "qid", "k", (F.col("found") > 0).alias("some"), F.col("recall").between(0.0, 1.0).alias("share"))
+
+
 # ------------------------------------------------ stored index layouts
 
-@register_text("sparse_topk_stored")
-def sparse_topk_stored_q(spark, sf_dir, view=chunks_view):
-    """R5 over a posting index stored by token bucket (write once, search
-    reading only the query's buckets)."""
-    from filtra.operators.sparse import write_postings
-    from filtra.session import scratch_path
-    c, a = _anchor(spark, sf_dir, view)
-    path = scratch_path(spark, "postings")
-    write_postings(postings_of(c, persist=False), path)
+@register("sparse_topk_stored")
+def sparse_topk_stored_q(spark, sf_dir):
+    """R5 over weighted postings stored by token bucket (only the query's buckets are read)."""
+    from filtra.operators.sparse import query_terms, sparse_search, write_postings
+    path = stored_once(spark, sf_dir, "weighted-postings", lambda p: write_postings(
+        text_index(spark, sf_dir).weights(), p))
     stored = spark.read.parquet(path)
+    c, a = _anchor(spark, sf_dir)
     return sparse_search(stored, query_terms(stored, ANCHOR_ID), k=TOP_K,
-                         allowed_ids=c.filter(_kb_site(a)))
+                         allowed_ids=texts_view(spark, sf_dir).filter(_kb_site(a)))
 
 
 @register("ivf_search_stored")
 def ivf_search_stored_q(spark, sf_dir):
     """R4 over an IVF index stored by cell (nprobe = nlist: equals exact search)."""
-    from filtra.operators.ivf import ivf_search, write_ivf_index
-    from filtra.session import scratch_path
-    c, index, cents = _ivf(spark, sf_dir)
-    path = scratch_path(spark, "ivf-index")
-    write_ivf_index(index.drop("content"), path)
-    stored = spark.read.parquet(path)
+    from filtra.operators.ivf import ivf_search
+    c, stored, cents = _ivf(spark, sf_dir)
     return ivf_search(stored, cents, group_queries(c), nprobe=IVF_NLIST_FIXTURE, k=TOP_K)
 
 
-@register_text("batch_hybrid_rrf")
-def batch_hybrid_rrf_q(spark, sf_dir, view=chunks_view):
+@register("batch_hybrid_rrf")
+def batch_hybrid_rrf_q(spark, sf_dir):
     """R7 for many queries at once: every (kbId, site) group searched with its
     lowest-id chunk as both the dense and the sparse query, each restricted to
-    its own group; arms fused by RRF per qid."""
+    its own group; arms fused by RRF per qid. Each query's filter values are part
+    of the posting join, so a frequent token pairs a document only with the
+    queries of its own group."""
     from filtra.operators.search import search_batch
-    from filtra.operators.sparse import bm25_for_tokens, sparse_scores, term_stats
-    from filtra.operators.topk import topk
-    c = view(spark, sf_dir)
-    vectors = _with_vectors(c)
-    qs = group_queries(vectors)
-    dense = search_batch(vectors, qs, k=TOP_K, fields=())
-    tf, n_docs, avgdl = term_stats(c.select("id", "content"))
-    qids = qs.select(F.col("qid").alias("id"), "qid", F.col("kbId").alias("_qk"),
-                     F.col("site").alias("_qs"))
-    post = bm25_for_tokens(tf, n_docs, avgdl, tf.join(F.broadcast(qids.select("id")), "id"))
-    # each query's term rows carry its own filter values, and postings carry
-    # the document's: the join on (token, kbId, site) applies every query's
-    # filter inside the join, so a frequent token pairs a document only with
-    # the queries of its own group -- never with all queries
-    terms = post.join(F.broadcast(qids), "id").select(
-        "qid", "token", F.col("weight").alias("qweight"), F.col("_qk").alias("kbId"),
-        F.col("_qs").alias("site"))
-    cand = post.join(c.select("id", "kbId", "site"), "id")
-    scores = sparse_scores(cand, terms, keys=["qid"], on=["token", "kbId", "site"])
+    c = chunks_view(spark, sf_dir)
+    qs = group_queries(c)
+    dense = search_batch(c, qs, k=TOP_K, fields=())
+    texts = c.select(F.col("id").alias("qid"), "content").join(qs.select("qid", "kbId", "site"), "qid")
+    ix = text_index(spark, sf_dir)
+    scores = ix.scores(ix.query_terms(texts, keep=("qid", "kbId", "site")), same=("kbId", "site"))
     sparse = topk(scores, TOP_K, keys=["qid"])
     return rrf([dense, sparse], k=TOP_K, keys=["qid"])
+
+
+# further registered queries; they need the names above
+from filtra.plans import sparse_maps, workload  # noqa: E402, F401

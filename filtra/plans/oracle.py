@@ -6,6 +6,8 @@ log views of ``filtra.sources`` are re-stated here as CTEs.
 
 from __future__ import annotations
 
+import json
+
 ANCHOR = 7
 
 CHUNKS = """chunks AS (
@@ -404,7 +406,10 @@ ORACLE_SQL.update({
         + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for cond, name in VALIDATE_CHECKS)
         + ") AS reasons FROM chunks)")
     + "SELECT id, reasons FROM r WHERE reasons <> ''",
-    "sink_manifest": ORACLE_SQL["dataset_profile"],
+    "sink_manifest": ORACLE_SQL["dataset_profile"].replace(" FROM chunks", ", '" + json.dumps({
+        "alpha": 1.0, "chunks_max": 500, "chunks_min": 20, "dim": 64,
+        "pools": {"kbId": 10, "patient": 30, "site": 30, "study": 30, "visit": 30}, "seed": 42,
+        "sparse_nnz": 64, "sparse_vocab": 30000, "top_k": 10}, sort_keys=True) + "' AS settings FROM chunks"),
     "sink_results_csv": ORACLE_SQL["latency_summary"],
     "sink_modes": with_(CHUNKS) + "SELECT id, kbId FROM chunks",
 })
@@ -518,11 +523,135 @@ ORACLE_SQL["batch_hybrid_rrf"] = with_(
     "(SELECT qid, id, rank FROM dense_r UNION ALL SELECT qid, id, rank FROM sp_r) GROUP BY qid, id)",
     f"top AS ({ranked('fused', part='qid')})") + "SELECT qid, rank, id, score FROM top"
 
-# every document, with or without an embedding
+# queries on texts: every document, with or without an embedding
 TEXTS = CHUNKS.replace("SELECT e.vec_id AS id", "SELECT d.doc_id AS id").replace(
     "FROM embeddings e JOIN documents d ON", "FROM documents d LEFT JOIN embeddings e ON")
 
 for _name in ("sparse_topk", "sparse_topk_stored", "bm25_weights", "sparse_inner_product", "content_template",
               "schema_validate", "hybrid_rrf", "hybrid_weighted", "hybrid_weighted_minmax", "batch_hybrid_rrf",
               "recall_at_k", "ranker_overlap"):
-    ORACLE_SQL[f"{_name}_texts"] = ORACLE_SQL[_name].replace(CHUNKS, TEXTS)
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(CHUNKS, TEXTS)
+
+
+# ------------------------------------------------------ sparse maps
+
+def _primes_above(n: int, count: int) -> list[int]:
+    out, c = [], n + 1
+    while len(out) < count:
+        if all(c % p for p in range(2, int(c ** 0.5) + 1)):
+            out.append(c)
+        c += 1
+    return out
+
+
+def sparse_map(name: str, src: str, key: str, seed: int, nnz: int, keep: str = "", vocab: int = 30000) -> str:
+    """CTE: one row per (key, token) of the generated map: token INTEGER, w FLOAT."""
+    steps = ", ".join(str(x) for x in _primes_above(vocab, 16))
+    start = f"md5('sa:{seed}:' || {key}::VARCHAR)"
+    digest = f"md5('sw' || (j // 4)::VARCHAR || ':{seed}:' || {key}::VARCHAR)"
+    return (f"{name} AS (SELECT {key} AS key{keep}, "
+            f"((('0x' || substr({start}, 1, 8))::BIGINT % {vocab}) + j * ([{steps}])"
+            f"[1 + ('0x' || substr({start}, 9, 8))::BIGINT % 16])::BIGINT % {vocab} AS token, "
+            f"((('0x' || substr({digest}, (1 + 8 * (j % 4))::INT, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+            f"::FLOAT AS w FROM {src}, (SELECT unnest(range({nnz})) AS j))")
+
+
+MAPS = (sparse_map("rmap", "texts", "id", 42, 64, ", kbId, site"),
+        sparse_map("qmap", "chunks", "id", 43, 32, ", kbId, site"))
+TEXTS_CTE = TEXTS.replace("chunks AS (", "texts AS (", 1)
+
+
+def map_scores(on: str) -> str:
+    return ("s AS (SELECT q.key AS qid, r.key AS id, round(sum(q.w::DOUBLE * r.w::DOUBLE), 6) AS score "
+            f"FROM qmap q JOIN rmap r ON r.token = q.token{on} GROUP BY q.key, r.key)")
+
+
+ORACLE_SQL.update({
+    "sparse_map_topk": with_(CHUNKS, TEXTS_CTE, *MAPS, map_scores(""), f"top AS ({ranked('s', part='qid')})")
+    + "SELECT qid, rank, id, score FROM top",
+    "sparse_map_filtered_topk": with_(
+        CHUNKS, TEXTS_CTE, *MAPS, map_scores(" AND r.kbId = q.kbId AND r.site = q.site"),
+        f"top AS ({ranked('s', part='qid')})") + "SELECT qid, rank, id, score FROM top",
+    "hybrid_sparse_map": with_(
+        CHUNKS, TEXTS_CTE, *MAPS, map_scores(" AND r.kbId = q.kbId"), f"sp AS ({ranked('s', part='qid')})",
+        f"d AS (SELECT q.id AS qid, c.id, {ip('c.embedding', 'q.embedding')} AS score FROM chunks c "
+        "JOIN chunks q ON c.kbId = q.kbId)",
+        f"dr AS ({ranked('d', part='qid')})",
+        "fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM "
+        "(SELECT qid, id, rank FROM dr UNION ALL SELECT qid, id, rank FROM sp) GROUP BY qid, id)",
+        f"top AS ({ranked('fused', part='qid')})")
+    + f"SELECT t.qid, t.rank, t.id, t.score, {OUT_C} FROM top t JOIN chunks c ON c.id = t.id",
+})
+
+# ------------------------------------------------------ drawn workload (R2)
+
+ORACLE_SQL["ivf_search_bounded"] = ORACLE_SQL["batch_topk"]
+ORACLE_SQL["workload_topk"] = with_(
+    CHUNKS,
+    "num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS at, count(*) OVER () AS n FROM chunks)",
+    "q AS (SELECT w.qid, v.embedding AS qv, CASE WHEN w.qid % 51 <> 0 THEN p.kbId END AS kbId, "
+    "CASE WHEN w.qid % 2 = 1 THEN p.study END AS study, CASE WHEN w.qid % 3 = 1 THEN p.site END AS site, "
+    "CASE WHEN w.qid % 7 = 3 THEN p.patient END AS patient, CASE WHEN w.qid % 11 = 5 THEN p.visit END AS visit "
+    "FROM (SELECT unnest(range(10000)) AS qid) w JOIN num v ON v.at = w.qid * 7919 % v.n "
+    "JOIN num p ON p.at = w.qid * 104729 % p.n)",
+    f"s AS (SELECT q.qid, c.id, {ip('c.embedding', 'q.qv')} AS score, {OUT_C} FROM chunks c JOIN q "
+    "ON (q.kbId IS NULL OR c.kbId = q.kbId) AND (q.study IS NULL OR c.study = q.study) "
+    "AND (q.site IS NULL OR c.site = q.site) AND (q.patient IS NULL OR c.patient = q.patient) "
+    "AND (q.visit IS NULL OR c.visit = q.visit))",
+    f"top AS ({ranked('s', part='qid')})") + f"SELECT qid, rank, id, score, {OUT} FROM top"
+
+# ------------------------------------------- what any valid result must satisfy
+
+GROUPS = "g AS (SELECT kbId, site, min(id) AS qid, count(*) AS n FROM chunks GROUP BY kbId, site)"
+
+ORACLE_SQL.update({
+    # vectors drawn by Spark's own hash: length and norm
+    "dense_vectors": "SELECT doc_id, 8::BIGINT AS dim, 1.0::DOUBLE AS norm FROM documents",
+    "sparse_vectors": with_(sparse_map("m", "documents", "doc_id", 42, 64))
+    + "SELECT key AS doc_id, token, round(w::DOUBLE, 6) AS weight FROM m",
+    "query_set": with_(sparse_map("m", "embeddings", "vec_id", 43, 32))
+    + "SELECT key AS qid, 64::BIGINT AS dim, 1.0::DOUBLE AS norm, token, round(w::DOUBLE, 6) AS weight FROM m",
+    # every chunk is in the cell of its nearest centre
+    "ivf_build": with_(CHUNKS) + "SELECT id, true AS known_cell, true AS nearest FROM chunks",
+    # a probe of some cells: own group only, exact scores, ranks without gaps, the query's own row among the hits
+    "ivf_search_nprobe4": with_(CHUNKS, GROUPS)
+    + "SELECT qid, true AS in_group, true AS exact, true AS ranked, true AS own FROM g",
+    "ivf_search_widen": with_(CHUNKS, GROUPS)
+    + "SELECT qid, least(n, 10)::BIGINT AS hits, true AS in_group, true AS exact, true AS ranked FROM g",
+    "ivf_recall": with_(CHUNKS, GROUPS)
+    + "SELECT qid, least(n, 10)::BIGINT AS k, true AS some, true AS share FROM g UNION ALL "
+      "SELECT -1, sum(least(n, 10))::BIGINT, true, true FROM g",
+    "generated_batch_topk": with_(*GEN)
+    + "SELECT min(id) AS qid, kbId, least(count(*), 10)::BIGINT AS hits, min(id) AS best_id, "
+      "1.0::DOUBLE AS best_score, true AS ranked FROM gen GROUP BY kbId",
+})
+
+# ------------------------------------------------ the log of a study that stops at failures
+
+STOPPED = EVENT_LOG.replace("event_log AS (", "whole_log AS (", 1) + """,
+event_log AS (SELECT * FROM whole_log QUALIFY iteration <= coalesce(
+  min(CASE WHEN event = 'create_failed' THEN iteration END) OVER (PARTITION BY phase), iteration))"""
+
+for _name, _from in (("study_phases", "phase_summary"), ("study_created", "running_created"),
+                     ("study_growth", "growth_rate"), ("study_trend", "latency_trend")):
+    ORACLE_SQL[_name] = ORACLE_SQL[_from].replace(EVENT_LOG, STOPPED)
+ORACLE_SQL["study_trend"] = ORACLE_SQL["study_trend"].replace(
+    "floor(created_so_far / 1000) * 1000", "floor(created_so_far / 10) * 10")
+
+CHECKED = ("r AS (SELECT id, kbId, documentId, concat_ws(';', "
+           + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for cond, name in VALIDATE_CHECKS[:-1])
+           + ") AS reasons FROM chunks)")
+
+ORACLE_SQL.update({
+    "stream_ingest": with_(CHUNKS, CHECKED)
+    + "SELECT id, kbId, documentId, reasons FROM r UNION ALL SELECT id, kbId, documentId, "
+      "CASE WHEN reasons = '' THEN 'duplicate_id' ELSE reasons END FROM r WHERE id % 10 = 0",
+    "ingest_rate": with_(CHUNKS, CHECKED)
+    + "SELECT (count(*) + count(*) FILTER (WHERE id % 10 = 0))::BIGINT AS rows_in, "
+      "(count(*) + count(*) FILTER (WHERE id % 10 = 0))::BIGINT AS total_in, "
+      "count(*) FILTER (WHERE reasons = '')::BIGINT AS total_kept, true AS rated FROM r",
+})
+
+ORACLE_SQL["q3_long_list"] = dense_topk(
+    f"{EQ['kbId']} AND substr(md5('44:' || c.documentId), 1, 1) < '8'")
+ORACLE_SQL["q6_hybrid_multi_and"] = ORACLE_SQL["hybrid_rrf"].replace(KB_SITE, ALL5)

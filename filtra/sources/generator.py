@@ -3,8 +3,8 @@
 Every random quantity is a hash of a key, so results do not depend on
 partitioning, task retries or the number of executors:
 
-* attributes and chunk counts: md5-based uniforms (reproducible in SQL);
-* vectors and sparse weights: xxhash64-based uniforms (Spark only, faster).
+* attributes, chunk counts and sparse vectors: md5-based uniforms (reproducible in SQL);
+* dense vectors: xxhash64-based uniforms (Spark only, faster).
 """
 
 from __future__ import annotations
@@ -202,20 +202,31 @@ def sparse_vectors(key, vocab: int = SPARSE_VOCAB, nnz: int = SPARSE_NNZ_ROW,
     """min(nnz, vocab) distinct token ids in [0, vocab) with U(0,1) weights.
 
     token_j = (a + j * b) mod vocab with b coprime to vocab, so j -> token is
-    injective for j < vocab: distinct ids without rejection sampling. One SQL
-    expression, one codegen'd term per entry.
+    injective for j < vocab: distinct ids without rejection sampling. All draws are
+    digits of md5 digests (four draws a digest), so any engine with md5 can restate
+    a row.
     """
     if not isinstance(key, str):
         raise TypeError("key must be a column name")
-    k = f"`{key}`"
     m = min(int(nnz), int(vocab))
     steps = _coprime_steps(vocab)
-    a = f"pmod(xxhash64({seed}, {k}, 'a'), {vocab}L)"
-    b = (f"element_at(array({', '.join(f'{x}L' for x in steps)}), "
-         f"cast(pmod(xxhash64({seed}, {k}, 'b'), {len(steps)}L) + 1 AS INT))")
-    toks = ", ".join(f"cast(pmod({a} + {j}L * {b}, {vocab}L) AS INT)" for j in range(m))
-    wts = ", ".join(f"cast({_xx_uniform_sql(seed, k, j, 2)} AS FLOAT)" for j in range(m))
-    return F.expr(f"map_from_arrays(array({toks}), array({wts}))")
+
+    def digest(text: str) -> str:
+        return f"md5(concat({_sql_str(text)}, cast(`{key}` AS STRING)))"
+
+    def word(d: str, i: str) -> str:
+        return f"cast(conv(substring({d}, 1 + 8 * {i}, 8), 16, 10) AS BIGINT)"
+
+    numbers = f"sequence(0, {m - 1})"
+    steps_sql = ", ".join(f"{x}L" for x in steps)
+    # one-element arrays bind a value, so that it is computed once a row
+    ab = (f"transform(array({digest(f'sa:{seed}:')}), d -> named_struct('a', {word('d', '0')} % {vocab}L, "
+          f"'b', element_at(array({steps_sql}), cast({word('d', '1')} % {len(steps)}L + 1 AS INT))))")
+    toks = f"transform({ab}, s -> transform({numbers}, j -> cast((s.a + j * s.b) % {vocab}L AS INT)))[0]"
+    digits = ", ".join(digest(f"sw{q}:{seed}:") for q in range(-(-m // 4)))
+    wts = (f"transform(array(concat({digits})), h -> transform({numbers}, j -> "
+           f"cast(({word('h', 'j')} + 0.5D) / 4294967296.0D AS FLOAT)))[0]")
+    return F.expr(f"map_from_arrays({toks}, {wts})")
 
 
 def with_content(df: DataFrame, length: int = CONTENT_LENGTH, col: str = "content") -> DataFrame:

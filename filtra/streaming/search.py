@@ -1,7 +1,8 @@
 """Queries arriving as a stream, each answered with filtered top-k.
 
 A row_number window is not allowed on a stream, so every micro-batch of
-queries is answered by the batch search (R2) inside ``foreachBatch``. Each
+queries is answered by the blocked batch search (R2) inside ``foreachBatch``,
+which reads the stored corpus once; output fields travel with the hits. Each
 batch's answer is written to its own folder with overwrite, so a replayed
 batch replaces rather than duplicates its output.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from filtra.config import OUTPUT_FIELDS
-from filtra.operators.search import search_batch
+from filtra.operators.blocked import search_blocked
 
 
 def stream_search(spark: SparkSession, corpus: DataFrame, queries_dir: str, schema: StructType,
@@ -27,7 +28,7 @@ def stream_search(spark: SparkSession, corpus: DataFrame, queries_dir: str, sche
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         done["batches"] += 1
-        res = search_batch(corpus, batch, k=k, metric=metric, fields=fields)
+        res = search_blocked(corpus, batch, k=k, metric=metric, fields=fields)
         res.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
 
     q = (src.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint_dir)

@@ -98,3 +98,62 @@ def test_expression_and_function_give_the_same_vectors(spark):
 def test_expansion_spreads_rows_over_tasks(spark):
     ch = G.chunk_expand(docs(spark, 200), lo=100, hi=100, rows_per_task=1000)
     assert ch.rdd.getNumPartitions() >= 10
+
+
+# ------------------------------------------------------------- clustered layout
+
+def test_clustered_layout_skips_row_groups(spark, tmp_path):
+    """Fewer row groups can hold a field's value than in id order; rows and results are the same."""
+    import glob
+    import pyarrow.parquet as pq
+    from filtra.sources.sinks import write_clustered, write_corpus
+    rows = [(i, f"kb_{i % 2}", f"d{i}", f"S{(i * 7919) % 30:02d}", f"T{(i * 104729) % 29:02d}", f"P{(i * 31) % 28:02d}",
+             f"V{(i * 17 + i // 29) % 27:02d}" if i % 50 else None, "filler text " * 8 + str(i * 7919 % 9973)) for i in range(12000)]
+    df = spark.createDataFrame(rows, "id long, kbId string, documentId string, study string, site string, patient string,"
+                                     " visit string, content string").coalesce(1)
+    a, b = str(tmp_path / "plain"), str(tmp_path / "clustered")
+    write_corpus(df, a)
+    write_clustered(df, b, row_group_bytes=16 << 10)
+    spark.read.parquet(a)
+
+    def groups(path):
+        out = []
+        for f in glob.glob(f"{path}/kbId=*/*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            for g in range(meta.num_row_groups):
+                cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics
+                        for c in range(meta.num_columns)}
+                out.append({k: (s.min, s.max) for k, s in cols.items() if s is not None and s.has_min_max})
+        return out
+
+    clustered = groups(b)
+    assert len(clustered) >= 16
+    for field, value in (("study", "S07"), ("site", "T11"), ("patient", "P13"), ("visit", "V05")):
+        may = sum(1 for g in clustered if g[field][0] <= value <= g[field][1])
+        assert may <= 0.7 * len(clustered), (field, may, len(clustered))
+    both = sum(1 for g in clustered if all(g[f][0] <= v <= g[f][1] for f, v in
+                                           (("study", "S07"), ("site", "T11"), ("patient", "P13"), ("visit", "V05"))))
+    assert both <= 0.25 * len(clustered)
+    back = spark.read.parquet(b)
+    assert sorted(back.columns) == sorted(df.columns)
+    key = sorted(df.columns)
+    assert back.select(key).exceptAll(df.select(key)).count() == 0 and back.count() == 12000
+
+
+def test_interleaved_bits(spark):
+    from filtra.sources.sinks import interleaved
+    df = spark.range(16).selectExpr("id % 4 as a", "id div 4 as b")
+    got = {(r["a"], r["b"]): r["z"] for r in df.select("a", "b", interleaved(["a", "b"], 2).alias("z")).collect()}
+    for (a, b), z in got.items():
+        assert z == sum(((a >> i) & 1) << (2 * i) | ((b >> i) & 1) << (2 * i + 1) for i in range(2))
+
+
+def test_writers_follow_rows(spark, tmp_path, monkeypatch):
+    import glob
+    from filtra.sources import sinks
+    monkeypatch.setattr(sinks, "ROWS_PER_WRITER", 1000)
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('kb', id % 40)) as kbId")
+    sinks.write_corpus(df, str(tmp_path / "c"))
+    hot = glob.glob(str(tmp_path / "c" / "kbId=hot" / "*.parquet"))
+    assert 2 <= len(hot) <= 4 and len(glob.glob(str(tmp_path / "c" / "kbId=kb1" / "*.parquet"))) <= 2
+

@@ -109,3 +109,29 @@ def test_null_label_keeps_its_samples(spark):
     labels = spark.createDataFrame([(None,), ("a",), ("b",)], "label string")
     got = {r["label"]: (r["n"], r["p50_ms"]) for r in latency_summary(df, ["label"], labels=labels).collect()}
     assert got == {None: (2, 2.0), "a": (1, 2.0), "b": (0, 0.0)}
+
+
+def test_weighted_percentiles_equal_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 3 else f"k{k}", float(rng.integers(0, 40)) if rng.random() > 0.05 else None)
+            for k in (0, 0, 0, 1, 2, 3) for _ in range(150)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    probs, names = (0.0, 0.37, 0.5, 0.99, 1.0), ("a", "b", "c", "d", "e")
+    want = {r["k"]: tuple(r)[1:] for r in S.exact_percentiles(df, ["k"], "v", probs, names).collect()}
+    got = {r["k"]: tuple(r)[1:] for r in S.weighted_percentiles(counted, ["k"], "v", "n", probs, names).collect()}
+    assert got.keys() == want.keys() and "none" not in got
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+
+
+def test_nothing_counts_after_the_first_failure(spark):
+    rows = [(1, 1, "sample"), (1, 2, "create_failed"), (1, 3, "sample"), (1, 4, "create_failed"),
+            (2, 1, "sample"), (2, 2, "sample"), (3, 1, "create_failed")]
+    df = spark.createDataFrame(rows, "phase int, iteration long, event string").withColumn(
+        "elapsed_s", F.col("iteration").cast("double"))
+    kept = S.until_failure(df)
+    assert sorted((r["phase"], r["iteration"]) for r in kept.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)]
+    totals = {r["phase"]: r["n"] for r in S.phase_totals(kept).collect()}
+    assert totals == {1: 1, 2: 2, 3: 0}
+

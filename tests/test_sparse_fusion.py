@@ -134,7 +134,55 @@ def test_text_queries_cover_documents_without_embedding(spark):
     from filtra.sources.tables import read_table, texts_view
     assert texts_view(spark, SF_MID).count() == read_table(spark, SF_MID, "documents").count() == 1000
     q = e.queries()
-    covered = {r["id"] for r in q["bm25_weights_texts"](spark, SF_MID).select("id").distinct().collect()}
+    covered = {r["id"] for r in q["bm25_weights"](spark, SF_MID).select("id").distinct().collect()}
     want = {r["doc_id"] for r in read_table(spark, SF_MID, "documents")
             .filter("lower(text) rlike '[a-z0-9]'").select("doc_id").collect()}
     assert covered == want
+
+
+# ------------------------------------------------------------- segments
+
+def _text_rows(spark):
+    rows = [(i, t) for i, t in enumerate(["a b a", "", None, "B c, c; c", "a", "x1 y2 x1 Ünder", "!!", "b b b b a c"] * 4)]
+    return spark.createDataFrame(rows, "id long, content string").withColumn("site", F.col("id") % 3)
+
+
+def test_token_counts_equal_brute_force(spark):
+    import re
+    from collections import Counter
+    from filtra.operators.segments import token_counts
+    docs = _text_rows(spark)
+    want = set()
+    for r in docs.collect():
+        toks = [t for t in re.split("[^a-z0-9]+", (r["content"] or "").lower()) if t]
+        want |= {(r["id"], len(toks), t, n) for t, n in Counter(toks).items()}
+    assert {tuple(r) for r in token_counts(docs).collect()} == want
+    plan = token_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_two_segments_equal_one_index(spark, tmp_path):
+    from filtra.operators.segments import TextIndex
+    from filtra.operators.sparse import bm25_postings
+    docs = _text_rows(spark)
+    whole, parts = TextIndex(spark, str(tmp_path / "a")), TextIndex(spark, str(tmp_path / "b"))
+    whole.append(docs, "0", keep=("site",))
+    parts.append(docs.filter("id < 11"), "0", keep=("site",))
+    parts.append(docs.filter("id >= 11"), "1", keep=("site",))
+    parts.append(docs.filter("id >= 11"), "1", keep=("site",))  # a repeated batch replaces itself
+    parts.append(docs.limit(0), "2", keep=("site",))
+
+    def rows(df):
+        return sorted((r["id"], r["token"], r["tf"], round(r["weight"], 9)) for r in df.collect())
+
+    assert whole.totals() == parts.totals() == (32, whole.totals()[1])
+    assert rows(whole.weights()) == rows(parts.weights()) == rows(bm25_postings(docs))
+    q = docs.filter("id in (0, 7)").select(F.col("id").alias("qid"), "content", "site")
+    for same in ((), ("site",)):
+        keep = ("qid", *same)
+        got = [sorted(tuple(r) for r in ix.scores(ix.query_terms(q, keep=keep), same=same).collect())
+               for ix in (whole, parts)]
+        assert got[0] == got[1] and got[0]
+        if same:
+            site = {r["id"]: r["site"] for r in docs.collect()}
+            assert all(site[qid] == site[i] for qid, i, _ in got[0])
