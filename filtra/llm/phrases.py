@@ -165,27 +165,45 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, levels=L
             for langs, p in _pieces(batch):
                 line, at = p.joined()
                 end = at + (p.ends - p.starts)
-                doc_lang = np.repeat(np.arange(len(langs)), np.diff(p.before))
-                words = {}
-                for x, n in zip(langs, np.diff(p.before).tolist(), strict=True):
-                    words[x] = words.get(x, 0) + n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(words), pa.string()), pa.array([0] * len(words), pa.int32()),
-                     pa.array([""] * len(words), pa.string()), pa.array(list(words.values()), pa.int64())],
-                    names=["lang", "k", "phrase", "f"])
+                names, own = np.unique(np.array(langs, dtype=object), return_inverse=True)
+                words = np.bincount(own, weights=np.diff(p.before), minlength=len(names)).astype(np.int64)
+                lang_of = np.repeat(own, np.diff(p.before))
+                lang, bucket = [np.arange(len(names))], [np.full(len(names), -1)]
+                texts, n = [b""] * len(names), [words]
                 for k in range(1, longest + 1):
                     place, key = p.possible(k, known)
-                    _, pick, n = counted(key)
+                    keys, pick, many = counted(key)
                     first = place[pick]
-                    text = [line[a:b] for a, b in zip(at[first].tolist(), end[first + k - 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([langs[i] for i in doc_lang[first].tolist()], pa.string()),
-                         pa.array(np.full(len(first), k, np.int32)),
-                         pa.array(text, pa.binary()).cast(pa.string()), pa.array(n)],
-                        names=["lang", "k", "phrase", "f"])
+                    texts += [line[a:b] for a, b in zip(at[first].tolist(), end[first + k - 1].tolist(), strict=True)]
+                    lang.append(lang_of[first])
+                    bucket.append((keys >> _U(KEY_BITS - 24)).astype(np.int64) * buckets >> 24)
+                    n.append(many)
+                lang, bucket, n = np.concatenate(lang), np.concatenate(bucket), np.concatenate(n)
+                order = np.lexsort((bucket, lang))
+                lang, bucket, n = lang[order], bucket[order], n[order]
+                cuts = np.concatenate([[0], np.nonzero((lang[1:] != lang[:-1]) | (bucket[1:] != bucket[:-1]))[0] + 1, [len(n)]])
+                place = order.tolist()
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                # a phrase holds no line break, so a block's phrases are lines
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[lang[i]] for i, _ in spans], pa.string()), pa.array(bucket[cuts[:-1]]),
+                     pa.array([b"\n".join([texts[x] for x in place[i:j]]) for i, j in spans], pa.binary()),
+                     pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())],
+                    names=["lang", "bucket", "phrases", "n"])
 
-    return (_source(docs).mapInArrow(run, "lang string, k int, phrase string, f long")
-            .groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(f"f >= {int(least)} or k = 0"))
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of one block's phrases by their text."""
+        total: dict[bytes, int] = {}
+        for phrases, n in zip(pdf["phrases"], pdf["n"], strict=True):
+            for text, many in zip(phrases.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                total[text] = total.get(text, 0) + many
+        kept = [(t.count(b" ") + 1 if t else 0, t.decode(), f) for t, f in total.items() if f >= least or not t]
+        out = pd.DataFrame(kept, columns=["k", "phrase", "f"])
+        out["lang"] = pdf["lang"].iloc[0]
+        return out.astype({"k": "int32", "f": "int64"})[["lang", "k", "phrase", "f"]]
+
+    return (_source(docs).mapInArrow(run, "lang string, bucket long, phrases binary, n binary")
+            .groupBy("lang", "bucket").applyInPandas(add, "lang string, k int, phrase string, f long"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST,
