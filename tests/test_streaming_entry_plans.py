@@ -139,6 +139,7 @@ def test_searches_read_the_stored_layout(spark):
     """No exchange carries a vector or a text, and the filters reach the scan."""
     from filtra.plans.catalog import QUERIES
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # filters are shown in full
     try:
         for name in ("q1_single_eq", "q2_multi_and", "q5_scalar_only", "filtered_topk", "hybrid_rrf", "hit_count",
                      "output_fields"):
@@ -155,6 +156,7 @@ def test_searches_read_the_stored_layout(spark):
                 assert f"EqualTo({f}," in pushed
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_an_index_is_built_once(spark):
