@@ -69,5 +69,17 @@ def _null_safe(keys: list[str]) -> Column:
     return on
 
 
+def settled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``df`` with ``cols`` computed at this point of the plan.
+
+    A filter on a computed column is otherwise moved below the steps that compute it, with all
+    of them written out inside it, again and again for columns used more than once. It does
+    not pass a generator; this one gives one row a row.
+    """
+    rest = [F.col(c) for c in df.columns if c not in cols]
+    packed = df.select(*rest, F.explode(F.array(F.struct(*cols))).alias("_settled"))
+    return packed.select(*rest, *[F.col(f"_settled.{c}").alias(c) for c in cols])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

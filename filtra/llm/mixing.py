@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filtra.llm.common import cut, table
+from filtra.llm.common import cut, settled, table
 
 # Target shares of the registered query and of the labelled domains below.
 TARGETS = {"clean": 0.80, "low": 0.15, "toxic": 0.05}
@@ -26,6 +26,7 @@ TEMPERATURES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0)
 TOLERANCE = 1e-7  # largest gap to a target, as a share of all tokens
 RIDGE = 1e-3  # of the mean cross product, added to keep near-equal domains apart
 MAX_STEPS = 200
+STILL = 1e-6  # movement of the rates, as a share of all tokens, below which the fit has ended
 PATIENCE = 20  # steps without progress after which targets count as out of reach
 CUT_EVERY = 8  # steps folded into one expression before rates are stored
 SEED = 3
@@ -62,8 +63,8 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _constant(values) -> Column:
-    """A literal array: one string, folded once when the query is planned."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+    """A literal array: one short string, folded once when the query is planned."""
+    return F.split(F.lit(",".join(f"{float(v):.9g}" for v in values)), ",").cast("array<double>")
 
 
 def _sum_of(feats: str, per_feature: Column) -> Column:
@@ -157,52 +158,61 @@ def _log_loss(which: Column, prior: np.ndarray, temperature: list[float]) -> Col
 
 class Rates:
     """Fitted rates as a formula of the posteriors: r = 1, then after every step
-    max(0, r - sum of step_k * p_k)."""
+    r - sum of step_k * p_k, held between 0 and ``most`` (no bound: None)."""
 
-    def __init__(self, k: int):
-        self.k, self.steps = k, []
+    def __init__(self, k: int, most: float | None = None):
+        self.k, self.most, self.steps, self.gaps = k, most, [], [0.0] * k
 
     def column(self, begin: Column | None = None, since: int = 0) -> Column:
-        r = F.lit(1.0) if begin is None else begin
-        for step in self.steps[since:]:
-            r = F.greatest(F.lit(0.0), r - _dot(step, self.k))
-        return r
+        """The rate after all steps. The steps are data of one fold over their numbers, so the
+        expression is as long for one step as for many, and its compiled form is reused."""
+        begin = F.lit(1.0) if begin is None else begin
+        steps = self.steps[since:]
+        if not steps:
+            return begin
+        numbers = _constant([x for step in steps for x in step])
+
+        def move(r: Column, j: Column) -> Column:
+            drop = sum((F.col(f"_p_{i}") * numbers[j * self.k + i] for i in range(1, self.k)),
+                       F.col("_p_0") * numbers[j * self.k])
+            now = F.greatest(F.lit(0.0), r - drop)
+            return now if self.most is None else F.least(F.lit(float(self.most)), now)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), begin, move)
 
     def add(self, df: DataFrame, out: str) -> DataFrame:
-        """Add the rate; a column per CUT_EVERY steps keeps expressions short."""
-        df = df.withColumn(out, F.lit(1.0))
-        for at in range(0, len(self.steps), CUT_EVERY):
-            r = F.col(out)
-            for step in self.steps[at:at + CUT_EVERY]:
-                r = F.greatest(F.lit(0.0), r - _dot(step, self.k))
-            df = df.withColumn(out, r)
-        return df
+        return df.withColumn(out, self.column())
 
 
-def _dot(step, k: int) -> Column:
-    return sum((F.col(f"_p_{i}") * float(step[i]) for i in range(1, k)), F.col("_p_0") * float(step[0]))
-
-
-def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
+def fit_rates(members: DataFrame, targets: np.ndarray, most: float | None = None) -> Rates:
     """Projected-gradient least squares over the documents' rates.
 
-    ``members``: _n_tokens, _p_<i>; ``targets``: wanted token totals. A step needs the
-    domain totals and cross products only, one aggregate of a few numbers. Gaps are
-    weighted by the inverse of the token cross products of the documents whose rate
-    is not held at zero, which makes the problem perfectly conditioned: the first
-    step solves it but for the bound, and further ones repair what the bound cut off. A
-    step that raises the weighted squares of the gaps is taken back and replaced by
-    one in the metric of all documents, which cannot raise them.
+    ``members``: _n_tokens, _p_<i>; ``targets``: wanted token totals; ``most``: upper bound of a
+    rate. A step needs the domain totals and cross products only, one aggregate of a few
+    numbers. Gaps are weighted by the inverse of the token cross products of the documents
+    whose rate is not held at a bound, which makes the problem perfectly conditioned: the
+    first step solves it but for the bounds, and further ones repair what they cut off. A
+    step that raises the weighted squares of the gaps is taken back and replaced by one in
+    the metric of all documents, which cannot raise them. The fit ends when all targets
+    are met, when a step moves the rates by less than STILL of all tokens (no step gets
+    nearer), or after MAX_STEPS; ``gaps`` of the result has what is left per domain.
     """
     k = len(targets)
     t = F.col("_n_tokens").cast("double")
-    rates = Rates(k)
+    rates = Rates(k, most)
     state, done = members.withColumn("_r", F.lit(1.0)), 0
     safe, weight, scale, last, stuck, fast = None, None, 1.0, math.inf, 0, False
+    before = np.zeros(k)
     for _ in range(MAX_STEPS):
-        now = state.withColumn("_now", rates.column(F.col("_r"), done))
+        earlier = Rates(k, most)
+        earlier.steps = rates.steps[:-1]
+        now = (state.withColumn("_now", rates.column(F.col("_r"), done))
+               .withColumn("_was", earlier.column(F.col("_r"), min(done, len(earlier.steps)))))
         free = F.col("_now") > 0
+        if most is not None:
+            free = free & (F.col("_now") < most)
         row = now.agg(
+            F.sum(t * F.abs(F.col("_now") - F.col("_was"))).alias("moved"), F.sum(t).alias("tokens"),
             *[F.sum(t * F.col("_now") * F.col(f"_p_{i}")).alias(f"e{i}") for i in range(k)],
             *[F.sum(F.when(free, t * F.col(f"_p_{i}") * F.col(f"_p_{j}")).otherwise(0.0)).alias(f"g{i}_{j}")
               for i in range(k) for j in range(i, k)]).first()
@@ -211,7 +221,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         gap = np.array([row[f"e{i}"] for i in range(k)]) - targets
         if safe is None:
-            scale = max(float(gram.sum()), 1.0)
+            scale = max(float(row["tokens"]), 1.0)
             safe = weight = np.linalg.inv(gram + np.eye(k) * (RIDGE * np.trace(gram) / k + 1e-9))
         loss = float(gap @ weight @ gap)
         if loss > last and fast:  # a fast step overshot: take it back, go on in the safe metric
@@ -219,8 +229,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
             rates.steps.append((safe @ before).tolist())
             fast = False
             continue
+        rates.gaps = gap.tolist()
         stuck = stuck + 1 if loss > last * 0.999 else 0
-        if float(np.abs(gap).max()) / scale < TOLERANCE or stuck > PATIENCE:  # met, or cannot be met
+        still = bool(rates.steps) and row["moved"] < STILL * scale
+        if float(np.abs(gap).max()) / scale < TOLERANCE or still or stuck > PATIENCE:  # met, or cannot be met
             break
         last, before = min(last, loss), gap
         if len(rates.steps) - done >= CUT_EVERY:
@@ -255,7 +267,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
 
 
 def thin(docs: DataFrame, labelled: DataFrame, keep: dict[str, float]) -> DataFrame:
-    """The rows of ``docs`` after sampling each with its fitted rate (above 1: kept once).
+    """The rows of ``docs`` after sampling each with its fitted rate, which is 1 at most.
 
     ``keep``: domain -> share of its expected tokens that is wanted. The draw hashes
     id and text, so it is the same on every run; all columns are returned. Texts
@@ -267,10 +279,12 @@ def thin(docs: DataFrame, labelled: DataFrame, keep: dict[str, float]) -> DataFr
     model = learn(docs.select("doc_id", "text"), labelled, domains)
     members = cut(model.add(docs.select("text")).drop("text"))
     have = members.agg(*[F.sum(F.col("_n_tokens") * F.col(f"_p_{i}")).alias(f"e{i}") for i in range(k)]).first()
-    rates = fit_rates(members, np.array([(have[f"e{i}"] or 0.0) * keep[d] for i, d in enumerate(domains)]))
+    rates = fit_rates(members, np.array([(have[f"e{i}"] or 0.0) * keep[d] for i, d in enumerate(domains)]),
+                      most=1.0)
     packed = docs.select(F.struct(*cols).alias("_row"), "text", "doc_id")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    return (rates.add(model.add(packed), "_rate").filter(draw < F.col("_rate")).select("_row.*"))
+    rated = settled(rates.add(model.add(packed), "_rate").select("_row", "doc_id", "text", "_rate"), ["_rate"])
+    return rated.filter(draw < F.col("_rate")).select("_row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

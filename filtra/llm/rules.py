@@ -4,8 +4,12 @@ Each document gets counts of words, symbols, repeated lines and repeated
 8-word windows. Per language and source a mergeable quantile sketch of every
 rate is kept: a log-linear histogram (counts per bucket, five significant
 bits) that merges by adding counts, so partial sketches of tasks, sources and
-languages combine freely and always give the same thresholds. A document is
-rejected when a rate lies beyond its group's fence, or by the fixed base rule.
+languages combine freely and always give the same thresholds. A group's fence
+is found in its sketch alone, there is no fixed cutoff: where the buckets fall into
+two well separated classes, it lies in the gap between them; else beyond the
+quartiles by SPREAD times their distance; and where the quartiles are equal too,
+nothing is beyond it. A document is rejected when a rate lies beyond its group's
+fence, or by the fixed base rule.
 """
 
 from __future__ import annotations
@@ -13,15 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filtra.llm.common import WORD, cut, join_small, table
+from filtra.llm.common import WORD, cut, join_small, settled, table
 
-# The fence of a rate is q75 + SPREAD * (q75 - q25), and never below FLOOR: rates
-# that plain prose reaches are not rejected in groups that happen to be very even.
-SPREAD = 3
-# name -> floor, in thousandths (of words, of lines with words, of letters)
-FLOORS = {"symbol_rate": 150, "dup_line_rate": 300, "repeat_rate": 150, "upper_rate": 300}
-# A group's quantiles are averaged with its language's, which weigh as many rows.
+SPREAD = 3  # distances between the quartiles
+SEPARATION = 0.8  # share of the buckets' variance that two classes must explain
+# Events that a rate leaves out: one repeated line, one window that occurs twice. A single
+# one is no rate, and in a short text it would be a large one.
+EVENTS = {"symbol_rate": 0, "dup_line_rate": 1, "repeat_rate": 16, "upper_rate": 0}
+# A group's sketch is merged with its language's, which weighs as many rows.
 PRIOR_ROWS = 200
+COUNTS = ["_n_words", "_word_chars", "_n_symbols", "_n_upper", "_n_lines", "_n_dup_lines", "_n_repeat_words"]
 BITS = 6  # buckets keep this many leading binary digits
 
 
@@ -88,10 +93,10 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def rates() -> dict[str, Column]:
     """The sketched rates, whole thousandths."""
-    def per(n: str, d: str) -> Column:
-        return F.floor(F.col(n) * 1000 / F.greatest(F.col(d), F.lit(1))).cast("long")
-    return {"symbol_rate": per("_n_symbols", "_n_words"), "dup_line_rate": per("_n_dup_lines", "_n_lines"),
-            "repeat_rate": per("_n_repeat_words", "_n_words"), "upper_rate": per("_n_upper", "_word_chars")}
+    parts = {"symbol_rate": ("_n_symbols", "_n_words"), "dup_line_rate": ("_n_dup_lines", "_n_lines"),
+             "repeat_rate": ("_n_repeat_words", "_n_words"), "upper_rate": ("_n_upper", "_word_chars")}
+    return {k: F.floor(F.greatest(F.col(n) - EVENTS[k], F.lit(0)) * 1000 / F.greatest(F.col(d), F.lit(1))).cast("long")
+            for k, (n, d) in parts.items()}
 
 
 def bucket(v: Column) -> Column:
@@ -119,30 +124,48 @@ def sketches(counted: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "rate", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _quartiles(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rate, total, q25, q75 of merged sketches."""
-    merged = sk.groupBy(*keys, "rate", "b").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*keys, "rate")
-    cum = merged.select("*", F.sum("n").over(w.orderBy("b")).alias("c"), F.sum("n").over(w).alias("total"))
-    return cum.groupBy(*keys, "rate").agg(
-        F.max("total").alias("total"),
-        *[bucket_low(F.min(F.when(F.col("c") * 100 >= F.col("total") * p, F.col("b")))).alias(f"q{p}")
-          for p in (25, 75)])
+def blended(sk: DataFrame) -> DataFrame:
+    """lang, source, rate, b, n: every group's sketch with its language's merged in, which counts
+    as PRIOR_ROWS rows (n in thousandths of a row)."""
+    lang = sk.groupBy("lang", "rate", "b").agg(F.sum("n").alias("n"))
+    total = lang.groupBy("lang", "rate").agg(F.sum("n").alias("t"))
+    lang = join_small(lang, total, ["lang", "rate"]).select(
+        "lang", "rate", "b", F.expr(f"(n * {PRIOR_ROWS * 1000}) div t").alias("n"))
+    groups = sk.select("lang", "source", "rate").distinct()
+    prior = join_small(lang, groups, ["lang", "rate"]).select("lang", "source", "rate", "b", "n")
+    both = sk.select("lang", "source", "rate", "b", (F.col("n") * 1000).alias("n")).union(prior)
+    return both.groupBy("lang", "source", "rate", "b").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def thresholds(sk: DataFrame) -> DataFrame:
-    """lang, source and one fence per rate."""
-    group = _quartiles(sk, ["lang", "source"])
-    lang = _quartiles(sk, ["lang"]).select("lang", "rate", F.col("q25").alias("l25"), F.col("q75").alias("l75"))
-    both = join_small(group, lang, ["lang", "rate"])
+    """lang, source and one fence per rate (null: none).
 
-    def blend(g: str, p: str) -> Column:
-        return F.floor((F.col(g) * F.col("total") + F.col(p) * PRIOR_ROWS) / (F.col("total") + PRIOR_ROWS))
-    hi, lo = blend("q75", "l75"), blend("q25", "l25")
-    floor = F.coalesce(*[F.when(F.col("rate") == k, F.lit(v)) for k, v in FLOORS.items()])
-    fence = F.greatest(hi + SPREAD * (hi - lo), floor.cast("long"))
-    return both.withColumn("f", fence).groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rate") == k, F.col("f"))).alias(f"_f_{k}") for k in FLOORS])
+    The two classes of a sketch are the split with the largest variance between them (the
+    higher of equal ones); the buckets are a near-logarithmic scale.
+    """
+    group = ["lang", "source", "rate"]
+    w, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("b")
+    cum = blended(sk).select(
+        *group, "b", F.lead("b").over(upto).alias("up"),
+        F.sum("n").over(upto).alias("n0"), F.sum(F.col("n") * F.col("b")).over(upto).alias("s0"),
+        F.sum("n").over(w).alias("n"), F.sum(F.col("n") * F.col("b")).over(w).alias("s"),
+        F.sum(F.col("n") * F.col("b") * F.col("b")).over(w).alias("q"))
+
+    def num(c: str) -> Column:
+        return F.expr(f"cast({c} as double)")
+
+    apart = num("n0") * num("s - s0") - num("n - n0") * num("s0")
+    between = F.when(F.col("up").isNotNull(), apart * apart / (num("n0") * num("n - n0")) / num("n"))
+    spread = num("q") - num("s") * num("s") / num("n")
+    quartile = {p: F.min(F.when(F.col("n0") * 100 >= F.col("n") * p, F.col("b"))) for p in (25, 75)}
+    best = cum.withColumn("between", between).withColumn("spread", spread).groupBy(*group).agg(
+        F.max(F.struct("between", "b", "up", "spread")).alias("x"),
+        *[bucket_low(c).alias(f"q{p}") for p, c in quartile.items()])
+    split = F.floor((bucket_low(F.col("x.b")) + bucket_low(F.col("x.up"))) / 2)
+    fence = (F.when(F.col("x.between").isNotNull() & (F.col("x.between") >= F.lit(SEPARATION) * F.col("x.spread")), split)
+             .when(F.col("q75") > F.col("q25"), F.col("q75") + SPREAD * (F.col("q75") - F.col("q25"))))
+    return best.withColumn("f", fence).groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("rate") == k, F.col("f"))).alias(f"_f_{k}") for k in EVENTS])
 
 
 def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
@@ -153,7 +176,7 @@ def judge(counted: DataFrame, fences: DataFrame) -> DataFrame:
     for name, v in rates().items():
         within = within & F.coalesce(v <= F.col(f"_f_{name}"), F.lit(True))
     return (joined.withColumn("_base_failed", base).withColumn("_kept", ~base & within)
-            .drop(*[f"_f_{k}" for k in FLOORS]))
+            .drop(*[f"_f_{k}" for k in EVENTS]))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -179,7 +202,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     packed = docs.select(F.struct(*cols).alias("_row"), "text", "lang", "source")
     fences = cut(thresholds(sketches(document_counts(packed.select("text", "lang", "source")).drop("text"))))
-    return judge(document_counts(packed), fences).filter("_kept").select("_row.*")
+    counted = settled(document_counts(packed), COUNTS)
+    return judge(counted, fences).filter("_kept").select("_row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -189,12 +213,17 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 _RATES_SQL = """
-    SELECT 'symbol_rate' AS rate, n_symbols AS x, n_words AS y, 150 AS floor_ UNION ALL
-    SELECT 'dup_line_rate', n_dup_lines, n_lines, 300 UNION ALL
-    SELECT 'repeat_rate', n_repeat_words, n_words, 150 UNION ALL
-    SELECT 'upper_rate', n_upper, word_chars, 300
+    SELECT 'symbol_rate' AS rate, n_symbols AS x, n_words AS y UNION ALL
+    SELECT 'dup_line_rate', greatest(n_dup_lines - 1, 0), n_lines UNION ALL
+    SELECT 'repeat_rate', greatest(n_repeat_words - 16, 0), n_words UNION ALL
+    SELECT 'upper_rate', n_upper, word_chars
 """
 
+def _low(b: str) -> str:
+    shift = f"greatest({b} // 32 - 1, 0)"
+    return f"(({b} - {shift} * 32) << {shift})"
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -218,34 +247,42 @@ m AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN cover USING (doc_id)),
 r AS (
-  SELECT doc_id, lang, source, rate, floor_, x * 1000 // greatest(y, 1) AS v
+  SELECT doc_id, lang, source, rate, (x * 1000 // greatest(y, 1))::BIGINT AS v
   FROM m, LATERAL ({_RATES_SQL})),
-b AS (
-  SELECT lang, source, rate, floor_, count(*) AS n,
+sk AS (
+  SELECT lang, source, rate, count(*) AS n,
          greatest(length(bin(v)) - 6, 0) * 32 + (v >> greatest(length(bin(v)) - 6, 0)) AS b
-  FROM r GROUP BY lang, source, rate, floor_, b),
-lo AS (
-  SELECT *, (b - greatest(b // 32 - 1, 0) * 32) << greatest(b // 32 - 1, 0) AS low FROM b),
-g AS (
-  SELECT lang, source, rate, floor_, max(tot) AS total,
-         min(CASE WHEN c * 100 >= tot * 25 THEN low END) AS q25,
-         min(CASE WHEN c * 100 >= tot * 75 THEN low END) AS q75
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY b) AS c,
-               sum(n) OVER (PARTITION BY lang, source, rate) AS tot FROM lo)
-  GROUP BY lang, source, rate, floor_),
-lb AS (SELECT lang, rate, low, sum(n) AS n FROM lo GROUP BY lang, rate, low),
-l AS (
-  SELECT lang, rate, min(CASE WHEN c * 100 >= tot * 25 THEN low END) AS l25,
-         min(CASE WHEN c * 100 >= tot * 75 THEN low END) AS l75
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, rate ORDER BY low) AS c,
-               sum(n) OVER (PARTITION BY lang, rate) AS tot FROM lb)
-  GROUP BY lang, rate),
+  FROM r GROUP BY lang, source, rate, b),
+lb AS (SELECT lang, rate, b, sum(n) AS n FROM sk GROUP BY lang, rate, b),
+lp AS (SELECT lang, rate, b, n * 200000 // sum(n) OVER (PARTITION BY lang, rate) AS n FROM lb),
+bl AS (
+  SELECT lang, source, rate, b, sum(n)::BIGINT AS n FROM (
+    SELECT lang, source, rate, b, n * 1000 AS n FROM sk UNION ALL
+    SELECT g.lang, g.source, g.rate, lp.b, lp.n FROM (SELECT DISTINCT lang, source, rate FROM sk) g
+    JOIN lp ON g.lang IS NOT DISTINCT FROM lp.lang AND g.rate = lp.rate)
+  GROUP BY lang, source, rate, b HAVING sum(n) > 0),
+cum AS (
+  SELECT *, lead(b) OVER o AS up, sum(n) OVER o AS n0, sum(n * b) OVER o AS s0,
+         sum(n) OVER g AS nn, sum(n * b) OVER g AS s, sum(n * b * b) OVER g AS q
+  FROM bl WINDOW g AS (PARTITION BY lang, source, rate), o AS (PARTITION BY lang, source, rate ORDER BY b)),
+sc AS (
+  SELECT *, CASE WHEN up IS NOT NULL THEN apart * apart / (n0::DOUBLE * (nn - n0)::DOUBLE) / nn::DOUBLE END AS between_,
+         q::DOUBLE - s::DOUBLE * s::DOUBLE / nn::DOUBLE AS spread_
+  FROM (SELECT *, n0::DOUBLE * (s - s0)::DOUBLE - (nn - n0)::DOUBLE * s0::DOUBLE AS apart FROM cum)),
+best AS (
+  SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, source, rate
+    ORDER BY between_ DESC NULLS LAST, b DESC) = 1),
+qt AS (
+  SELECT lang, source, rate, min(CASE WHEN n0 * 100 >= nn * 25 THEN b END) AS b25,
+         min(CASE WHEN n0 * 100 >= nn * 75 THEN b END) AS b75 FROM cum GROUP BY lang, source, rate),
+low AS (
+  SELECT best.lang, best.source, best.rate, between_, spread_, {_low('best.b')} AS lo, {_low('up')} AS hi,
+         {_low('b25')} AS q25, {_low('b75')} AS q75
+  FROM best JOIN qt ON best.lang IS NOT DISTINCT FROM qt.lang AND best.source IS NOT DISTINCT FROM qt.source
+    AND best.rate = qt.rate),
 f AS (
-  SELECT g.lang, g.source, g.rate,
-         greatest(hi + 3 * (hi - low), floor_) AS fence
-  FROM (SELECT g.*, floor((q75 * total + l75 * 200) / (total + 200)) AS hi,
-               floor((q25 * total + l25 * 200) / (total + 200)) AS low
-        FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rate = l.rate) g),
+  SELECT lang, source, rate, CASE WHEN between_ IS NOT NULL AND between_ >= 0.8::DOUBLE * spread_ THEN (lo + hi) // 2
+    WHEN q75 > q25 THEN q75 + 3 * (q75 - q25) END AS fence FROM low),
 bad AS (
   SELECT DISTINCT doc_id FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang
     AND r.source IS NOT DISTINCT FROM f.source AND r.rate = f.rate WHERE v > fence)

@@ -2,296 +2,282 @@
 
 Only suffixes that start at content-selected positions are kept: the minimiser
 of every PASSAGE-word window, which two equal windows select at the same place.
-Suffixes whose first words occur in one text only are dropped, the others are
-sorted, neighbours are compared, and every match is extended to the right and
-to the left. Matches of PASSAGE words or more are merged per document.
+Suffixes whose first words occur in one text only are dropped. The suffixes of a
+gram are sorted as they begin 0, 1, ... words before it, neighbours with equal
+PASSAGE words are matches, and a suffix's matches join up into one that reaches
+as far to the left and right as another text goes along. Every window that
+another text has is met at its own minimiser, so the ranges are complete.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filtra.llm.common import cut, ship_package, stored, table
-from filtra.llm.shingles import lower_words, set_key, word_hashes
+from filtra.llm.bitmaps import bitmap, holds
+from filtra.llm.common import cut, join_small, ship_package, shuffle_width, stored, table
+from filtra.llm.scan import SPACES, borders, chunks, gram_hashes, mix, slide_min, word_hashes
+from filtra.llm.shingles import set_key
 
 PASSAGE = 50  # words a repeated passage has at least
 GRAM = 8  # words hashed to select positions
 WINDOW = PASSAGE - GRAM + 1  # grams of a window; one of them is its minimiser
-RIGHT = PASSAGE  # words carried from a position on; longer matches join up from position to position
+RIGHT = PASSAGE  # words carried from a position on
 LEFT = WINDOW - 1
-LAGS = (1, 2, 3)  # neighbours compared in sorted order, besides the nearest of another text
-CARRY = 256  # rows kept from batch to batch
-EDGE = 8  # rows of a partition's ends that are compared with the next partition's
-BITMAP_BITS = 24
+CROWD = 4096  # suffixes of one gram beyond which its windows are counted one by one
+BLOCK_ROWS = 16384  # suffixes sorted at once in a task, whole grams
 _U = np.uint64
-_MULT = np.cumprod(np.full(GRAM, 0x9E3779B97F4A7C15, dtype=_U))
-
-
-def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
-    """op (minimum or maximum) over every w consecutive values, in linear time."""
-    n = len(x)
-    fill = x.max() if op is np.minimum else x.min()
-    pad = (-n) % w
-    y = np.concatenate([x, np.full(pad, fill, dtype=x.dtype)]).reshape(-1, w)
-    ahead = op.accumulate(y, axis=1).ravel()
-    behind = op.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[:n - w + 1], ahead[w - 1:n])
-
-
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the minimisers of all PASSAGE-word windows; equal
-    minima of a window are all kept."""
-    n = len(hashes)
-    if n < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    with np.errstate(over="ignore"):
-        g = np.zeros(n - GRAM + 1, dtype=_U)
-        for i, m in enumerate(_MULT):
-            g += hashes[i:n - GRAM + 1 + i] * m
-        g = (g ^ (g >> _U(31))) * _U(0xC2B2AE3D27D4EB4F)
-        g ^= g >> _U(29)
-    low = _slide(g, WINDOW, np.minimum)
-    # a gram is a minimum of some window around it when the largest such minimum equals it
-    wide = np.concatenate([np.zeros(WINDOW - 1, _U), low, np.zeros(WINDOW - 1, _U)])
-    pos = np.nonzero(_slide(wide, WINDOW, np.maximum) == g)[0]
-    return pos, g[pos]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Texts:
+    """Word hashes of a chunk of texts, A-Z lower-cased, and the selected positions."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        data = _LOWER[data]
+        starts, ends, self.before = borders(~SPACES[data], off)
+        self.h = word_hashes(data, starts, ends)
+        self.count = np.diff(self.before)
+
+    def names(self) -> list[int]:
+        """A 64-bit name of each text's word sequence."""
+        return [set_key(self.h[a:b]) for a, b in zip(self.before[:-1].tolist(), self.before[1:].tolist(), strict=True)]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, gram hashes) of the minimisers of all PASSAGE-word windows; equal
+        minima of a window are all kept."""
+        n = len(self.h)
+        if n < PASSAGE:
+            return np.zeros(0, np.int64), np.zeros(0, _U)
+        g = gram_hashes(self.h, GRAM)
+        end = np.repeat(self.before[1:], self.count)
+        inside = np.arange(n - PASSAGE + 1) + PASSAGE <= end[:n - PASSAGE + 1]
+        low = np.where(inside, slide_min(g, WINDOW), _U(0))
+        # a gram is a minimum of some window around it when the largest such minimum equals it
+        none = np.zeros(WINDOW - 1, _U)
+        wide = ~slide_min(~np.concatenate([none, low, none]), WINDOW)
+        pos = np.nonzero((wide == g) & (g > 0))[0]
+        return pos, g[pos]
+
+
+def _source(docs: DataFrame, *cols) -> DataFrame:
+    return docs.select(*cols, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n, c: words of every text and a 64-bit name of its word sequence."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64())])
-
     def run(batches):
         for batch in batches:
-            n, c = [], []
-            for t in batch.column("text").to_pylist():
-                h = word_hashes(lower_words(t))
-                n.append(len(h))
-                c.append(set_key(h))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                                             schema=schema)
+            for lo, hi, data, off in chunks(batch.column("text")):
+                t = Texts(data, off)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(t.count, pa.int64()),
+                     pa.array(t.names(), pa.int64())], names=["doc_id", "n", "c"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, c long")
+    return _source(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n long, c long")
 
 
 def shared_grams(docs: DataFrame) -> DataFrame:
     """h: selected grams that two or more different texts hold. Every task first
     reduces a gram to its smallest and largest text, so no gram is a hot key."""
-    schema = pa.schema([("h", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-
     def run(batches):
-        held_h, held_c, count = [], [], 0
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                words = word_hashes(lower_words(t))
-                _, g = anchors(words)
-                if len(g):
-                    g = np.unique(g)
-                    held_h.append(g)
-                    held_c.append(np.full(len(g), set_key(words), dtype=np.int64))
-                    count += len(g)
-            if count > 2_000_000:
-                yield from out(held_h, held_c)
-                held_h, held_c, count = [], [], 0
-        if held_h:
-            yield from out(held_h, held_c)
-
-    def out(held_h, held_c):
-        h, c = np.concatenate(held_h).view(np.int64), np.concatenate(held_c)
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        first = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1])
-        last = np.concatenate([first[1:], [len(h)]]) - 1
-        for at in range(0, len(first), 100_000):
-            i, j = first[at:at + 100_000], last[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(c[i]), pa.array(c[j])], schema=schema)
-
-    return (docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "h long, lo long, hi long")
+            for _, _, data, off in chunks(batch.column("text")):
+                t = Texts(data, off)
+                pos, g = t.anchors()
+                if not len(pos):
+                    continue
+                c = np.array(t.names(), dtype=np.int64)[np.searchsorted(t.before, pos, side="right") - 1]
+                order = np.lexsort((c, g))
+                g, c = g[order], c[order]
+                first = np.concatenate([[0], np.nonzero(g[1:] != g[:-1])[0] + 1])
+                last = np.concatenate([first[1:], [len(g)]]) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(c[first]), pa.array(c[last])],
+                                                 names=["h", "lo", "hi"])
+
+    return (_source(docs).mapInArrow(run, "h long, lo long, hi long")
             .groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("h"))
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits, one set for each gram's low bits (a fixed size)."""
-    low = grams.select(F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("bit"))
-    words = low.select(F.expr("shiftright(bit, 5)").alias("w"), F.expr("shiftleft(1L, cast(bit & 31 as int))").alias("b"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), dtype=np.uint32)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
-    return out
-
-
 def suffixes(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """h, r, l, nr, nl, c, pos: the shared positions with RIGHT words onward and LEFT words
     backward, as 32-bit word hashes. A task sends equal texts once."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(grams))
-    schema = pa.schema([("h", pa.int64()), ("r", pa.binary()), ("l", pa.binary()), ("nr", pa.int32()), ("nl", pa.int32()),
-                        ("c", pa.int64()), ("pos", pa.int64())])
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(grams, "h"))
 
     def run(batches):
         bits = sent.value
         seen: set[int] = set()
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                words = word_hashes(lower_words(t))
-                pos, g = anchors(words)
-                low = (g & _U((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                hit = (bits[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1) == 1
-                pos, g = pos[hit], g[hit]
-                if not len(pos) or (c := set_key(words)) in seen:
-                    continue
-                seen.add(c)
-                short = np.concatenate([np.zeros(LEFT, np.uint32), (words >> _U(32)).astype(np.uint32),
+            for _, _, data, off in chunks(batch.column("text")):
+                t = Texts(data, off)
+                pos, g = t.anchors()
+                names = t.names()
+                fresh = np.zeros(len(names), dtype=bool)
+                for i, c in enumerate(names):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                text = np.searchsorted(t.before, pos, side="right") - 1
+                some = holds(bits, g) & fresh[text]
+                pos, g, text = pos[some], g[some], text[some]
+                c, begin, end = np.array(names, dtype=np.int64)[text], t.before[text], t.before[text + 1]
+                short = np.concatenate([np.zeros(LEFT, np.uint32), (t.h >> _U(32)).astype(np.uint32),
                                         np.zeros(RIGHT, np.uint32)])
                 for at in range(0, len(pos), 4096):
-                    p, part = pos[at:at + 4096], g[at:at + 4096]
+                    p = pos[at:at + 4096]
                     r = np.ascontiguousarray(short[p[:, None] + LEFT + np.arange(RIGHT)])
                     l = np.ascontiguousarray(short[p[:, None] + LEFT - 1 - np.arange(LEFT)])  # noqa: E741
+                    part = slice(at, at + 4096)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part.view(np.int64)), pa.array([x.tobytes() for x in r], pa.binary()),
-                         pa.array([x.tobytes() for x in l], pa.binary()),
-                         pa.array(np.minimum(len(words) - p, RIGHT).astype(np.int32)),
-                         pa.array(np.minimum(p, LEFT).astype(np.int32)),
-                         pa.array(np.full(len(p), c, dtype=np.int64)), pa.array(p)], schema=schema)
-
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "h long, r binary, l binary, nr int, nl int, c long, pos long")
-
-
-class _Rows:
-    """Sorted suffixes as arrays."""
-
-    def __init__(self, h, c, pos, nr, nl, r, l):  # noqa: E741
-        self.h, self.c, self.pos, self.nr, self.nl, self.r, self.l = h, c, pos, nr, nl, r, l
-
-    @classmethod
-    def of(cls, pdf: pd.DataFrame) -> "_Rows":
-        n = len(pdf)
-        return cls(pdf["h"].to_numpy(), pdf["c"].to_numpy(), pdf["pos"].to_numpy(), pdf["nr"].to_numpy(), pdf["nl"].to_numpy(),
-                   np.frombuffer(b"".join(pdf["r"]), np.uint32).reshape(n, RIGHT),
-                   np.frombuffer(b"".join(pdf["l"]), np.uint32).reshape(n, LEFT))
-
-    def part(self, rows) -> "_Rows":
-        return _Rows(*[getattr(self, k)[rows] for k in ("h", "c", "pos", "nr", "nl", "r", "l")])
-
-    def __len__(self) -> int:
-        return len(self.h)
-
-
-def _lcp(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    same = (a == b) & (np.arange(a.shape[1]) < np.minimum(na, nb)[:, None])
-    return np.where(same.all(axis=1), a.shape[1], (~same).argmax(axis=1))
-
-
-def matches(x: _Rows, first: int = 0) -> pd.DataFrame:
-    """c, start, stop, other: both sides of the matches between a row at ``first`` or
-    after it and the rows shortly before, extended both ways, of PASSAGE words or more."""
-    i_all, j_all = [], []
-    n = len(x)
-    for lag in LAGS:
-        i = np.arange(max(first, lag), n)
-        i_all.append(i)
-        j_all.append(i - lag)
-    run = np.ones(n, dtype=bool)
-    run[1:] = (x.c[1:] != x.c[:-1]) | (x.h[1:] != x.h[:-1])
-    begin = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-    i = np.arange(first, n)
-    i = i[begin[i] > 0]
-    i_all.append(i)
-    j_all.append(begin[i] - 1)
-    i, j = np.concatenate(i_all), np.concatenate(j_all)
-    ok = (x.h[i] == x.h[j]) & (x.c[i] != x.c[j])
-    i, j = i[ok], j[ok]
-    out = []
-    for at in range(0, len(i), 20_000):
-        a, b = i[at:at + 20_000], j[at:at + 20_000]
-        right = _lcp(x.r[a], x.r[b], x.nr[a], x.nr[b])
-        left = _lcp(x.l[a], x.l[b], x.nl[a], x.nl[b])
-        good = left + right >= PASSAGE
-        a, b, left, right = a[good], b[good], left[good], right[good]
-        for p, q in ((a, b), (b, a)):
-            out.append(pd.DataFrame({"c": x.c[p], "start": x.pos[p] - left, "stop": x.pos[p] + right, "other": x.c[q]}))
-    if not out:
-        return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("c", "start", "stop", "other")})
-    return pd.concat(out, ignore_index=True).drop_duplicates()
-
-
-_COLUMNS = ["c", "start", "stop", "other", "part", "side", "h", "r", "l", "nr", "nl", "pos"]
-_SCHEMA = ("c long, start long, stop long, other long, part int, side int, h long, r binary, l binary, "
-           "nr int, nl int, pos long")
-
-
-def _compare(batches):
-    """Matches inside a partition of sorted suffixes, then its first and last rows."""
-    part = TaskContext.get().partitionId()
-    held: pd.DataFrame | None = None
-    head: list[pd.DataFrame] = []
-    kept = 0
-    empty = {"h": None, "r": None, "l": None, "nr": None, "nl": None, "pos": None}
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        if kept < EDGE:
-            head.append(pdf.head(EDGE - kept))
-            kept += len(head[-1])
-        begin = 0 if held is None else len(held)
-        both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        found = matches(_Rows.of(both), begin)
-        if len(found):
-            yield found.assign(part=part, side=0, **empty)[_COLUMNS]
-        held = both.tail(CARRY)
-    if held is not None:
-        for side, rows in ((1, pd.concat(head)), (2, held.tail(EDGE))):
-            yield rows.assign(start=None, stop=None, other=None, part=part, side=side)[_COLUMNS]
-
-
-def _bridge(order: list[str]):
-    """Matches across the border of two partitions: the last rows of one (side 2) and
-    the first of the next."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", *order], ascending=[False] + [True] * len(order))
-        first = int((pdf["side"] == 2).sum())
-        if first == 0 or first == len(pdf):
-            return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("c", "start", "stop", "other")})
-        return matches(_Rows.of(pdf), first)
-    return run
-
-
-def passage_matches(sorted_suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """c, start, stop, other over all partitions of the sorted suffixes."""
-    out = stored(sorted_suffixes.mapInPandas(_compare, _SCHEMA), "matches")
-    inside = out.filter("side = 0").select("c", "start", "stop", "other")
-    edges = out.filter("side > 0")
-    # one number per partition: which partitions have rows, in order
-    parts = sorted(r["part"] for r in edges.select("part").distinct().collect())
-    if len(parts) < 2:
-        return inside
-    rank = out.sparkSession.createDataFrame([(p, i) for i, p in enumerate(parts)], "_part int, rank int")
-    border = (edges.join(F.broadcast(rank), F.col("part") == F.col("_part"))
-              .withColumn("border", F.col("rank") - F.when(F.col("side") == 1, 1).otherwise(0))
-              .select("border", "side", "h", "r", "l", "nr", "nl", "c", "pos"))
-    across = border.groupBy("border").applyInPandas(_bridge(order), "c long, start long, stop long, other long")
-    return inside.union(across)
-
-
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union of a text's overlapping ranges, with the smallest text that shares a part."""
-    pdf = pdf.sort_values(["start", "stop"])
-    start, stop, other = pdf["start"].to_numpy(), pdf["stop"].to_numpy(), pdf["other"].to_numpy()
-    reach = np.maximum.accumulate(stop)
-    new = np.ones(len(pdf), dtype=bool)
-    new[1:] = start[1:] > reach[:-1]
-    at = np.nonzero(new)[0]
-    return pd.DataFrame({"c": pdf["c"].iloc[0], "start": start[at], "stop": np.maximum.reduceat(stop, at),
-                         "other": np.minimum.reduceat(other, at)})
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
+                        [pa.array(g[part].view(np.int64)), _fixed(r), _fixed(l),
+                         pa.array(np.minimum(end[part] - p, RIGHT).astype(np.int32)),
+                         pa.array(np.minimum(p - begin[part], LEFT).astype(np.int32)),
+                         pa.array(c[part]), pa.array(p - begin[part])],
+                        names=["h", "r", "l", "nr", "nl", "c", "pos"])
+
+    return _source(docs).mapInArrow(run, "h long, r binary, l binary, nr int, nl int, c long, pos long")
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as byte strings."""
+    width = rows.shape[1] * rows.itemsize
+    off = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(rows)])
+
+
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    """Byte strings of one length as the rows of a matrix of 32-bit numbers."""
+    raw = b"".join(col.to_pylist())
+    return np.frombuffer(raw, np.uint32).reshape(len(col), width)
+
+
+def window_keys(h: np.ndarray, r: np.ndarray, l: np.ndarray, seed: int = 0) -> np.ndarray:  # noqa: E741
+    """(n, LEFT + 1) hashes: column d names the PASSAGE words that begin d words before the position."""
+    n = len(h)
+    factor = _U(0x9E3779B97F4A7C15 + 2 * seed)
+    with np.errstate(over="ignore"):
+        right = np.empty((n, RIGHT + 1), dtype=_U)
+        right[:, 0] = 1
+        for k in range(RIGHT):
+            right[:, k + 1] = right[:, k] * factor + r[:, k]
+        left = np.empty((n, LEFT + 1), dtype=_U)
+        left[:, 0] = 1
+        for k in range(LEFT):
+            left[:, k + 1] = left[:, k] * factor + l[:, k]
+        d = np.arange(LEFT + 1)
+        return mix(mix(right[:, PASSAGE - d]) + mix(left + d.astype(_U)) * factor + h.view(_U)[:, None])
+
+
+def _whole(nr: np.ndarray, nl: np.ndarray) -> np.ndarray:
+    """Which of a suffix's windows lie within its text."""
+    d = np.arange(LEFT + 1)
+    return (nl[:, None] >= d) & (nr[:, None] >= PASSAGE - d)
+
+
+def matches(h, c, pos, nr, nl, r, l) -> pa.RecordBatch:  # noqa: E741
+    """c, start, stop, other of the suffixes of some whole grams: where other texts go along."""
+    ok = _whole(nr, nl)
+    row, d = np.nonzero(ok)
+    key = window_keys(h, r, l)[row, d]
+    order = np.argsort(key, kind="stable")
+    s, owner = key[order], c[row[order]]
+    none = np.iinfo(np.int64).max
+    other = np.full(ok.shape, none, dtype=np.int64)
+    if len(s):
+        first = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1])
+        run = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(s)]])))
+        low = np.minimum.reduceat(owner, first)[run]
+        second = np.minimum.reduceat(np.where(owner == low, none, owner), first)[run]
+        other[row[order], d[order]] = np.where(owner == low, second, low)
+    return _ranges(c, pos, other, none)
+
+
+def _ranges(c: np.ndarray, pos: np.ndarray, other: np.ndarray, none: int) -> pa.RecordBatch:
+    """Runs of matched windows of every suffix as ranges of words."""
+    hit = other != none
+    edge = np.zeros((len(c), 1), dtype=bool)
+    begin = hit & ~np.concatenate([edge, hit[:, :-1]], axis=1)
+    stop = hit & ~np.concatenate([hit[:, 1:], edge], axis=1)
+    row, d0 = np.nonzero(begin)
+    _, d1 = np.nonzero(stop)
+    flat = other.ravel()
+    at = row * other.shape[1]
+    least = np.zeros(0, np.int64)
+    if len(row):
+        # sums over [from, to) pairs; every second one is a run
+        cuts = np.stack([at + d0, at + d1 + 1], axis=1).ravel()
+        least = np.minimum.reduceat(np.append(flat, none), cuts)[::2]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c[row]), pa.array(pos[row] - d1), pa.array(pos[row] - d0 + PASSAGE), pa.array(least)],
+        names=["c", "start", "stop", "other"])
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [*[batch.column(x).to_numpy() for x in ("h", "c", "pos", "nr", "nl")],
+            _matrix(batch.column("r"), RIGHT), _matrix(batch.column("l"), LEFT)]
+
+
+RANGES = "c long, start long, stop long, other long"
+
+
+def _gram_matches(found: DataFrame) -> DataFrame:
+    """Matches of all grams but the crowded ones; a task holds a few whole grams at a time."""
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(_arrays(batch))
+            size += batch.num_rows
+            if size < BLOCK_ROWS:
+                continue
+            all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+            at = int(np.searchsorted(all_[0], all_[0][-1]))  # the last gram may go on in the next batch
+            if at:
+                yield matches(*[x[:at] for x in all_])
+            held = [[x[at:] for x in all_]]
+            size -= at
+        if held:
+            yield matches(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return (found.repartition(shuffle_width(found.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, RANGES))
+
+
+def _crowd_matches(found: DataFrame) -> DataFrame:
+    """The same for grams of very many suffixes: every window is a row of its own, named by 128
+    bits, and an aggregate finds the texts that have it, so that no task holds the gram."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                h, c, pos, nr, nl, r, l = _arrays(batch.slice(at, 4096))  # noqa: E741
+                row, d = np.nonzero(_whole(nr, nl))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(window_keys(h, r, l, s)[row, d].view(np.int64)) for s in (0, 1)]
+                    + [pa.array(c[row]), pa.array(pos[row] - d)], names=["w1", "w2", "c", "start"])
+
+    rows = found.mapInArrow(run, "w1 long, w2 long, c long, start long")
+    shared = (rows.groupBy("w1", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi"))
+    return (rows.join(shared, ["w1", "w2"])
+            .select("c", "start", (F.col("start") + PASSAGE).alias("stop"),
+                    F.when(F.col("c") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")))
+
+
+def _merge(ranges: DataFrame) -> DataFrame:
+    """Union of a text's overlapping or adjoining ranges, with the smallest text that shares a part.
+
+    The window runs over one text's ranges, which its length bounds."""
+    w = Window.partitionBy("c").orderBy("start", "stop")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = ranges.withColumn("_new", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), 1).otherwise(0))
+    return (new.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("c", "_k").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("other").alias("other"))
+            .drop("_k"))
+
+
+def repeated_passages(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, start, stop, n_words, other_doc: every maximal range of words of a document
     made of passages of PASSAGE words or more that another document has too.
 
@@ -307,15 +293,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = cut(rows.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"),
                                         F.max("n").alias("n")))
     found = stored(suffixes(docs, shared_grams(docs)), "suffixes")
-    # sorted by the words after a position, then by the words before it: a text whose
-    # nearest neighbour on one side shares little on the other is met in the second order
-    ranges = None
-    for order in (["h", "r", "l", "c", "pos"], ["h", "l", "r", "c", "pos"]):
-        part = passage_matches(found.repartitionByRange(*order).sortWithinPartitions(*order), order)
-        ranges = part if ranges is None else ranges.union(part)
+    crowded = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select(
+        "h", F.lit(True).alias("crowded"))
+    tagged = join_small(found, crowded, ["h"], "left")
+    ranges = (_gram_matches(tagged.filter("crowded is null").drop("crowded"))
+              .union(_crowd_matches(tagged.filter("crowded").drop("crowded"))))
     copies = classes.filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"),
                                                  F.col("c").alias("other"))
-    merged = ranges.union(copies).groupBy("c").applyInPandas(_merge, "c long, start long, stop long, other long")
+    merged = _merge(ranges.union(copies).distinct())
     low = classes.select(F.col("c").alias("_c"), "low")
     spans = merged.join(low, F.col("other") == F.col("_c")).drop("_c").select(
         F.col("c").alias("_c"), "start", "stop", F.col("low").alias("other_doc"))
