@@ -23,6 +23,7 @@ from filtra.llm.common import cut, fold, ship_package, table
 
 SAMPLE_ROWS = 8192  # labelled rows used for training, at most
 SHARDS = 8  # training shards
+BLOCKS = 16  # pieces in which the shards' parameters are averaged
 ROUNDS = 3  # parameter averages
 EPOCHS = 3  # passes over a shard between two averages
 BATCH = 32
@@ -181,16 +182,27 @@ def _shard_trainer(round_no: int, sent):
         pdf = pdf.sort_values("_id")
         shard = int(pdf["_shard"].iloc[0])
         done = train_shard(m, pdf["_text"].tolist(), pdf["_label"].to_numpy(), 1000 * round_no + shard)
-        return pd.DataFrame({"n": [len(pdf)], "emb": [done.emb.tobytes()], "out": [done.out.tobytes()],
-                             "bias": [done.bias.tobytes()]})
+        flat = np.concatenate([done.emb.ravel(), done.out.ravel(), done.bias.ravel()]).astype(np.float32)
+        parts = np.array_split(flat, BLOCKS)
+        return pd.DataFrame({"block": range(BLOCKS), "shard": shard, "n": len(pdf),
+                             "part": [p.tobytes() for p in parts]})
     return run
 
 
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of the shards' parameters, averaged by their rows."""
+    pdf = pdf.sort_values("shard")
+    total = float(pdf["n"].sum())
+    out = sum(np.float32(n / total) * np.frombuffer(p, np.float32) for n, p in zip(pdf["n"], pdf["part"]))
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [out.astype(np.float32).tobytes()]})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
     """Rounds of local descent in SHARDS shards, each followed by an average.
 
-    The driver holds SHARDS parameter sets of a fixed size. Without labelled rows
-    the model stays untrained with zero weights (every score is 0.5).
+    The shards' parameters are averaged block by block in tasks; the driver gets one set of a
+    fixed size a round. Without labelled rows the model stays untrained with zero weights
+    (every score is 0.5).
     """
     ship_package(docs.sparkSession)
     spark = docs.sparkSession
@@ -198,21 +210,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Mode
     model = Model()
     for r in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model.emb, model.out, model.bias))
-
-        parts = rows.groupBy("_shard").applyInPandas(
-            _shard_trainer(r, sent), "n long, emb binary, out binary, bias binary").collect()
-        if not parts:
+        parts = (rows.groupBy("_shard").applyInPandas(_shard_trainer(r, sent), "block int, shard int, n long, part binary")
+                 .groupBy("block").applyInPandas(_average, "block int, part binary"))
+        held = {p["block"]: np.frombuffer(p["part"], np.float32) for p in parts.toLocalIterator()}
+        sent.unpersist()
+        if not held:
             model.out[:] = 0
             return model
-        total = float(sum(p["n"] for p in parts))
-        emb, out, bias = np.zeros_like(model.emb), np.zeros_like(model.out), np.zeros_like(model.bias)
-        for p in sorted(parts, key=lambda p: (p["n"], bytes(p["bias"]))):
-            share = np.float32(p["n"] / total)
-            emb += share * np.frombuffer(p["emb"], np.float32).reshape(emb.shape)
-            out += share * np.frombuffer(p["out"], np.float32).reshape(out.shape)
-            bias += share * np.frombuffer(p["bias"], np.float32)
-        model.emb, model.out, model.bias = emb, out, bias
-        sent.unpersist()
+        flat = np.concatenate([held.pop(b) for b in range(BLOCKS)])
+        at = np.cumsum([model.emb.size, model.out.size])
+        emb, out, bias = np.split(flat, at)
+        model.emb, model.out, model.bias = emb.reshape(model.emb.shape), out.reshape(model.out.shape), bias.copy()
     return model
 
 

@@ -98,5 +98,5 @@ def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
