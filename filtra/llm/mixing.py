@@ -28,6 +28,8 @@ RIDGE = 1e-3  # of the mean cross product, added to keep near-equal domains apar
 MAX_STEPS = 200
 STILL = 1e-6  # movement of the rates, as a share of all tokens, below which the fit has ended
 PATIENCE = 20  # steps without progress after which targets count as out of reach
+FIRM = 1e6  # weight of the gaps against the pull towards rates of 1 in the dual fit
+MAX_HALVINGS = 16  # of a step of the dual fit, each to a quarter
 CUT_EVERY = 8  # steps folded into one expression before rates are stored
 SEED = 3
 
@@ -195,11 +197,15 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most: float | None = None
     step that raises the weighted squares of the gaps is taken back and replaced by one in
     the metric of all documents, which cannot raise them. The fit ends when all targets
     are met, when a step moves the rates by less than STILL of all tokens (no step gets
-    nearer), or after MAX_STEPS; ``gaps`` of the result has what is left per domain.
+    nearer), or after MAX_STEPS; ``gaps`` of the result has what is left per domain. Where
+    steps left a gap, or no rate is free to begin with (all are at ``most``), the dual
+    problem is solved instead (:func:`_fit_dual`).
     """
     k = len(targets)
     t = F.col("_n_tokens").cast("double")
-    rates = Rates(k, most)
+    if most is not None and most <= 1.0:
+        return _fit_dual(members, targets, most)
+    rates, met = Rates(k, most), False
     state, done = members.withColumn("_r", F.lit(1.0)), 0
     safe, weight, scale, last, stuck, fast = None, None, 1.0, math.inf, 0, False
     before = np.zeros(k)
@@ -232,7 +238,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most: float | None = None
         rates.gaps = gap.tolist()
         stuck = stuck + 1 if loss > last * 0.999 else 0
         still = bool(rates.steps) and row["moved"] < STILL * scale
-        if float(np.abs(gap).max()) / scale < TOLERANCE or still or stuck > PATIENCE:  # met, or cannot be met
+        met = float(np.abs(gap).max()) / scale < TOLERANCE
+        if met or still or stuck > PATIENCE:  # met, or not by these steps
             break
         last, before = min(last, loss), gap
         if len(rates.steps) - done >= CUT_EVERY:
@@ -241,6 +248,75 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most: float | None = None
         fast = True
         quick = np.linalg.inv(gram + np.eye(k) * (1e-3 * RIDGE * np.trace(gram) / k + 1e-9))
         rates.steps.append((quick @ gap).tolist())
+    return rates if met else _nearer(rates, _fit_dual(members, targets, most), safe)
+
+
+def _nearer(a: Rates, b: Rates, weight: np.ndarray) -> Rates:
+    """The rates with the smaller weighted squares of the gaps."""
+    loss = [float(np.array(r.gaps) @ weight @ np.array(r.gaps)) for r in (a, b)]
+    return a if loss[0] <= loss[1] else b
+
+
+def _fit_dual(members: DataFrame, targets: np.ndarray, most: float | None) -> Rates:
+    """Least squares with a small pull towards rates of 1, by Newton steps on its dual.
+
+    Minimising sum of t (r - 1)^2 / 2 + FIRM / 2 * (weighted squares of the gaps) within the
+    bounds has r = 1 - l * p held at the bounds, l one number per domain. The dual is concave in
+    these numbers and quadratic between the documents' bounds; a Newton step that does not
+    raise it is halved. Each evaluation is one aggregate of a few numbers over all documents,
+    and the fitted rate is a formula of one step.
+    """
+    k = len(targets)
+    t = F.col("_n_tokens").cast("double")
+
+    def measure(dual: np.ndarray):
+        """Value of the dual but for its last term, gaps, and cross products of the free documents and of all."""
+        rates = Rates(k, most)
+        rates.steps = [dual.tolist()]
+        now = members.withColumn("_now", rates.column())
+        free = F.col("_now") > 0
+        if most is not None:
+            free = free & (F.col("_now") < most)
+        pull = sum((F.col(f"_p_{i}") * float(x) for i, x in enumerate(dual)), F.lit(0.0))
+        row = now.agg(
+            F.sum(t * (0.5 * (F.col("_now") - 1.0) * (F.col("_now") - 1.0) + F.col("_now") * pull)).alias("v"),
+            *[F.sum(t * F.col("_now") * F.col(f"_p_{i}")).alias(f"e{i}") for i in range(k)],
+            *[F.sum(F.when(free, t * F.col(f"_p_{i}") * F.col(f"_p_{j}")).otherwise(0.0)).alias(f"g{i}_{j}")
+              for i in range(k) for j in range(i, k)],
+            *[F.sum(t * F.col(f"_p_{i}") * F.col(f"_p_{j}")).alias(f"a{i}_{j}")
+              for i in range(k) for j in range(i, k)]).first()
+        if row["e0"] is None:
+            return None
+        square = [np.array([[row[f"{c}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) for c in "ga"]
+        gap = np.array([row[f"e{i}"] for i in range(k)]) - targets
+        return row["v"] - float(dual @ targets), gap, square[0], square[1]
+
+    dual = np.zeros(k)
+    at = measure(dual)
+    rates = Rates(k, most)
+    if at is None:
+        return rates
+    full = at[3] + np.eye(k) * (RIDGE * np.trace(at[3]) / k + 1e-9)
+    soft = full / FIRM
+    value, size = at[0], 1.0
+    scale = max(float(np.trace(at[3])), 1.0)
+    for _ in range(MAX_STEPS):
+        slope = at[1] - soft @ dual
+        if float(np.abs(slope).max()) / scale < TOLERANCE:
+            break
+        step = np.linalg.solve(at[2] + soft, slope)
+        for _ in range(MAX_HALVINGS):
+            there = dual + size * step
+            tried = measure(there)
+            found = tried[0] - 0.5 * float(there @ soft @ there)
+            if found > value:
+                break
+            size /= 4
+        else:
+            break
+        dual, at, value, size = there, tried, found, min(1.0, 4 * size)
+    rates.steps = [dual.tolist()]
+    rates.gaps = at[1].tolist()
     return rates
 
 
