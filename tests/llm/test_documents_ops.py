@@ -514,6 +514,48 @@ def test_jaccard_hot_shingles(odd_docs, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+@pytest.mark.parametrize("local", [10**6, 3])
+def test_jaccard_regions(docs, local, monkeypatch):
+    """Regions a task can hold are settled without a round of splits; wider ones are split."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "LOCAL", local)
+    splits = []
+    split = jaccard._split
+    monkeypatch.setattr(jaccard, "_split", lambda *a: splits.append(1) or split(*a))
+    want, _ = brute_components(docs.collect())
+    got = jaccard.jaccard_join(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert local == 3 or not splits
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_region_links_join_up_all_components(seed):
+    rng = np.random.default_rng(seed)
+    bases = [rng.choice(400, 60, replace=False) for _ in range(4)]
+    sets = []
+    for _ in range(60):
+        keep = rng.random(60) < rng.choice([0.75, 0.88, 0.97])
+        sets.append(np.unique(np.concatenate([bases[rng.integers(4)][keep], rng.choice(400, 4)])).astype(np.uint64))
+    c, root = rng.permutation(60) + 100, np.arange(60)
+    root[:6] = 0  # known to be connected
+
+    def count(links):
+        at = np.arange(60)
+        for i, j in links:
+            at[at == at[i]] = at[j]
+        return at
+    where = {int(x): i for i, x in enumerate(c)}
+    known = [(0, i) for i in range(1, 6)]
+    inter = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    size = np.array([len(x) for x in sets])
+    linked = 100 * inter >= 75 * (size[:, None] + size - inter)
+    want = count(known + [(i, j) for i, j in np.argwhere(linked)])
+    found = [(where[a], where[b]) for a, b in jaccard.link_region(c, root, sets)]
+    assert all(linked[i, j] for i, j in found) and len(found) < 60
+    got = count(known + found)
+    assert 1 < len(set(want)) < 55 and ((got[:, None] == got) == (want[:, None] == want)).all()
+
+
 def test_one_per_group(docs):
     rows = docs.collect()
     _, groups = brute_components(rows)
