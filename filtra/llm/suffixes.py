@@ -2,17 +2,20 @@
 
 Only suffixes that start at content-selected positions are kept: the minimiser
 of every PASSAGE-word window, which two equal windows select at the same place.
-Suffixes whose first words occur in one text only are dropped. The suffixes of a
-gram are sorted as they begin 0, 1, ... words before it, neighbours with equal
-PASSAGE words are matches, and a suffix's matches join up into one that reaches
-as far to the left and right as another text goes along. Every window that
-another text has is met at its own minimiser, so the ranges are complete.
+Suffixes whose first words occur in one text only are dropped. A suffix stands for
+the windows whose minimiser it is; their words are its context, and equal
+contexts travel once, however many texts hold them. The contexts of a gram are
+sorted as they begin 0, 1, ... words before it, neighbours with equal PASSAGE
+words are matches, and a context's matches join up into ranges that reach as far
+to the left and right as another text goes along. Every window that another text
+has is met at its own minimiser, so the ranges are complete.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ GRAM = 8  # words hashed to select positions
 WINDOW = PASSAGE - GRAM + 1  # grams of a window; one of them is its minimiser
 RIGHT = PASSAGE  # words carried from a position on
 LEFT = WINDOW - 1
-CROWD = 4096  # suffixes of one gram beyond which its windows are counted one by one
-BLOCK_ROWS = 16384  # suffixes sorted at once in a task, whole grams
+CROWD = 4096  # contexts of one gram beyond which its windows are counted one by one
+BLOCK_ROWS = 16384  # contexts sorted at once in a task, whole grams
+NONE = np.iinfo(np.int64).max  # no second text
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -62,6 +66,20 @@ class Texts:
         pos = np.nonzero((wide == g) & (g > 0))[0]
         return pos, g[pos]
 
+    def reach(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words to the left, words onward) of the windows whose minimiser each position is: they
+        begin after the last smaller gram before it and end before the next one's end."""
+        none = np.zeros(LEFT, _U)
+        near = np.lib.stride_tricks.sliding_window_view(
+            np.concatenate([none, gram_hashes(self.h, GRAM), none]), 2 * LEFT + 1) if len(self.h) >= GRAM else none
+        nl, nr = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+        for at in range(0, len(pos), 4096):
+            g = near[pos[at:at + 4096]]
+            less = np.pad(g < g[:, LEFT:LEFT + 1], ((0, 0), (1, 1)), constant_values=True)
+            nl[at:at + 4096] = less[:, LEFT::-1].argmax(axis=1)
+            nr[at:at + 4096] = less[:, LEFT + 2:].argmax(axis=1) + GRAM
+        return nl, nr
+
 
 def _source(docs: DataFrame, *cols) -> DataFrame:
     return docs.select(*cols, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -103,13 +121,19 @@ def shared_grams(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """h, r, l, nr, nl, c, pos: the shared positions with RIGHT words onward and LEFT words
-    backward, as 32-bit word hashes. A task sends equal texts once."""
+    """The shared positions: rows h, x, c, pos of every suffix, and rows h, x, r, l, low, second of
+    every context, with ``c`` null.
+
+    A context, named ``x`` within its gram, is the words of the windows whose minimiser the
+    position is, as 32-bit word hashes: ``r`` onward, ``l`` backward. A task sends the contexts
+    it has met last once, with the two smallest texts that hold them, and equal texts once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(grams, "h"))
 
     def run(batches):
         bits = sent.value
         seen: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             for _, _, data, off in chunks(batch.column("text")):
                 t = Texts(data, off)
@@ -124,34 +148,87 @@ def suffixes(docs: DataFrame, grams: DataFrame) -> DataFrame:
                 some = holds(bits, g) & fresh[text]
                 pos, g, text = pos[some], g[some], text[some]
                 c, begin, end = np.array(names, dtype=np.int64)[text], t.before[text], t.before[text + 1]
+                nl, nr = t.reach(pos)
+                nl, nr = np.minimum(nl, pos - begin), np.minimum(nr, end - pos)
                 short = np.concatenate([np.zeros(LEFT, np.uint32), (t.h >> _U(32)).astype(np.uint32),
                                         np.zeros(RIGHT, np.uint32)])
                 for at in range(0, len(pos), 4096):
-                    p = pos[at:at + 4096]
-                    r = np.ascontiguousarray(short[p[:, None] + LEFT + np.arange(RIGHT)])
-                    l = np.ascontiguousarray(short[p[:, None] + LEFT - 1 - np.arange(LEFT)])  # noqa: E741
                     part = slice(at, at + 4096)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(g[part].view(np.int64)), _fixed(r), _fixed(l),
-                         pa.array(np.minimum(end[part] - p, RIGHT).astype(np.int32)),
-                         pa.array(np.minimum(p - begin[part], LEFT).astype(np.int32)),
-                         pa.array(c[part]), pa.array(p - begin[part])],
-                        names=["h", "r", "l", "nr", "nl", "c", "pos"])
+                    p, own = pos[part], g[part].view(np.int64)
+                    r = short[p[:, None] + LEFT + np.arange(RIGHT)] * (np.arange(RIGHT) < nr[part, None])
+                    l = short[p[:, None] + LEFT - 1 - np.arange(LEFT)] * (np.arange(LEFT) < nl[part, None])  # noqa: E741
+                    x = context_names(r, l, nr[part], nl[part])
+                    yield _rows(own, x, c=c[part], pos=p - begin[part])
+                    held.append([own, x, c[part], np.full(len(p), NONE), nr[part], nl[part], r, l])
+                    size += len(p)
+                    if size >= BLOCK_ROWS:
+                        held = [collapse(*[np.concatenate(a) for a in zip(*held, strict=True)])]
+                        size = len(held[0][0])
+                        if size > BLOCK_ROWS // 2:
+                            yield _contexts(*held[0])
+                            held, size = [], 0
+        if held:
+            yield _contexts(*collapse(*[np.concatenate(a) for a in zip(*held, strict=True)]))
+
+    return _source(docs).mapInArrow(run, "h long, x long, r binary, l binary, low long, second long, c long, pos long")
+
+
+def _rows(h: np.ndarray, x: np.ndarray, **cols) -> pa.RecordBatch:
+    """Rows of ``suffixes``; columns that are not given are null."""
+    kinds = {"r": pa.binary(), "l": pa.binary(), "low": pa.int64(), "second": pa.int64(), "c": pa.int64(), "pos": pa.int64()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h), pa.array(x)] + [pa.nulls(len(h), kind) if k not in cols else cols[k] if kind == pa.binary()
+                                      else pa.array(cols[k]) for k, kind in kinds.items()],
+        names=["h", "x", *kinds])
+
+
+def _contexts(h, x, low, second, nr, nl, r, l) -> pa.RecordBatch:  # noqa: E741
+    return _rows(h, x, r=_packed(r, nr), l=_packed(l, nl), low=low, second=second)
 
-    return _source(docs).mapInArrow(run, "h long, r binary, l binary, nr int, nl int, c long, pos long")
 
+def context_names(r: np.ndarray, l: np.ndarray, nr: np.ndarray, nl: np.ndarray) -> np.ndarray:  # noqa: E741
+    """A hash of every row's words (zeros beyond nr and nl)."""
+    a, b = nr.astype(_U), nl.astype(_U)
+    factor = _U(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in range(RIGHT):
+            a = a * factor + r[:, k]
+        for k in range(LEFT):
+            b = b * factor + l[:, k]
+        return mix(mix(a) * factor + mix(b)).view(np.int64)
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """The rows of a matrix as byte strings."""
-    width = rows.shape[1] * rows.itemsize
-    off = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(rows)])
 
+def collapse(h, x, low, second, *rest) -> list[np.ndarray]:
+    """One row per context: the two smallest of its texts, and one row's other columns."""
+    if not len(h):
+        return [h, x, low, second, *rest]
+    order = np.lexsort((x, h))
+    hs, xs, lo = h[order], x[order], low[order]
+    first = np.concatenate([[0], np.nonzero((hs[1:] != hs[:-1]) | (xs[1:] != xs[:-1]))[0] + 1])
+    least, two = _two_smallest(lo, second[order], first)
+    return [hs[first], xs[first], least, two, *[a[order[first]] for a in rest]]
 
-def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    """Byte strings of one length as the rows of a matrix of 32-bit numbers."""
-    raw = b"".join(col.to_pylist())
-    return np.frombuffer(raw, np.uint32).reshape(len(col), width)
+
+def _two_smallest(low: np.ndarray, second: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of groups of pairs that begin at ``first``: the smallest value and the smallest other one (NONE: none)."""
+    least = np.minimum.reduceat(low, first)
+    of = np.repeat(least, np.diff(np.concatenate([first, [len(low)]])))
+    return least, np.minimum.reduceat(np.where(low == of, second, low), first)
+
+
+def _packed(rows: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The first n values of every row of a matrix as byte strings."""
+    off = np.concatenate([[0], np.cumsum(n * rows.itemsize)]).astype(np.int32)
+    flat = np.ascontiguousarray(rows[np.arange(rows.shape[1]) < n[:, None]])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off), pa.py_buffer(flat)])
+
+
+def _matrix(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of every row, matrix of them with zeros behind) of byte strings of 32-bit numbers."""
+    n = pc.binary_length(col).to_numpy().astype(np.int64) // 4
+    out = np.zeros((len(col), width), dtype=np.uint32)
+    out[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(col.to_pylist()), np.uint32)
+    return n, out
 
 
 def window_keys(h: np.ndarray, r: np.ndarray, l: np.ndarray, seed: int = 0) -> np.ndarray:  # noqa: E741
@@ -177,50 +254,44 @@ def _whole(nr: np.ndarray, nl: np.ndarray) -> np.ndarray:
     return (nl[:, None] >= d) & (nr[:, None] >= PASSAGE - d)
 
 
-def matches(h, c, pos, nr, nl, r, l) -> pa.RecordBatch:  # noqa: E741
-    """c, start, stop, other of the suffixes of some whole grams: where other texts go along."""
-    ok = _whole(nr, nl)
-    row, d = np.nonzero(ok)
-    key = window_keys(h, r, l)[row, d]
-    order = np.argsort(key, kind="stable")
-    s, owner = key[order], c[row[order]]
-    none = np.iinfo(np.int64).max
-    other = np.full(ok.shape, none, dtype=np.int64)
-    if len(s):
+def matches(h, x, low, second, nr, nl, r, l) -> pa.RecordBatch:  # noqa: E741
+    """h, x, d0, d1, low, second of the contexts of some whole grams: the windows, by their distance
+    to the left, that other texts have, and the two smallest texts that hold one of them."""
+    h, x, low, second, nr, nl, r, l = collapse(h, x, low, second, nr, nl, r, l)  # noqa: E741
+    row, d = np.nonzero(_whole(nr, nl))
+    lows, seconds = (np.full((len(h), LEFT + 1), NONE) for _ in range(2))
+    if len(row):
+        key = window_keys(h, r, l)[row, d]
+        order = np.argsort(key, kind="stable")
+        s, at = key[order], (row[order], d[order])
         first = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1])
-        run = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(s)]])))
-        low = np.minimum.reduceat(owner, first)[run]
-        second = np.minimum.reduceat(np.where(owner == low, none, owner), first)[run]
-        other[row[order], d[order]] = np.where(owner == low, second, low)
-    return _ranges(c, pos, other, none)
-
-
-def _ranges(c: np.ndarray, pos: np.ndarray, other: np.ndarray, none: int) -> pa.RecordBatch:
-    """Runs of matched windows of every suffix as ranges of words."""
-    hit = other != none
-    edge = np.zeros((len(c), 1), dtype=bool)
-    begin = hit & ~np.concatenate([edge, hit[:, :-1]], axis=1)
-    stop = hit & ~np.concatenate([hit[:, 1:], edge], axis=1)
-    row, d0 = np.nonzero(begin)
-    _, d1 = np.nonzero(stop)
-    flat = other.ravel()
-    at = row * other.shape[1]
-    least = np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([first, [len(s)]]))
+        lows[at], seconds[at] = (np.repeat(a, size) for a in _two_smallest(low[at[0]], second[at[0]], first))
+    return _ranges(h, x, lows, seconds)
+
+
+def _ranges(h: np.ndarray, x: np.ndarray, lows: np.ndarray, seconds: np.ndarray) -> pa.RecordBatch:
+    """Runs of matched windows of every context."""
+    hit = seconds != NONE
+    edge = np.zeros((len(h), 1), dtype=bool)
+    row, d0 = np.nonzero(hit & ~np.concatenate([edge, hit[:, :-1]], axis=1))
+    _, d1 = np.nonzero(hit & ~np.concatenate([hit[:, 1:], edge], axis=1))
+    least, two = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(row):
-        # sums over [from, to) pairs; every second one is a run
-        cuts = np.stack([at + d0, at + d1 + 1], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(flat, none), cuts)[::2]
+        size = d1 - d0 + 1
+        first = np.cumsum(size) - size
+        least, two = _two_smallest(lows[hit], seconds[hit], first)  # the cells of the runs, in order
     return pa.RecordBatch.from_arrays(
-        [pa.array(c[row]), pa.array(pos[row] - d1), pa.array(pos[row] - d0 + PASSAGE), pa.array(least)],
-        names=["c", "start", "stop", "other"])
+        [pa.array(h[row]), pa.array(x[row]), pa.array(d0), pa.array(d1), pa.array(least), pa.array(two)],
+        names=["h", "x", "d0", "d1", "low", "second"])
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [*[batch.column(x).to_numpy() for x in ("h", "c", "pos", "nr", "nl")],
-            _matrix(batch.column("r"), RIGHT), _matrix(batch.column("l"), LEFT)]
+    (nr, r), (nl, l) = _matrix(batch.column("r"), RIGHT), _matrix(batch.column("l"), LEFT)  # noqa: E741
+    return [*[batch.column(k).to_numpy() for k in ("h", "x", "low", "second")], nr, nl, r, l]
 
 
-RANGES = "c long, start long, stop long, other long"
+RANGES = "h long, x long, d0 long, d1 long, low long, second long"
 
 
 def _gram_matches(found: DataFrame) -> DataFrame:
@@ -247,22 +318,56 @@ def _gram_matches(found: DataFrame) -> DataFrame:
 
 
 def _crowd_matches(found: DataFrame) -> DataFrame:
-    """The same for grams of very many suffixes: every window is a row of its own, named by 128
-    bits, and an aggregate finds the texts that have it, so that no task holds the gram."""
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                h, c, pos, nr, nl, r, l = _arrays(batch.slice(at, 4096))  # noqa: E741
-                row, d = np.nonzero(_whole(nr, nl))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window_keys(h, r, l, s)[row, d].view(np.int64)) for s in (0, 1)]
-                    + [pa.array(c[row]), pa.array(pos[row] - d)], names=["w1", "w2", "c", "start"])
+    """The same for grams of very many contexts: every window is a row of its own, named by 128
+    bits, and an aggregate finds the texts that have it, so that no task holds the gram. Windows
+    of one text are left out by a bitmap before windows and texts meet again."""
+    def windows(bits=None):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    h, x, low, second, nr, nl, r, l = _arrays(batch.slice(at, 4096))  # noqa: E741
+                    row, d = np.nonzero(_whole(nr, nl))
+                    w1 = window_keys(h, r, l)[row, d].view(np.int64)
+                    if bits is not None:
+                        some = holds(bits.value, w1)
+                        row, d, w1 = row[some], d[some], w1[some]
+                    w2 = window_keys(h, r, l, 1)[row, d].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(h[row]), pa.array(x[row]),
+                                                      pa.array(d), pa.array(low[row]), pa.array(second[row])],
+                                                     names=["w1", "w2", "h", "x", "d", "low", "second"])
+        return found.mapInArrow(run, "w1 long, w2 long, h long, x long, d long, low long, second long")
+
+    most = F.when(F.col("second") != int(NONE), F.col("second")).otherwise(F.col("low"))
+    shared = cut(windows().groupBy("w1", "w2").agg(F.min("low").alias("low"), F.max(most).alias("second"))
+                 .filter("low != second"))
+    sent = found.sparkSession.sparkContext.broadcast(bitmap(shared, "w1"))
+    rows = windows(sent).drop("low", "second").join(shared, ["w1", "w2"])
+    w = Window.partitionBy("h", "x")  # at most LEFT + 1 rows, one for each window
+    runs = rows.withColumn("_k", F.col("d") - F.row_number().over(w.orderBy("d")))
+    return (runs.withColumn("_low", F.min("low").over(Window.partitionBy("h", "x", "_k")))
+            .groupBy("h", "x", "_k").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("low").alias("low"),
+                                         F.min(F.expr("if(low = _low, second, low)")).alias("second"))
+            .drop("_k"))
+
+
+def _crowded(contexts: DataFrame, crowd: int) -> DataFrame:
+    """``contexts`` with ``crowded`` true for those of grams of more than ``crowd`` rows, else null."""
+    counts = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd)
+    return join_small(contexts, cut(counts.select("h", F.lit(True).alias("crowded"))), ["h"], "left")
+
 
-    rows = found.mapInArrow(run, "w1 long, w2 long, c long, start long")
-    shared = (rows.groupBy("w1", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi"))
-    return (rows.join(shared, ["w1", "w2"])
-            .select("c", "start", (F.col("start") + PASSAGE).alias("stop"),
-                    F.when(F.col("c") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")))
+def _context_matches(contexts: DataFrame, crowd: int) -> DataFrame:
+    """Matches of all contexts. Those of a gram that very many tasks' rows hold are first
+    brought to one row each; only a gram that has still too many goes window by window."""
+    tagged = _crowded(contexts, crowd)
+    few, many = tagged.filter("crowded is null").drop("crowded"), tagged.filter("crowded").drop("crowded")
+    most = F.max(F.when(F.col("second") != int(NONE), F.col("second")).otherwise(F.col("low")))
+    once = stored(many.groupBy("h", "x").agg(
+        F.first("r").alias("r"), F.first("l").alias("l"), F.min("low").alias("low"), most.alias("second"))
+        .withColumn("second", F.expr(f"if(low = second, {NONE}L, second)")), "contexts")
+    tagged = _crowded(once, crowd)
+    return (_gram_matches(few.unionByName(tagged.filter("crowded is null").drop("crowded")))
+            .unionByName(_crowd_matches(tagged.filter("crowded").drop("crowded"))))
 
 
 def _merge(ranges: DataFrame) -> DataFrame:
@@ -293,11 +398,10 @@ def repeated_passages(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     classes = cut(rows.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"),
                                         F.max("n").alias("n")))
     found = stored(suffixes(docs, shared_grams(docs)), "suffixes")
-    crowded = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select(
-        "h", F.lit(True).alias("crowded"))
-    tagged = join_small(found, crowded, ["h"], "left")
-    ranges = (_gram_matches(tagged.filter("crowded is null").drop("crowded"))
-              .union(_crowd_matches(tagged.filter("crowded").drop("crowded"))))
+    met = _context_matches(found.filter("c is null").drop("c", "pos"), crowd)
+    ranges = found.filter("c is not null").select("h", "x", "c", "pos").join(met, ["h", "x"]).select(
+        "c", (F.col("pos") - F.col("d1")).alias("start"), (F.col("pos") - F.col("d0") + PASSAGE).alias("stop"),
+        F.when(F.col("c") == F.col("low"), F.col("second")).otherwise(F.col("low")).alias("other"))
     copies = classes.filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"),
                                                  F.col("c").alias("other"))
     merged = _merge(ranges.union(copies).distinct())

@@ -363,6 +363,24 @@ def test_family_of_passages(spark):
         assert found_passages(df, crowd=crowd) == want
 
 
+def test_common_passage_travels_once_per_task(spark):
+    """A passage of 130 words in 300 texts: its inner windows are of one context, however many texts hold
+    it, so few rows are left to match."""
+    passage = prose(31, 130)
+    rows = [(i, f"{prose(3000 + i, 60)} {passage} {prose(4000 + i, 60)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    found = suffixes.suffixes(df, suffixes.shared_grams(df)).cache()
+    held, met = found.filter("c is not null").count(), found.filter("c is null")
+    inner = met.filter("second != 9223372036854775807")
+    assert held >= 300 and inner.count() <= 2 * inner.select("h", "x").distinct().count() <= 60
+    assert all(len(r.r) // 4 + len(r.l) // 4 <= suffixes.LEFT + suffixes.PASSAGE for r in met.select("r", "l").collect())
+    assert met.count() < held
+    found.unpersist()
+    want = repeated(rows)
+    for crowd in (suffixes.CROWD, 5, 100):
+        assert found_passages(df, crowd=crowd) == want
+
+
 def test_minimisers_of_equal_windows():
     rng = np.random.default_rng(2)
 
