@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filtra.llm.common import ship_package, stored, table
+from filtra.llm.scan import TEXTS
 
 CAPACITY = 2048
 GROUP_PIECES = 8192  # expected pieces per packing group
@@ -135,10 +136,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def cut_batches(batches):
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             row, piece, start, length, crc = [], [], [], [], []
-            for at in range(0, len(texts), 256):
-                for i, ids in enumerate(encode_texts(texts[at:at + 256], tokenizer), at):
+            for at in range(0, len(texts), TEXTS):
+                for i, ids in enumerate(encode_texts(texts.slice(at, TEXTS).to_pylist(), tokenizer), at):
                     ids = np.concatenate([ids, end])
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s:s + capacity]

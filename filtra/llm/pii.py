@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filtra.llm.common import ship_package, table
+from filtra.llm.scan import strings
 from filtra.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +236,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
     def count(batches):
         held = np.zeros(strata, np.int64)
         for batch in batches:
-            for t in batch.column("text").to_pylist():
+            for t in strings(batch.column("text")):
                 for c, label in _labelled(t):
                     held[KINDS.index(c[2]) * 2 + label] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(strata), pa.int32()), pa.array(held, pa.int64())],
@@ -250,7 +251,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
     def draw(batches):
         for batch in batches:
             out = []
-            for k, t in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
+            for k, t in zip(batch.column("_k").to_pylist(), strings(batch.column("text"))):
                 for i, (c, label) in enumerate(_labelled(t)):
                     s = KINDS.index(c[2]) * 2 + label
                     h = xxhash.xxh3_64_intdigest(f"{k}:{i}".encode(), SEED) >> 1
@@ -280,7 +281,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
         held: Counter = Counter()
         for batch in batches:
             xs, labels, kinds = [], [], []
-            for k, t in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
+            for k, t in zip(batch.column("_k").to_pylist(), strings(batch.column("text"))):
                 for i, (c, label) in enumerate(_labelled(t)):
                     if (k, i) not in trained:
                         xs.append(features(t, c))

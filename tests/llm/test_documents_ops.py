@@ -549,6 +549,25 @@ def test_jaccard_join(docs, small, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_hashing_words_keeps_none_of_them():
+    """A Python worker outlives its stage; what it keeps is memory of the next one."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import xxhash
+    from filtra.llm.scan import strings
+    from filtra.llm.shingles import word_hashes
+    words = [b"w%d" % i for i in range(200_000)]
+    tracemalloc.start()
+    h = word_hashes(words)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 2 * h.nbytes + 100_000
+    assert h[:50].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words[:50]]
+    texts = pa.array(["a", None, "", "b"] * 200)
+    assert list(strings(texts.slice(3, 700))) == texts.slice(3, 700).to_pylist() and list(strings(texts[:0])) == []
+
+
 def test_jaccard_hot_shingles(odd_docs, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT_CELL", 1)
     monkeypatch.setattr(jaccard, "SMALL", 2)
