@@ -186,3 +186,22 @@ def test_two_segments_equal_one_index(spark, tmp_path):
         if same:
             site = {r["id"]: r["site"] for r in docs.collect()}
             assert all(site[qid] == site[i] for qid, i, _ in got[0])
+
+
+def test_a_segment_is_stored_without_moving_postings(spark, tmp_path):
+    from filtra.operators.segments import TextIndex, token_blocks, token_counts
+    docs = _text_rows(spark).unionByName(spark.range(100, 101).select(
+        "id", F.lit(" ".join(f"w{i} w{i % 7}" for i in range(60))).alias("content"), F.lit(1).cast("long").alias("site")))
+    assert "Exchange" not in token_blocks(docs, keep=("id", "site"))._jdf.queryExecution().executedPlan().toString()
+    ix = TextIndex(spark, str(tmp_path / "ix"))
+    ix.append(docs, "0", keep=("site",))
+    want = sorted(tuple(r) for r in token_counts(docs, keep=("id", "site")).collect())
+    assert ix.postings().columns == ["id", "site", "dl", "token", "tf", "tb"]
+    assert sorted(tuple(r)[:5] for r in ix.postings().collect()) == want
+    # a row for each document and token bucket, whatever the number of postings
+    stored = spark.read.parquet(str(tmp_path / "ix" / "postings"))
+    assert stored.count() == ix.postings().select("id", "tb").distinct().count() < len(want)
+    q = docs.filter("id = 0").select(F.col("id").alias("qid"), "content")
+    plan = ix.scores(ix.query_terms(q))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert moved and not any("tf#" in x for x in moved) and "SortMergeJoin" not in plan
