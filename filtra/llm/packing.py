@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filtra.llm.common import ship_package, stored, table
-from filtra.llm.scan import TEXTS
+from filtra.llm.scan import TEXTS, released
 
 CAPACITY = 2048
 GROUP_PIECES = 8192  # expected pieces per packing group
@@ -124,10 +124,17 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join([memo[x] for x in words]), dtype="<u4") for words in split]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def forget() -> None:
+    """Drop the words and pieces that this worker knows."""
+    for memo in ("words", "pieces"):
+        _worker.get(memo, {}).clear()
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document tokenised, ended
     by id 0, and cut into runs of ``capacity`` tokens. Null text counts as empty
-    (one token, the end)."""
+    (one token, the end). With ``remember`` a worker knows its words from task to
+    task, which saves time and holds their memory while it waits for other stages."""
     ship_package(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                      ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -152,10 +159,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 [doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                  pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 schema=out)
+        if not remember:
+            forget()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return src.mapInArrow(cut_batches, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(released(cut_batches), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -274,14 +283,15 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
-         group_pieces: int = GROUP_PIECES) -> DataFrame:
+         group_pieces: int = GROUP_PIECES, remember: bool = True) -> DataFrame:
     """Place every piece of every document into sequences of at most ``capacity``.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and
     empty texts are one end token; repeated rows and null ids are packed like
-    others; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
+    others; an empty table gives no rows. Only ``doc_id`` and ``text`` are read. ``remember``: see
+    :func:`pieces`.
     """
-    cut_up = stored(pieces(docs, tokenizer, capacity), "pieces")
+    cut_up = stored(pieces(docs, tokenizer, capacity, remember), "pieces")
     n = cut_up.count()
     groups = max(1, -(-n // group_pieces))
     # dealt by position in the stored table: even for any ids, the same on a retry

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filtra.llm.common import ship_package, table
-from filtra.llm.scan import strings
+from filtra.llm.scan import released, strings
 from filtra.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -242,7 +242,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
         yield pa.RecordBatch.from_arrays([pa.array(range(strata), pa.int32()), pa.array(held, pa.int64())],
                                          names=["s", "n"])
 
-    sizes = {r["s"]: r["n"] for r in source.mapInArrow(count, "s int, n long")
+    sizes = {r["s"]: r["n"] for r in source.mapInArrow(released(count), "s int, n long")
              .groupBy("s").agg(F.sum("n").alias("n")).collect()}
     quota = sample // strata
     # a hash below its stratum's bound is drawn; a little over the quota, which cuts it below
@@ -263,7 +263,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
                 names=["s", "h", "k", "i", "x"])
 
     # repeated texts give the same candidates, which train once
-    drawn = (keyed.mapInArrow(draw, "s int, h long, k long, i int, x array<double>")
+    drawn = (keyed.mapInArrow(released(draw), "s int, h long, k long, i int, x array<double>")
              .dropDuplicates(["k", "i"]).collect())
     picked = []
     for s in range(strata):
@@ -295,7 +295,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_CANDIDATES) -> Detector:
             [pa.array([r[j] for r in rows], kind) for j, kind in
              enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["kind", "b", "label", "n"])
 
-    counts = (keyed.mapInArrow(score, "kind int, b long, label int, n long").groupBy("kind", "b")
+    counts = (keyed.mapInArrow(released(score), "kind int, b long, label int, n long").groupBy("kind", "b")
               .agg(F.sum(F.col("n") * F.col("label")).alias("hits"), F.sum("n").alias("n")).collect())
     return Detector(trees, {kind: _calibrate([(r["b"], r["hits"], r["n"]) for r in counts if r["kind"] == i])
                             for i, kind in enumerate(KINDS)})

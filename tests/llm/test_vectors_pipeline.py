@@ -100,3 +100,24 @@ def test_registered():
     assert "pipeline" in names
     for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_packing_in_the_pipeline_keeps_no_words_between_tasks(spark, monkeypatch):
+    """Idle workers hold what they know while other stages need the memory."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from filtra.llm import packing
+    docs = spark.createDataFrame([(1, "a few Words, here")], "doc_id long, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array(["a few Words, here"])})
+    runs, out = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    for remember in (True, False):
+        packing.pieces(docs, packing.default_tokenizer(), remember=remember)
+        out.append([b.to_pydict() for b in runs.pop()(iter([batch]))])
+        assert bool(packing._worker["words"]) == bool(packing._worker["pieces"]) == remember
+    assert out[0] == out[1] and out[0][0]["length"] == [len(packing.encode_texts(["a few Words, here"],
+                                                                              packing.default_tokenizer())[0]) + 1]
+    asked = []
+    monkeypatch.setattr(packing, "pack", lambda *a, **more: asked.append(more))
+    corpus_pipeline.best_fit_packing(spark, docs, SF)
+    assert asked == [{"remember": False}]
